@@ -139,27 +139,35 @@ def _(t):
 
 
 def token_rows(t):
-    """lineitem as responses: one row per order with arrays of token values."""
-    tokens = number_rows(t.lineitem.select("l_orderkey", *TOKEN_ORDER), TOKEN_ORDER, "pos", keys=["l_orderkey"])
-    # An order has a handful of lines, as a response has a bounded number of tokens.
-    packed = tokens.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(
-        "pos", F.col("l_quantity").alias("q"), (F.col("l_discount") * 100).alias("d"), (F.col("l_tax") * 100).alias("x"),
-        F.when(F.col("l_returnflag") == "R", 0).otherwise(1).alias("m")))).alias("r"))
-    return packed.select(
-        F.col("l_orderkey").alias("row_id"), F.expr("l_orderkey div 4").alias("uid"), F.round(F.size("r") * 1.0).alias("baseline"),
-        F.transform("r", lambda s: s["q"]).alias("rewards"), F.transform("r", lambda s: s["d"]).alias("values"),
-        F.transform("r", lambda s: -s["d"] / 20).alias("old_logp"), F.transform("r", lambda s: -s["x"] / 20).alias("rollout_logp"),
-        F.transform("r", lambda s: s["m"]).alias("mask")).filter(F.exists("mask", lambda m: m == 1))
+    """Embeddings as responses: one row per vector, its 64 numbers as token values."""
+    e, r = F.col("embedding"), F.reverse("embedding")
+    return t.embeddings.select(
+        F.col("vec_id").alias("row_id"), F.expr("vec_id div 4").alias("uid"), F.col("label").cast("double").alias("baseline"),
+        F.transform(e, lambda x: F.round(x.cast("double") * 1000)).alias("rewards"), F.transform(r, lambda x: F.round(x.cast("double") * 100)).alias("values"),
+        F.transform(e, lambda x: -F.abs(x.cast("double"))).alias("old_logp"), F.transform(r, lambda x: -F.abs(x.cast("double"))).alias("rollout_logp"),
+        F.transform(e, lambda x: F.when(x > -0.1, 1).otherwise(0)).alias("mask"))
 
 
-@query("kl_penalised_rewards")
+TOKENS = """e AS (SELECT vec_id AS row_id, vec_id // 4 AS uid, label, generate_subscripts(embedding, 1) AS pos, unnest(embedding) AS x, unnest(list_reverse(embedding)) AS y FROM embeddings),
+ tok AS (SELECT row_id, uid, label::DOUBLE AS baseline, pos, round(x::DOUBLE * 1000) AS reward, round(y::DOUBLE * 100) AS val, -abs(x::DOUBLE) AS o, -abs(y::DOUBLE) AS r, CASE WHEN x > -0.1 THEN 1 ELSE 0 END AS m FROM e)"""
+
+
+def long_rows(df, *columns, digits=6):
+    """Arrays as rows, rounded."""
+    rows = df.select("row_id", F.posexplode(F.arrays_zip(*columns)).alias("pos", "z"))
+    return rows.select("row_id", (F.col("pos") + 1).cast("long").alias("pos"), *[F.round(F.col(f"z.{c}"), digits).alias(c) for c in columns])
+
+
+@query("kl_penalised_rewards", f"""WITH {TOKENS} SELECT row_id, pos, round(reward - CASE WHEN m = 1 THEN 0.01::DOUBLE * least(greatest(exp(least(greatest(r - o, -20), 20)) - least(greatest(r - o, -20), 20) - 1, -10), 10) ELSE 0 END, 6) AS r FROM tok""")
 def _(t):
-    return token_rows(t).select("row_id", A.penalised_rewards(F.col("rewards"), F.col("old_logp"), F.col("rollout_logp"), F.col("mask"), "k3", 0.01).alias("r"))
+    return long_rows(token_rows(t).select("row_id", A.penalised_rewards(F.col("rewards"), F.col("old_logp"), F.col("rollout_logp"), F.col("mask"), "k3", 0.01).alias("r")), "r")
 
 
-@query("reinforce_pp")
+@query("reinforce_pp", f"""WITH {TOKENS}, s AS (SELECT *, sum(1 - m) OVER (PARTITION BY row_id ORDER BY pos) AS seg FROM tok), g AS (SELECT *, sum(reward) OVER (PARTITION BY row_id, seg ORDER BY pos DESC) AS ret FROM s),
+ w AS (SELECT avg(ret) AS mean, var_samp(ret) AS var FROM g WHERE m = 1)
+SELECT row_id, pos, round(CASE WHEN m = 1 THEN (ret - mean) / sqrt(var + 1e-8) ELSE 0 END, 6) AS advantages, round(ret, 6) AS returns FROM g, w""")
 def _(t):
-    return V.reinforce_pp(token_rows(t), 0.9).select("row_id", "advantages", "returns")
+    return long_rows(V.reinforce_pp(token_rows(t), 1.0), "advantages", "returns")
 
 
 @query("gae")
@@ -167,53 +175,72 @@ def _(t):
     return V.gae(token_rows(t), 0.99, 0.95).select("row_id", "advantages", "returns")
 
 
-@query("remax")
+@query("remax", f"""WITH {TOKENS}, g AS (SELECT *, sum(reward * m) OVER (PARTITION BY row_id ORDER BY pos DESC) AS ret FROM tok) SELECT row_id, pos, round(ret - baseline * m, 6) AS advantages, round(ret, 6) AS returns FROM g""")
 def _(t):
-    return V.remax(token_rows(t)).select("row_id", "advantages", "returns")
+    return long_rows(V.remax(token_rows(t)), "advantages", "returns")
 
 
-@query("rfpp_baseline")
+@query("rfpp_baseline", f"""WITH {TOKENS}, s AS (SELECT row_id, uid, sum(reward) AS score FROM tok GROUP BY 1, 2), c AS (SELECT row_id, score - CASE WHEN count(*) OVER (PARTITION BY uid) = 1 THEN 0 ELSE avg(score) OVER (PARTITION BY uid) END AS c FROM s),
+ v AS (SELECT tok.row_id, pos, m, c * m AS v FROM tok JOIN c ON tok.row_id = c.row_id), w AS (SELECT avg(v) AS mean, var_samp(v) AS var FROM v WHERE m = 1)
+SELECT row_id, pos, round(CASE WHEN m = 1 THEN (v - mean) / sqrt(var + 1e-8) ELSE 0 END, 6) AS advantages FROM v, w""")
 def _(t):
-    return V.rfpp_baseline(token_rows(t)).select("row_id", "advantages")
+    return long_rows(V.rfpp_baseline(token_rows(t)), "advantages")
 
 
-@query("rloo_multi")
+@query("rloo_multi", f"""WITH {TOKENS}, n AS (SELECT row_id, uid, sum(val * m) / sum(m) AS mean, CAST(row_id % 3 = 0 AS INT) AS acc, sum(m) AS len FROM tok GROUP BY 1, 2), b AS (SELECT *, sum(mean) OVER (PARTITION BY uid) / 3.0::DOUBLE AS b1, sum(acc) OVER (PARTITION BY uid) / 3.0::DOUBLE AS b2 FROM n),
+ p AS (SELECT tok.row_id, pos, m, CASE WHEN m = 1 THEN 0.5::DOUBLE * (val * (4 / 3.0::DOUBLE) - b1) + CASE WHEN pos = len THEN acc * (4 / 3.0::DOUBLE) - b2 ELSE 0 END ELSE 0 END AS v FROM tok JOIN b ON tok.row_id = b.row_id),
+ g AS (SELECT *, sum(v) OVER (PARTITION BY row_id ORDER BY pos DESC) AS ret FROM p), w AS (SELECT avg(ret) AS mean, var_samp(ret) AS var FROM g WHERE m = 1)
+SELECT row_id, pos, round((ret - mean) / sqrt(var + 1e-8), 6) AS advantages, round(ret, 6) AS returns FROM g, w""")
 def _(t):
     rows = token_rows(t).withColumn("acc", (F.col("row_id") % 3 == 0).cast("double"))
-    return V.rloo_multi(rows, {"values": 0.5, "acc": 1.0}, 4).select("row_id", "advantages", "returns")
+    return long_rows(V.rloo_multi(rows, {"values": 0.5, "acc": 1.0}, 4), "advantages", "returns")
 
 
-@query("importance_token")
+def rounded(df, digits=6):
+    return df.select(*[F.round(c, digits).alias(c) for c in df.columns])
+
+
+@query("importance_token", f"""WITH {TOKENS}, lr AS (SELECT row_id, m, o - r AS l, exp(least(greatest(o - r, -20), 20)) AS w FROM tok), wt AS (SELECT * FROM lr WHERE m = 1), f AS (SELECT *, least(greatest(w, 1 / 1.2::DOUBLE), 1.2) AS f FROM wt),
+ s AS (SELECT row_id, sum(w) / (count(*) + 1e-8) AS sm, bool_or(l < ln(1e-4)) AS veto, count(CASE WHEN l < ln(1e-4) THEN 1 END) AS bad, count(*) AS n FROM wt GROUP BY row_id),
+ a AS (SELECT avg(CAST(veto AS INT)) AS veto_fraction, sum(bad) / sum(n) AS catastrophic_token_fraction, avg(sm) AS seq_mean, stddev_samp(sm) AS seq_std, max(sm) AS seq_max, min(sm) AS seq_min, max(abs(sm - 1)) AS seq_max_deviation, avg(CAST(sm > 1.2 AS INT)) AS seq_fraction_high, avg(CAST(sm < 1 / 1.2::DOUBLE AS INT)) AS seq_fraction_low FROM s),
+ b AS (SELECT max(w) AS max, min(w) AS min, avg(w) AS mean, avg(CAST(w > 1.2 AS INT)) AS ratio_fraction_high, avg(CAST(w < 1 / 1.2::DOUBLE AS INT)) AS ratio_fraction_low, sqrt(greatest(avg(f * f) - avg(f) * avg(f), 0)) AS std, 1 / (avg(f * f) / ((avg(f) + 1e-8) * (avg(f) + 1e-8))) AS eff_sample_size, quantile_cont(w, [0.25, 0.5, 0.75, 0.95, 0.99]) AS q FROM f)
+SELECT round(veto_fraction, 6) AS veto_fraction, round(catastrophic_token_fraction, 6) AS catastrophic_token_fraction, round(seq_mean, 6) AS seq_mean, round(seq_std, 6) AS seq_std, round(seq_max, 6) AS seq_max, round(seq_min, 6) AS seq_min, round(seq_max_deviation, 6) AS seq_max_deviation,
+ round(seq_fraction_high, 6) AS seq_fraction_high, round(seq_fraction_low, 6) AS seq_fraction_low, round(max, 6) AS max, round(min, 6) AS min, round(mean, 6) AS mean, round(ratio_fraction_high, 6) AS ratio_fraction_high, round(ratio_fraction_low, 6) AS ratio_fraction_low, round(std, 6) AS std, round(eff_sample_size, 6) AS eff_sample_size,
+ round(q[1], 6) AS p25, round(q[2], 6) AS p50, round(q[3], 6) AS p75, round(q[4], 6) AS p95, round(q[5], 6) AS p99 FROM a, b""")
 def _(t):
-    return M.importance_metrics(token_rows(t), "token", "truncate", 1.2)
+    return rounded(M.importance_metrics(token_rows(t), "token", "truncate", 1.2))
 
 
 @query("importance_sequence")
 def _(t):
-    return M.importance_metrics(token_rows(t), "sequence", "mask", 1.2, 0.8)
+    return rounded(M.importance_metrics(token_rows(t), "sequence", "mask", 1.2, 0.8))
 
 
 @query("importance_geometric")
 def _(t):
-    return M.importance_metrics(token_rows(t), "geometric", "mask", 1.1)
+    return rounded(M.importance_metrics(token_rows(t), "geometric", "mask", 1.1))
+
+
+@query("importance_weights", f"""WITH {TOKENS}, g AS (SELECT row_id, least(greatest(sum((o - r) * m), -20), 20) AS l FROM tok GROUP BY row_id), v AS (SELECT row_id, bool_or(m = 1 AND o - r < ln(0.5::DOUBLE)) AS veto FROM tok GROUP BY row_id)
+SELECT tok.row_id, pos, round(CASE WHEN m = 1 AND NOT veto THEN least(exp(l), 2.0) ELSE 0 END, 6) AS weights FROM tok JOIN g ON tok.row_id = g.row_id JOIN v ON tok.row_id = v.row_id""")
+def _(t):
+    return long_rows(M.importance_weights(token_rows(t), "sequence", "truncate", 2.0, veto=0.5), "weights")
 
 
-@query("mismatch_metrics", f"""WITH l AS (SELECT l_orderkey, -l_discount * 100 / 20 AS o, -l_tax * 100 / 20 AS r, CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END AS m FROM lineitem WHERE l_returnflag <> 'R'),
- s AS (SELECT l_orderkey, sum(o) / (count(*) + 1e-8) AS t, sum(r) / (count(*) + 1e-8) AS r, count(*) AS n, sum(r - o) AS kl, sum(exp(o - r) - (o - r) - 1) AS k3 FROM l GROUP BY l_orderkey)
+@query("mismatch_metrics", f"""WITH {TOKENS}, s AS (SELECT row_id, sum(o) / (count(*) + 1e-8) AS t, sum(r) / (count(*) + 1e-8) AS r, count(*) AS n, sum(r - o) AS kl, sum(exp(o - r) - (o - r) - 1) AS k3 FROM tok WHERE m = 1 GROUP BY row_id)
 SELECT round(avg(exp(-t)), 9) AS training_ppl, round(avg(-t), 9) AS training_log_ppl, round(sum(kl) / sum(n), 9) AS kl, round(sum(k3) / sum(n), 9) AS k3_kl, round(avg(exp(-r)), 9) AS rollout_ppl, round(avg(-r), 9) AS rollout_log_ppl,
  round(avg(r - t), 9) AS log_ppl_diff, round(avg(abs(r - t)), 9) AS log_ppl_abs_diff, round(max(r - t), 9) AS log_ppl_diff_max, round(min(r - t), 9) AS log_ppl_diff_min, round(avg(exp(r - t)), 9) AS ppl_ratio FROM s""")
 def _(t):
-    m = M.mismatch_metrics(token_rows(t))
-    return m.select(*[F.round(c, 9).alias(c) for c in m.columns])
+    return rounded(M.mismatch_metrics(token_rows(t)), 9)
 
 
-@query("whiten_tokens")
+@query("whiten_tokens", f"""WITH {TOKENS}, w AS (SELECT avg(val) AS mean, var_samp(val) AS var FROM tok WHERE m = 1) SELECT row_id, pos, round((val - mean) / sqrt(var + 1e-8) + mean, 6) AS w FROM tok, w""")
 def _(t):
-    return V.masked_whiten(token_rows(t), "values", "mask", "w").select("row_id", "w")
+    return long_rows(V.masked_whiten(token_rows(t), "values", "mask", "w", shift_mean=False), "w")
 
 
-@query("aggregate_masked", """WITH s AS (SELECT l_orderkey, sum(l_quantity) AS total, count(*) AS n FROM lineitem WHERE l_returnflag <> 'R' GROUP BY l_orderkey), w AS (SELECT max(c) AS c FROM (SELECT count(*) AS c FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM s) GROUP BY l_orderkey))
-SELECT 'token-mean' AS mode, round(sum(total) / sum(n), 9) AS value FROM s UNION ALL SELECT 'seq-mean-token-sum', round(avg(total), 9) FROM s UNION ALL SELECT 'seq-mean-token-mean', round(avg(total / n), 9) FROM s UNION ALL SELECT 'seq-mean-token-sum-norm', round(sum(total) / (SELECT c FROM w), 9) FROM s""")
+@query("aggregate_masked", f"""WITH {TOKENS}, s AS (SELECT row_id, sum(reward) AS total, count(*) AS n FROM tok WHERE m = 1 GROUP BY row_id)
+SELECT 'token-mean' AS mode, round(sum(total) / sum(n), 9) AS value FROM s UNION ALL SELECT 'seq-mean-token-sum', round(avg(total), 9) FROM s UNION ALL SELECT 'seq-mean-token-mean', round(avg(total / n), 9) FROM s UNION ALL SELECT 'seq-mean-token-sum-norm', round(sum(total) / 64, 9) FROM s""")
 def _(t):
     rows = token_rows(t).select("rewards", "mask")
     out = None
@@ -223,6 +250,33 @@ def _(t):
     return out
 
 
+@query("token_level_metrics", f"""WITH {TOKENS} SELECT avg(reward) AS rewards_mean, max(reward) AS rewards_max, min(reward) AS rewards_min, avg(val) AS values_mean, max(val) AS values_max, min(val) AS values_min FROM tok WHERE m = 1""")
+def _(t):
+    return M.token_level_metrics(token_rows(t), ["rewards", "values"], "mask")
+
+
+@query("explained_variance", f"""WITH {TOKENS} SELECT round(1 - var_samp(reward - val) / (var_samp(reward) + 1e-5), 9) AS explained_variance FROM tok WHERE m = 1""")
+def _(t):
+    return rounded(M.explained_variance(token_rows(t), "values", "rewards", "mask"), 9)
+
+
+@query("token_diff_count", f"""WITH {TOKENS} SELECT row_id, count(CASE WHEN m = 1 AND reward <> val THEN 1 END) AS n FROM tok GROUP BY row_id""")
+def _(t):
+    return token_rows(t).select("row_id", M.token_diff_count(F.col("rewards"), F.col("values"), F.col("mask")).cast("long").alias("n"))
+
+
+@query("truncate_ids", """SELECT vec_id, list_slice(embedding, 55, 64)[1]::DOUBLE AS l, list_slice(embedding, 1, 10)[10]::DOUBLE AS r, (list_slice(embedding, 1, 5) || list_slice(embedding, 60, 64))[6]::DOUBLE AS m FROM embeddings""")
+def _(t):
+    cut = {h[0]: F.element_at(A.truncate_ids(F.col("embedding"), 10, h), {"left": 1, "right": 10, "middle": 6}[h]).cast("double").alias(h[0]) for h in ("left", "right", "middle")}
+    return t.embeddings.select("vec_id", *cut.values())
+
+
+@query("response_mask", f"""WITH {TOKENS}, f AS (SELECT row_id, min(pos) FILTER (floor(reward / 10) IN (-5, 7)) AS eos FROM tok GROUP BY row_id) SELECT row_id, coalesce(eos, 64) AS n FROM f""")
+def _(t):
+    ids = F.transform("rewards", lambda x: F.floor(x / 10))
+    return token_rows(t).select("row_id", A.mask_count(A.response_mask(ids, -5, 7)).cast("long").alias("n"))
+
+
 @query("logprob_diff", """WITH p AS (SELECT exp(-l_discount) AS a, exp(-l_tax) AS b FROM lineitem) SELECT round(max(abs(a - b)), 9) AS max_diff, round(avg(abs(a - b)), 9) AS mean_diff, round(stddev_samp(abs(a - b)), 9) AS std_diff, round(corr(a, b), 9) AS pearson FROM p""")
 def _(t):
     d = M.logprob_diff(t.lineitem, -F.col("l_discount"), -F.col("l_tax"))
@@ -339,16 +393,6 @@ def _(t):
     return M.batch_metrics(batch_rows(t), 8000, 1000)
 
 
-@query("token_level_metrics")
-def _(t):
-    return M.token_level_metrics(token_rows(t), ["rewards", "values"], "mask")
-
-
-@query("explained_variance")
-def _(t):
-    return M.explained_variance(token_rows(t), "values", "rewards", "mask")
-
-
 @query("tool_metrics", f"""{W}, m AS (SELECT CASE WHEN method IN ('click', 'view') THEN 'search' ELSE 'visit' END AS tool, CASE method WHEN 'click' THEN 'total_count' WHEN 'view' THEN 'success_count' WHEN 'signup' THEN 'total_count' WHEN 'purchase' THEN 'cache_count' ELSE 'crawler_count' END AS metric, CAST(k AS DOUBLE) AS v, score FROM rollouts),
  a AS (SELECT tool, coalesce(sum(v) FILTER (metric = 'total_count'), 0) AS total_count, coalesce(sum(v) FILTER (metric = 'success_count'), 0) AS success_count, 0.0::DOUBLE AS failure_count, coalesce(sum(v) FILTER (metric = 'cache_count'), 0) AS cache_count, coalesce(sum(v) FILTER (metric = 'crawler_count'), 0) AS crawler_count,
  avg(score) AS time_mean, max(score) AS time_max, min(score) AS time_min FROM m GROUP BY tool)

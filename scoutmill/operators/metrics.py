@@ -598,7 +598,7 @@ def pairwise_accuracy(df: DataFrame, uid: str, score: str, label: str, pos: str)
     into a sum of ranks; no pair is ever formed.
     """
     bad = F.raise_error(F.lit("pairwise accuracy takes labels 0 and 1")).cast("int")
-    lab = F.when(F.col(label).isin(0, 1), F.col(label).cast("int")).otherwise(bad)
+    lab = F.when(F.col(label).cast("double").isin(0.0, 1.0), F.col(label).cast("int")).otherwise(bad)
     # For equal scores the pair is right iff the 0-row comes first in position,
     # so equal scores are ordered by position and "0-row before the 1-row" is
     # what the running count sees.
