@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scoutmill.functions.text import SPACE, matches, normalize_text
+from scoutmill.functions.text import SPACE, let, matches, normalize_text
 
 # Number pattern, Chinese magnitudes, and the word forms of 0-20.
 NUMBER = rf"[$€£¥]?[{SPACE}]*[0-9]+(?:[,{SPACE}][0-9]{{3}})*(?:\.[0-9]+)?"
@@ -67,33 +67,36 @@ def answer_in_text(answer: Column, text: Column, question: Column | None = None)
     """
     answer = F.coalesce(answer, F.lit(""))
     text = F.coalesce(text, F.lit(""))
-    numbers = all_numbers(answer)
-    # Single-digit whole numbers are too common to count; 1.0 written with a point is kept.
-    written_decimal = F.transform(
-        F.filter(matches(answer, NUMBER), lambda m: F.instr(m, ".") > 0),
-        lambda m: F.regexp_replace(m, rf"[$€£¥,{SPACE}]", "").cast("double"),
-    )
-    significant = F.filter(
-        numbers, lambda n: (n >= 10) | (n != F.floor(n)) | F.array_contains(written_decimal, n)
-    )
     asked = all_numbers(F.coalesce(question, F.lit(""))) if question is not None else F.array().cast("array<double>")
-    to_check = F.array_except(significant, asked)
-    has_all = (F.size(to_check) > 0) & (F.size(F.array_except(to_check, all_numbers(text))) == 0)
 
     def spelled(n: Column, shortest: int) -> Column:
         return F.exists(number_to_words(n), lambda w: (F.length(w) >= shortest) & F.contains(text, w))
 
-    numeric = has_all & (
-        F.exists(to_check, lambda n: (n <= 31) & spelled(n, 1)) | F.forall(to_check, lambda n: n > 31)
-    )
-    normal_answer, normal_text = normalize_text(answer), normalize_text(text)
-    direct = (F.length(normal_answer) > 3) & F.contains(normal_text, normal_answer)
-    in_words = F.exists(numbers, lambda n: (n <= 31) & spelled(n, 2))
-
-    bare = F.regexp_replace(F.regexp_replace(answer, r"[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?", ""), r"[$€¥£~]", "")
-    normal_bare = normalize_text(bare)
-    words = F.filter(F.split(normal_bare, " "), lambda w: F.length(w) > 2)
-    found = F.size(F.filter(words, lambda w: F.contains(normal_text, w)))
-    needed = F.greatest(F.lit(1), F.floor(F.size(words) * 0.7).cast("int"))
-    by_words = (F.length(normal_bare) > 3) & (F.size(words) > 0) & (found >= needed)
-    return numeric | direct | in_words | by_words
+    def numeric(to_check: Column) -> Column:
+        all_there = (F.size(to_check) > 0) & (F.size(F.array_except(to_check, all_numbers(text))) == 0)
+        small = F.exists(to_check, lambda n: (n <= 31) & spelled(n, 1))
+        return all_there & (small | F.forall(to_check, lambda n: n > 31))
+
+    def by_numbers(numbers: Column) -> Column:
+        # Single-digit whole numbers are too common to count; 1.0 written with a point is kept.
+        decimals = F.transform(
+            F.filter(matches(answer, NUMBER), lambda m: F.instr(m, ".") > 0),
+            lambda m: F.regexp_replace(m, rf"[$€£¥,{SPACE}]", "").cast("double"),
+        )
+        significant = F.filter(numbers, lambda n: (n >= 10) | (n != F.floor(n)) | F.array_contains(decimals, n))
+        in_words = F.exists(numbers, lambda n: (n <= 31) & spelled(n, 2))
+        return let(F.array_except(significant, asked), numeric) | in_words
+
+    def by_text(normal_text: Column) -> Column:
+        normal_answer = normalize_text(answer)
+        direct = (F.length(normal_answer) > 3) & F.contains(normal_text, normal_answer)
+        bare = F.regexp_replace(F.regexp_replace(answer, r"[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?", ""), r"[$€¥£~]", "")
+        return direct | let(normalize_text(bare), lambda normal_bare: by_words(normal_bare, normal_text))
+
+    def by_words(normal_bare: Column, normal_text: Column) -> Column:
+        words = F.filter(F.split(normal_bare, " "), lambda w: F.length(w) > 2)
+        found = F.size(F.filter(words, lambda w: F.contains(normal_text, w)))
+        needed = F.greatest(F.lit(1), F.floor(F.size(words) * 0.7).cast("int"))
+        return (F.length(normal_bare) > 3) & (F.size(words) > 0) & (found >= needed)
+
+    return let(all_numbers(answer), by_numbers) | let(normalize_text(text), by_text)

@@ -26,6 +26,11 @@ def _c(col: str | Column) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def matches(col: Column, pattern: str) -> Column:
     """All whole matches of a pattern as an array."""
     return F.regexp_extract_all(col, F.lit(pattern), F.lit(0))
@@ -82,25 +87,31 @@ def token_count(col: str | Column) -> Column:
 def truncate_tokens(col: str | Column, n: int | Column) -> Column:
     """Text up to and including its n-th token, white space between tokens kept."""
     c = F.coalesce(_c(col), F.lit(""))
-    pieces = matches(c, rf"[{SPACE}]*(?:{TOKEN})")
     limit = F.lit(n) if isinstance(n, int) else n
-    cut = F.array_join(F.slice(pieces, 1, F.greatest(limit, F.lit(0))), "")
-    return F.when(token_count(c) <= limit, c).otherwise(cut)
+
+    def cut(pieces: Column) -> Column:
+        return F.when(F.size(pieces) <= limit, c).otherwise(F.array_join(F.slice(pieces, 1, F.greatest(limit, F.lit(0))), ""))
+
+    return let(matches(c, rf"[{SPACE}]*(?:{TOKEN})"), cut)
 
 
 def combine_title_text(title: str | Column, text: str | Column, budget: int) -> Column:
     """``title: text`` within a token budget; two tokens are reserved for the separator."""
-    t = strip(F.coalesce(_c(title), F.lit("")))
-    x = strip(F.coalesce(_c(text), F.lit("")))
-    room = F.lit(budget) - token_count(t) - 2
-    body = truncate_tokens(x, room)
-    joined = F.concat(t, F.lit(": "), body)
-    return (
-        F.when(t == "", truncate_tokens(x, budget))
-        .when((x == "") | (token_count(t) >= budget), truncate_tokens(t, budget))
-        .when((room <= 0) | (body == ""), t)
-        .otherwise(truncate_tokens(joined, budget))
-    )
+
+    def with_title(t: Column) -> Column:
+        return let(strip(F.coalesce(_c(text), F.lit(""))), lambda x: let(token_count(t), lambda n: combined(t, x, n)))
+
+    def combined(t: Column, x: Column, n: Column) -> Column:
+        room = F.lit(budget) - n - 2
+        return (
+            F.when(t == "", truncate_tokens(x, budget))
+            .when((x == "") | (n >= budget), truncate_tokens(t, budget))
+            .when(room <= 0, t)
+            .otherwise(let(truncate_tokens(x, room), lambda body: F.when(body == "", t).otherwise(
+                truncate_tokens(F.concat(t, F.lit(": "), body), budget))))
+        )
+
+    return let(strip(F.coalesce(_c(title), F.lit(""))), with_title)
 
 
 def normalize_text(col: str | Column) -> Column:
@@ -117,30 +128,37 @@ def lower_first(col: str | Column) -> Column:
 
 def shorten(col: str | Column, n: int) -> Column:
     """One line of at most ``n`` characters; trailing punctuation gives way to an ellipsis."""
-    flat = squeeze(F.coalesce(_c(col), F.lit("")))
-    cut = F.regexp_replace(F.substring(flat, 1, n - 1), r"[ ,.，。、]+$", "")
-    return F.when(F.length(flat) <= n, flat).otherwise(F.concat(cut, F.lit("…")))
+
+    def cut(flat: Column) -> Column:
+        head = F.regexp_replace(F.substring(flat, 1, n - 1), r"[ ,.，。、]+$", "")
+        return F.when(F.length(flat) <= n, flat).otherwise(F.concat(head, F.lit("…")))
+
+    return let(squeeze(F.coalesce(_c(col), F.lit(""))), cut)
 
 
 def md_truncate(col: str | Column, n: int) -> Column:
     """Cut markdown at a line end when one lies in the last 200 characters."""
     base = strip(F.coalesce(_c(col), F.lit("")))
     base = F.regexp_replace(F.regexp_replace(base, r"\n{3,}", "\n\n"), r"[ \t]+", " ")
-    head = F.substring(base, 1, n)
-    last_break = F.length(head) - F.instr(F.reverse(head), "\n")  # 0-based; equals the length when there is none
-    has_break = F.instr(head, "\n") > 0
-    at_line = F.when(has_break & (last_break > n - 200), F.substr(head, F.lit(1), last_break)).otherwise(head)
-    return F.when(F.length(base) <= n, base).otherwise(
-        F.concat(F.regexp_replace(at_line, r"[ ,.，。、\n]+$", ""), F.lit("…"))
-    )
+
+    def cut(whole: Column) -> Column:
+        head = F.substring(whole, 1, n)
+        last_break = F.length(head) - F.instr(F.reverse(head), "\n")  # 0-based
+        usable = (F.instr(head, "\n") > 0) & (last_break > n - 200)
+        at_line = F.when(usable, F.substr(head, F.lit(1), last_break)).otherwise(head)
+        return F.when(F.length(whole) <= n, whole).otherwise(F.concat(F.regexp_replace(at_line, r"[ ,.，。、\n]+$", ""), F.lit("…")))
+
+    return let(base, cut)
 
 
 def first_para(col: str | Column) -> Column:
     """First paragraph of more than 15 characters, else the whole text."""
-    base = strip(F.coalesce(_c(col), F.lit("")))
-    paragraphs = F.transform(F.split(base, r"\n\n+"), strip)
-    long = F.filter(paragraphs, lambda p: F.length(p) > 15)
-    return F.when(F.size(long) > 0, F.get(long, F.lit(0))).otherwise(base)
+
+    def pick(base: Column) -> Column:
+        paragraphs = F.transform(F.split(base, r"\n\n+"), strip)
+        return F.coalesce(F.get(F.filter(paragraphs, lambda p: F.length(p) > 15), F.lit(0)), base)
+
+    return let(strip(F.coalesce(_c(col), F.lit(""))), pick)
 
 
 def hellaswag_clean(col: str | Column) -> Column:
@@ -169,27 +187,30 @@ def snippet(col: str | Column, least: int = 20, most: int = 30) -> Column:
     Length and the taste for commas come from a hash of the text instead of
     unseeded random numbers, so the same text always gives the same snippet.
     """
-    text = squeeze(decode_unicode_escapes(F.coalesce(_c(col), F.lit(""))))
-    words = F.split(text, " ")
-    size = F.size(words)
-    target = (F.lit(least) + F.pmod(F.xxhash64(text), F.lit(most - least + 1))).cast("int")
-    cut = F.slice(words, 1, target)
-    joined = F.array_join(cut, " ")
-
-    def stops(i: Column) -> Column:
-        word = F.element_at(cut, i)
-        comma = word.endswith(",") & (F.pmod(F.xxhash64(text, i), F.lit(10)) < 4)
-        return word.rlike(r"[.?!]$") | comma
-
-    ends_comma = joined.endswith(",") & (F.pmod(F.xxhash64(text), F.lit(10)) < 3)
-    window = F.sequence(target, F.greatest(F.lit(1), target - 8) + 1, F.lit(-1))
-    stop = F.get(F.filter(window, stops), F.lit(0))
-    return (
-        F.when((size <= least) | (size <= target), text)
-        .when(joined.rlike(r"[.?!]$") | ends_comma, joined)
-        .when(stop.isNotNull(), F.array_join(F.slice(cut, 1, stop), " "))
-        .otherwise(F.concat(F.regexp_replace(joined, r"[,.?!]+$", ""), F.lit("...")))
-    )
+
+    def from_text(text: Column) -> Column:
+        target = (F.lit(least) + F.pmod(F.xxhash64(text), F.lit(most - least + 1))).cast("int")
+        return let(F.struct(F.split(text, " ").alias("words"), target.alias("target"), text.alias("text")), from_words)
+
+    def from_words(s: Column) -> Column:
+        whole = F.size(s["words"]) <= F.greatest(s["target"], F.lit(least))
+        return F.when(whole, s["text"]).otherwise(let(F.slice(s["words"], 1, s["target"]), lambda cut: shortened(cut, s["target"])))
+
+    def shortened(cut: Column, target: Column) -> Column:
+        joined = F.array_join(cut, " ")
+
+        def stops(i: Column) -> Column:
+            word = F.element_at(cut, i)
+            comma = word.endswith(",") & (F.pmod(F.xxhash64(word, i), F.lit(10)) < 4)
+            return word.rlike(r"[.?!]$") | comma
+
+        last = F.element_at(cut, -1)
+        ends = last.rlike(r"[.?!]$") | (last.endswith(",") & (F.pmod(F.xxhash64(joined), F.lit(10)) < 3))
+        stop = F.get(F.filter(F.sequence(target, F.greatest(F.lit(1), target - 8) + 1, F.lit(-1)), stops), F.lit(0))
+        at_stop = F.array_join(F.slice(cut, 1, stop), " ")
+        return F.when(ends, joined).otherwise(F.coalesce(at_stop, F.concat(F.regexp_replace(joined, r"[,.?!]+$", ""), F.lit("..."))))
+
+    return let(squeeze(decode_unicode_escapes(F.coalesce(_c(col), F.lit("")))), from_text)
 
 
 def render_prompt(template: str, **columns: Column) -> Column:

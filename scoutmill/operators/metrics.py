@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -308,20 +309,29 @@ def subset_sizes(n: int) -> list[int]:
 
 def _majority(votes: np.ndarray, vals: np.ndarray, picks: np.ndarray) -> np.ndarray:
     """Majority value of each sampled row of positions; ties go to the prediction drawn first."""
-    coded = pd.factorize(votes)[0][picks]
+    codes = pd.factorize(votes)[0]
+    coded = codes[picks]
     rows = np.arange(len(picks))
-    counts = (coded[:, :, None] == coded[:, None, :]).sum(axis=2)
-    first = counts.argmax(axis=1)  # argmax returns the earliest of equal counts
+    counts = np.zeros((len(picks), codes.max() + 1), dtype=np.int32)
+    for column in coded.T:
+        counts[rows, column] += 1
+    first = np.take_along_axis(counts, coded, axis=1).argmax(axis=1)  # the earliest of equal counts
     return vals[picks[rows, first]]
 
 
+@lru_cache(maxsize=256)
+def _draws(n: int, size: int, rounds: int, seed: int) -> np.ndarray:
+    """Positions of ``rounds`` resamples; the stream depends on the sizes alone, so groups of one size share it."""
+    return np.random.RandomState(seed).choice(n, (rounds, size), replace=True)
+
+
 def bootstrap_stats(vals: np.ndarray, size: int, votes: np.ndarray | None = None, rounds: int = 1000, seed: int = 42) -> dict[str, tuple[float, float]]:
     """Mean and population std of best, worst and majority over resamples of ``size`` with replacement."""
     if len(vals) == 0:
         raise ValueError("bootstrap of an empty group")
-    np_rng = np.random.RandomState(seed)
-    picks = np.stack([np_rng.choice(len(vals), size, replace=True) for _ in range(rounds)])
-    reduced = {"best": vals[picks].max(axis=1), "worst": vals[picks].min(axis=1)}
+    picks = _draws(len(vals), size, rounds, seed)
+    drawn = vals[picks]
+    reduced = {"best": drawn.max(axis=1), "worst": drawn.min(axis=1)}
     if votes is not None:
         reduced["maj"] = _majority(votes, vals, picks)
     return {name: (float(x.mean()), float(x.std())) for name, x in reduced.items()}

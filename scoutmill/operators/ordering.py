@@ -96,12 +96,17 @@ class Slices:
         return self._neighbour(edges, F.lead(F.struct(value.alias("v"))).over(self._row_order()), name)
 
     def following(self, value: Column, name: str) -> Slices:
-        """Nearest later non-null value in the key (an as-of join onto what follows)."""
+        """Nearest later non-null value in the key (an as-of join onto what follows).
+
+        Runs backwards with a growing frame; a frame that shrinks towards the
+        end would be rebuilt for every row.
+        """
+        back = lambda by: Window.partitionBy(*by[:-1]).orderBy(F.col(by[-1]).desc()).rowsBetween(Window.unboundedPreceding, -1)
         edges = self._edges(
             F.min_by(value, F.when(value.isNotNull(), F.col("_pos"))),
-            F.first("_edge", ignorenulls=True).over(self._across(1, Window.unboundedFollowing)),
+            F.last("_edge", ignorenulls=True).over(back([*self.keys, "_slice"])),
         )
-        local = F.first(value, ignorenulls=True).over(self._local(1, Window.unboundedFollowing))
+        local = F.last(value, ignorenulls=True).over(back(["_slice", *self.keys, "_pos"]))
         joined = self._join(edges).withColumn(name, F.coalesce(local, F.col("_carry"))).drop("_carry")
         return self._with(joined, name)
 

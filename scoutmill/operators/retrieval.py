@@ -101,11 +101,11 @@ def _dense_blocks(queries: DataFrame, docs: DataFrame, k: int, block_rows: int)
     sizes = [df.agg(F.count(F.lit(1))).first()[0] for df in (queries, docs)]
     n_q, n_d = (max(1, -(-n // block_rows)) for n in sizes)
     q = queries.select(
-        F.pmod(F.xxhash64("query_id"), F.lit(n_q)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_d - 1))).alias("db"),
-        F.col("query_id").alias("id"), "vector")
+        F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int").alias("qb"),
+        F.explode(F.sequence(F.lit(0), F.lit(n_d - 1))).alias("db"), F.col("query_id").alias("id"), "vector")
     d = docs.select(
-        F.pmod(F.xxhash64("doc_id"), F.lit(n_d)).cast("int").alias("db"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).cast("long").alias("qb"),
-        F.col("doc_id").alias("id"), "vector")
+        F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"),
+        F.pmod(F.xxhash64("doc_id"), F.lit(n_d)).cast("int").alias("db"), F.col("doc_id").alias("id"), "vector")
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
