@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoutmill.session import configure
+from scoutmill.session import configure, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -22,6 +22,14 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @property
+    def documents(self) -> DataFrame:
+        return spread(self.spark.read.parquet(f"{self.folder}/documents.parquet"))
+
+    @property
+    def pages(self) -> DataFrame:
+        return spread(self.spark.read.parquet(f"{self.folder}/pages.parquet"))
+
     @property
     def rollouts(self) -> DataFrame:
         """Events as rollout rows; scores are whole cents, so sums are exact in any order."""

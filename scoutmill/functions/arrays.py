@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scoutmill.functions.text import let
+
 
 def inner_product(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, v: s + v)
@@ -56,8 +58,8 @@ def truncate_ids(ids: Column, n: int, how: str) -> Column:
 def response_mask(ids: Column, *eos: int) -> Column:
     """1 up to and including the first end-of-sequence id, 0 after it."""
     seen = [F.nullif(F.array_position(ids, F.lit(e)), F.lit(0)) for e in eos]
-    at = F.coalesce(F.least(*seen) if len(seen) > 1 else seen[0], F.lit(0))
-    return F.transform(ids, lambda _, i: F.when((at == 0) | (i < at), 1).otherwise(0))
+    first = F.coalesce(F.least(*seen) if len(seen) > 1 else seen[0], F.lit(0))
+    return let(first, lambda at: F.transform(ids, lambda _, i: F.when((at == 0) | (i < at), 1).otherwise(0)))
 
 
 def kl_penalty(logp: Column, ref: Column, kind: str) -> Column:

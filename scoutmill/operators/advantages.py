@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from scoutmill.functions import arrays as A
 from scoutmill.operators.groups import join_on, top_rows, with_group_stats, with_totals, with_totals_of
-from scoutmill.operators.ordering import Slices, number_rows, with_row_count
+from scoutmill.operators.ordering import number_rows, ordered, with_row_count
 
 EPS = 1e-6
 
@@ -137,7 +137,7 @@ def remax(df: DataFrame, rewards: str = "rewards", mask: str = "mask", baseline:
 
 def remax_tokens(df: DataFrame, row: str, pos: str, reward: Column, baseline: Column) -> DataFrame:
     """The same over long tables (one row per token): a reverse running sum, minus the baseline."""
-    s = Slices.of(df, [F.col(pos).desc()], [row]).running_sum(reward, "token_return").result()
+    s = ordered(df, [F.col(pos).desc()], [row]).running_sum(reward, "token_return").result()
     return s.withColumn("advantage", F.col("token_return") - baseline)
 
 
@@ -159,10 +159,9 @@ def rloo_multi(df: DataFrame, sources: Mapping[str, float], n_samples: int, uid:
         return F.zip_with(name, mask, lambda v, m: F.when(m == 1, v * ratio - base).otherwise(F.lit(0.0)) * weight)
 
     def last_part(name: str, base: Column, weight: float) -> Column:
-        last = A.mask_count(F.col(mask)) - 1
-        return F.transform(mask, lambda m, t: F.when(t == last, _value(name) * ratio - base).otherwise(F.lit(0.0)) * weight)
+        return F.transform(mask, lambda m, t: F.when(t == F.col("_last"), _value(name) * ratio - base).otherwise(F.lit(0.0)) * weight)
 
-    s = df
+    s = df.withColumn("_last", A.mask_count(F.col(mask)) - 1)
     parts = []
     for i, (name, weight) in enumerate(sources.items()):
         is_array = df.schema[name].dataType.typeName() == "array"
@@ -175,7 +174,7 @@ def rloo_multi(df: DataFrame, sources: Mapping[str, float], n_samples: int, uid:
     for p in parts[1:]:
         total = F.zip_with(total, F.col(p), lambda a, b: a + b)
     s = s.withColumn("returns", A.suffix_sums(A.masked(total, F.col(mask)), F.col(mask), F.lit(1.0), F.lit(False)))
-    drops = [f"_{kind}{i}" for i in range(len(parts)) for kind in ("mean", "base", "part")]
+    drops = ["_last"] + [f"_{kind}{i}" for i in range(len(parts)) for kind in ("mean", "base", "part")]
     return masked_whiten(s, "returns", mask, "advantages").drop(*drops)
 
 
@@ -257,11 +256,11 @@ def pf_resample(df: DataFrame, how: str = "pow", power: float = 2.0, seed: int =
     s = with_totals(df, _peak=F.max(_value(score)), _floor=F.min(_value(score)))
     weight = F.greatest(pf_weights(_value(score), how, power, F.col("_peak"), F.col("_floor")) + 1e-8, F.lit(1e-8))
     s = s.withColumn("_w", weight).drop("_peak", "_floor")
-    run = Slices.of(s, list(order)).row_number("draw").running_sum(F.col("_w"), "_at").result()
+    run = ordered(s, list(order)).row_number("draw").running_sum(F.col("_w"), "_at").result()
     point = F.pmod(F.xxhash64(F.lit(seed), "draw"), F.lit(1 << 52)) / F.lit(float(1 << 52))
     draws = with_totals(run, _all=F.max("_at")).select(
         "draw", (point * F.col("_all")).alias("_at"), F.lit(None).cast(run.select(F.struct(*df.columns)).schema[0].dataType).alias("_row"))
     ends = run.select(F.lit(None).cast("long").alias("draw"), "_at", F.struct(*df.columns).alias("_row"))
     both = draws.unionByName(ends)
-    taken = Slices.of(both, ["_at", F.col("draw").asc_nulls_last()]).following(F.col("_row"), "_hit").result()
+    taken = ordered(both, ["_at", F.col("draw").asc_nulls_last()]).following(F.col("_row"), "_hit").result()
     return taken.filter(F.col("draw").isNotNull()).select("draw", "_hit.*")

@@ -8,11 +8,15 @@ split a hot key over many join tasks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scoutmill.session import task_count
+
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join on equal keys where null equals null; the right copies of the keys are dropped."""
@@ -54,3 +58,53 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int
 
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("__rn", F.row_number().over(window)).filter(F.col("__rn") <= n).drop("__rn")
+
+
+def map_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Callable[[tuple, pd.DataFrame], list[tuple]],
+               schema: str, largest: int) -> DataFrame:
+    """Rows ``fn(key, rows)`` gives for each group, many groups per Arrow batch.
+
+    For small groups in great number: ``applyInPandas`` pays milliseconds per
+    group. Rows come sorted by (keys, order), so a group is a run of rows and
+    only the last run of a batch waits for the next. Groups above ``largest``
+    rows are an error, found by counting before anything reaches Python. The
+    number of tasks is fixed, since AQE would merge small but slow ones.
+    """
+    sized = with_group_stats(df, keys, __n=F.count(F.lit(1)))
+    too_big = F.raise_error(F.lit(f"group above {largest} rows")).cast("boolean")
+    checked = sized.filter(F.when(F.col("__n") > largest, too_big).otherwise(True)).drop("__n")
+    placed = checked.repartition(task_count(df.sparkSession), *keys).sortWithinPartitions(*keys, *order)
+    names = [part.strip().split(" ")[0] for part in schema.split(",")]
+    key_names = list(keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tail = None
+        for batch in batches:
+            rows = batch if tail is None else pd.concat([tail, batch], ignore_index=True)
+            if not len(rows):
+                continue
+            starts = _run_starts(rows, key_names)
+            yield _apply(rows, starts, starts[1:])
+            tail = rows.iloc[starts[-1]:]
+        if tail is not None:
+            yield _apply(tail.reset_index(drop=True), np.array([0]), np.array([len(tail)]))
+
+    def _apply(rows: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
+        out = []
+        heads = rows[key_names].iloc[starts[:len(ends)]].itertuples(index=False, name=None)
+        for key, a, b in zip(heads, starts, ends):
+            out.extend(fn(key, rows.iloc[a:b]))
+        return pd.DataFrame(out, columns=names)
+
+    return placed.mapInPandas(run, schema)
+
+
+def _run_starts(rows: pd.DataFrame, keys: Sequence[str]) -> np.ndarray:
+    """Positions where a new run of equal keys begins (null equals null)."""
+    new = np.zeros(len(rows), dtype=bool)
+    new[0] = True
+    for k in keys:
+        here, before = rows[k], rows[k].shift()
+        new |= (here.ne(before) & ~(here.isna() & before.isna())).to_numpy()
+    new[0] = True
+    return np.flatnonzero(new)

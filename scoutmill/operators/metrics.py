@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -12,8 +11,8 @@ from pyspark.sql import functions as F
 
 from scoutmill.functions import arrays as A
 from scoutmill.functions.text import token_count
-from scoutmill.operators.groups import join_on, top_rows, with_group_stats, with_totals
-from scoutmill.operators.ordering import Slices, number_rows
+from scoutmill.operators.groups import join_on, map_groups, top_rows, with_group_stats, with_totals
+from scoutmill.operators.ordering import number_rows, ordered
 
 
 def _filled(col: str) -> Column:
@@ -154,7 +153,7 @@ def ranked_values(df: DataFrame, value: str, positions: Mapping[str, Column], gr
     """
     known = df.filter(F.col(value).isNotNull()).select(*groups, F.col(value).alias("_v"))
     counts = known.groupBy(*groups, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    upto = Slices.of(counts, ["_v"], list(groups)).running_sum(F.col("_c"), "_upto").result()
+    upto = ordered(counts, ["_v"], list(groups)).running_sum(F.col("_c"), "_upto").result()
     sized = with_group_stats(upto, groups, n=F.sum("_c")) if groups else with_totals(upto, n=F.sum("_c"))
     picks = [
         F.max(F.when((F.col("_upto") - F.col("_c") < pos) & (F.col("_upto") >= pos), F.col("_v"))).alias(name)
@@ -163,6 +162,18 @@ def ranked_values(df: DataFrame, value: str, positions: Mapping[str, Column], gr
     return sized.groupBy(*groups).agg(*picks) if groups else sized.agg(*picks)
 
 
+def quantiles(df: DataFrame, value: str, shares: Mapping[str, float]) -> DataFrame:
+    """Linearly interpolated quantiles, exact, out of ranks instead of one task's sorted buffer."""
+    at = lambda p: (F.col("n") - 1) * F.lit(p)
+    ranks = {}
+    for name, p in shares.items():
+        ranks[f"_lo_{name}"], ranks[f"_hi_{name}"] = F.floor(at(p)) + 1, F.ceil(at(p)) + 1
+    n = df.agg(F.count(value)).scalar()
+    row = ranked_values(df, value, ranks).withColumn("n", n)
+    part = lambda p: at(p) - F.floor(at(p))
+    return row.select(*[(F.col(f"_lo_{k}") + (F.col(f"_hi_{k}") - F.col(f"_lo_{k}")) * part(p)).alias(k) for k, p in shares.items()])
+
+
 def latency_summary(df: DataFrame, col: str, groups: Sequence[str] = (), shares: Sequence[float] = (0.5, 0.95, 0.99)) -> DataFrame:
     """Count, mean, extremes and the value at index int(n * p), the index kept inside the list."""
     n = F.col("n")
@@ -309,27 +320,21 @@ def subset_sizes(n: int) -> list[int]:
 
 def _majority(votes: np.ndarray, vals: np.ndarray, picks: np.ndarray) -> np.ndarray:
     """Majority value of each sampled row of positions; ties go to the prediction drawn first."""
-    codes = pd.factorize(votes)[0]
+    codes, names = pd.factorize(votes)
     coded = codes[picks]
     rows = np.arange(len(picks))
-    counts = np.zeros((len(picks), codes.max() + 1), dtype=np.int32)
-    for column in coded.T:
-        counts[rows, column] += 1
-    first = np.take_along_axis(counts, coded, axis=1).argmax(axis=1)  # the earliest of equal counts
-    return vals[picks[rows, first]]
+    slots = (rows[:, None] * len(names) + coded).ravel()
+    counts = np.bincount(slots, minlength=len(picks) * len(names))[slots].reshape(coded.shape)
+    return vals[picks[rows, counts.argmax(axis=1)]]  # argmax takes the earliest of equal counts
 
 
-@lru_cache(maxsize=256)
-def _draws(n: int, size: int, rounds: int, seed: int) -> np.ndarray:
-    """Positions of ``rounds`` resamples; the stream depends on the sizes alone, so groups of one size share it."""
+def resamples(n: int, size: int, rounds: int = 1000, seed: int = 42) -> np.ndarray:
+    """Positions of ``rounds`` resamples of ``size`` out of ``n``, with replacement."""
     return np.random.RandomState(seed).choice(n, (rounds, size), replace=True)
 
 
-def bootstrap_stats(vals: np.ndarray, size: int, votes: np.ndarray | None = None, rounds: int = 1000, seed: int = 42) -> dict[str, tuple[float, float]]:
-    """Mean and population std of best, worst and majority over resamples of ``size`` with replacement."""
-    if len(vals) == 0:
-        raise ValueError("bootstrap of an empty group")
-    picks = _draws(len(vals), size, rounds, seed)
+def bootstrap_stats(vals: np.ndarray, picks: np.ndarray, votes: np.ndarray | None = None) -> dict[str, tuple[float, float]]:
+    """Mean and population std of best, worst and majority over the resampled rows."""
     drawn = vals[picks]
     reduced = {"best": drawn.max(axis=1), "worst": drawn.min(axis=1)}
     if votes is not None:
@@ -346,23 +351,22 @@ def bootstrap(df: DataFrame, group: Sequence[str], value: str, sizes: Sequence[i
     here; best@n and worst@n of such groups come from ``exact_best_worst``.
     """
     keys = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in group)
-    guarded = with_group_stats(df, group, _n=F.count(F.lit(1)))
-    too_big = F.raise_error(F.lit(f"bootstrap group above {largest} rows")).cast("long")
-    guarded = guarded.withColumn("_n", F.when(F.col("_n") > largest, too_big).otherwise(F.col("_n")))
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        if order:
-            pdf = pdf.sort_values(order)
-        vals = pdf[value].to_numpy(dtype=float)
-        votes = pdf[vote].to_numpy() if vote else None
-        rows = []
+    drawn: dict[tuple[int, int], np.ndarray] = {}  # the stream depends on the sizes alone, so groups of one size share it
+
+    def run(key: tuple, rows: pd.DataFrame) -> list[tuple]:
+        vals = rows[value].to_numpy(dtype=float)
+        votes = rows[vote].to_numpy() if vote else None
+        out = []
         for n in sizes or (subset_sizes(len(vals)) if len(vals) > 1 else []):
-            for name, (mean, std) in bootstrap_stats(vals, n, votes, rounds, seed).items():
-                rows.append((*key, n, name, mean, std))
-        return pd.DataFrame(rows, columns=[*group, "n", "reducer", "mean", "std"])
+            if (len(vals), n) not in drawn:
+                drawn[len(vals), n] = resamples(len(vals), n, rounds, seed)
+            for name, (mean, std) in bootstrap_stats(vals, drawn[len(vals), n], votes).items():
+                out.append((*key, n, name, mean, std))
+        return out
 
-    wanted = [*group, value] + ([vote] if vote else []) + ([order] if order else []) + ["_n"]
-    return guarded.select(*dict.fromkeys(wanted)).groupBy(*group).applyInPandas(run, f"{keys}, n int, reducer string, mean double, std double")
+    wanted = [*group, value] + ([vote] if vote else []) + ([order] if order else [])
+    return map_groups(df.select(*dict.fromkeys(wanted)), group, [order] if order else [value], run,
+                      f"{keys}, n int, reducer string, mean double, std double", largest)
 
 
 def exact_best_worst(df: DataFrame, group: Sequence[str], value: str, size: int, order: str) -> DataFrame:
@@ -440,7 +444,7 @@ def importance_weights(df: DataFrame, level: str = "token", mode: str = "truncat
     elif level in ("sequence", "geometric"):
         total = A.array_sum(on)
         s = s.withColumn("seq_log_ratio", total if level == "sequence" else total / (A.mask_count(F.col(mask)) + F.lit(1e-8)))
-        s = s.withColumn("raw_weights", F.transform("log_ratio", lambda _: F.exp(clamp(F.col("seq_log_ratio")))))
+        s = s.withColumn("raw_weights", F.array_repeat(F.exp(clamp(F.col("seq_log_ratio"))), F.size("log_ratio")))
     else:
         raise ValueError(f"unknown level {level!r}")
     n_bad = F.lit(0) if veto is None else F.size(F.filter(F.zip_with("log_ratio", mask, lambda x, m: (x < F.log(F.lit(veto))) & (m == 1)), lambda b: b))
@@ -451,8 +455,8 @@ def importance_weights(df: DataFrame, level: str = "token", mode: str = "truncat
         limited = F.transform("raw_weights", lambda w: F.when((w >= lower) & (w <= upper), w).otherwise(F.lit(0.0)))
     else:
         raise ValueError(f"unknown mode {mode!r}")
-    final = F.zip_with(limited, mask, lambda w, m: F.when((m == 1) & ~F.col("vetoed"), w).otherwise(F.lit(0.0)))
-    return s.withColumn("weights", final)
+    final = F.zip_with(limited, mask, lambda w, m: F.when(m == 1, w).otherwise(F.lit(0.0)))
+    return s.withColumn("weights", F.when(F.col("vetoed"), F.array_repeat(F.lit(0.0), F.size(mask))).otherwise(final))
 
 
 def importance_metrics(df: DataFrame, level: str = "token", mode: str = "truncate", upper: float = 2.0, lower: float | None = None,
@@ -490,19 +494,17 @@ def importance_metrics(df: DataFrame, level: str = "token", mode: str = "truncat
         F.when(F.count("w") > 1, F.sqrt(F.greatest(square_fit - mean_fit * mean_fit, F.lit(0.0)))).otherwise(F.lit(0.0)).alias("std"),
         (1 / (square_fit / ((mean_fit + 1e-8) * (mean_fit + 1e-8)))).alias("eff_sample_size"),
         share(out(F.col("w"))).alias("masked_fraction"),
-        F.percentile("w", F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75, 0.95, 0.99)])).alias("q"),
     )
-    both = seq.withColumn("t", tok.select(F.struct("*")).scalar()).select("*", "t.*").drop("t")
+    cuts = quantiles(tokens, "w", {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99})
+    both = seq.withColumn("t", tok.select(F.struct("*")).scalar()).withColumn("q", cuts.select(F.struct("*")).scalar()).select("*", "t.*", "q.*").drop("t", "q")
     kind = {"token": ("_tok_max", "_tok_min", "_tok_high", "_tok_low"), "sequence": ("_seq_max_ratio", "_seq_min_ratio", "_seq_high", "_seq_low"),
             "geometric": ("_seq_max_ratio", "_seq_min_ratio", "_geo_high", "_geo_low")}[level]
     for name, col in zip(("max", "min", "ratio_fraction_high", "ratio_fraction_low"), kind):
         both = both.withColumn(name, F.col(col))
-    for i, p in enumerate(("p25", "p50", "p75", "p95", "p99")):
-        both = both.withColumn(p, F.get("q", F.lit(i)))
     hidden = [c for c in both.columns if c.startswith("_")]
     if mode != "mask":
         hidden += ["masked_fraction", "seq_masked_fraction"]
-    return both.drop("q", *hidden)
+    return both.drop(*hidden)
 
 
 def mismatch_metrics(df: DataFrame, old: str = "old_logp", rollout: str = "rollout_logp", mask: str = "mask") -> DataFrame:
@@ -612,7 +614,7 @@ def pairwise_accuracy(df: DataFrame, uid: str, score: str, label: str, pos: str)
     # For equal scores the pair is right iff the 0-row comes first in position,
     # so equal scores are ordered by position and "0-row before the 1-row" is
     # what the running count sees.
-    run = Slices.of(df.select(uid, score, lab.alias("_y"), pos), [score, pos], [uid]).running_sum(1 - F.col("_y"), "_zeros").result()
+    run = ordered(df.select(uid, score, lab.alias("_y"), pos), [score, pos], [uid]).running_sum(1 - F.col("_y"), "_zeros").result()
     g = run.groupBy(uid).agg(
         F.sum(F.when(F.col("_y") == 1, F.col("_zeros")).otherwise(F.lit(0))).alias("hits"),
         F.sum("_y").alias("ones"), F.sum(1 - F.col("_y")).alias("zeros"))

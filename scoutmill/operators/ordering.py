@@ -1,10 +1,14 @@
 """Row numbers, running sums and neighbours over tables of any size.
 
 ``Window.orderBy`` without a partition pulls the whole table into one task, and
-a partitioned window pulls a hot key into one. Both are replaced by slices: the
-table is range-partitioned by (keys, order), numbered inside each task, and
-kept. What crosses a slice edge is carried in a table with one row per slice
-and key, so a hot key is spread over as many tasks as it fills.
+a partitioned window pulls each key into one. ``ordered`` therefore looks at the
+largest group first (one aggregate over the key columns):
+
+* small groups take plain windows, one shuffle and no extra job;
+* otherwise, and for whole-table order, the table becomes slices: it is
+  range-partitioned by (keys, order), numbered inside each task, and kept.
+  What crosses a slice edge is carried in a table of at most one row per slice,
+  so a hot key is spread over as many tasks as it fills.
 
 The order must be total (end it with a unique id); ties would otherwise be
 numbered differently by each run.
@@ -20,6 +24,7 @@ from pyspark.sql import functions as F
 from scoutmill.operators.groups import join_on
 from scoutmill.session import keep
 
+WINDOW_ROWS = 200_000  # largest group a single window task may get
 ROW_BITS = (1 << 33) - 1  # the low bits of monotonically_increasing_id: row number inside the task
 
 
@@ -50,50 +55,51 @@ class Slices:
     def _with(self, frame: DataFrame, name: str) -> Slices:
         return Slices(frame, self.keys, [*[c for c in self.columns if c != name], name])
 
-    def _local(self, start: int, end: int) -> Window:
-        return Window.partitionBy("_slice", *self.keys).orderBy("_pos").rowsBetween(start, end)
+    # Windows inside a slice share one shuffle by (slice, key), so chained
+    # methods cost one; windows across slices run over one row per slice and key.
+
+    def _inside(self, backwards: bool = False) -> Window:
+        pos = F.col("_pos").desc() if backwards else F.col("_pos")
+        return Window.partitionBy("_slice", *self.keys).orderBy(pos)
+
+    def _across(self, backwards: bool = False) -> Window:
+        pos = F.col("_slice").desc() if backwards else F.col("_slice")
+        return Window.partitionBy(*self.keys).orderBy(pos)
 
-    def _edges(self, per_slice: Column, carried: Column) -> DataFrame:
-        # One row per (slice, key); a key has at most one row per slice here,
-        # so the window below stays small however hot the key is.
-        table = self.frame.groupBy("_slice", *self.keys).agg(per_slice.alias("_edge"))
-        return table.select("_slice", *self.keys, carried.alias("_carry"))
+    def _combine(self, name: str, per_slice: Column, carried: Column, result) -> Slices:
+        """Add ``result(carry)``, the carry coming from other slices of the key.
 
-    def _across(self, start: int, end: int) -> Window:
-        # With no keys this runs over one row per slice, i.e. per task.
-        return Window.partitionBy(*self.keys).orderBy("_slice").rowsBetween(start, end)
+        Slices are contiguous, so only the first (or last) key of a slice has
+        a carry: the table shipped has at most one row per slice.
+        """
+        edges = self.frame.groupBy("_slice", *self.keys).agg(per_slice.alias("_edge"))
+        carry = edges.select("_slice", *self.keys, carried.alias("_carry")).filter(F.col("_carry").isNotNull())
+        joined = join_on(self.frame, F.broadcast(carry), ["_slice", *self.keys])
+        return self._with(joined.withColumn("_new", result(F.col("_carry"))).drop("_carry", *([name] if name in self.frame.columns else [])).withColumnRenamed("_new", name), name)
 
     def row_number(self, name: str) -> Slices:
         """1..n inside each key (over the whole table when there are no keys)."""
-        edges = self._edges(
-            F.struct(F.count(F.lit(1)).alias("n"), F.min("_pos").alias("first")),
-            F.struct(
-                F.coalesce(F.sum("_edge.n").over(self._across(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
-                F.col("_edge.first").alias("first"),
-            ),
-        )
-        joined = self._join(edges)
-        number = (F.col("_carry.before") + F.col("_pos") - F.col("_carry.first") + 1).cast("long")
-        return self._with(joined.withColumn(name, number).drop("_carry"), name)
+        before = F.sum("_edge").over(self._across().rowsBetween(Window.unboundedPreceding, -1))
+        local = F.row_number().over(self._inside()) if self.keys else F.col("_pos") + 1
+        return self._combine(name, F.count(F.lit(1)), before, lambda c: (F.coalesce(c, F.lit(0)) + local).cast("long"))
 
     def running_sum(self, value: Column, name: str) -> Slices:
         """Sum of ``value`` from the first row of the key up to this row."""
-        edges = self._edges(
-            F.sum(value), F.coalesce(F.sum("_edge").over(self._across(Window.unboundedPreceding, -1)), F.lit(0))
-        )
-        local = F.sum(value).over(self._local(Window.unboundedPreceding, 0))
-        joined = self._join(edges).withColumn(name, local + F.col("_carry")).drop("_carry")
-        return self._with(joined, name)
+        before = F.sum("_edge").over(self._across().rowsBetween(Window.unboundedPreceding, -1))
+        local = F.sum(value).over(self._inside().rowsBetween(Window.unboundedPreceding, 0))
+        return self._combine(name, F.sum(value), before, lambda c: F.coalesce(c + local, local))
 
     def previous(self, value: Column, name: str) -> Slices:
         """Value in the row just before this one in the key; null in the first row."""
-        edges = self._edges(F.max_by(F.struct(value.alias("v")), "_pos"), F.lag("_edge").over(self._edge_order()))
-        return self._neighbour(edges, F.lag(F.struct(value.alias("v"))).over(self._row_order()), name)
+        v = F.struct(value.alias("v"))
+        local = F.lag(v).over(self._inside())
+        return self._combine(name, F.max_by(v, "_pos"), F.lag("_edge").over(self._across()), lambda c: F.coalesce(local, c)["v"])
 
     def next(self, value: Column, name: str) -> Slices:
         """Value in the row just after this one in the key; null in the last row."""
-        edges = self._edges(F.min_by(F.struct(value.alias("v")), "_pos"), F.lead("_edge").over(self._edge_order()))
-        return self._neighbour(edges, F.lead(F.struct(value.alias("v"))).over(self._row_order()), name)
+        v = F.struct(value.alias("v"))
+        local = F.lag(v).over(self._inside(backwards=True))
+        return self._combine(name, F.min_by(v, "_pos"), F.lag("_edge").over(self._across(backwards=True)), lambda c: F.coalesce(local, c)["v"])
 
     def following(self, value: Column, name: str) -> Slices:
         """Nearest later non-null value in the key (an as-of join onto what follows).
@@ -101,40 +107,71 @@ class Slices:
         Runs backwards with a growing frame; a frame that shrinks towards the
         end would be rebuilt for every row.
         """
-        back = lambda by: Window.partitionBy(*by[:-1]).orderBy(F.col(by[-1]).desc()).rowsBetween(Window.unboundedPreceding, -1)
-        edges = self._edges(
-            F.min_by(value, F.when(value.isNotNull(), F.col("_pos"))),
-            F.last("_edge", ignorenulls=True).over(back([*self.keys, "_slice"])),
-        )
-        local = F.last(value, ignorenulls=True).over(back(["_slice", *self.keys, "_pos"]))
-        joined = self._join(edges).withColumn(name, F.coalesce(local, F.col("_carry"))).drop("_carry")
-        return self._with(joined, name)
+        back = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+        local = F.last(value, ignorenulls=True).over(back(self._inside(backwards=True)))
+        edge = F.min_by(value, F.when(value.isNotNull(), F.col("_pos")))
+        carried = F.last("_edge", ignorenulls=True).over(back(self._across(backwards=True)))
+        return self._combine(name, edge, carried, lambda c: F.coalesce(local, c))
+
+    def result(self) -> DataFrame:
+        return self.frame.select(*self.columns)
+
+
+class Groups:
+    """The same columns by plain windows, for groups that each fit a task."""
 
-    def _edge_order(self) -> Window:
-        return Window.partitionBy(*self.keys).orderBy("_slice")
+    def __init__(self, frame: DataFrame, keys: Sequence[str], columns: Sequence[str]):
+        self.frame, self.keys, self.columns = frame, list(keys), list(columns)
+
+    @classmethod
+    def of(cls, df: DataFrame, order: Sequence[str | Column], keys: Sequence[str]) -> Groups:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*[_as_column(o) for o in order]))
+        return cls(df.withColumn("_pos", place), keys, df.columns)
+
+    def _add(self, name: str, value: Column) -> Groups:
+        return Groups(self.frame.withColumn(name, value), self.keys, [*[c for c in self.columns if c != name], name])
+
+    def _window(self, backwards: bool = False) -> Window:
+        return Window.partitionBy(*self.keys).orderBy(F.col("_pos").desc() if backwards else F.col("_pos"))
 
-    def _row_order(self) -> Window:
-        return Window.partitionBy("_slice", *self.keys).orderBy("_pos")
+    def row_number(self, name: str) -> Groups:
+        return self._add(name, F.col("_pos").cast("long"))
 
-    def _neighbour(self, edges: DataFrame, local: Column, name: str) -> Slices:
-        joined = self._join(edges).withColumn("_near", F.coalesce(local, F.col("_carry")))
-        return self._with(joined.withColumn(name, F.col("_near.v")).drop("_carry", "_near"), name)
+    def running_sum(self, value: Column, name: str) -> Groups:
+        return self._add(name, F.sum(value).over(self._window().rowsBetween(Window.unboundedPreceding, 0)))
 
-    def _join(self, edges: DataFrame) -> DataFrame:
-        if self.keys:
-            return join_on(self.frame, edges, ["_slice", *self.keys])
-        # No keys: one row per slice, bounded by the number of shuffle tasks.
-        return join_on(self.frame, F.broadcast(edges), ["_slice"])
+    def previous(self, value: Column, name: str) -> Groups:
+        return self._add(name, F.lag(value).over(self._window()))
+
+    def next(self, value: Column, name: str) -> Groups:
+        return self._add(name, F.lead(value).over(self._window()))
+
+    def following(self, value: Column, name: str) -> Groups:
+        back = self._window(backwards=True).rowsBetween(Window.unboundedPreceding, -1)
+        return self._add(name, F.last(value, ignorenulls=True).over(back))
 
     def result(self) -> DataFrame:
         return self.frame.select(*self.columns)
 
 
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the most frequent key."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def ordered(df: DataFrame, order: Sequence[str | Column], keys: Sequence[str] = (), window_rows: int | None = None) -> Slices | Groups:
+    """Rows in order inside each key, as windows or slices by the size of the largest group."""
+    limit = WINDOW_ROWS if window_rows is None else window_rows
+    if keys and largest_group(df, keys) <= limit:
+        return Groups.of(df, order, keys)
+    return Slices.of(df, order, keys)
+
+
 def number_rows(
     df: DataFrame, order: Sequence[str | Column], name: str = "row_number", keys: Sequence[str] = ()
 ) -> DataFrame:
     """Add 1..n in ``order``, over the table or inside each key."""
-    return Slices.of(df, order, keys).row_number(name).result()
+    return ordered(df, order, keys).row_number(name).result()
 
 
 def with_row_count(df: DataFrame, name: str = "row_count") -> DataFrame:

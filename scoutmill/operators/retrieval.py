@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from scoutmill.functions.text import WORD, matches
 from scoutmill.operators.groups import top_rows
+from scoutmill.session import task_count
 
 # Request limits of the search service.
 MAX_K = 50
@@ -116,25 +117,25 @@ def _dense_blocks(queries: DataFrame, docs: DataFrame, k: int, block_rows: int)
 
 
 def term_weights(df: DataFrame, id_col: str, text: Column, out_id: str = "doc_id", idf: bool = True) -> DataFrame:
-    """Postings (id, term, weight): tf-idf, each text L2-normalised. Offline stand-in for a learned sparse model."""
-    terms = df.select(F.col(id_col).alias(out_id), F.explode(words(text)).alias("term"))
-    # Counts per (text, term) come first, so a term in every text is one row per text from here on.
+    """Postings (id, term, weight): tf-idf, each text L2-normalised. Offline stand-in for a learned sparse model.
+
+    The texts are placed by id once. Counting, scaling and later scoring by id
+    then stay in place; only the table of document frequencies (one row per
+    term) moves, and AQE ships it when it is small.
+    """
+    texts = df.select(F.col(id_col).alias(out_id), text.alias("_text"))
+    texts = texts.repartition(task_count(df.sparkSession), out_id)
+    terms = texts.select(out_id, F.explode(words(F.col("_text"))).alias("term"))
     tf = terms.groupBy(out_id, "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
     if idf:
-        tf = with_idf(tf, df.agg(F.count(F.lit(1))).scalar())
-    return normalised(tf, out_id)
-
-
-def with_idf(tf: DataFrame, n_docs: Column) -> DataFrame:
-    """tf times ln((n + 1) / (df + 1)); the df table has one row per term and is joined, not windowed."""
-    freq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
-    return tf.join(freq, "term").withColumn("tf", F.col("tf") * F.log((n_docs + 1) / (F.col("_df") + 1))).drop("_df")
-
-
-def normalised(tf: DataFrame, id_col: str) -> DataFrame:
-    norms = tf.groupBy(id_col).agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("_norm"))
-    scaled = tf.join(norms, id_col).withColumn("weight", F.when(F.col("_norm") > 0, F.col("tf") / F.col("_norm")).otherwise(F.lit(0.0)))
-    return scaled.select(id_col, "term", "weight")
+        n = df.agg(F.count(F.lit(1))).scalar()
+        freq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
+        tf = tf.join(freq, "term").withColumn("tf", F.col("tf") * F.log((n + 1) / (F.col("_df") + 1)))
+    # The terms of one text come from one row, so they fit one again.
+    vectors = tf.groupBy(out_id).agg(F.collect_list(F.struct("term", "tf")).alias("_v"), F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("_norm"))
+    flat = vectors.select(out_id, "_norm", F.explode("_v").alias("_t"))
+    weight = F.when(F.col("_norm") > 0, F.col("_t.tf") / F.col("_norm")).otherwise(F.lit(0.0))
+    return flat.select(out_id, F.col("_t.term").alias("term"), weight.alias("weight"))
 
 
 def words(text: Column) -> Column:
@@ -145,9 +146,8 @@ def words(text: Column) -> Column:
 def sparse_topk(query_weights: DataFrame, doc_weights: DataFrame, k: int, broadcast_terms: int = 200_000, salts: int = 32) -> DataFrame:
     """Inner-product top-k over postings (query_id, term, weight) and (doc_id, term, weight).
 
-    Postings of one document sit together after their normalisation, so with a
-    shipped query batch the products are summed before anything is shuffled by
-    (query, document). A larger batch joins on (term, salt): the postings of a
+    Postings of one document sit together (see ``term_weights``), so with a
+    shipped query batch the products are summed where they are. A larger batch joins on (term, salt): the postings of a
     frequent term are spread over ``salts`` tasks and the query side is copied.
     """
     _check_k(k)

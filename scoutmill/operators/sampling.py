@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Sequence
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoutmill.functions.urls import history_url
-from scoutmill.operators.groups import top_rows, with_group_stats
+from scoutmill.operators.groups import map_groups, top_rows
 from scoutmill.operators.ordering import number_rows, with_row_count
 
 
@@ -85,7 +86,8 @@ def differencing(lengths: Sequence[int], k: int, equal: bool) -> list[int]:
     """Bin of each item so that bin totals are close: repeatedly merge the two most uneven part-solutions.
 
     A part-solution is a list of k (total, items), largest first; merging adds
-    the largest bins of one to the smallest of the other.
+    the largest bins of one to the smallest of the other. Items are nested
+    pairs, unpacked once at the end.
     """
     order = sorted(range(len(lengths)), key=lambda i: (lengths[i], i))
     if equal and len(order) % k:
@@ -93,19 +95,25 @@ def differencing(lengths: Sequence[int], k: int, equal: bool) -> list[int]:
     groups = [order[i:i + k] for i in range(0, len(order), k)] if equal else [[i] for i in order]
     heap = []
     for serial, group in enumerate(groups):
-        bins = sorted([(lengths[i], [i]) for i in group] + [(0, [])] * (k - len(group)), key=lambda b: -b[0])
+        bins = sorted([(lengths[i], i) for i in group] + [(0, None)] * (k - len(group)), key=itemgetter(0), reverse=True)
         heap.append((bins[-1][0] - bins[0][0], -serial, bins))
     heapq.heapify(heap)
     serial = len(groups)
     while len(heap) > 1:
-        (_, _, a), (_, _, b) = heapq.heappop(heap), heapq.heappop(heap)
-        merged = sorted(((x + y, p + q) for (x, p), (y, q) in zip(a, reversed(b))), key=lambda t: -t[0])
+        a, b = heapq.heappop(heap)[2], heapq.heappop(heap)[2]
+        merged = [(x + y, q if p is None else p if q is None else (p, q)) for (x, p), (y, q) in zip(a, reversed(b))]
+        merged.sort(key=itemgetter(0), reverse=True)
         heapq.heappush(heap, (merged[-1][0] - merged[0][0], -serial, merged))
         serial += 1
     out = [0] * len(lengths)
-    for bin_no, (_, items) in enumerate(heap[0][2] if heap else []):
-        for i in items:
-            out[i] = bin_no
+    for bin_no, (_, packed) in enumerate(heap[0][2] if heap else []):
+        stack = [packed]
+        while stack:
+            item = stack.pop()
+            if isinstance(item, tuple):
+                stack.extend(item)
+            elif item is not None:
+                out[item] = bin_no
     return out
 
 
@@ -125,16 +133,14 @@ def greedy(lengths: Sequence[int], k: int, equal: bool) -> list[int]:
 
 def _per_batch(df: DataFrame, batch: str, row: str, length: str, assign) -> DataFrame:
     """Run ``assign(lengths) -> bins`` inside each batch; batches run in parallel and only three columns travel."""
-    sized = with_group_stats(df.select(batch, row, length), [batch], _n=F.count(F.lit(1)))
-    too_big = F.raise_error(F.lit(f"batch above {LARGEST_BATCH} rows")).cast("long")
-    sized = sized.withColumn("_n", F.when(F.col("_n") > LARGEST_BATCH, too_big).otherwise(F.col("_n")))
     types = {c: df.schema[c].dataType.simpleString() for c in (batch, row)}
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(row).reset_index(drop=True)
-        return pd.DataFrame({batch: pdf[batch], row: pdf[row], "bin": assign([int(x) for x in pdf[length]])})
+    def run(key: tuple, rows: pd.DataFrame) -> list[tuple]:
+        bins = assign(rows[length].astype(int).tolist())
+        return list(zip([key[0]] * len(rows), rows[row].tolist(), bins))
 
-    placed = sized.groupBy(batch).applyInPandas(run, f"{batch} {types[batch]}, {row} {types[row]}, bin int")
+    placed = map_groups(df.select(batch, row, length), [batch], [row], run,
+                        f"{batch} {types[batch]}, {row} {types[row]}, bin int", LARGEST_BATCH)
     return df.join(placed, [batch, row])
 
 

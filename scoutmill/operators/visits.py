@@ -40,10 +40,10 @@ def visit_rows(df: DataFrame, output: str = "output") -> DataFrame:
     calls = events.select(*[c for c in df.columns if c != output], responses.alias("_r"),
                           F.explode(F.filter("_e", lambda e: e["kind"] == "call")).alias("_c"))
     later = F.filter("_r", lambda r: r["pos"] > F.col("_c.pos"))
-    parsed = F.get(tool_calls(F.concat(F.lit("<tool_call>"), F.col("_c.body"), F.lit("</tool_call>"))), F.lit(0))
-    named = calls.select("*", parsed.alias("_p"), F.get(later, F.lit(0))["body"].alias("response"))
-    visits = named.filter(F.col("_p.name") == "visit").withColumn("url", F.explode("_p.values"))
-    return visits.withColumn("category", classify_response(F.col("response"))).drop("_r", "_c", "_p")
+    parsed = tool_calls(F.concat(F.lit("<tool_call>"), F.col("_c.body"), F.lit("</tool_call>")))
+    urls = F.flatten(F.transform(parsed, lambda p: F.when(p["name"] == "visit", p["values"]).otherwise(F.array().cast("array<string>"))))
+    visits = calls.select("*", F.get(later, F.lit(0))["body"].alias("response"), F.explode(urls).alias("url"))
+    return visits.withColumn("category", classify_response(F.col("response"))).drop("_r", "_c")
 
 
 def visit_url_stats(visits: DataFrame, step: str = "step", category: str = "category", origin: str | None = None) -> DataFrame:

@@ -68,6 +68,21 @@ def keep(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def task_count(spark: SparkSession) -> int:
+    """Tasks for work that is heavy per row: at least one per core."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the input comes in fewer splits than there are cores.
+
+    A table of one large row group is read by one task, and per-row text work
+    would stay there. Inputs with enough splits pass through untouched.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def discard_kept(spark: SparkSession) -> None:
     """Delete the tables this application kept, once their readers are done."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
