@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoutmill.functions.html import html_basic_text
@@ -18,6 +18,7 @@ from scoutmill.operators.joins import answer_leaks, lookup_pages, mask_results,
 from scoutmill.operators.qa import generate, short_answers
 from scoutmill.operators.reshape import explode_pairs
 from scoutmill.operators.retrieval import embed, hybrid_search
+from scoutmill.session import keep
 
 
 def corpus_build(rows: DataFrame, embedder: Callable, dim: int, order: list[str]) -> DataFrame:
@@ -53,16 +54,22 @@ def search(queries: DataFrame, docs: DataFrame, query_weights: DataFrame, doc_we
 
 
 def qa_synthesis(urls: DataFrame, store: DataFrame, write_prompt: Callable, generator: Callable, pages: DataFrame) -> DataFrame:
-    """Pages to labelled QA pairs: text, prompt, generate, parse, one row per question, short answers, leak check."""
+    """Pages to labelled QA pairs: look up, text, prompt, generate, then ``qa_rows``."""
     found = lookup_pages(urls, store).filter(F.col("html").isNotNull())
     texts = length_band(found.select("url", html_basic_text(F.col("html")).alias("markdown")), "markdown")
-    replies = generate(texts.withColumn("prompt", write_prompt(F.col("markdown"))).select("url", "prompt"), "prompt", generator)
-    pairs = explode_pairs(replies.select("url", parse_qa_json(F.col("reply")).alias("qa_pairs")))
+    return qa_rows(texts.select("url", write_prompt(F.col("markdown")).alias("prompt")), generator, pages)
+
+
+def qa_rows(prompts: DataFrame, generator: Callable, pages: DataFrame) -> DataFrame:
+    """Prompts (url, prompt) to labelled QA pairs: generate, parse, one row per question, short answers, leak check."""
+    replies = generate(prompts, "prompt", generator)
+    # Kept, so that each prompt reaches the generator once however often the pairs are read.
+    pairs = keep(explode_pairs(replies.select("url", parse_qa_json(F.col("reply")).alias("qa_pairs"))))
     unique = dedup_questions(pairs, ["url", "pair_no"])
     return answer_leaks(short_answers(unique), pages)
 
 
-def rollout_step(rollouts: DataFrame, score, estimator: str, **batch_options) -> tuple[DataFrame, DataFrame]:
+def rollout_step(rollouts: DataFrame, score: Column, estimator: str, options: dict | None = None, **batch) -> tuple[DataFrame, DataFrame]:
     """Rollouts of a step with score and advantage, and the step's metrics."""
     scored = rollouts.withColumn("score", score)
-    return advantages.advantages(scored, estimator), metrics.batch_metrics(scored, **batch_options)
+    return advantages.advantages(scored, estimator, **(options or {})), metrics.batch_metrics(scored, **batch)
