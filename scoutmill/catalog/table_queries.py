@@ -240,7 +240,7 @@ def dense_docs(t):
 
 
 DENSE = """p AS (SELECT label, generate_subscripts(embedding, 1) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings), c AS (SELECT label, pos, round(avg(x), 9) AS x FROM p GROUP BY 1, 2), q AS (SELECT label AS query_id, list(x ORDER BY pos) AS v FROM c GROUP BY 1),
- ds AS (SELECT query_id, vec_id AS doc_id, list_inner_product(v, embedding::DOUBLE[]) AS score FROM q, embeddings), dk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rn FROM ds) WHERE rn <= 10)"""
+ ds AS (SELECT query_id, vec_id AS doc_id, round(list_inner_product(v, embedding::DOUBLE[]), 9) AS score FROM q, embeddings), dk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rn FROM ds) WHERE rn <= 10)"""
 
 
 @query("dense_topk", f"""WITH {DENSE} SELECT CAST(query_id AS BIGINT) AS query_id, doc_id, round(score, 6) AS score FROM dk""")
@@ -261,7 +261,7 @@ def _(t):
 SPARSE = r"""wd AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM documents), tf AS (SELECT doc_id, term, count(*)::DOUBLE AS tf FROM wd GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
  ti AS (SELECT doc_id, tf.term, tf * ln(((SELECT count(*) FROM documents) + 1) / (df + 1)::DOUBLE) AS w FROM tf JOIN df ON tf.term = df.term), nn AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM ti GROUP BY 1), dw AS (SELECT ti.doc_id, term, CASE WHEN n > 0 THEN w / n ELSE 0 END AS w FROM ti JOIN nn ON ti.doc_id = nn.doc_id),
  wq AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM benchmark), qf AS (SELECT query_id, term, count(*)::DOUBLE AS tf FROM wq GROUP BY 1, 2), qn AS (SELECT query_id, sqrt(sum(tf * tf)) AS n FROM qf GROUP BY 1), qw AS (SELECT qf.query_id, term, tf / n AS w FROM qf JOIN qn ON qf.query_id = qn.query_id),
- ss AS (SELECT query_id, doc_id, sum(qw.w * dw.w) AS score FROM qw JOIN dw ON qw.term = dw.term GROUP BY 1, 2), sk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rn FROM ss WHERE score > 0) WHERE rn <= 10)"""
+ ss AS (SELECT query_id, doc_id, round(sum(qw.w * dw.w), 9) AS score FROM qw JOIN dw ON qw.term = dw.term GROUP BY 1, 2), sk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rn FROM ss WHERE score > 0) WHERE rn <= 10)"""
 
 
 def sparse_queries(t):
@@ -282,8 +282,8 @@ def _(t):
     return S.sparse_topk(sparse_queries(t), sparse_docs(t), 10, broadcast_terms=0, salts=8).withColumn("score", F.round("score", 6))
 
 
-@query("hybrid_search", f"""WITH {SPARSE}, {DENSE}, f AS (SELECT coalesce(sk.query_id, dk.query_id) AS query_id, coalesce(sk.doc_id, dk.doc_id) AS doc_id, 0.7::DOUBLE * coalesce(sk.score, 0) + 1.0 * coalesce(dk.score, 0) AS score FROM sk FULL OUTER JOIN dk ON sk.query_id = dk.query_id AND sk.doc_id = dk.doc_id)
-SELECT query_id, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rn FROM f) WHERE rn <= 10""")
+@query("hybrid_search", f"""WITH {SPARSE}, {DENSE}, f AS (SELECT coalesce(sk.query_id, dk.query_id) AS query_id, coalesce(sk.doc_id, dk.doc_id) AS doc_id, round(0.7::DOUBLE * coalesce(sk.score, 0) + 1.0 * coalesce(dk.score, 0), 9) AS score FROM sk FULL OUTER JOIN dk ON sk.query_id = dk.query_id AND sk.doc_id = dk.doc_id)
+SELECT query_id, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rn FROM f) WHERE rn <= 10""")
 def _(t):
     hits = S.hybrid_search(dense_queries(t), dense_docs(t), sparse_queries(t), sparse_docs(t), 10)
     return hits.select("query_id", "doc_id", F.round("score", 6).alias("score"))
@@ -297,7 +297,7 @@ def _(t):
     return S.fulltext_search(t.documents, queries, 10).select("query_id", "doc_id", "rank")
 
 
-@query("fuse", f"""WITH {DENSE}, a AS (SELECT query_id, doc_id, score FROM dk WHERE doc_id % 2 = 0), b AS (SELECT query_id, doc_id, score FROM dk WHERE doc_id % 3 = 0), f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, 0.7::DOUBLE * coalesce(a.score, 0) + coalesce(b.score, 0) AS score FROM a FULL OUTER JOIN b ON a.query_id = b.query_id AND a.doc_id = b.doc_id)
+@query("fuse", f"""WITH {DENSE}, a AS (SELECT query_id, doc_id, score FROM dk WHERE doc_id % 2 = 0), b AS (SELECT query_id, doc_id, score FROM dk WHERE doc_id % 3 = 0), f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, round(0.7::DOUBLE * coalesce(a.score, 0) + coalesce(b.score, 0), 9) AS score FROM a FULL OUTER JOIN b ON a.query_id = b.query_id AND a.doc_id = b.doc_id)
 SELECT CAST(query_id AS BIGINT) AS query_id, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rn FROM f) WHERE rn <= 5""")
 def _(t):
     hits = S.dense_topk(dense_queries(t), dense_docs(t), 10)

@@ -141,4 +141,4 @@ def fuse(sparse_hits: DataFrame, dense_hits: DataFrame, k: int, sparse_weight: f
     d = dense_hits.select("query_id", "doc_id", F.col("score").alias("dense_score"))
     both = s.join(d, ["query_id", "doc_id"], "full_outer")
     total = sparse_weight * F.coalesce("sparse_score", F.lit(0.0)) + dense_weight * F.coalesce("dense_score", F.lit(0.0))
-    return top_rows(both.withColumn("score", total), ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)
+    return top_rows(both.withColumn("score", F.round(total, 9)), ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)

@@ -20,12 +20,14 @@ from scoutmill.functions.text import WORD, matches
 from scoutmill.operators.groups import top_rows
 from scoutmill.session import task_count
 
-# Request limits of the search service.
+# Fixed value: largest result list the search service gives.
 MAX_K = 50
-MAX_BATCH = 100
 # Queries shipped whole to each task; 4096 vectors of dimension 1024 are 32 MB.
 BROADCAST_QUERIES = 4096
 BLOCK_ROWS = 4096
+# Scores are compared at this many digits: sums taken in another order must not
+# rank copies of a document differently from run to run.
+SCORE_DIGITS = 9
 
 
 def _check_k(k: int) -> None:
@@ -46,6 +48,7 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 
 def _hits(query_ids, doc_ids, scores, k) -> pd.DataFrame:
     """Best k documents per query row of a score matrix."""
+    scores = np.round(scores, SCORE_DIGITS)
     picks = [_best(doc_ids, row, k) for row in scores]
     return pd.DataFrame({
         "query_id": np.repeat(query_ids, [len(p) for p in picks]),
@@ -160,7 +163,7 @@ def sparse_topk(query_weights: DataFrame, doc_weights: DataFrame, k: int, broadc
         q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         d = d.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
         pairs = d.join(q, ["term", "salt"])
-    scored = pairs.groupBy("query_id", "doc_id").agg(F.sum(F.col("qw") * F.col("dw")).alias("score"))
+    scored = pairs.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qw") * F.col("dw")), SCORE_DIGITS).alias("score"))
     return top_rows(scored.filter(F.col("score") > 0), ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)
 
 
