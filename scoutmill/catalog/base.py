@@ -51,8 +51,11 @@ TOKEN_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quanti
 TOKEN_ORDER_SQL = ", ".join(TOKEN_ORDER)
 
 
-def query(name: str, sql: str | None = None):
-    """Register a query; ``sql`` is the equivalent DuckDB statement."""
+def query(name: str, sql: str | None = None, longs: tuple[str, ...] = (), ints: tuple[str, ...] = ()):
+    """Register a query; ``sql`` is the equivalent DuckDB statement, ``longs`` and ``ints`` give its columns Spark's width."""
+    casts = [f"CAST({c} AS BIGINT) AS {c}" for c in longs] + [f"CAST({c} AS INTEGER) AS {c}" for c in ints]
+    if sql is not None and casts:
+        sql = f"SELECT * REPLACE ({', '.join(casts)}) FROM ({sql})"
 
     def add(fn: Callable[[Tables], DataFrame]):
         if name in QUERIES:

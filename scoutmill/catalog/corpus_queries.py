@@ -107,14 +107,14 @@ def _(t):
  CAST(sum(CASE WHEN coalesce(source, '') <> '' AND coalesce(text, '') <> '' THEN length(text) END) AS BIGINT) AS total_text_chars,
  avg(CASE WHEN coalesce(source, '') <> '' AND coalesce(text, '') <> '' THEN length(text) END) AS avg_text_chars,
  min(length(source)) AS min_source_chars, max(length(source)) AS max_source_chars, avg(length(source)) AS avg_source_chars,
- min(length(lang)) AS min_lang_chars, max(length(lang)) AS max_lang_chars, avg(length(lang)) AS avg_lang_chars FROM documents""")
+ min(length(lang)) AS min_lang_chars, max(length(lang)) AS max_lang_chars, avg(length(lang)) AS avg_lang_chars FROM documents""", ints=("min_source_chars", "max_source_chars", "min_lang_chars", "max_lang_chars"))
 def _(t):
     return M.corpus_stats(t.documents, url="source", title="lang")
 
 
 @query("ingest_report", """SELECT count(*) AS n_read, count(CASE WHEN trim(coalesce(text, '')) <> '' THEN 1 END) AS n_written, count(CASE WHEN trim(coalesce(text, '')) = '' THEN 1 END) AS n_empty,
  count(text) - count(DISTINCT text) AS n_duplicate, 0 AS n_malformed, count(CASE WHEN length(text) > 1024 THEN 1 END) AS n_cut_url, count(CASE WHEN length(source) > 1024 THEN 1 END) AS n_cut_title,
- avg(length(source || text)) AS avg_embedding_chars, min(length(source || text)) AS min_embedding_chars, max(length(source || text)) AS max_embedding_chars FROM documents""")
+ avg(length(source || text)) AS avg_embedding_chars, min(length(source || text)) AS min_embedding_chars, max(length(source || text)) AS max_embedding_chars FROM documents""", longs=("n_malformed",), ints=("min_embedding_chars", "max_embedding_chars"))
 def _(t):
     return M.ingest_report(t.documents, "text", "source", "text", F.concat("source", "text"))
 
@@ -126,7 +126,7 @@ def _(t):
 
 @query("token_stats", rf"""WITH c AS (SELECT len(regexp_extract_all(text, '{TOK}')) AS i, len(regexp_extract_all(source, '{TOK}')) AS o FROM documents)
 SELECT CAST(sum(i) AS BIGINT) AS input_tokens, avg(i) AS input_mean, max(i) AS input_max, CAST(sum(o) AS BIGINT) AS output_tokens, avg(o) AS output_mean, max(o) AS output_max,
- CAST(sum(i + o) AS BIGINT) AS total_tokens, avg(i + o) AS total_mean, max(i + o) AS total_max FROM c""")
+ CAST(sum(i + o) AS BIGINT) AS total_tokens, avg(i + o) AS total_mean, max(i + o) AS total_max FROM c""", ints=("input_max", "output_max", "total_max"))
 def _(t):
     return M.token_stats(t.documents, {"input": X.token_count("text"), "output": X.token_count("source")})
 

@@ -343,14 +343,14 @@ def output_text():
 
 
 @query("tool_call_counts", """SELECT user_id, count(CASE WHEN event_type IN ('click', 'view') THEN 1 END) AS search_calls, CAST(sum(CASE event_type WHEN 'click' THEN 2 WHEN 'view' THEN 1 ELSE 0 END) AS BIGINT) AS search_queries,
- count(CASE WHEN event_type NOT IN ('click', 'view') THEN 1 END) AS visit_calls, CAST(sum(CASE WHEN event_type = 'error' THEN 3 WHEN event_type IN ('click', 'view') THEN 0 ELSE 1 END) AS BIGINT) AS visit_urls, 0 AS bad_json FROM events GROUP BY user_id""")
+ count(CASE WHEN event_type NOT IN ('click', 'view') THEN 1 END) AS visit_calls, CAST(sum(CASE WHEN event_type = 'error' THEN 3 WHEN event_type IN ('click', 'view') THEN 0 ELSE 1 END) AS BIGINT) AS visit_urls, 0 AS bad_json FROM events GROUP BY user_id""", longs=("bad_json",))
 def _(t):
     return P.tool_call_counts(t.events.select("user_id", output_text().alias("output")), ["user_id"])
 
 
 @query("visit_url_stats", """WITH v AS (SELECT user_id % 20 AS step, event_type, unnest(range(CASE WHEN event_type = 'error' THEN 3 ELSE 1 END)) FROM events WHERE event_type IN ('error', 'signup', 'purchase'))
 SELECT step, count(*) AS total_urls, count(CASE WHEN event_type = 'error' THEN 1 END) AS connect_fail, 0 AS browse_success, count(CASE WHEN event_type = 'signup' THEN 1 END) AS browse_fail, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS no_response,
- count(CASE WHEN event_type = 'signup' THEN 1 END) AS valid_urls FROM v GROUP BY ROLLUP (step)""")
+ count(CASE WHEN event_type = 'signup' THEN 1 END) AS valid_urls FROM v GROUP BY ROLLUP (step)""", longs=("browse_success",))
 def _(t):
     return P.visit_url_stats(P.visit_rows(t.events.select((F.col("user_id") % 20).alias("step"), output_text().alias("output"))))
 

@@ -26,7 +26,7 @@ def history_pages(t):
 
 
 @query("extract_revisions", """SELECT url AS source_history_url, p AS position, 'https://en.wikipedia.org/w/index.php?title=P' || CAST(page_id AS VARCHAR) || '&oldid=' || CAST(page_id AS VARCHAR) || CASE p WHEN 0 THEN '' ELSE '7' END AS revision_url,
- CASE p WHEN 0 THEN '04:17, 27 July 2005' ELSE '05:00, 28 July 2005' END AS timestamp_text, 'Ann' AS editor FROM pages, (SELECT unnest([0, 1]) AS p)""")
+ CASE p WHEN 0 THEN '04:17, 27 July 2005' ELSE '05:00, 28 July 2005' END AS timestamp_text, 'Ann' AS editor FROM pages, (SELECT unnest([0, 1]) AS p)""", longs=("position",))
 def _(t):
     rows = R.extract_revisions(history_pages(t))
     return rows.select("source_history_url", F.col("position").cast("long").alias("position"), "revision_url", "timestamp_text", "editor")

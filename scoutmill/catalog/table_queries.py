@@ -92,12 +92,12 @@ def _(t):
     return R.unpivot_pairs(t.orders.select("o_orderkey", "o_orderstatus", "o_orderpriority"), ["o_orderkey"], "o_orderstatus", "o_orderpriority")
 
 
-@query("repeat_interleaved", """SELECT n_nationkey, c AS copy, (row_number() OVER (PARTITION BY c ORDER BY n_nationkey) - 1) * 3 + c AS position FROM nation, (SELECT unnest([0, 1, 2]) AS c)""")
+@query("repeat_interleaved", """SELECT n_nationkey, c AS copy, (row_number() OVER (PARTITION BY c ORDER BY n_nationkey) - 1) * 3 + c AS position FROM nation, (SELECT unnest([0, 1, 2]) AS c)""", longs=("copy",))
 def _(t):
     return R.repeat(t.nation.select("n_nationkey"), 3, ["n_nationkey"]).withColumn("copy", F.col("copy").cast("long"))
 
 
-@query("repeat_tiled", """SELECT n_nationkey, c AS copy, row_number() OVER (PARTITION BY c ORDER BY n_nationkey) - 1 + c * (SELECT count(*) FROM nation) AS position FROM nation, (SELECT unnest([0, 1, 2]) AS c)""")
+@query("repeat_tiled", """SELECT n_nationkey, c AS copy, row_number() OVER (PARTITION BY c ORDER BY n_nationkey) - 1 + c * (SELECT count(*) FROM nation) AS position FROM nation, (SELECT unnest([0, 1, 2]) AS c)""", longs=("copy",))
 def _(t):
     return R.repeat(t.nation.select("n_nationkey"), 3, ["n_nationkey"], interleave=False).withColumn("copy", F.col("copy").cast("long"))
 
@@ -107,9 +107,9 @@ def _(t):
     return R.repeat_by(t.nation, F.col("n_regionkey")).select("n_nationkey", F.col("copy").cast("long").alias("copy"))
 
 
-@query("pad_to_multiple", """WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS i, count(*) OVER () AS n FROM orders) SELECT o_orderkey, i AS position, false AS is_pad FROM o UNION ALL SELECT o_orderkey, n + i, true FROM o WHERE i <= (4096 - n % 4096) % 4096""")
+@query("pad_to_multiple", """WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS i, count(*) OVER () AS n FROM orders) SELECT o_orderkey, i AS position, false AS is_pad FROM o UNION ALL SELECT o_orderkey, n + i, true FROM o WHERE i <= (1024 - n % 1024) % 1024""")
 def _(t):
-    return R.pad_to_multiple(t.orders.select("o_orderkey"), 4096, ["o_orderkey"])
+    return R.pad_to_multiple(t.orders.select("o_orderkey"), 1024, ["o_orderkey"])
 
 
 @query("chunk", """SELECT o_orderkey, CAST(floor((row_number() OVER (ORDER BY o_orderkey) - 1) / ((SELECT count(*) FROM orders) / 5)) AS BIGINT) AS chunk FROM orders""")
@@ -137,7 +137,7 @@ def _(t):
     return R.unfold(R.fold(t.embeddings, 4, ["vec_id"], ["vec_id", "label"]), ["vec_id", "label"]).select("vec_id", "label")
 
 
-@query("unfold_columns", """SELECT vec_id, label, p AS part, embedding[p * 16 + 1]::DOUBLE AS first, 16 AS n FROM embeddings, (SELECT unnest([0, 1, 2, 3]) AS p)""")
+@query("unfold_columns", """SELECT vec_id, label, p AS part, embedding[p * 16 + 1]::DOUBLE AS first, 16 AS n FROM embeddings, (SELECT unnest([0, 1, 2, 3]) AS p)""", longs=("part", "n"))
 def _(t):
     r = R.unfold_columns(t.embeddings, "embedding", 4)
     return r.select("vec_id", "label", F.col("part").cast("long").alias("part"), F.get("embedding", F.lit(0)).cast("double").alias("first"), F.size("embedding").cast("long").alias("n"))
@@ -182,7 +182,7 @@ def _(t):
     return B.cap_per_source(t.documents.select("doc_id", "source"), 5, "source", ["doc_id"]).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("shuffle", """SELECT count(*) AS n, count(DISTINCT o_orderkey) AS keys, 1 AS first, count(*) AS last, count(*) AS places FROM orders""")
+@query("shuffle", """SELECT count(*) AS n, count(DISTINCT o_orderkey) AS keys, 1 AS first, count(*) AS last, count(*) AS places FROM orders""", longs=("first",))
 def _(t):
     s = B.shuffle(t.orders.select("o_orderkey"), ["o_orderkey"])
     return s.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_orderkey").alias("keys"), F.min("position").alias("first"), F.max("position").alias("last"), F.countDistinct("position").alias("places"))
@@ -193,7 +193,7 @@ def _(t):
     return B.split(t.orders.select("o_orderkey"), 0.9, ["o_orderkey"]).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("choose_rows", """SELECT 30 AS n, 0 AS low FROM orders HAVING count(*) >= 30""")
+@query("choose_rows", """SELECT 30 AS n, 0 AS low FROM orders HAVING count(*) >= 30""", longs=("n", "low"))
 def _(t):
     picked = B.choose_rows(t.orders, lambda df: df.select("o_orderkey", F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0).alias("weight")), "o_orderkey", 30)
     return picked.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") != "F").alias("low"))
@@ -205,7 +205,7 @@ def batches(t):
     return rows.select(F.expr("(row_id - 1) div 1024").alias("batch_id"), "row_id", F.col("l_quantity").cast("long").alias("length"))
 
 
-@query("balance_batches", """WITH r AS (SELECT (row_number() OVER () - 1) // 1024 AS batch_id FROM lineitem) SELECT batch_id, count(*) AS n, 8 AS bins, count(*) // 8 AS smallest, count(*) // 8 AS largest FROM r GROUP BY batch_id HAVING count(*) = 1024""")
+@query("balance_batches", """WITH r AS (SELECT (row_number() OVER () - 1) // 1024 AS batch_id FROM lineitem) SELECT batch_id, count(*) AS n, 8 AS bins, count(*) // 8 AS smallest, count(*) // 8 AS largest FROM r GROUP BY batch_id HAVING count(*) = 1024""", longs=("bins",))
 def _(t):
     full = batches(t)
     sizes = full.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n")).filter("n = 1024").select("batch_id")

@@ -43,7 +43,7 @@ def _(t):
 
 
 @query("parse_tool_calls", """SELECT conv_id, turn, 0 AS call_pos, CASE WHEN role = 'user' THEN 'search' ELSE 'visit' END AS name, CASE WHEN role = 'user' THEN 2 ELSE 1 END AS n_values, false AS bad_json FROM conversations
- UNION ALL SELECT conv_id, turn, 1, NULL, 0, true FROM conversations""")
+ UNION ALL SELECT conv_id, turn, 1, NULL, 0, true FROM conversations""", longs=("call_pos", "n_values"))
 def _(t):
     text = F.regexp_replace(F.regexp_replace("text", r"[\\\"{}]", ""), r"[\x00-\x1f]", " ")
     call = F.when(F.col("role") == "user", F.concat(F.lit('<tool_call>\n{"name": "search", "arguments": {"query": ["'), text, F.lit('", "b"]}}\n</tool_call>'))).otherwise(
@@ -77,7 +77,7 @@ def _(t):
     return R.message_blocks(t.turns.withColumn("role", role), "conv_id", "turn", "role", "text")
 
 
-@query("label_messages", """SELECT conv_id, turn, CASE WHEN turn = 0 THEN 1 WHEN role = 'assistant' THEN 1 ELSE 0 END AS label FROM conversations""")
+@query("label_messages", """SELECT conv_id, turn, CASE WHEN turn = 0 THEN 1 WHEN role = 'assistant' THEN 1 ELSE 0 END AS label FROM conversations""", longs=("label",))
 def _(t):
     messages = F.array(F.struct("role", F.col("text").alias("content"), F.when(F.col("turn") == 0, 1).alias("loss_mask")))
     return t.turns.select("conv_id", "turn", F.get(P.label_messages(messages), F.lit(0)).cast("long").alias("label"))
@@ -187,7 +187,7 @@ def _(t):
     return t.turns.select("conv_id", "turn", T.strip_evidence(text).alias("s"))
 
 
-@query("parse_messages", rf"""SELECT conv_id, turn, pos, CASE pos WHEN 0 THEN 'system' WHEN 1 THEN 'user' WHEN 2 THEN 'assistant' ELSE 'tool' END AS role FROM conversations, (SELECT unnest([0, 1, 2, 3]) AS pos)""")
+@query("parse_messages", rf"""SELECT conv_id, turn, pos, CASE pos WHEN 0 THEN 'system' WHEN 1 THEN 'user' WHEN 2 THEN 'assistant' ELSE 'tool' END AS role FROM conversations, (SELECT unnest([0, 1, 2, 3]) AS pos)""", longs=("pos",))
 def _(t):
     body = F.regexp_replace("text", r"(?m)^(system|user|assistant)\n", "x\n")
     script = F.concat(F.lit("system\nrules\nuser\n"), body, F.lit("\nassistant\n<tool_call>{}</tool_call>user\n<tool_response>ok</tool_response>"))
@@ -195,14 +195,14 @@ def _(t):
     return rows.select("conv_id", "turn", F.col("pos").cast("long").alias("pos"), "m.role")
 
 
-@query("split_turns", rf"""SELECT conv_id, turn, 2 AS n, regexp_replace(text, '{STRIP}', '', 'g') AS answer FROM conversations""")
+@query("split_turns", rf"""SELECT conv_id, turn, 2 AS n, regexp_replace(text, '{STRIP}', '', 'g') AS answer FROM conversations""", longs=("n",))
 def _(t):
     body = F.regexp_replace("text", "assistant\n", "")
     turns = T.split_turns(F.concat(F.lit("<think>plan</think>\nassistant\n<answer>"), body, F.lit("</answer>")))
     return t.turns.select("conv_id", "turn", F.size(turns).cast("long").alias("n"), F.get(turns, F.lit(1))["answer"].alias("answer"))
 
 
-@query("search_block_round_trip", rf"""SELECT conv_id, turn, 2 AS n, regexp_replace(regexp_replace(text, '[\[\]]', '', 'g'), '{STRIP}', '', 'g') AS snippet, role AS title FROM conversations""")
+@query("search_block_round_trip", rf"""SELECT conv_id, turn, 2 AS n, regexp_replace(regexp_replace(text, '[\[\]]', '', 'g'), '{STRIP}', '', 'g') AS snippet, role AS title FROM conversations""", longs=("n",))
 def _(t):
     text = F.regexp_replace("text", r"[\[\]]", "")
     results = F.array(F.struct(F.lit("a").alias("title"), F.lit("https://x.example/1").alias("link"), F.lit("s").alias("snippet")),
@@ -232,7 +232,7 @@ def _(t):
     return t.turns.select("conv_id", "turn", question_of(F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(""), messages).alias("question"))
 
 
-@query("build_prompt_rows", """SELECT text AS question, 'conv' AS data_source, 2 AS n_messages, ' Question: ' || text AS content, CAST(row_number() OVER (ORDER BY conv_id, turn) - 1 AS VARCHAR) AS index, role AS target, 'train' AS split FROM conversations""")
+@query("build_prompt_rows", """SELECT text AS question, 'conv' AS data_source, 2 AS n_messages, ' Question: ' || text AS content, CAST(row_number() OVER (ORDER BY conv_id, turn) - 1 AS VARCHAR) AS index, role AS target, 'train' AS split FROM conversations""", longs=("n_messages",))
 def _(t):
     rows = P.build_prompt_rows(t.turns, "text", F.array("role"), ["conv_id", "turn"], "conv", "search", "train", "Be brief.", " Question: ", True)
     return rows.select("question", "data_source", F.size("prompt").cast("long").alias("n_messages"), F.get("prompt", F.lit(1))["content"].alias("content"),
@@ -256,12 +256,12 @@ def _(t):
                     F.get("prompt", F.lit(0))["content"].alias("system"), F.get("prompt", F.lit(1))["content"].alias("content"), F.array_join("reward_model.ground_truth.target", "|").alias("target"))
 
 
-@query("validate_prompt_table", """SELECT count(*) AS n_rows, 0 AS bad_prompt, 0 AS no_ground_truth, 0 AS no_index, 0 AS no_split, 0 AS null_question, 0 AS null_data_source, 0 AS null_prompt, 0 AS null_ability, 0 AS null_reward_model, 0 AS null_extra_info FROM conversations""")
+@query("validate_prompt_table", """SELECT count(*) AS n_rows, 0 AS bad_prompt, 0 AS no_ground_truth, 0 AS no_index, 0 AS no_split, 0 AS null_question, 0 AS null_data_source, 0 AS null_prompt, 0 AS null_ability, 0 AS null_reward_model, 0 AS null_extra_info FROM conversations""", longs=("bad_prompt", "no_ground_truth", "no_index", "no_split", "null_question", "null_data_source", "null_prompt", "null_ability", "null_reward_model", "null_extra_info"))
 def _(t):
     return P.validate_prompt_table(P.attach_tool_kwargs(prompt_source(t), "New rules."))
 
 
-@query("with_nested", """SELECT conv_id, turn, 'kept' AS split, 'https://m.example/' || CAST(conv_id AS VARCHAR) AS url, CASE WHEN turn % 3 = 0 THEN role ELSE text END AS truth, 3 AS n_messages, role AS completion FROM conversations""")
+@query("with_nested", """SELECT conv_id, turn, 'kept' AS split, 'https://m.example/' || CAST(conv_id AS VARCHAR) AS url, CASE WHEN turn % 3 = 0 THEN role ELSE text END AS truth, 3 AS n_messages, role AS completion FROM conversations""", longs=("n_messages",))
 def _(t):
     rows = t.turns.select("conv_id", "turn", "role", "text", F.struct(F.lit("kept").alias("split")).alias("extra_info"), F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))).alias("prompt"), F.col("role").alias("completion"))
     url = F.concat(F.lit("https://m.example/"), F.col("conv_id").cast("string"))
@@ -292,7 +292,7 @@ def _(t):
     return V.trajectory_stats(steps, "conv_id")
 
 
-@query("browse_errors", """SELECT conv_id, turn, 1 AS line, CASE WHEN role = 'user' THEN 'Timeout' ELSE 'Not Found' END AS error, 0 AS turn_no FROM conversations""")
+@query("browse_errors", """SELECT conv_id, turn, 1 AS line, CASE WHEN role = 'user' THEN 'Timeout' ELSE 'Not Found' END AS error, 0 AS turn_no FROM conversations""", longs=("line", "turn_no"))
 def _(t):
     text = F.regexp_replace(F.regexp_replace(F.lower("text"), r"[a-z0-9]", "o"), "\n", " ")
     out = F.concat(F.lit('{"name": "visit"} '), text, F.when(F.col("role") == "user", F.lit("\nTIMEOUT 404\n")).otherwise(F.lit("\nHTTP 404 error\n")), F.lit("assistant x"))
@@ -311,7 +311,7 @@ def _(t):
     return R.head_and_last(t.turns, 4, ["conv_id"], ["turn"]).select("conv_id", "turn")
 
 
-@query("explode_messages", """SELECT conv_id, turn, m AS messages_no, CASE m WHEN 0 THEN 'user' ELSE role END AS role FROM conversations, (SELECT unnest([0, 1]) AS m)""")
+@query("explode_messages", """SELECT conv_id, turn, m AS messages_no, CASE m WHEN 0 THEN 'user' ELSE role END AS role FROM conversations, (SELECT unnest([0, 1]) AS m)""", longs=("messages_no",))
 def _(t):
     rows = t.turns.select("conv_id", "turn", F.array(F.struct(F.lit("user").alias("role")), F.struct("role")).alias("messages"))
     return R.explode_records(rows, "messages").withColumn("messages_no", F.col("messages_no").cast("long"))
