@@ -21,8 +21,10 @@ SPACES = " \t\n\u000b\f\r"
 SYMBOLS = r"[#*$%&|<>]"
 # What a finished line may end in, with closing quotes or brackets after it.
 FINISHED = r"[.!?…:;。！？।][\"'”’»)\]]*[ \t\u000b\f\r]*$"
-# Parts between the items of a menu or a breadcrumb.
+# Parts between the items of a menu or a breadcrumb, and what a text with any of them holds.
 MENU = r"(?:[|»›•·→]|::|(?<= )[<>/](?= ))"
+CAPITALS = r"\p{Lu}{2}"
+MARKED = r"[#*$%&|<>»›•·→]|::| / |\p{Lu}\p{Lu}"
 # Phrases of page furniture.
 FURNITURE = (
     r"(?i)\b(?:cookies? (?:policy|settings|notice)|accept (?:all )?cookies|privacy policy|terms (?:of (?:use|service)|and conditions)"
@@ -46,14 +48,14 @@ def word_array(text: Column) -> Column:
     return F.array_remove(F.split(plain, " "), "")
 
 
-def line_marks(line: Column) -> Column:
-    """What the rules ask of a line, each counted once."""
+def line_marks(line: Column, plain: bool = False) -> Column:
+    """What the rules ask of a line, each counted once; a ``plain`` one is known to hold no symbol, separator or capitals."""
     blanks = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
+    count = lambda pattern: F.lit(0) if plain else F.regexp_count(line, F.lit(pattern))
     return F.struct(
         line.alias("line"), blanks.alias("blanks"), (F.length(line) - blanks).alias("visible"),
-        F.regexp_count(line, F.lit(MENU)).alias("separators"), F.regexp_count(line, F.lit(r"\p{Lu}{2}")).alias("capitals"),
-        F.regexp_count(line, F.lit(SYMBOLS)).alias("symbols"), F.rlike(line, F.lit(FINISHED)).alias("finished"),
-        (F.trim(line, F.lit(SPACES)) == "").alias("blank"))
+        count(MENU).alias("separators"), count(CAPITALS).alias("capitals"), count(SYMBOLS).alias("symbols"),
+        F.rlike(F.right(F.rtrim(line), F.lit(8)), F.lit(FINISHED)).alias("finished"), (F.trim(line, F.lit(SPACES)) == "").alias("blank"))
 
 
 def line_fails(
@@ -99,20 +101,23 @@ def judge_documents(docs: DataFrame, keys: list[str], max_lost: float = 0.5) ->
     more than ``max_lost`` of the visible characters.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    arrays = docs.select(*keys, text.alias("text"), word_array(text).alias("words"), F.transform(F.split(text, "\n", -1), line_marks).alias("marks"))
+    lines = F.split(text, "\n", -1)
+    marks = F.when(F.rlike(text, F.lit(MARKED)), F.transform(lines, lambda line: line_marks(line))).otherwise(F.transform(lines, lambda line: line_marks(line, plain=True)))
+    arrays = docs.select(*keys, F.regexp_count(text, F.lit(SYMBOLS)).alias("n_symbols"), word_array(text).alias("words"), marks.alias("marks"))
     n = F.size("words")
-    grams = F.when(n < 3, F.array().cast("array<string>")).otherwise(F.transform(
-        F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))),
-        lambda i: F.concat_ws(" ", F.get("words", i), F.get("words", i + 1), F.get("words", i + 2))))
+    starts = F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0)))
+    gram = lambda i: (F.get("words", i), F.get("words", i + 1), F.get("words", i + 2))
+    hashes = F.transform(starts, lambda i: F.xxhash64(*gram(i)))
     worded = F.transform(F.filter("marks", lambda m: ~m["blank"]), lambda m: m["line"])
     good = F.filter("marks", lambda m: ~line_fails(m))
-    bare = F.length(F.array_join("words", ""))
-    staged = arrays.select(
-        *keys, n.alias("n_words"), bare.alias("word_chars"), F.regexp_count("text", F.lit(SYMBOLS)).alias("n_symbols"),
-        grams.alias("grams"), worded.alias("worded"), good.alias("good"))
-    # Sorting is only needed where some window repeats.
-    repeats = F.size(F.array_distinct("grams")) < F.size("grams")
-    sorted_grams = F.when(repeats, F.sort_array(F.arrays_zip(F.col("grams").alias("gram"), F.sequence(F.lit(0), F.size("grams") - 1).alias("place"))))
+    hashed = arrays.select(
+        *keys, n.alias("n_words"), F.length(F.array_join("words", "")).alias("word_chars"), "n_symbols",
+        "words", hashes.alias("hashes"), worded.alias("worded"), good.alias("good"))
+    # Windows are compared as words, and only in the texts where two hashes agree.
+    grams = F.when((n >= 3) & (F.size(F.array_distinct("hashes")) < F.size("hashes")), F.transform(starts, lambda i: F.concat_ws(" ", *gram(i))))
+    staged = hashed.select(*keys, "n_words", "word_chars", "n_symbols", grams.alias("grams"), "worded", "good")
+    sorted_grams = F.when(
+        F.col("grams").isNotNull(), F.sort_array(F.arrays_zip(F.col("grams").alias("gram"), F.sequence(F.lit(0), F.size("grams") - 1).alias("place"))))
     visible = lambda marks: F.aggregate(marks, F.lit(0), lambda acc, m: acc + m["visible"])
     result = staged.withColumn("sorted_grams", sorted_grams).select(
         *keys, F.col("n_words").cast("long").alias("n_words"), F.col("word_chars").cast("long").alias("word_chars"),
