@@ -22,6 +22,22 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from scoutmill.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op8_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scoutmill.llm.html_density import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 @query
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scoutmill.llm.license_scan import scan_licenses
