@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from scoutmill.llm.labelled import fold_of
 from scoutmill.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +24,31 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+def with_fold(scored: DataFrame, folds: int, held: int) -> DataFrame:
+    """Held-out mark and prediction beside a score."""
+    return scored.select(
+        "doc_id", F.coalesce(fold_of(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), *[c for c in scored.columns if c not in ("doc_id", "score")])
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scoutmill.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold_of(F.col("doc_id"), 5) != 0)
+    return with_fold(toxicity.score(docs, model, ["doc_id"]), 5, 0)
+
+
+@query
+def op2_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scoutmill.llm import compression_quality
+
+    docs = table(spark, sf_dir, "documents")
+    model = compression_quality.fit(docs, table(spark, sf_dir, "labels"), fold_of(F.col("doc_id"), 3) != 1)
+    return with_fold(compression_quality.score(docs, model, ["doc_id"]), 3, 1)
+
+
 @query
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
