@@ -33,18 +33,24 @@ from pyspark.sql import DataFrame
 CAPACITY = 2048
 END_ID = 1
 #: Words kept per worker with their ids; beyond it the store starts anew.
-STORE_WORDS = 400_000
+STORE_WORDS = 1_000_000
 
 # Beyond U+024F one character's small form can depend on its neighbours or on the
 # library, and "<|" can open a special token; texts with those keep their capitals here.
-KEEPS_CASE = re.compile("[^\u0000-ɏ]|<\\|")
+BEYOND_LATIN = re.compile("[^\u0000-ɏ]")
 # Small Latin letters, then marks: two pieces for the tokenizer, whatever stands around them.
 PLAIN_WORD = re.compile("([a-zß-öø-ɏ]+)([.,;:!?]*)\\Z")
-BREAK = re.compile("[ \n]")
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def split_words(text: str) -> list[str]:
+    """Words between blanks and line ends, in small letters where that is safe."""
+    if "<|" not in text and (text.isascii() or not BEYOND_LATIN.search(text)):
+        text = text.lower()
+    return text.replace("\n", " ").split(" ")
+
+
 class WordTokenizer:
     """Ids of texts by a tokenizer that drops white space and never joins words across it.
 
@@ -103,12 +109,12 @@ class WordTokenizer:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [BREAK.split(t if KEEPS_CASE.search(t) else t.lower()) for t in texts]
-        wanted = {w for words in split for w in words}
-        while missing := [w for w in wanted if w not in self.words]:  # again if learning emptied the store
-            self.learn(missing)
-        known = self.words
-        return [b"".join([known[w] for w in words]) for words in split]
+        split = [split_words(t) for t in texts]
+        wanted = set().union(*split)
+        while missing := wanted.difference(self.words):  # again if learning emptied the store
+            self.learn(list(missing))
+        of = self.words.__getitem__
+        return [b"".join(map(of, words)) for words in split]
 
 
 def cut_lengths(n: int, capacity: int) -> list[int]:

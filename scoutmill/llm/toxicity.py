@@ -45,7 +45,7 @@ LOOK_ALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il",
     "+": "t", "€": "e", "£": "l", "¡": "i", "(": "c", "<": "c", "×": "x", "%": "x", "#": "h", "¢": "c", "§": "s", "µ": "u",
 }
-SWAPPED, AS_MARK, DROPPED, PARTED, SQUEEZED, DOUBLED = 1.0, 4.0, 1.0, 1.5, 1.5, 2.5  # costs of the channel
+SWAPPED, AS_MARK, DROPPED, PARTED, SQUEEZED, DOUBLED = 1.0, 6.0, 1.0, 1.5, 1.5, 2.5  # costs of the channel
 
 # Words of small letters only, without a letter three times in a row, are what they seem.
 PLAIN = re.compile(r"[^\W\d_]+\Z")
