@@ -49,6 +49,15 @@ def op2_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_fold(compression_quality.score(docs, model, ["doc_id"]), 3, 1)
 
 
+@query
+def op5_pii_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scoutmill.llm.pii_sanitise import KINDS, sanitise, written
+
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
+    rows = sanitise(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", *[count(k) for k in range(4)], F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
 @query
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
