@@ -67,6 +67,13 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scoutmill.llm.line_dedup import line_report
+
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scoutmill.llm.html_density import extract_pages
