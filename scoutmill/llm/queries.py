@@ -49,6 +49,13 @@ def op2_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_fold(compression_quality.score(docs, model, ["doc_id"]), 3, 1)
 
 
+@query
+def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scoutmill.llm.chosen_path import jaccard_classes
+
+    return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_pii_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scoutmill.llm.pii_sanitise import KINDS, sanitise, written
