@@ -70,11 +70,9 @@ def mark_lines(docs: DataFrame, min_words: int) -> DataFrame:
 
 def neighbour_lines(docs: DataFrame, marks: DataFrame, classes: DataFrame) -> DataFrame:
     """(h1, h2, first, words) of the distinct lines that share a half with another line; kept."""
-    firsts = marks.join(classes, LINE).where(F.struct(*PLACE).eqNullSafe(F.col("first"))).where("halves is not null").dropDuplicates(LINE)
-    firsts = firsts.select(*PLACE, *LINE, "halves")
-    halves = firsts.select(F.explode("halves").alias("half"), *LINE)
+    halves = marks.select(F.explode("halves").alias("half"), *LINE)
     shared = halves.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("half")
-    wanted = keep(halves.join(shared, "half").select(*LINE).distinct().join(firsts.drop("halves"), LINE))
+    wanted = keep(halves.join(shared, "half").select(*LINE).distinct().join(classes, LINE).select(*[f"first.{c}" for c in PLACE], *LINE))
     by_text = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("line_no", *LINE)).alias("wanted")).alias("w")
     texts = keyed(docs).alias("d")
     found = texts.join(by_text, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.text_hash") == F.col("w.text_hash")))
