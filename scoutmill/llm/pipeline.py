@@ -1,19 +1,66 @@
-"""Stages of the corpus pipeline."""
+"""Stages of the corpus pipeline: each takes (spark, docs, sf_dir) and returns the documents it keeps, or packed pieces at the end."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scoutmill.session import keep
+from scoutmill.llm import chosen_path, compression_quality, edit_decontaminate, line_dedup, packing
+from scoutmill.llm.labelled import fold_of
+from scoutmill.llm.queries import table
+from scoutmill.session import configure, keep
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier scores 0.5 or more; scored beside the text, so nothing is shuffled."""
+    model = compression_quality.fit(docs, table(spark, sf_dir, "labels"), fold_of(F.col("doc_id"), 3) != 1)
+    scored = compression_quality.score(docs, model, docs.columns)
+    return scored.where("score >= 0.5").select(*docs.columns)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that an earlier line repeats; ``n_chars`` follows the text."""
+    cleaned = line_dedup.dedup_lines(docs)
+    return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cleaned
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of copies and near copies: the one with the least id.
+
+    Texts without words say nothing about being copies and stay.
+    """
+    classes = chosen_path.jaccard_classes(docs)
+    gone = classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct().alias("g")
+    worded = F.trim(F.regexp_replace(F.coalesce("d.text", F.lit("")), r"\s+", " ")) != ""
+    return docs.alias("d").join(gone, F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & worded, "left_anti")
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return edit_decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 ids."""
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", quality_stage),
+    ("line_dedup", line_stage),
+    ("jaccard_join", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``; each stage's result is kept as a table and read back."""
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    docs = table(configure(spark), sf_dir, "documents")
     for at, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if at + 1 < len(STAGES):

@@ -49,6 +49,13 @@ def op2_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_fold(compression_quality.score(docs, model, ["doc_id"]), 3, 1)
 
 
+@query
+def op3_edit_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scoutmill.llm.edit_decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op4_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scoutmill.llm.chosen_path import jaccard_classes
