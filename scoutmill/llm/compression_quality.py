@@ -132,15 +132,16 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = 300
 
 
 def score(docs: DataFrame, model: CompressionModel, keys: list[str]) -> DataFrame:
-    """``keys``, ``score`` (0 to 1, higher is better text) and the document's normalised difference ``size_difference``."""
+    """``keys`` (with ``text`` or without), ``score`` (0 to 1, higher is better text) and the normalised ``size_difference``."""
+    columns = keys if "text" in keys else [*keys, "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools = (sizer(model.good), sizer(model.bad)) if model.good else None
         for batch in batches:
-            texts = batch.column(len(keys)).to_pylist()
+            texts = batch.column(columns.index("text")).to_pylist()
             x = np.array([text_features(t or "", *tools) for t in texts]).reshape(-1, N_FEATURES) if tools else np.zeros((len(texts), N_FEATURES))
-            columns = [*batch.columns[: len(keys)], pa.array(model.calibration.score(x), pa.float64()), pa.array(x[:, 0], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "score", "size_difference"])
+            found = [pa.array(model.calibration.score(x), pa.float64()), pa.array(x[:, 0], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *found], names=[*keys, "score", "size_difference"])
 
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
-    return docs.select(*keys, "text").mapInArrow(run, f"{kinds}, score double, size_difference double")
+    return docs.select(*columns).mapInArrow(run, f"{kinds}, score double, size_difference double")

@@ -46,6 +46,10 @@ NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 ENDED_BY_BLOCK = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 
 
+# A tag that the end of the page cuts through.
+CUT_TAG = re.compile(r"<[/!?a-zA-Z][^<>]*\Z")
+
+
 class Node:
     """An element with its children in page order; strings are text."""
 
@@ -151,7 +155,7 @@ class TreeBuilder(HTMLParser):
 def parse(html: str) -> Node:
     """The tree of a page; markup that the parser gives up on ends it there."""
     builder = TreeBuilder()
-    builder.feed(html)
+    builder.feed(CUT_TAG.sub("", html))
     builder.close()
     return builder.root
 

@@ -150,14 +150,15 @@ def same_text(left: str, right: str) -> Column:
 def dedup_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
     """The input's rows and columns with removed lines taken out of ``text``."""
     gone = removed_lines(docs, min_words).alias("g")
-    other = [c for c in docs.columns if c not in ("doc_id", "text")]
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.xxhash64(text).alias("text_hash")).alias("d").join(gone, same_text("d", "g"), "left")
+    text = F.coalesce(F.col("d.text"), F.lit(""))
+    # The input's columns travel in one, out of the way of the names used here.
+    whole = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.struct(
+        *[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")).alias("d")
+    rows = whole.join(gone, same_text("d", "g"), "left")
     lines = F.split(text, "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))
     kept = F.when(F.col("removed").isNull(), F.col("d.text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    columns = {"doc_id": F.col("d.doc_id"), "text": kept.alias("text")} | {c: F.col(f"d.`{c}`") for c in other}
-    return rows.select(*[columns[c] for c in docs.columns])
+    return rows.select(*[kept.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def line_report(docs: DataFrame, min_words: int = 8) -> DataFrame:

@@ -16,8 +16,9 @@ from scoutmill.session import configure, keep
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier scores 0.5 or more; scored beside the text, so nothing is shuffled."""
     model = compression_quality.fit(docs, table(spark, sf_dir, "labels"), fold_of(F.col("doc_id"), 3) != 1)
-    scored = compression_quality.score(docs, model, docs.columns)
-    return scored.where("score >= 0.5").select(*docs.columns)
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    scored = compression_quality.score(docs.select(others.alias("row"), "text"), model, ["row", "text"])
+    return scored.where("score >= 0.5").select(*[F.col(c if c == "text" else f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,12 +30,11 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of copies and near copies: the one with the least id.
 
-    Texts without words say nothing about being copies and stay.
+    Documents that line dedup left without any text are copies of each other.
     """
     classes = chosen_path.jaccard_classes(docs)
     gone = classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct().alias("g")
-    worded = F.trim(F.regexp_replace(F.coalesce("d.text", F.lit("")), r"\s+", " ")) != ""
-    return docs.alias("d").join(gone, F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & worded, "left_anti")
+    return docs.alias("d").join(gone, F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left_anti")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
