@@ -104,7 +104,7 @@ def _(t):
 @query("remax_tokens", f"""WITH s AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {TOKEN_ORDER_SQL}) AS pos FROM lineitem)
 SELECT l_orderkey, pos, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY pos DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 10.0::DOUBLE AS advantage FROM s""")
 def _(t):
-    tokens = number_rows(t.lineitem.select("l_orderkey", *TOKEN_ORDER), TOKEN_ORDER, "pos", keys=["l_orderkey"]).select("l_orderkey", "pos", "l_quantity")
+    tokens = number_rows(t.lineitem.select("l_orderkey", *TOKEN_ORDER), TOKEN_ORDER, "pos", keys=["l_orderkey"], small_groups=True).select("l_orderkey", "pos", "l_quantity")
     return V.remax_tokens(tokens, "l_orderkey", "pos", F.col("l_quantity"), F.lit(10.0)).select("l_orderkey", "pos", "advantage")
 
 

@@ -250,7 +250,7 @@ def _(t):
 
 @query("dense_topk_blocks", f"""WITH {DENSE} SELECT CAST(query_id AS BIGINT) AS query_id, doc_id, round(score, 6) AS score FROM dk""")
 def _(t):
-    return S.dense_topk(dense_queries(t), dense_docs(t), 10, broadcast_limit=0, block_rows=2048).withColumn("score", F.round("score", 6))
+    return S.dense_topk(dense_queries(t), dense_docs(t), 10, batch=7).withColumn("score", F.round("score", 6))
 
 
 @query("inner_product", """SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 6) AS s FROM embeddings""")
@@ -279,7 +279,7 @@ def _(t):
 
 @query("sparse_topk_salted", f"""WITH {SPARSE} SELECT query_id, doc_id, round(score, 6) AS score FROM sk""")
 def _(t):
-    return S.sparse_topk(sparse_queries(t), sparse_docs(t), 10, broadcast_terms=0, salts=8).withColumn("score", F.round("score", 6))
+    return S.sparse_topk(sparse_queries(t), sparse_docs(t), 10).withColumn("score", F.round("score", 6))
 
 
 @query("hybrid_search", f"""WITH {SPARSE}, {DENSE}, f AS (SELECT coalesce(sk.query_id, dk.query_id) AS query_id, coalesce(sk.doc_id, dk.doc_id) AS doc_id, round(0.7::DOUBLE * coalesce(sk.score, 0) + 1.0 * coalesce(dk.score, 0), 9) AS score FROM sk FULL OUTER JOIN dk ON sk.query_id = dk.query_id AND sk.doc_id = dk.doc_id)

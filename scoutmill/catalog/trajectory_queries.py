@@ -66,7 +66,7 @@ def _(t):
 
 @query("renumber", """SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations""")
 def _(t):
-    return number_rows(t.turns, ["turn"], "n", keys=["conv_id"]).select("conv_id", "turn", "n")
+    return number_rows(t.turns, ["turn"], "n", keys=["conv_id"], small_groups=True).select("conv_id", "turn", "n")
 
 
 @query("message_blocks", """WITH m AS (SELECT conv_id, turn, CASE WHEN role = 'user' AND turn > 1 THEN 'tool' WHEN role = 'system' AND turn > 0 THEN 'user' WHEN turn % 4 = 3 THEN 'tool' ELSE role END AS role, text FROM conversations),

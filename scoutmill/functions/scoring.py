@@ -95,6 +95,20 @@ def last_boxed(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("\\boxed ")), spaced).otherwise(framed)
 
 
+def last_strict_box(text: Column) -> Column:
+    r"""Body of the last ``\boxed{...}`` with balanced braces; null without one, or if the last one never closes."""
+    rest = F.substring_index(text, "\\boxed{", -1)
+    state = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+
+    def step(s: Column, ch: Column) -> Column:
+        depth = s["depth"] + F.when(ch == "{", 1).when(ch == "}", -1).otherwise(0)
+        at = s["at"] + 1
+        return F.struct(depth.alias("depth"), at.alias("at"), F.when((s["end"] == 0) & (depth == 0), at).otherwise(s["end"]).alias("end"))
+
+    end = F.aggregate(F.split(rest, ""), state, step, lambda s: s["end"])
+    return F.when(F.contains(text, F.lit("\\boxed{")) & (end > 0), F.substr(rest, F.lit(1), end - 1))
+
+
 def _replace_all(col: Column, pairs: list[tuple[str, str]]) -> Column:
     for old, new in pairs:
         col = F.replace(col, F.lit(old), F.lit(new))
@@ -151,7 +165,7 @@ def score_final_answer(output: Column, truth: Column, strict_box: bool = False)
     """{score +1/-1, acc, pred}: last ``Answer:`` line of the tail, or the boxed body of a shorter tail."""
     tail = _clip(output)
     if strict_box:
-        pred = last_boxed(_clip(tail, STRICT_BOX_CLIP))
+        pred = last_strict_box(_clip(tail, STRICT_BOX_CLIP))
         right = F.coalesce(pred == truth, F.lit(False))
     else:
         lines = F.regexp_extract_all(tail, F.lit(rf"(?i)Answer\s*:\s*([^\n]+)"), F.lit(1))

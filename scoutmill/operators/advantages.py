@@ -37,7 +37,7 @@ def passk(df: DataFrame, uid: str = "uid", score: str = "score", tie: str = "row
     best_two = top_rows(df.select(uid, score, tie), [uid], [F.col(score).desc(), F.col(tie)], 2)
     lead = best_two.groupBy(uid).agg(
         F.max(_value(score)).alias("_r1"), F.min(_value(score)).alias("_r2"),
-        F.max_by(tie, F.struct(_value(score), -F.col(tie))).alias("_top"))
+        F.min_by(tie, F.struct(-_value(score), F.col(tie))).alias("_top"))
     s = join_on(df, lead, [uid])
     s = with_group_stats(s, [uid], _n=F.count(F.lit(1)), _s=F.stddev_samp(_value(score)))
     gap = F.col("_r1") - F.col("_r2")
@@ -137,7 +137,7 @@ def remax(df: DataFrame, rewards: str = "rewards", mask: str = "mask", baseline:
 
 def remax_tokens(df: DataFrame, row: str, pos: str, reward: Column, baseline: Column) -> DataFrame:
     """The same over long tables (one row per token): a reverse running sum, minus the baseline."""
-    s = ordered(df, [F.col(pos).desc()], [row]).running_sum(reward, "token_return").result()
+    s = ordered(df, [F.col(pos).desc()], [row], small_groups=True).running_sum(reward, "token_return").result()
     return s.withColumn("advantage", F.col("token_return") - baseline)
 
 

@@ -104,7 +104,7 @@ def _run_starts(rows: pd.DataFrame, keys: Sequence[str]) -> np.ndarray:
     new = np.zeros(len(rows), dtype=bool)
     new[0] = True
     for k in keys:
-        here, before = rows[k], rows[k].shift()
-        new |= (here.ne(before) & ~(here.isna() & before.isna())).to_numpy()
-    new[0] = True
+        # Neighbours are compared as they are: a shifted column would turn whole numbers above 2**53 into equal doubles.
+        here, before = rows[k].iloc[1:].reset_index(drop=True), rows[k].iloc[:-1].reset_index(drop=True)
+        new[1:] |= (here.ne(before) & ~(here.isna() & before.isna())).to_numpy()
     return np.flatnonzero(new)

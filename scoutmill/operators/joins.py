@@ -100,7 +100,7 @@ def current_page_leaks(qa: DataFrame, index: DataFrame, pages: DataFrame, order:
 def pair_calls_with_responses(events: DataFrame, key: str, pos: str, kind: str = "kind", body: str = "body") -> DataFrame:
     """Calls with the first response after them; one response may serve several calls."""
     response = F.when(F.col(kind) == "response", F.struct(F.col(pos).alias("pos"), F.col(body).alias("body")))
-    paired = ordered(events, [pos], [key]).following(response, "_r").result()
+    paired = ordered(events, [pos], [key], small_groups=True).following(response, "_r").result()
     return paired.filter(F.col(kind) == "call").withColumn("response", F.col("_r.body")).withColumn(
         "response_pos", F.col("_r.pos")).drop("_r")
 
@@ -108,7 +108,7 @@ def pair_calls_with_responses(events: DataFrame, key: str, pos: str, kind: str =
 def pair_adjacent(messages: DataFrame, key: str, pos: str, is_call: Column, is_response: Column, body: str) -> DataFrame:
     """Calls whose very next message is the response; null where it is not."""
     near = F.struct(is_response.alias("ok"), F.col(body).alias("body"))
-    paired = ordered(messages, [pos], [key]).next(near, "_r").result()
+    paired = ordered(messages, [pos], [key], small_groups=True).next(near, "_r").result()
     return paired.filter(is_call).withColumn("response", F.when(F.col("_r.ok"), F.col("_r.body"))).drop("_r")
 
 

@@ -1,14 +1,14 @@
 """Row numbers, running sums and neighbours over tables of any size.
 
 ``Window.orderBy`` without a partition pulls the whole table into one task, and
-a partitioned window pulls each key into one. ``ordered`` therefore looks at the
-largest group first (one aggregate over the key columns):
+a partitioned window pulls each key into one. There are two forms with equal
+results, and the caller says which one a table needs; nothing is counted first:
 
-* small groups take plain windows, one shuffle and no extra job;
-* otherwise, and for whole-table order, the table becomes slices: it is
-  range-partitioned by (keys, order), numbered inside each task, and kept.
-  What crosses a slice edge is carried in a table of at most one row per slice,
-  so a hot key is spread over as many tasks as it fills.
+* slices, for any table: it is range-partitioned by (keys, order), numbered
+  inside each task, and kept. What crosses a slice edge is carried in a table of
+  at most one row per slice, so a hot key is spread over as many tasks as it fills;
+* plain windows, where a group is small by its nature (the tokens of a response,
+  the turns of a conversation): one shuffle and no extra job.
 
 The order must be total (end it with a unique id); ties would otherwise be
 numbered differently by each run.
@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from scoutmill.operators.groups import join_on
 from scoutmill.session import keep
 
-WINDOW_ROWS = 200_000  # largest group a single window task may get
 ROW_BITS = (1 << 33) - 1  # the low bits of monotonically_increasing_id: row number inside the task
 
 
@@ -87,7 +86,7 @@ class Slices:
         """Sum of ``value`` from the first row of the key up to this row."""
         before = F.sum("_edge").over(self._across().rowsBetween(Window.unboundedPreceding, -1))
         local = F.sum(value).over(self._inside().rowsBetween(Window.unboundedPreceding, 0))
-        return self._combine(name, F.sum(value), before, lambda c: F.coalesce(c + local, local))
+        return self._combine(name, F.sum(value), before, lambda c: F.coalesce(c + F.coalesce(local, F.lit(0)), local))
 
     def previous(self, value: Column, name: str) -> Slices:
         """Value in the row just before this one in the key; null in the first row."""
@@ -154,24 +153,16 @@ class Groups:
         return self.frame.select(*self.columns)
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the most frequent key."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-
-
-def ordered(df: DataFrame, order: Sequence[str | Column], keys: Sequence[str] = (), window_rows: int | None = None) -> Slices | Groups:
-    """Rows in order inside each key, as windows or slices by the size of the largest group."""
-    limit = WINDOW_ROWS if window_rows is None else window_rows
-    if keys and largest_group(df, keys) <= limit:
-        return Groups.of(df, order, keys)
-    return Slices.of(df, order, keys)
+def ordered(df: DataFrame, order: Sequence[str | Column], keys: Sequence[str] = (), small_groups: bool = False) -> Slices | Groups:
+    """Rows in order inside each key: slices, or windows where the caller knows ``small_groups``."""
+    return Groups.of(df, order, keys) if keys and small_groups else Slices.of(df, order, keys)
 
 
 def number_rows(
-    df: DataFrame, order: Sequence[str | Column], name: str = "row_number", keys: Sequence[str] = ()
+    df: DataFrame, order: Sequence[str | Column], name: str = "row_number", keys: Sequence[str] = (), small_groups: bool = False
 ) -> DataFrame:
     """Add 1..n in ``order``, over the table or inside each key."""
-    return ordered(df, order, keys).row_number(name).result()
+    return ordered(df, order, keys, small_groups).row_number(name).result()
 
 
 def with_row_count(df: DataFrame, name: str = "row_count") -> DataFrame:

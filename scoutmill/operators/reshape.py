@@ -180,7 +180,7 @@ def message_blocks(messages: DataFrame, key: str, pos: str, role: str, text: str
     unknown = F.raise_error(F.concat(F.lit("unknown role "), r)).cast("string")
     late = F.raise_error(F.lit("system message after the first")).cast("string")
     known = F.when(~r.isin("system", "user", "assistant", "tool"), unknown).otherwise(r)
-    s = ordered(messages, [pos], [key]).previous(r, "_before")
+    s = ordered(messages, [pos], [key], small_groups=True).previous(r, "_before")
     checked = F.when((r == "system") & F.col("_before").isNotNull(), late).otherwise(known)
     starts = F.when((checked == "tool") & (F.col("_before") == "tool"), 0).otherwise(1)
     blocks = s.running_sum(starts, "block").result()

@@ -1,9 +1,8 @@
 """Dense, sparse, hybrid and full-text top-k over batches of queries.
 
-Documents stay where they are: a query batch of checked size is shipped to
-every task, each task keeps its own best k per query, and only those rows are
-shuffled. A batch above the limit is cut into blocks and paired with document
-blocks, so no task ever holds more than one block of each.
+Documents stay where they are: dense queries are shipped to every task in
+batches of fixed size, each task keeps its own best k per query, and only those
+rows are shuffled. Any number of queries is answered, one pass per batch.
 """
 
 from __future__ import annotations
@@ -20,19 +19,37 @@ from scoutmill.functions.text import WORD, matches
 from scoutmill.operators.groups import top_rows
 from scoutmill.session import task_count
 
-# Fixed value: largest result list the search service gives.
-MAX_K = 50
-# Queries shipped whole to each task; 4096 vectors of dimension 1024 are 32 MB.
-BROADCAST_QUERIES = 4096
-BLOCK_ROWS = 4096
+# Queries of one pass over the documents; 4096 vectors of dimension 1024 are 32 MB.
+QUERY_BATCH = 4096
 # Scores are compared at this many digits: sums taken in another order must not
 # rank copies of a document differently from run to run.
 SCORE_DIGITS = 9
 
 
 def _check_k(k: int) -> None:
-    if not 1 <= k <= MAX_K:
-        raise ValueError(f"k must be 1..{MAX_K}")
+    if k < 1:
+        raise ValueError("k must be at least 1")
+
+
+def _batches(queries: DataFrame, size: int) -> Iterator[pd.DataFrame]:
+    """Queries (query_id, vector) in frames of at most ``size``; the driver holds one at a time."""
+    held = []
+    for row in queries.select("query_id", "vector").toLocalIterator():
+        held.append(tuple(row))
+        if len(held) == size:
+            yield pd.DataFrame(held, columns=["query_id", "vector"])
+            held = []
+    if held:
+        yield pd.DataFrame(held, columns=["query_id", "vector"])
+
+
+def _all_batches(queries: DataFrame, size: int, search) -> DataFrame:
+    """``search(batch)`` for every batch, together."""
+    out = None
+    for head in _batches(queries, size):
+        found = search(head)
+        out = found if out is None else out.unionByName(found)
+    return queries.sparkSession.createDataFrame([], HIT) if out is None else out
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -70,17 +87,10 @@ def _matrix(vectors) -> np.ndarray:
 HIT = "query_id long, doc_id long, score double"
 
 
-def dense_topk(queries: DataFrame, docs: DataFrame, k: int, broadcast_limit: int = BROADCAST_QUERIES,
-               block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Exact inner-product top-k of (query_id, vector) against (doc_id, vector)."""
+def dense_topk(queries: DataFrame, docs: DataFrame, k: int, batch: int = QUERY_BATCH) -> DataFrame:
+    """Exact inner-product top-k of (query_id, vector) against (doc_id, vector), ``batch`` queries a pass."""
     _check_k(k)
-    head = queries.select("query_id", "vector").limit(broadcast_limit + 1).toPandas()
-    if len(head) == 0:
-        return queries.sparkSession.createDataFrame([], HIT)
-    if len(head) <= broadcast_limit:
-        local = _dense_shipped(head, docs, k)
-    else:
-        local = _dense_blocks(queries, docs, k, block_rows)
+    local = _all_batches(queries, batch, lambda head: _dense_shipped(head, docs, k))
     return top_rows(local, ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)
 
 
@@ -100,25 +110,6 @@ def _dense_shipped(head: pd.DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "vector").mapInPandas(score, HIT)
 
 
-def _dense_blocks(queries: DataFrame, docs: DataFrame, k: int, block_rows: int) -> DataFrame:
-    """Every query block meets every document block exactly once; both sides of a meeting are bounded."""
-    sizes = [df.agg(F.count(F.lit(1))).first()[0] for df in (queries, docs)]
-    n_q, n_d = (max(1, -(-n // block_rows)) for n in sizes)
-    q = queries.select(
-        F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int").alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_d - 1))).alias("db"), F.col("query_id").alias("id"), "vector")
-    d = docs.select(
-        F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(n_d)).cast("int").alias("db"), F.col("doc_id").alias("id"), "vector")
-
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
-        return _hits(left["id"].to_numpy(), right["id"].to_numpy(), _matrix(left["vector"]) @ _matrix(right["vector"]).T, k)
-
-    return q.groupBy("qb", "db").cogroup(d.groupBy("qb", "db")).applyInPandas(meet, HIT)
-
-
 def term_weights(df: DataFrame, id_col: str, text: Column, out_id: str = "doc_id", idf: bool = True) -> DataFrame:
     """Postings (id, term, weight): tf-idf, each text L2-normalised. Offline stand-in for a learned sparse model.
 
@@ -146,23 +137,16 @@ def words(text: Column) -> Column:
     return matches(F.lower(F.coalesce(text, F.lit(""))), rf"[{WORD}]+")
 
 
-def sparse_topk(query_weights: DataFrame, doc_weights: DataFrame, k: int, broadcast_terms: int = 200_000, salts: int = 32) -> DataFrame:
+def sparse_topk(query_weights: DataFrame, doc_weights: DataFrame, k: int) -> DataFrame:
     """Inner-product top-k over postings (query_id, term, weight) and (doc_id, term, weight).
 
-    Postings of one document sit together (see ``term_weights``), so with a
-    shipped query batch the products are summed where they are. A larger batch joins on (term, salt): the postings of a
-    frequent term are spread over ``salts`` tasks and the query side is copied.
+    One join on the term: at run time Spark ships the query side if it is small,
+    and splits the postings of a frequent term over tasks if it is not.
     """
     _check_k(k)
-    small = query_weights.limit(broadcast_terms + 1).count() <= broadcast_terms
     q = query_weights.select("query_id", "term", F.col("weight").alias("qw"))
     d = doc_weights.select("doc_id", "term", F.col("weight").alias("dw"))
-    if small:
-        pairs = d.join(F.broadcast(q), "term")
-    else:
-        q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        d = d.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-        pairs = d.join(q, ["term", "salt"])
+    pairs = d.join(q, "term")
     scored = pairs.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qw") * F.col("dw")), SCORE_DIGITS).alias("score"))
     return top_rows(scored.filter(F.col("score") > 0), ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)
 
@@ -202,19 +186,20 @@ def build_cells(docs: DataFrame, cells: int, seed: int = 42, sample: float = 1.0
     return placed, np.stack(model.clusterCenters())
 
 
-def ann_topk(queries: DataFrame, placed: DataFrame, centres: np.ndarray, k: int, nprobe: int) -> DataFrame:
-    """Top-k inside the ``nprobe`` cells whose centres score highest for the query.
+def ann_topk(queries: DataFrame, placed: DataFrame, centres: np.ndarray, k: int, nprobe: int, batch: int = QUERY_BATCH) -> DataFrame:
+    """Top-k inside the ``nprobe`` cells whose centres are nearest to the query, ``batch`` queries a pass.
 
-    The batch is shipped like in ``dense_topk``; a document is compared only
-    with the queries that probe its cell.
+    A document is compared only with the queries that probe its cell.
     """
     _check_k(k)
-    head = queries.select("query_id", "vector").limit(BROADCAST_QUERIES + 1).toPandas()
-    if len(head) > BROADCAST_QUERIES:
-        raise ValueError(f"at most {BROADCAST_QUERIES} queries per batch")
+    local = _all_batches(queries, batch, lambda head: _probed(head, placed, centres, k, nprobe))
+    return top_rows(local, ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)
+
+
+def _probed(head: pd.DataFrame, placed: DataFrame, centres: np.ndarray, k: int, nprobe: int) -> DataFrame:
     ids, q = head["query_id"].to_numpy(), _matrix(head["vector"])
-    distance = ((q[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2)
-    probed = np.argsort(distance, axis=1, kind="stable")[:, :nprobe]
+    # Row by row: a matrix of queries x cells x dimension would not fit.
+    probed = np.stack([np.argsort(((centres - one) ** 2).sum(axis=1), kind="stable")[:nprobe] for one in q])
     asks = {c: np.flatnonzero((probed == c).any(axis=1)) for c in range(len(centres))}
     shipped = placed.sparkSession.sparkContext.broadcast((ids, q, asks))
 
@@ -230,8 +215,7 @@ def ann_topk(queries: DataFrame, placed: DataFrame, centres: np.ndarray, k: int,
         if best is not None:
             yield best
 
-    local = placed.mapInPandas(score, HIT)
-    return top_rows(local, ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)
+    return placed.mapInPandas(score, HIT)
 
 
 def embed(df: DataFrame, id_col: str, text: str, fn, dim: int) -> DataFrame:

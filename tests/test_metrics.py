@@ -247,7 +247,7 @@ def test_dense_forms(spark):
     want = {(i, int(j)) for i, row in enumerate(q @ d.T) for j in np.argsort(-row, kind="stable")[:5]}
     pairs = lambda df: {(r.query_id, r.doc_id) for r in df.collect()}
     assert pairs(R.dense_topk(queries, docs, 5)) == want
-    assert pairs(R.dense_topk(queries, docs, 5, broadcast_limit=3, block_rows=64)) == want
+    assert pairs(R.dense_topk(queries, docs, 5, batch=3)) == want
     placed, centres = R.build_cells(docs, 6)
     assert pairs(R.ann_topk(queries, placed, centres, 5, 6)) == want
     assert len(pairs(R.ann_topk(queries, placed, centres, 5, 3)) & want) / len(want) > 0.5

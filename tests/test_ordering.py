@@ -31,9 +31,22 @@ def test_slices_equal_windows(spark, hot, many_tasks):
     assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
 
 
-def test_size_picks_the_form(hot):
-    assert isinstance(O.ordered(hot, ["o"], ["k"]), O.Groups)
-    assert isinstance(O.ordered(hot, ["o"], ["k"], window_rows=100), O.Slices)
+def test_running_sum_carries_past_nulls(spark, many_tasks):
+    df = spark.range(400).select(F.lit("a").alias("k"), F.col("id").alias("o"), F.when(F.col("id") % 3 == 2, F.col("id")).alias("v"))
+    a, b = (form.of(df, ["o"], ["k"]).running_sum(F.col("v"), "run").result() for form in (O.Slices, O.Groups))
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()), key=lambda r: r[1])
+
+
+def test_keys_above_the_exact_doubles(spark):
+    df = spark.range(40).select((F.col("id") + (1 << 60)).alias("k"), F.col("id").alias("row"), (F.col("id") + 1).alias("n"))
+    got = map_groups(df, ["k"], ["row"], lambda key, rows: [(key[0], len(rows))], "k long, n long", 10).collect()
+    assert sorted(map(tuple, got)) == [((1 << 60) + i, 1) for i in range(40)]
+    assert B.greedy_bins(df, "k", "row", "n", 2).count() == 40
+
+
+def test_caller_picks_the_form(hot):
+    assert isinstance(O.ordered(hot, ["o"], ["k"], small_groups=True), O.Groups)
+    assert isinstance(O.ordered(hot, ["o"], ["k"]), O.Slices)
     assert isinstance(O.ordered(hot, ["o"]), O.Slices)
 
 
