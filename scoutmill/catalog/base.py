@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoutmill.session import configure, spread
+from scoutmill.session import configure, kept_path, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -30,6 +30,12 @@ class Tables:
     def pages(self) -> DataFrame:
         return spread(self.spark.read.parquet(f"{self.folder}/pages.parquet"))
 
+    def stored(self, df: DataFrame, kind: str = "parquet") -> str:
+        """Path of ``df`` written to the shared folder in a source's format, for queries that run a reader."""
+        path = kept_path(self.spark)
+        df.write.format(kind).save(path)
+        return path
+
     @property
     def rollouts(self) -> DataFrame:
         """Events as rollout rows; scores are whole cents, so sums are exact in any order."""

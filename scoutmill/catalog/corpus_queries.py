@@ -15,6 +15,7 @@ from scoutmill.operators import metrics as M
 from scoutmill.operators.dedup import dedup_first, upsert_by_key
 from scoutmill.operators.ordering import number_rows
 from scoutmill.plans.jobs import page_text_rows
+from scoutmill.sources.readers import corpus_errors, read_articles, read_corpus, read_search_results, read_url_list
 
 TOK = r"[\p{L}\p{N}_]+|[^\s\x0B\x1C-\x1F\x85\p{Z}\p{L}\p{N}_]"
 PIECE = rf"[\s\x0B\x1C-\x1F\x85\p{{Z}}]*(?:{TOK})"
@@ -79,7 +80,12 @@ def _(t):
     return t.documents.select("doc_id", X.combine_title_text("source", "text", 64).alias("combined"))
 
 
-@query("enforce_caps", """SELECT count(CASE WHEN length(url) > 40 THEN 1 END) AS url_over, count(CASE WHEN length(html) > 2000 THEN 1 END) AS html_over FROM pages""")
+@query("enforce_caps", """SELECT page_id, left(url, 40) AS url, left(html, 2000) AS html FROM pages""")
+def _(t):
+    return C.enforce_caps(t.pages, {"url": 40, "html": 2000}).select("page_id", "url", "html")
+
+
+@query("cap_violations", """SELECT count(CASE WHEN length(url) > 40 THEN 1 END) AS url_over, count(CASE WHEN length(html) > 2000 THEN 1 END) AS html_over FROM pages""")
 def _(t):
     return C.cap_violations(t.pages, {"url": 40, "html": 2000})
 
@@ -183,7 +189,7 @@ def _(t):
 
 @query("answer_in_text")
 def _(t):
-    pairs = t.labels.join(t.documents, "doc_id").select("doc_id", "text", F.concat_ws(" ", F.slice(F.split("text", " "), 3, 4)).alias("answer"), F.col("source").alias("question"))
+    pairs = t.documents.select("doc_id", "text", F.concat_ws(" ", F.slice(F.split("text", " "), 3, 4)).alias("answer"), F.col("source").alias("question"))
     return pairs.select("doc_id", answer_in_text(F.col("answer"), F.col("text"), F.col("question")).alias("found"))
 
 
@@ -246,11 +252,11 @@ def _(t):
     return J.fabricated_urls(t.pages.select("page_id", url.alias("url"), c.alias("category")), t.pages).select("page_id", "url", "category", "origin")
 
 
-@query("mask_results", """WITH m AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS mask_url FROM pages) SELECT p.page_id, p.url AS link FROM (SELECT page_id % 25 AS query_id, * FROM pages) p
- WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.page_id % 25 = p.query_id AND m.page_id < 25 AND m.mask_url <> '' AND contains(p.url, m.mask_url))""")
+@query("mask_results", """WITH m AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS mask_url FROM pages) SELECT p.page_id, p.url AS link FROM (SELECT page_id % 25 AS query_id, * FROM pages) p
+ WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.page_id % 25 = p.query_id AND contains(m.url, 'utm_source') AND m.mask_url <> '' AND contains(p.url, m.mask_url))""")
 def _(t):
     results = t.pages.select((F.col("page_id") % 25).alias("query_id"), "page_id", F.col("url").alias("link"))
-    masks = t.pages.filter("page_id < 25").select((F.col("page_id") % 25).alias("query_id"), U.netloc(F.col("url")).alias("mask_url"))
+    masks = t.pages.filter(F.contains("url", F.lit("utm_source"))).select((F.col("page_id") % 25).alias("query_id"), U.netloc(F.col("url")).alias("mask_url"))
     return J.mask_results(results, masks).select("page_id", "link")
 
 
@@ -277,10 +283,36 @@ def _(t):
     return upsert_by_key(existing, incoming, "url", ["page_id"])
 
 
-@query("read_articles", """SELECT index, doc_id, source FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS index, doc_id, source FROM documents) WHERE index >= 100 AND index < 400""")
+@query("read_articles", """SELECT row_number() OVER (ORDER BY doc_id) - 1 AS index, doc_id AS id, source AS url, md5(text) AS digest FROM documents""")
+def _(t):
+    path = t.stored(t.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("url"), F.col("lang").alias("title"), "text"))
+    return read_articles(t.spark, path).select("index", "id", "url", F.md5("text").alias("digest"))
+
+
+def stored_corpus(t):
+    """documents as nested corpus lines in the shared folder."""
+    return t.stored(t.documents.select(F.col("doc_id").cast("string").alias("id"), F.struct(F.col("lang").alias("title"), F.col("source").alias("url")).alias("metadata"), "text"), "json")
+
+
+@query("read_corpus", """SELECT CAST(doc_id AS VARCHAR) AS id, lang AS title, source AS url, length(text) > 0 AS has_text FROM documents WHERE trim(text) <> ''""")
+def _(t):
+    return read_corpus(t.spark, stored_corpus(t)).select("id", "title", "url", (F.length("text") > 0).alias("has_text"))
+
+
+@query("corpus_errors", """SELECT count(*) AS n_lines, 0 AS n_malformed, count(*) FILTER (WHERE trim(text) = '') AS n_empty FROM documents""", longs=("n_malformed",))
+def _(t):
+    return corpus_errors(t.spark, stored_corpus(t))
+
+
+@query("read_search_results", """SELECT url AS link, CAST(page_id AS INTEGER) AS position, md5(html) AS digest FROM pages""")
+def _(t):
+    path = t.stored(t.pages.select(F.lit("q").alias("query"), F.col("page_id").cast("int").alias("position"), F.col("url").alias("link"), F.col("html").alias("content")), "json")
+    return read_search_results(t.spark, path).select("link", F.col("position").cast("int").alias("position"), F.md5("content").alias("digest"))
+
+
+@query("read_url_list", """SELECT url FROM pages""")
 def _(t):
-    rows = number_rows(t.documents.select("doc_id", "source"), ["doc_id"], "_n").withColumn("index", F.col("_n") - 1)
-    return rows.filter((F.col("index") >= 100) & (F.col("index") < 400)).select("index", "doc_id", "source")
+    return read_url_list(t.spark, t.stored(t.pages.select("url"), "text"), is_json=False)
 
 
 @query("history_url", r"""SELECT page_id, 'https://en.wikipedia.org/w/index.php?title=' || replace(replace(regexp_extract(url, '^[a-z]+://([^/?#]*/[a-z]*)', 1), ' ', '_'), '%', '%25') || '&action=history&offset=&limit=2000' AS h FROM pages""")

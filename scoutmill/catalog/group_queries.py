@@ -93,12 +93,12 @@ def _(t):
     return s.groupBy("l_quantity", F.round(F.col("l_quantity") - F.round("baseline", 8), 7).alias("advantage")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("prefer", """WITH p AS (SELECT o_orderkey, o_orderkey // 2 AS pair_id, o_orderkey % 2 AS pos, o_totalprice FROM orders WHERE o_orderkey // 2 IN (SELECT o_orderkey // 2 FROM orders GROUP BY 1 HAVING count(*) = 2))
+@query("prefer", """WITH n AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders), p AS (SELECT o_orderkey, i // 2 AS pair_id, i % 2 AS pos, o_totalprice FROM n)
 SELECT o_orderkey, pair_id, row_number() OVER (PARTITION BY pair_id ORDER BY o_totalprice DESC, pos) = 1 AS chosen FROM p""")
 def _(t):
-    p = t.orders.select("o_orderkey", F.expr("o_orderkey div 2").alias("pair_id"), (F.col("o_orderkey") % 2).alias("pos"), F.col("o_totalprice").alias("score"))
-    full = p.groupBy("pair_id").agg(F.count(F.lit(1)).alias("n")).filter("n = 2").select("pair_id")
-    return V.prefer(p.join(full, "pair_id", "left_semi")).select("o_orderkey", "pair_id", "chosen")
+    i = number_rows(t.orders.select("o_orderkey", F.col("o_totalprice").alias("score")), ["o_orderkey"], "_n").withColumn("_i", F.col("_n") - 1)
+    p = i.select("o_orderkey", F.expr("_i div 2").alias("pair_id"), (F.col("_i") % 2).alias("pos"), "score")
+    return V.prefer(p).select("o_orderkey", "pair_id", "chosen")
 
 
 @query("remax_tokens", f"""WITH s AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {TOKEN_ORDER_SQL}) AS pos FROM lineitem)

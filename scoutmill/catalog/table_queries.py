@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scoutmill.catalog.base import TOKEN_ORDER, query
+from scoutmill.catalog.base import TOKEN_ORDER, TOKEN_ORDER_SQL, query
 from scoutmill.functions.arrays import inner_product
 from scoutmill.operators import joins as J
 from scoutmill.operators import reshape as R
@@ -205,13 +205,15 @@ def batches(t):
     return rows.select(F.expr("(row_id - 1) div 1024").alias("batch_id"), "row_id", F.col("l_quantity").cast("long").alias("length"))
 
 
-@query("balance_batches", """WITH r AS (SELECT (row_number() OVER () - 1) // 1024 AS batch_id FROM lineitem) SELECT batch_id, count(*) AS n, 8 AS bins, count(*) // 8 AS smallest, count(*) // 8 AS largest FROM r GROUP BY batch_id HAVING count(*) = 1024""", longs=("bins",))
+@query("balance_batches", f"""WITH r AS (SELECT (row_number() OVER (ORDER BY l_orderkey, {TOKEN_ORDER_SQL}) - 1) // 1024 AS batch_id, CAST(l_quantity AS BIGINT) AS length FROM lineitem)
+SELECT batch_id, count(*) AS n, CAST(sum(length) AS BIGINT) AS tokens, 8 AS bins, count(*) // 8 AS smallest, count(*) // 8 AS largest, true AS balanced FROM r GROUP BY batch_id""", longs=("bins",))
 def _(t):
-    full = batches(t)
-    sizes = full.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n")).filter("n = 1024").select("batch_id")
-    b = B.balance_batches(full.join(sizes, "batch_id", "left_semi"), "batch_id", "row_id", "length", 8)
-    per = b.groupBy("batch_id", "bin").agg(F.count(F.lit(1)).alias("c"))
-    return per.groupBy("batch_id").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("bins"), F.min("c").alias("smallest"), F.max("c").alias("largest"))
+    b = B.balance_batches(batches(t), "batch_id", "row_id", "length", 8)
+    per = b.groupBy("batch_id", "bin").agg(F.count(F.lit(1)).alias("c"), F.sum("length").alias("s"), F.max("length").alias("m"))
+    # Totals of the bins lie within one row's length of each other.
+    return per.groupBy("batch_id").agg(
+        F.sum("c").alias("n"), F.sum("s").alias("tokens"), F.count(F.lit(1)).alias("bins"), F.min("c").alias("smallest"), F.max("c").alias("largest"),
+        (F.max("s") - F.min("s") <= F.max("m")).alias("balanced"))
 
 
 @query("pack_batches")
@@ -289,11 +291,11 @@ def _(t):
     return hits.select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
-@query("fulltext_search", r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM documents), q AS (SELECT DISTINCT item_id AS query_id, unnest(list_slice(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), 2, 3)) AS term FROM benchmark),
+@query("fulltext_search", r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM documents), q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM benchmark),
  n AS (SELECT query_id, count(*) AS need FROM q GROUP BY 1), h AS (SELECT q.query_id, w.doc_id, count(DISTINCT w.term) AS c, count(*) AS rank FROM w JOIN q ON w.term = q.term GROUP BY 1, 2)
 SELECT query_id, doc_id, rank FROM (SELECT h.query_id, doc_id, rank, row_number() OVER (PARTITION BY h.query_id ORDER BY rank DESC, doc_id) AS rn FROM h JOIN n ON h.query_id = n.query_id AND c = need) WHERE rn <= 10""")
 def _(t):
-    queries = t.benchmark.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(S.words(F.col("text")), 2, 2), " ").alias("query"))
+    queries = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return S.fulltext_search(t.documents, queries, 10).select("query_id", "doc_id", "rank")
 
 

@@ -85,7 +85,7 @@ def softmean_baseline(df: DataFrame, score: str = "score", beta: float = 1.0) ->
 def prefer(df: DataFrame, pair: str = "pair_id", score: str = "score", pos: str = "pos") -> DataFrame:
     """Preference mask: the better of two responses is chosen, ties to the first; other group sizes are an error."""
     s = with_group_stats(df, [pair], _n=F.count(F.lit(1)),
-                         _best=F.max_by(pos, F.struct(_value(score), -F.col(pos))))
+                         _best=F.min_by(pos, F.struct(-_value(score), F.col(pos))))
     odd = F.raise_error(F.lit("each preference pair needs two responses")).cast("boolean")
     return s.withColumn("chosen", F.when(F.col("_n") != 2, odd).otherwise(F.col(pos) == F.col("_best"))).drop("_n", "_best")
 

@@ -55,6 +55,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def kept_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, below what ``discard_kept`` removes."""
+    return f"{shared_folder(spark)}/kept/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Write ``df`` as a parquet table in the shared folder and read it back.
 
@@ -63,7 +68,7 @@ def keep(df: DataFrame) -> DataFrame:
     lost executors, and later jobs read only the columns they use.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/kept/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = kept_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -216,6 +216,8 @@ def test_final_answers(spark):
     assert [(g["score"], g["pred"]) for g in got] == [(1.0, "1200"), (-1.0, "7"), (-1.0, "9"), (-1.0, "[INVALID]")]
     strict = values(spark, ["x" * 400 + "\\boxed{7}", "\\boxed{7}" + "x" * 200], lambda c: S.score_final_answer(c, F.lit("7"), strict_box=True))
     assert [s["score"] for s in strict] == [1.0, -1.0]
+    boxes = values(spark, ["so \\boxed {7} hence \\boxed{5}", "\\boxed{a{b}c} \\boxed{", "\\boxed{a{b}c} \\fbox{d}", "none"], S.last_strict_box)
+    assert boxes == ["5", None, "a{b}c", None]
     assert values(spark, ["#### 1,200", "12 and 13.", "x . ."], lambda c: S.final_number(c, "flexible")) == ["1,200", "13.", "."]
     assert values(spark, ["#### 1,200 ok", "1200"], lambda c: S.score_number(c, F.lit("1200"))) == [1.0, 0.0]
     assert values(spark, ["Answer: $b$ Answer: C", "answer : C"], lambda c: S.score_choice(c, F.lit("C"))) == [0.0, 1.0]
