@@ -58,9 +58,12 @@ def runs_for(recall: float, similarity: float, overlap: float, depth: int) -> in
 def choose(shingles: np.ndarray, paths: np.ndarray, overlap: float) -> tuple[np.ndarray, np.ndarray]:
     """(row of the path, child path) for every shingle that a path chooses; the chance is 1 / (overlap * size)."""
     limit = np.uint64(min(1.0, 1 / (overlap * len(shingles))) * (2**64 - 2**12))
-    picks = mix(shingles[None, :] ^ paths[:, None])
-    rows, columns = np.nonzero(picks <= limit)
     with np.errstate(over="ignore"):
+        picks = shingles[None, :] ^ paths[:, None]
+        picks *= np.uint64(0xD6E8FEB86659FD93)  # both sides are hashes already: one fold between two products is enough
+        picks ^= picks >> np.uint64(32)
+        picks *= np.uint64(0xA0761D6478BD642F)
+        rows, columns = np.nonzero(picks <= limit)
         return rows, mix(picks[rows, columns] + shingles[columns])
 
 
@@ -86,25 +89,29 @@ def signatures(docs: DataFrame, width: int, overlap: float, depth: int, runs: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = mix(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        node = pa.struct([("level", pa.int32()), ("parent", pa.int64()), ("path", pa.int64())])
         for batch in batches:
-            ids, sketches, nodes, seen = [], [], [], set()
+            ids, sketches, seen = [], [], set()
+            levels, parents, found, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [0]
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 shingles = shingle_set(text, width)
                 if not len(shingles) or name in seen:
                     continue
                 seen.add(name)
-                own, paths = [], seeds
+                paths, before = seeds, len(found)
                 for level in range(1, depth + 1):
                     if not len(paths):
                         break
                     rows, children = choose(shingles, paths, overlap)
-                    own += zip([level] * len(rows), paths[rows].view(np.int64).tolist(), children.view(np.int64).tolist(), strict=True)
+                    levels.append(np.full(len(rows), level, np.int32))
+                    parents.append(paths[rows].view(np.int64))
+                    found.append(children.view(np.int64))
                     paths = np.unique(children)
                 ids.append(name)
                 sketches.append(sketch(shingles))
-                nodes.append([{"level": a, "parent": b, "path": c} for a, b, c in own])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(sketches, pa.binary()), pa.array(nodes, pa.list_(node))], names=["id", "sketch", "nodes"])
+                sizes.append(sum(map(len, found[before:])))
+            flat = pa.StructArray.from_arrays([pa.array(np.concatenate(c)) for c in (levels, parents, found)], names=["level", "parent", "path"])
+            nodes = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(sketches, pa.binary()), nodes], names=["id", "sketch", "nodes"])
 
     rows = text_id(docs).select("id", "text").mapInArrow(run, "id binary, sketch binary, nodes array<struct<level:int,parent:long,path:long>>")
     return keep(rows.dropDuplicates(["id"]))
