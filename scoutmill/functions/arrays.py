@@ -62,6 +62,12 @@ def response_mask(ids: Column, *eos: int) -> Column:
     return let(first, lambda at: F.transform(ids, lambda _, i: F.when((at == 0) | (i < at), 1).otherwise(0)))
 
 
+def response_part(attention: Column, responses: Column) -> Column:
+    """The attention mask of the response: the mask's last entries, one for each response token."""
+    n = F.size(responses)
+    return F.when(n == 0, F.slice(attention, 1, 0)).otherwise(F.slice(attention, F.greatest(F.size(attention) - n + 1, F.lit(1)), n))
+
+
 def kl_penalty(logp: Column, ref: Column, kind: str) -> Column:
     """Per-token KL estimate: k1 difference, abs, k2 half square, k3 low variance with clamps."""
 

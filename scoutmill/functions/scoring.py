@@ -116,19 +116,29 @@ def _replace_all(col: Column, pairs: list[tuple[str, str]]) -> Column:
 
 
 def normalize_latex(col: Column) -> Column:
-    """Spacing, units, fractions and roots of a LaTeX answer in one spelling."""
+    """Spacing, units, fractions and roots of a LaTeX answer in one spelling; one that can't be read stays as it is."""
+    return F.coalesce(latex_form(col), col)
+
+
+def latex_form(col: Column) -> Column:
+    """The one spelling, or null for a text that can't be read: two units, or a root or fraction with nothing after it."""
+    units = F.regexp_count(col, F.lit(r"\\text\{ "))
     s = _replace_all(col, [
         ("\n", ""), ("\\!", ""), ("\\\\", "\\"), ("tfrac", "frac"), ("dfrac", "frac"), ("\\left", ""),
         ("\\right", ""), ("^{\\circ}", ""), ("^\\circ", ""), ("\\$", ""),
     ])
-    s = F.when(F.regexp_count(s, F.lit(r"\\text\{ ")) == 1, F.substring_index(s, "\\text{ ", 1)).otherwise(s)
+    s = F.when(units == 1, F.substring_index(s, "\\text{ ", 1)).otherwise(s)
     s = _replace_all(s, [("\\%", ""), (" .", " 0."), ("{.", "{0.")])
     s = F.when(s.startswith("."), F.concat(F.lit("0"), s)).otherwise(s)
     s = F.regexp_replace(s, r"^[^=]{0,2}=([^=]*)$", "$1")
     s = F.regexp_replace(s, r"(?s)\\sqrt([^{])", r"\\sqrt{$1}")
     s = F.replace(s, F.lit(" "), F.lit(""))
-    s = F.regexp_replace(s, r"\\frac([^{])([^{])", r"\\frac{$1}{$2}")
-    s = F.regexp_replace(s, r"\\frac([^{])\{", r"\\frac{$1}{")
+    # What follows each fraction: nothing (unreadable), one character (all fractions stay as they are), or enough.
+    after = F.array_join(F.transform(F.slice(F.split(s, r"\\frac", -1), 2, 1 << 30), lambda p: F.when(p == "", "e").when((F.length(p) == 1) & (p != "{"), "s").otherwise("-")), "")
+    first_odd = F.regexp_extract(after, "[es]", 0)
+    unreadable = (units > 1) | F.rlike(s, F.lit(r"\\sqrt(?:\\sqrt|$)")) | (first_odd == "e")
+    braced = F.regexp_replace(F.regexp_replace(s, r"\\frac([^{])([^{])", r"\\frac{$1}{$2}"), r"\\frac([^{])\{", r"\\frac{$1}{")
+    s = F.when(unreadable, F.lit(None)).when(first_odd == "s", s).otherwise(braced)
     s = F.when(s == "0.5", F.lit("\\frac{1}{2}")).otherwise(s)
     return F.regexp_replace(s, r"^(0|-?[1-9][0-9]*)/(0|-?[1-9][0-9]*)$", r"\\frac{$1}{$2}")
 
@@ -136,7 +146,9 @@ def normalize_latex(col: Column) -> Column:
 def score_boxed(output: Column, truth: Column) -> Column:
     """1 when the last boxed body equals the truth after LaTeX normalisation."""
     body = last_boxed(output)
-    return F.coalesce(F.when(normalize_latex(body) == normalize_latex(truth), F.lit(1.0)), F.lit(0.0))
+    left, right = latex_form(body), latex_form(truth)
+    same = F.when(left.isNull() | right.isNull(), body == truth).otherwise(left == right)
+    return F.coalesce(F.when(same, F.lit(1.0)), F.lit(0.0))
 
 
 def score_boxed_equal(output: Column, truth: Column) -> Column:

@@ -126,6 +126,13 @@ def tokens_by_role(df: DataFrame, conv: str, role: str, text: str) -> DataFrame:
     return df.groupBy(conv, role).agg(F.sum(token_count(text)).alias("tokens"))
 
 
+def words_after_prompt(messages: Column, prompt: Column) -> Column:
+    """White-space words in the turns that follow a prompt of as many turns; both are arrays, messages with ``content``."""
+    later = F.slice(messages, F.size(prompt) + 1, F.greatest(F.size(messages) - F.size(prompt), F.lit(0)))
+    words = lambda m: F.size(F.filter(F.split(m["content"], r"\s+"), lambda w: w != ""))
+    return F.aggregate(F.transform(later, words), F.lit(0), lambda acc, n: acc + n)
+
+
 def length_histogram(df: DataFrame, value: Column, edges: Sequence[float]) -> DataFrame:
     """Rows per half-open bin, with percent and running percent of all rows (also those outside the bins)."""
     bin_no = F.lit(None).cast("int")

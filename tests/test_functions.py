@@ -250,3 +250,26 @@ def test_token_arrays(spark):
     p = spark.createDataFrame([([0.0, 100.0], [0.5, -100.0])], "a array<double>, b array<double>")
     k3 = p.select(A.kl_penalty(F.col("a"), F.col("b"), "k3")).first()[0]
     assert k3[0] == pytest.approx(2.718281828 ** 0.5 - 1.5) and k3[1] == 10.0
+
+
+def test_unreadable_latex_is_compared_as_it_is(spark):
+    forms = ["\\frac12", "\\frac1\\frac23", "\\frac", "a\\sqrt", "3\\text{ cm}", "3\\text{ cm}\\text{ x}", "\\sqrt2"]
+    assert values(spark, forms, S.latex_form) == ["\\frac{1}{2}", "\\frac1\\frac23", None, None, "3", None, "\\sqrt{2}"]
+    boxed = lambda c: S.score_boxed(F.concat(F.lit("\\boxed{"), c, F.lit("}")), c)
+    assert values(spark, forms, boxed) == [1.0] * len(forms)
+    assert values(spark, ["3\\text{ cm}\\text{ x}"], lambda c: S.score_boxed(F.lit("\\boxed{3}"), c)) == [0.0]
+
+
+def test_dated_results(spark):
+    block = "Found 2\n\n## Web Results\n1. [One](https://a.example/1)\nDate published: May 3, 2024\n\nfirst\nline\n\n2. [Two](https://a.example/2)\n\nsecond\n"
+    assert [tuple(r) for r in values(spark, [block], T.parse_dated_results)[0]] == [
+        (1, "One", "https://a.example/1", "May 3, 2024", "first\nline"), (2, "Two", "https://a.example/2", None, "second")]
+
+
+def test_response_part_and_words_after_prompt(spark):
+    from scoutmill.operators.metrics import words_after_prompt
+
+    df = spark.createDataFrame([([1, 1, 0, 1], [5, 6]), ([1, 0], [])], "m array<int>, r array<int>")
+    assert [r[0] for r in df.select(A.response_part(F.col("m"), F.col("r"))).collect()] == [[0, 1], []]
+    turns = spark.createDataFrame([(["a"], [("x y",), ("one two",), (" three ",)]), (["a", "b"], [("x",)])], "p array<string>, m array<struct<content:string>>")
+    assert [r[0] for r in turns.select(words_after_prompt(F.col("m"), F.col("p"))).collect()] == [3, 0]
