@@ -172,31 +172,30 @@ def _(t):
     return number_rows(t.orders.withColumn("s", score), [F.col("s").desc(), F.col("o_orderkey")], "place").select("o_orderkey", "place")
 
 
-@query("sample_titles")
+@query("sample_titles", """SELECT p_name AS title, 'https://en.wikipedia.org/w/index.php?title=' || replace(p_name, ' ', '_') || '&action=history&offset=&limit=2000' AS history_url FROM part ORDER BY md5(concat_ws(':', '42', p_name)), p_name LIMIT 25""")
 def _(t):
     return B.sample_titles(t.part.select(F.col("p_name").alias("title")), 25)
 
 
-@query("cap_per_source", """SELECT source, least(count(*), 5) AS n FROM documents GROUP BY source""")
+@query("cap_per_source", """SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(concat_ws(':', '42', doc_id)), doc_id) AS r FROM documents) WHERE r <= 5""")
 def _(t):
-    return B.cap_per_source(t.documents.select("doc_id", "source"), 5, "source", ["doc_id"]).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return B.cap_per_source(t.documents.select("doc_id", "source"), 5, "source", ["doc_id"]).select("doc_id", "source")
 
 
-@query("shuffle", """SELECT count(*) AS n, count(DISTINCT o_orderkey) AS keys, 1 AS first, count(*) AS last, count(*) AS places FROM orders""", longs=("first",))
+@query("shuffle", """SELECT o_orderkey, row_number() OVER (ORDER BY md5(concat_ws(':', '42', o_orderkey)), o_orderkey) AS position FROM orders""")
 def _(t):
-    s = B.shuffle(t.orders.select("o_orderkey"), ["o_orderkey"])
-    return s.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_orderkey").alias("keys"), F.min("position").alias("first"), F.max("position").alias("last"), F.countDistinct("position").alias("places"))
+    return B.shuffle(t.orders.select("o_orderkey"), ["o_orderkey"])
 
 
-@query("train_test_split", """SELECT 'train' AS split, CAST(floor(count(*) * 0.9::DOUBLE) AS BIGINT) AS n FROM orders UNION ALL SELECT 'test', CAST(count(*) - floor(count(*) * 0.9::DOUBLE) AS BIGINT) FROM orders""")
+@query("train_test_split", """SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY md5(concat_ws(':', '42', o_orderkey)), o_orderkey) <= (SELECT floor(count(*) * 0.9::DOUBLE) FROM orders) THEN 'train' ELSE 'test' END AS split FROM orders""")
 def _(t):
-    return B.split(t.orders.select("o_orderkey"), 0.9, ["o_orderkey"]).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    return B.split(t.orders.select("o_orderkey"), 0.9, ["o_orderkey"]).select("o_orderkey", "split")
 
 
-@query("choose_rows", """SELECT 30 AS n, 0 AS low FROM orders HAVING count(*) >= 30""", longs=("n", "low"))
+@query("choose_rows", """SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F' ORDER BY left(md5(concat_ws(':', '42', o_orderkey)), 13) DESC, o_orderkey LIMIT 30""")
 def _(t):
     picked = B.choose_rows(t.orders, lambda df: df.select("o_orderkey", F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0).alias("weight")), "o_orderkey", 30)
-    return picked.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") != "F").alias("low"))
+    return picked.select("o_orderkey", "o_orderstatus")
 
 
 def batches(t):

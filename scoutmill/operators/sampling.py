@@ -15,9 +15,14 @@ from scoutmill.operators.groups import map_groups, top_rows
 from scoutmill.operators.ordering import number_rows, with_row_count
 
 
+def draw(key: Sequence[str], seed: int) -> Column:
+    """Seeded random text of a row's key: md5, which any other engine can repeat."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
+
+
 def seeded(key: Sequence[str], seed: int) -> list[Column]:
     """Order by a hash of the key: a shuffle that any task can compute for its rows."""
-    return [F.xxhash64(F.lit(seed), *key), *[F.col(k) for k in key]]
+    return [draw(key, seed), *[F.col(k) for k in key]]
 
 
 def sample_rows(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataFrame:
@@ -72,7 +77,7 @@ def choose_rows(df: DataFrame, sampler, row_id: str, n: int, seed: int = 42) ->
     Weighted keys u^(1/w) keep the n largest, so each task keeps n rows.
     """
     weights = sampler(df).select(row_id, F.col("weight").alias("_w"))
-    u = (F.pmod(F.xxhash64(F.lit(seed), row_id), F.lit(1 << 52)) + 1) / F.lit(float(1 << 52))
+    u = (F.conv(F.substring(draw([row_id], seed), 1, 13), 16, 10).cast("long") + 1) / F.lit(float(1 << 52))
     keyed = df.join(weights, row_id).filter(F.col("_w") > 0).withColumn("_k", F.log(u) / F.col("_w"))
     return keyed.orderBy(F.col("_k").desc(), F.col(row_id)).limit(n).drop("_w", "_k")
 
