@@ -1,4 +1,4 @@
-"""The four end-to-end jobs, each one lazy plan over Spark frames."""
+"""The four end-to-end jobs over Spark frames; numbering and kept tables run jobs while a plan is built."""
 
 from __future__ import annotations
 
