@@ -138,7 +138,8 @@ def removed_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
     marks = mark_lines(docs, min_words)
     classes = keep(marks.groupBy(*LINE).agg(F.min(F.struct(*PLACE)).alias("first")))
     near = nearest_earlier(neighbour_lines(docs, marks, classes))
-    verdict = classes.join(near, LINE, "left").select(*LINE, F.least("first", F.coalesce("near", "first")).alias("earliest"))
+    # Kept, so that the join below has two plain shuffles and Spark can split the class of a very common line.
+    verdict = keep(classes.join(near, LINE, "left").select(*LINE, F.least("first", F.coalesce("near", "first")).alias("earliest")))
     gone = marks.select(*PLACE, *LINE).join(verdict, LINE).where(~F.struct(*PLACE).eqNullSafe(F.col("earliest")))
     return gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
