@@ -253,8 +253,10 @@ def jaccard_classes(
     counts = links.groupBy("id").agg(F.sum("n_links").alias("n_links"))
     roots = components(links.select(F.col("id").alias("a"), F.col("towards").alias("b"))).withColumnRenamed("node", "id")
     named = keep(text_id(docs).select("doc_id", "id"))
-    placed = named.join(roots, "id", "left").select("doc_id", "id", F.coalesce("root", "id").alias("root"))
-    classes = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    copies = named.groupBy("id").agg(F.count("*").alias("n_copies"))
-    out = placed.join(classes, "root").join(copies, "id").join(counts, "id", "left")
-    return out.select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies")
+    texts_of = named.groupBy("id").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"))
+    placed = texts_of.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    classes = placed.groupBy("root").agg(F.min("least").alias("class_id"))
+    linked = placed.join(classes, "root").join(counts, "id", "left")
+    # One row per text, kept: the join with all documents then has two plain shuffles, and Spark can split a text of very many copies.
+    found = keep(linked.select("id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_copies"))
+    return named.join(found, "id").select("doc_id", "class_id", "n_links", "n_copies")
