@@ -2,16 +2,17 @@
 
 The CGK embedding walks over a window of words and, at every step, writes the
 word it stands on and moves on by a random bit that depends on step and word.
-Two windows at a small edit distance fall into step again after each edit, so
-their walks differ in few places: edit distance becomes Hamming distance. A hash
-of a few sampled steps then agrees often for close windows and hardly ever for
-others; several independent walks, and a window at every word of an item, give
-the target recall. Every agreement is verified by the exact word edit distance
-between the item and the best stretch of the document around it.
-
-Windows are as long as items allow (the largest power of two up to 16 words that
-an item holds). Items are read in blocks of bounded size, each shipped to one
-pass over the documents; documents are never shuffled or cut.
+A walk stays in its window, so windows without an edit have equal walks. Of an
+item of n words with k edits, n - k words at least stay, in k + 1 runs at most:
+one run holds ceil((n - k) / (k + 1)) words or more. Windows of that length at
+every word of item and document therefore meet whatever the edits are, and the
+search misses no item within the distance. A hash of the sampled steps of all
+walks finds the windows that agree, their words are compared, and each
+agreement is verified by the exact word edit distance between the item and the
+best stretch of the document around it.
+
+Items are read in blocks of bounded size, each shipped to one pass over the
+documents; documents are never shuffled or cut.
 
 Defined cases: null or empty texts and items match nothing; items under four
 words must match exactly in all words that the distance allows (one edit in five
@@ -33,10 +34,9 @@ from scoutmill.llm.shingles import mix
 
 # Marks around words that do not count.
 MARKS = "\"'“”‘’«»„()[]{}<>.,;:!?…*_#-–—|/\\`~"
-WINDOWS = (16, 8, 4, 2, 1)
+#: Longest window; items whose runs without an edit are longer have several in each.
+LONGEST = 16
 SAMPLED = 5
-#: Share of a window's steps that must agree before the edit distance is computed.
-NEAR_SHARE = 0.7
 #: Items of one pass: their words together stay below this.
 BLOCK_WORDS = 1_000_000
 CHUNK_WORDS = 400_000
@@ -52,6 +52,12 @@ def largest_distance(n: int, share: float) -> int:
     return int(n * share + 1e-9)
 
 
+def sure_window(n: int, share: float) -> int:
+    """Words of the longest run that every allowed edit of an item of ``n`` words leaves as it is, up to ``LONGEST``."""
+    edits = largest_distance(n, share)
+    return max(1, min(LONGEST, -(-(n - edits) // (edits + 1))))
+
+
 def edit_in(item: list[int], text: list[int]) -> tuple[int, int]:
     """(distance, end) of the best stretch of ``text`` for ``item``, by bit-parallel dynamic programming; the earliest end wins ties."""
     places: dict[int, int] = {}
@@ -107,14 +113,15 @@ def walk_keys(words: np.ndarray, turns: np.ndarray, starts: np.ndarray, window:
 
 @dataclass
 class ItemBlock:
-    """Items of one pass: their words as numbers, and for each window size and walk the sorted keys with item and place."""
+    """Items of one pass: their words as numbers, and for each window size the sorted keys with item and place."""
 
     ids: list
     vocabulary: dict[str, int]
     items: list[list[int]]
-    tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
-    starts: list[int]
+    tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    starts: np.ndarray
     flat: np.ndarray
+    walks: int
 
 
 def word_number(at: int) -> int:
@@ -122,27 +129,33 @@ def word_number(at: int) -> int:
     return int(mix(np.array([at + 1], dtype=np.uint64))[0]) | 1
 
 
-def build_block(rows: list[tuple], walks: int) -> ItemBlock:
+def joined_keys(words: np.ndarray, starts: np.ndarray, window: int, walks: int) -> np.ndarray:
+    """Hash of the sampled steps of all walks from every start."""
+    key = np.zeros(len(starts), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for seed in range(walks):
+            key = mix(key + walk_keys(words, turns_of(words, seed), starts, window, seed))
+    return key
+
+
+def build_block(rows: list[tuple], share: float, walks: int) -> ItemBlock:
     vocabulary: dict[str, int] = {}
     ids, items = [], []
     for name, words in rows:
         ids.append(name)
         items.append([vocabulary.setdefault(w, word_number(len(vocabulary))) for w in words])
     flat = np.array([w for words in items for w in words], dtype=np.uint64)
-    first = np.cumsum([0, *map(len, items)]).tolist()
+    first = np.cumsum([0, *map(len, items)])
+    windows = [sure_window(len(words), share) for words in items]
     tables = {}
-    for window in WINDOWS:
-        own = [(i, len(words) - window + 1) for i, words in enumerate(items) if next(w for w in WINDOWS if w <= len(words)) == window]
-        if not own:
-            continue
+    for window in sorted(set(windows)):
+        own = [(i, len(words) - window + 1) for i, words in enumerate(items) if windows[i] == window]
         item = np.array([i for i, n in own for _ in range(n)], dtype=np.int64)
         place = np.array([k for _, n in own for k in range(n)], dtype=np.int64)
-        starts = np.array([first[i] + k for i, n in own for k in range(n)], dtype=np.int64)
-        for seed in range(walks):
-            keys = walk_keys(flat, turns_of(flat, seed), starts, window, seed)
-            order = np.argsort(keys, kind="stable")
-            tables[window, seed] = (keys[order], item[order], place[order])
-    return ItemBlock(ids, vocabulary, items, tables, first, flat)
+        keys = joined_keys(flat, first[item] + place, window, walks)
+        order = np.argsort(keys, kind="stable")
+        tables[window] = (keys[order], item[order], place[order])
+    return ItemBlock(ids, vocabulary, items, tables, first, flat, walks)
 
 
 class Numbers(dict):
@@ -167,28 +180,26 @@ def find_in(texts: list[str], block: ItemBlock, numbers: Numbers, share: float)
         base += len(own)
         parts.append(own)
         owners.append(len(own))
-    words = np.concatenate([*parts, np.zeros(WINDOWS[0], dtype=np.uint64)])
+    words = np.concatenate([*parts, np.zeros(LONGEST, dtype=np.uint64)])
     owner = np.repeat(np.arange(len(texts)), owners)
     met = []
-    starts = np.arange(base, dtype=np.int64)
-    known = starts[words[:base] != 0]  # the first step writes or leaves a word that items hold
-    for (window, seed), (keys, item, place) in block.tables.items():
-        from_ = starts if 0 not in sampled_steps(window, seed) else known
-        turns = turns_of(words, seed)
-        found = walk_keys(words, turns, from_, window, seed)
+    known, reach = np.arange(base, dtype=np.int64), 0
+    for window, (keys, item, place) in block.tables.items():
+        for step in range(reach, window):  # windows grow, and all their words must be of items
+            known = known[words[known + step] != 0]
+        reach = window
+        found = joined_keys(words, known, window, block.walks)
         low = np.searchsorted(keys, found, "left")
         hit = np.flatnonzero(keys[np.minimum(low, len(keys) - 1)] == found)
         high = np.searchsorted(keys, found[hit], "right")
         counts = high - low[hit]
         which = np.repeat(low[hit], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        at = np.repeat(from_[hit], counts)
-        # Close windows have walks at a small Hamming distance; chance agreements of the sampled steps do not.
-        theirs = np.array(block.starts, dtype=np.int64)[item[which]] + place[which]
-        equal = sum((mine == other).astype(np.int64) for mine, other in zip(
-            walk(words, turns, at, window), walk(block.flat, turns_of(block.flat, seed), theirs, window), strict=True)) if len(at) else np.zeros(0)
-        near = equal >= window * NEAR_SHARE
-        slot = (at[near] - place[which][near]) // 8 + 2**20
-        met.append((owner[at[near]] * len(block.items) + item[which][near]) * 2**40 + slot)
+        at = np.repeat(known[hit], counts)
+        # Walks need not stand on every word of their window: the words themselves decide.
+        theirs = block.starts[item[which]] + place[which]
+        same = np.logical_and.reduce([words[at + step] == block.flat[theirs + step] for step in range(window)])
+        at, which = at[same], which[same]
+        met.append((owner[at] * len(block.items) + item[which]) * 2**40 + (at - place[which]) // 8 + 2**20)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for packed in np.unique(np.concatenate(met)).tolist() if met else []:
         (t, i), slot = divmod(packed >> 40, len(block.items)), (packed & 2**40 - 1) - 2**20
@@ -225,7 +236,7 @@ def item_blocks(items: DataFrame, key: str) -> Iterator[list[tuple]]:
 
 
 def leaks_of_block(docs: DataFrame, rows: list[tuple], share: float, walks: int, item_type: str) -> DataFrame:
-    block = build_block(rows, walks)
+    block = build_block(rows, share, walks)
     arrow_item = pa.array(block.ids).type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,8 +266,8 @@ def leaks_of_block(docs: DataFrame, rows: list[tuple], share: float, walks: int,
 def find_leaks(docs: DataFrame, items: DataFrame, share: float = 0.2, walks: int = 4) -> DataFrame:
     """(doc_id, item_id, distance, start_word, end_word): items that a document holds within ``share`` of their words edited.
 
-    ``items`` has ``item_id`` and ``text``. With ``walks`` walks from every word
-    of an item, measured recall at one edit in ten words is above 0.99.
+    ``items`` has ``item_id`` and ``text``. All such items are found; more
+    ``walks`` from every word only make chance agreements of windows rarer.
     """
     item_type = items.schema["item_id"].dataType.simpleString()
     out = None

@@ -131,6 +131,25 @@ def test_leaks_with_edits_are_found(spark):
         assert row[-1] == r["distance"] <= 0.2 * len(a)
 
 
+def edited(rng, words, edits):
+    """``words`` after ``edits`` substitutions, insertions and deletions, all spread evenly or all drawn."""
+    words = list(words)
+    places = [round((k + 0.5) * len(words) / edits) for k in range(edits)] if rng.random() < 0.5 else rng.sample(range(len(words)), edits)
+    for at in sorted(places, reverse=True):
+        words[at : at + 1] = rng.choice([["new"], [], [*words[at : at + 1], "new"]])
+    return words
+
+
+def test_every_leak_within_the_bound_is_found(spark):
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    items = [(100 * n + k, rng.sample(vocabulary, n)) for n in range(4, 61) for k in range(6)]
+    docs = [(i, " ".join([*rng.sample(vocabulary, 20), *edited(rng, words, len(words) // 5), *rng.sample(vocabulary, 20)])) for i, words in items]
+    found = edit_decontaminate.find_leaks(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")).collect()
+    assert {i for i, _ in items} <= {r["doc_id"] for r in found if r["doc_id"] == r["item_id"]}
+
+
 def near_texts(rng, groups=30):
     vocabulary = [f"v{i}" for i in range(3000)]
     rows = []
