@@ -158,6 +158,16 @@ def build_block(rows: list[tuple], share: float, walks: int) -> ItemBlock:
     return ItemBlock(ids, vocabulary, items, tables, first, flat, walks)
 
 
+def distinct_rows(*columns: np.ndarray) -> Iterator[tuple[int, ...]]:
+    """Distinct rows of integer columns, in order; kept apart as columns, so no product of their ranges can wrap."""
+    order = np.lexsort(columns[::-1])
+    sorted_ = [c[order] for c in columns]
+    new = np.ones(len(order), dtype=bool)
+    if len(order):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in sorted_])
+    return zip(*(c[new].tolist() for c in sorted_), strict=True)
+
+
 class Numbers(dict):
     """Number of a written form: of its plain word in the items, 0 for all others, None for marks alone."""
 
@@ -182,7 +192,7 @@ def find_in(texts: list[str], block: ItemBlock, numbers: Numbers, share: float)
         owners.append(len(own))
     words = np.concatenate([*parts, np.zeros(LONGEST, dtype=np.uint64)])
     owner = np.repeat(np.arange(len(texts)), owners)
-    met = []
+    met: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     known, reach = np.arange(base, dtype=np.int64), 0
     for window, (keys, item, place) in block.tables.items():
         for step in range(reach, window):  # windows grow, and all their words must be of items
@@ -199,10 +209,9 @@ def find_in(texts: list[str], block: ItemBlock, numbers: Numbers, share: float)
         theirs = block.starts[item[which]] + place[which]
         same = np.logical_and.reduce([words[at + step] == block.flat[theirs + step] for step in range(window)])
         at, which = at[same], which[same]
-        met.append((owner[at] * len(block.items) + item[which]) * 2**40 + (at - place[which]) // 8 + 2**20)
+        met.append((owner[at], item[which], (at - place[which]) // 8))
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for packed in np.unique(np.concatenate(met)).tolist() if met else []:
-        (t, i), slot = divmod(packed >> 40, len(block.items)), (packed & 2**40 - 1) - 2**20
+    for t, i, slot in distinct_rows(*map(np.concatenate, zip(*met, strict=True))) if met else ():
         target = block.items[i]
         limit = largest_distance(len(target), share)
         low, high = max(0, slot * 8 - bases[t] - limit), min(owners[t], slot * 8 - bases[t] + 8 + len(target) + limit)

@@ -150,6 +150,16 @@ def test_every_leak_within_the_bound_is_found(spark):
     assert {i for i, _ in items} <= {r["doc_id"] for r in found if r["doc_id"] == r["item_id"]}
 
 
+def test_leaks_among_many_items_and_short_texts():
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    rows = [(i, rng.sample(vocabulary, 12)) for i in range(3000)]
+    texts = [" ".join(words) for _, words in rows]  # 9 million pairs of text and item in one chunk
+    block = edit_decontaminate.build_block(rows, 0.2, 4)
+    found = edit_decontaminate.find_in(texts, block, edit_decontaminate.Numbers(block.vocabulary), 0.2)
+    assert {(t, i) for t, i, distance, _, _ in found if not distance} == {(i, i) for i in range(3000)}
+
+
 def near_texts(rng, groups=30):
     vocabulary = [f"v{i}" for i in range(3000)]
     rows = []
