@@ -2,15 +2,21 @@
 
 Protected entities (e-mail addresses, IP addresses, card and phone numbers) are
 found by pattern in every whole text. The corpus then tells which other terms
-give an entity away: for a term t written near an entity e, the pointwise
+give an entity away: for a term t in a text that holds an entity e, the pointwise
 mutual information log2(N n(e,t) / (n(e) n(t))) over documents is what reading t
 tells about e, out of log2(N / n(e)) that there is to know. Terms that tell more
-than ``disclosure`` of it, in at least ``min_contexts`` different surroundings,
-become spans too: digits in them are generalised, other terms removed.
+than ``disclosure`` of it become spans at all their places, in texts with and
+without the entity: digits in them are generalised, other terms removed.
 
-Patterns run once per text, and their findings are kept as a small table; terms
-and entities are counted by aggregations that add up before they shuffle.
-Surroundings are told apart by a hash, so copies of a text are one witness.
+A term needs ``min_contexts`` places of the entity in texts that hold both. Of an
+entity with a single place, every rare word of its text would tell everything,
+so all of them would go, and nothing in the corpus says which of them belong to
+it: with 2, such an entity gets no terms; 1 takes all those words out.
+Places in copies of a text count once.
+
+Entity patterns run once per text, and their findings are kept as a small table;
+terms and entities are counted by aggregations that add up before they shuffle.
+The most frequent terms that tell nothing leave before terms are dealt out.
 
 Defined cases: a null text is empty; a text without findings has zero counts, an
 empty span string and the hash of the empty string; null ids are kept; rows with
@@ -36,7 +42,8 @@ CARD = r"[0-9](?<![0-9][0-9])(?<![0-9][\x20-][0-9])(?:[\x20-]?[0-9]){13,18}+(?![
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"[\p{L}\p{N}][\p{L}\p{N}_'-]{2,}"
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
-NEAR = 60
+#: Most frequent terms that are shipped to all tasks, so that those of them that disclose nothing are not shuffled.
+COMMON = 20_000
 
 
 def matches(text: Column, pattern: str, kind: int, gate: Column) -> Column:
@@ -84,64 +91,66 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def find_entities(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, spans, near): base spans, and the text on both sides of each within its line; kept as a table."""
+def distinct_terms(text: Column) -> Column:
+    """Different terms of a text in small letters."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+
+
+def term_spans(text: Column, terms: Column) -> Column:
+    """Spans of all places of ``terms``, by one pass over the text's terms."""
+    found, gaps = F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.split(text, TERM, -1)
+    pairs = F.zip_with(F.slice(gaps, 1, F.size(gaps) - 1), found, lambda gap, value: F.struct(F.length(gap).alias("gap"), value.alias("value")))
+    start = lambda acc, x: acc["at"] + x["gap"]
+    end = lambda acc, x: start(acc, x) + F.length(x["value"])
+    return F.aggregate(
+        pairs, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans")),
+        lambda acc, x: F.struct(
+            end(acc, x).alias("at"),
+            F.when(F.array_contains(terms, F.lower(x["value"])), F.array_append(acc["spans"], F.struct(
+                start(acc, x).alias("start"), F.lit(4).alias("kind"), end(acc, x).alias("end"), F.lower(x["value"]).alias("value")))).otherwise(acc["spans"]).alias("spans")),
+        lambda acc: acc["spans"])
+
+
+def keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text"), entity_spans(text).alias("spans"))
-    low = lambda s: F.greatest(s["start"] - NEAR, F.lit(0))
-    before = lambda s: F.substring(F.col("text"), low(s) + 1, s["start"] - low(s))
-    after = lambda s: F.substring(F.col("text"), s["end"] + 1, F.lit(NEAR))
-    near = F.transform("spans", lambda s: F.struct(low(s).alias("low"), before(s).alias("before"), after(s).alias("after")))
-    return keep(found.select("doc_id", "text_hash", "spans", near.alias("near")))
-
-
-def near_terms(found: DataFrame, words: int) -> DataFrame:
-    """One row per (entity, term) occurrence: up to ``words`` whole terms on either side of the entity, on its line."""
-    rows = found.where(F.size("spans") > 0).select("doc_id", "text_hash", F.inline(F.arrays_zip("spans", "near")))
-    before, after = F.col("near.before"), F.col("near.after")
-    # A term that the window cuts through is no whole term: left of it up to a blank, right of it from the last blank on.
-    cut_left = F.when(F.col("near.low") > 0, F.length(F.regexp_extract(before, r"^[^\s]*", 0))).otherwise(F.lit(0))
-    line_start = F.greatest(cut_left, F.length(F.regexp_extract(before, r"(?s)^.*\n", 0)))
-    left = F.substring(before, line_start + 1, F.lit(NEAR))
-    line = F.regexp_extract(after, r"^[^\n]*", 0)
-    right = F.when((F.length(line) == NEAR), F.regexp_replace(line, r"[^\s]*$", "")).otherwise(line)
-    left_terms = matches(left, TERM, 4, F.lit(True))
-    right_terms = matches(right, TERM, 4, F.lit(True))
-    shifted = F.concat(
-        F.transform(F.slice(left_terms, F.greatest(F.size(left_terms) - words + 1, F.lit(1)), F.lit(words)), lambda s: F.struct(
-            (s["start"] + F.col("near.low") + line_start).alias("start"), (s["end"] + F.col("near.low") + line_start).alias("end"), s["value"].alias("value"))),
-        F.transform(F.slice(right_terms, 1, words), lambda s: F.struct(
-            (s["start"] + F.col("spans.end")).alias("start"), (s["end"] + F.col("spans.end")).alias("end"), s["value"].alias("value"))))
-    occurrences = rows.select(
-        "doc_id", "text_hash", F.concat_ws(":", F.col("spans.kind").cast("string"), F.lower("spans.value")).alias("entity"),
-        F.xxhash64(left, right).alias("context"), F.explode(shifted).alias("t"))
-    return occurrences.select("doc_id", "text_hash", "entity", "context", F.lower("t.value").alias("term"), "t.start", "t.end")
-
-
-def disclosing_terms(docs: DataFrame, found: DataFrame, occurrences: DataFrame, disclosure: float, min_contexts: int) -> DataFrame:
-    """(entity, term) pairs whose term tells more than ``disclosure`` of the entity's information."""
-    pairs = occurrences.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= min_contexts)
-    together = occurrences.select("entity", "term", "doc_id", "text_hash").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    entities = found.select(F.col("doc_id"), F.col("text_hash"), F.explode(F.array_distinct(F.transform(
-        "spans", lambda s: F.concat_ws(":", s["kind"].cast("string"), F.lower(s["value"]))))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    candidates = keep(pairs.join(together, ["entity", "term"]).join(entities, "entity"))
-    # Each text's own words count once; tasks add theirs up before the shuffle.
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))
-    vocabulary = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    scored = candidates.join(vocabulary, "term")
-    n = found.count()
-    told = F.log2(F.lit(float(max(n, 1))) * F.col("n_both") / (F.col("n_entity") * F.greatest("n_term", "n_both")))
-    known = F.log2(F.lit(float(max(n, 1))) / F.col("n_entity"))
-    return scored.where((known > 0) & (told > disclosure * known)).select("entity", "term", (told / known).alias("told"))
-
-
-def sanitise(docs: DataFrame, disclosure: float = 0.8, min_contexts: int = 2, words: int = 3) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text"))
+
+
+def find_entities(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, spans, terms): base spans, and the different terms of texts that have any; kept as a table."""
+    found = keyed(docs).withColumn("spans", entity_spans(F.col("text")))
+    return keep(found.select("doc_id", "text_hash", "spans", F.when(F.size("spans") > 0, distinct_terms(F.col("text"))).alias("terms")))
+
+
+def disclosing_terms(found: DataFrame, vocabulary: DataFrame, disclosure: float, min_contexts: int) -> DataFrame:
+    """Terms that tell more than ``disclosure`` of some entity's information; counts are of rows."""
+    names = F.transform("spans", lambda s: F.concat_ws(":", s["kind"].cast("string"), F.lower(s["value"])))
+    places = lambda e: F.struct(e.alias("entity"), F.size(F.filter("names", lambda x: x == e)).alias("places"))
+    holding = found.where(F.size("spans") > 0).select("text_hash", "terms", names.alias("names")).select(
+        "text_hash", "terms", F.inline(F.transform(F.array_distinct("names"), places)))
+    entities = holding.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    # Rows of a text are added up first, so that copies bring their places once and their rows all.
+    once = holding.groupBy("text_hash", "entity").agg(F.count("*").alias("n_rows"), F.first("places").alias("places"), F.first("terms").alias("terms"))
+    together = once.select("entity", "n_rows", "places", F.explode("terms").alias("term")).groupBy("entity", "term").agg(
+        F.sum("n_rows").alias("n_both"), F.sum("places").alias("contexts")).where(F.col("contexts") >= min_contexts)
+    scored = together.join(entities, "entity").join(vocabulary, "term")
+    n = F.lit(float(max(found.count(), 1)))
+    told, known = F.log2(n * F.col("n_both") / (F.col("n_entity") * F.col("n_term"))), F.log2(n / F.col("n_entity"))
+    return keep(scored.where((known > 0) & (told > disclosure * known)).select("term").distinct())
+
+
+def sanitise(docs: DataFrame, disclosure: float = 0.8, min_contexts: int = 2) -> DataFrame:
     """One row per input row: doc_id, text_hash, ``base`` spans and ``spans`` with the disclosing terms added."""
     found = find_entities(docs)
-    occurrences = near_terms(found, words)
-    giving = disclosing_terms(docs, found, occurrences, disclosure, min_contexts)
-    more = occurrences.join(giving, ["entity", "term"]).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct(
-        F.col("start"), F.lit(4).alias("kind"), F.col("end"), F.col("term").alias("value"))).alias("more"))
+    texts = keyed(docs)
+    # Each text's own terms count once; tasks add theirs up before the shuffle.
+    vocabulary = keep(texts.select(F.explode(distinct_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")))
+    giving = disclosing_terms(found, vocabulary, disclosure, min_contexts)
+    common = vocabulary.orderBy(F.desc("n_term"), "term").limit(COMMON).select("term").join(giving, "term", "left_anti")
+    rare = texts.select("doc_id", "text_hash", F.explode(distinct_terms(F.col("text"))).alias("term")).join(F.broadcast(common), "term", "left_anti")
+    held = rare.join(giving, "term").groupBy("doc_id", "text_hash").agg(F.collect_set("term").alias("terms")).alias("h")
+    marked = texts.alias("t").join(held, F.col("t.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("t.text_hash") == F.col("h.text_hash")))
+    more = marked.select("t.doc_id", "t.text_hash", term_spans(F.col("t.text"), F.col("h.terms")).alias("more")).dropDuplicates(["doc_id", "text_hash"])
     base = found.select("doc_id", "text_hash", F.col("spans").alias("base")).alias("b")
     rows = base.join(more.alias("m"), F.col("b.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("b.text_hash") == F.col("m.text_hash")), "left")
     # A term inside an entity is covered already.
@@ -153,10 +162,8 @@ def sanitise(docs: DataFrame, disclosure: float = 0.8, min_contexts: int = 2, wo
 def masked(docs: DataFrame, sanitised: DataFrame) -> DataFrame:
     """(doc_id, text) with entities replaced by their kind, numbers among the terms generalised and other terms removed."""
     names = F.array(*[F.lit(k.upper()) for k in KINDS])
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_hash")).alias("d")
-    rows = keyed.join(sanitised.dropDuplicates(["doc_id", "text_hash"]).alias("s"),
-                      F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.text_hash") == F.col("s.text_hash")))
+    rows = keyed(docs).alias("d").join(sanitised.dropDuplicates(["doc_id", "text_hash"]).alias("s"),
+                                  F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.text_hash") == F.col("s.text_hash")))
     instead = lambda s: F.when(s["kind"] < 4, F.concat(F.lit("["), F.get(names, s["kind"]), F.lit("]"))).otherwise(
         F.when(F.rlike(s["value"], F.lit("[0-9]")), F.regexp_replace(s["value"], "[0-9]", "0")).otherwise(F.lit("")))
     done = F.aggregate(

@@ -248,6 +248,15 @@ def test_terms_that_disclose_become_spans(spark):
     assert "kestrelhouse" in got[0] and not any("said" in t for t in got.values()) and not got[10]
 
 
+def test_disclosing_terms_are_marked_wherever_they_stand(spark):
+    rows = [(0, "Kestrelhouse opens.\n" + "other text said nothing " * 40 + "\nmail anna@example.org, Kestrelhouse"), (1, "go to KESTRELHOUSE, then _kestrelhouse again")]
+    rows += [(2, "ask anna@example.org at Kestrelhouse"), *((10 + i, f"other text said nothing {i}") for i in range(200))]
+    got = {r["doc_id"]: r["spans"] for r in pii_sanitise.sanitise(spark.createDataFrame([*rows, rows[1]], "doc_id long, text string")).collect()}
+    for i, text in rows[:3]:
+        assert [(s["start"], s["end"]) for s in got[i] if s["kind"] == 4 and s["value"] == "kestrelhouse"] == [m.span() for m in re.finditer("kestrelhouse", text.lower())]
+    assert not any(s["value"] in ("other", "text", "said", "nothing") for spans in got.values() for s in spans) and not got[10]
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
