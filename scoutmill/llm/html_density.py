@@ -4,8 +4,10 @@ For every node of a page's tree: characters per tag, adjusted by how much of
 it is link text. A node's density sum adds the densities of its children; the
 node with the largest sum is the article. The least density on the path from
 that node up to the body is the page's threshold: any other subtree off that
-path that reaches the threshold and has text of its own is judged in the same
-way, so an article that a page splits into siblings is kept whole. Nodes that
+path that reaches the threshold and is not mostly links is kept too, so an
+article that a page splits into siblings is whole. An article or main element
+around the best node is taken with all it holds, and text that stands directly
+in a node of the path is a block of the article. Nodes that
 mark themselves as furniture (tags, roles, class or id words) are taken out
 before densities are counted.
 
@@ -198,8 +200,9 @@ def measure(root: Node) -> list[Node]:
     return nodes
 
 
-def article_nodes(root: Node) -> list[Node]:
-    """Subtrees of the main text: the largest density sum, then those beside its path that reach its threshold."""
+def article_nodes(root: Node) -> list[Node | str]:
+    """The main text in page order: the subtree of the largest density sum, or the outermost article or main around it,
+    subtrees beside its path that reach the path's threshold, and loose text of the path."""
     nodes = measure(root)
     best = max(reversed(nodes), key=lambda n: (n.total, n.density))
     if not best.chars:
@@ -210,21 +213,28 @@ def article_nodes(root: Node) -> list[Node]:
     while path[-1].parent is not None:
         path.append(path[-1].parent)
     threshold = min(n.density for n in path if n.chars)
-    chosen, on_path = [], set(map(id, path))
-    stack = [root]
+    best = next((n for n in reversed(path) if n.tag in ("article", "main")), best)
+    chosen: list[Node | str] = []
+    on_path = set(map(id, path))
+    stack: list[Node | str | None] = [root]
     while stack:
         node = stack.pop()
-        if node is best or id(node) not in on_path:
+        if node is None:
+            chosen.append(Node("hr", None))
+        elif isinstance(node, str):
+            chosen.append(node)
+        elif node is best or id(node) not in on_path:
             mostly_links = node.link_chars * 2 > node.chars
-            if node is best or node.chars and node.density >= threshold and not mostly_links:
+            if node is best or node.chars and (node.density >= threshold or node.tag not in BLOCK) and not mostly_links:
                 chosen.append(node)
-            continue
-        stack += [c for c in reversed(node.children) if isinstance(c, Node)]
+        else:  # loose text of a node on the path ends where a block of the path starts or ends
+            edge = [None] if node.tag in BLOCK else []
+            stack += [*edge, *reversed(node.children), *edge]
     return chosen
 
 
-def blocks_of(node: Node) -> list[str]:
-    """Text of a subtree by blocks: white space is one space, empty blocks go."""
+def blocks_of(nodes: list[Node | str]) -> list[str]:
+    """Text of subtrees and loose text by blocks: white space is one space, empty blocks go."""
     found, line = [], []
 
     def end() -> None:
@@ -233,7 +243,7 @@ def blocks_of(node: Node) -> list[str]:
             found.append(text)
         line.clear()
 
-    stack: list[Node | str | None] = [node]
+    stack: list[Node | str | None] = list(reversed(nodes))
     while stack:
         item = stack.pop()
         if item is None:
@@ -253,7 +263,7 @@ def main_text(html: str | None) -> str:
     """Blocks of the main text in page order, one per line."""
     if not html:
         return ""
-    return "\n".join(block for node in article_nodes(parse(html)) for block in blocks_of(node))
+    return "\n".join(blocks_of(article_nodes(parse(html))))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -334,6 +334,16 @@ def test_main_text_of_pages(spark):
     assert rows == [(0, "a", 1), (1, expected, len(expected)), (1, expected, len(expected)), (2, "", 0)]
 
 
+def test_loose_text_and_short_siblings_of_the_article_stay():
+    body = "<div><p>First paragraph with some words in it, long enough.</p><p>Second paragraph with some more words in it.</p></div>"
+    main = "First paragraph with some words in it, long enough.\nSecond paragraph with some more words in it."
+    for tag in ("article", "main"):
+        page = f"<nav>Home</nav><{tag}>Intro text{body}<h2>Short</h2><ul><li>a</li><li>b</li></ul>Closing <b>text</b></{tag}><footer>x</footer>"
+        assert html_density.main_text(page) == f"Intro text\n{main}\nShort\na\nb\nClosing text"
+    assert html_density.main_text(f"<body><div>Outer<div>Inner{body}</div>End</div></body>") == f"Outer\nInner\n{main}\nEnd"
+    assert html_density.main_text(f"<body><div>Loose text <i>goes</i> before{body}and after</div></body>") == f"Loose text goes before\n{main}\nand after"
+
+
 def test_license_rules():
     assert len(license_scan.RULES) > 300
     scan = license_scan.scan_text
