@@ -90,6 +90,33 @@ FAMILIES = [
     ("blueoak", "blue oak", r"blue oak model licen[sc]e", "1 0 0"),
     ("mulan", "mulan", r"mulan (?:psl|permissive software licen[sc]e)", "1|2"),
 ]
+# Short names and SPDX ids as (label, keyword, name, versions, whether the name alone is a licence). Names that
+# are not need a version, an SPDX tag or words like "licensed under" before them.
+SHORT = [
+    ("gpl", "gpl", r"(?:gnu )?gpl", "[123](?: 0)?", True), ("lgpl", "lgpl", r"(?:gnu )?lgpl", "2(?: [01])?|3(?: 0)?", True),
+    ("agpl", "agpl", r"(?:gnu )?agpl", "[13](?: 0)?", True), ("gfdl", "fdl", r"(?:gnu fdl|gfdl)", "1 [123]", True),
+    ("apache", "apache", "apache", "1 [01]|2(?: 0)?", False), ("mit-0", "mit 0", "mit 0", "", False), ("mit", "mit", "mit", "", False),
+    ("mit", "expat", "expat", "", False), ("x11", "x11", "x11", "", False), ("isc", "isc", "isc", "", False), ("0bsd", "0bsd", "0bsd", "", True),
+    ("bsd-2-clause", "bsd", "bsd ?2(?: clause)?", "", True), ("bsd-3-clause", "bsd", "bsd ?3(?: clause)?", "", True),
+    ("bsd-4-clause", "bsd", "bsd ?4(?: clause)?", "", True), ("bsd", "bsd", "bsd", "", False),
+    ("mpl", "mpl", "mpl", "1 [01]|2(?: 0)?", False), ("epl", "epl", "epl", "[12](?: 0)?", False), ("edl", "edl", "edl", "1 0", False),
+    ("cpl", "cpl", "cpl", "1 0", False), ("cddl", "cddl", "cddl", "1 [01]", True), ("eupl", "eupl", "eupl", "1 [012]", True),
+    ("cecill", "cecill", "cecill(?: [bc])?", "[12](?: [01])?", True), ("artistic", "artistic", "artistic", "[12] 0", False),
+    ("zlib", "zlib", "zlib", "", False), ("libpng", "libpng", "libpng", "2 0", False), ("boost", "bsl", "bsl", "1 0", False),
+    ("unlicense", "unlicense", "unlicense", "", True), ("wtfpl", "wtfpl", "wtfpl", "", True), ("cc0", "cc0", "cc0", "1 0", True),
+    ("python", "psf", "psf", "2(?: 0)?", False), ("python", "python", "python", "2 0(?: 1)?", False), ("php", "php", "php", "3 01?", False),
+    ("ruby", "ruby", "ruby", "", False), ("postgresql", "postgresql", "postgresql", "", False), ("openssl", "openssl", "openssl", "", False),
+    ("ms-pl", "ms pl", "ms pl", "", True), ("ms-rl", "ms rl", "ms rl", "", True), ("ofl", "ofl", "(?:sil )?ofl", "1 [01]", True),
+    ("odbl", "odbl", "odbl", "1 0", True), ("odc-by", "odc by", "odc by", "1 0", True), ("pddl", "pddl", "pddl", "1 0", True),
+    ("ogl-uk", "ogl", "ogl(?: uk)?", "[123] 0", False), ("afl", "afl", "afl", "[123] [012]", False), ("osl", "osl", "osl", "[123] [01]", False),
+    ("apsl", "apsl", "apsl", "[12] [012]", True), ("sspl", "sspl", "sspl", "1(?: 0)?", True), ("bsl-1.1", "busl", "busl", "1 1", True),
+    ("bsl-1.1", "bsl", "bsl", "1 1", False), ("elastic", "elastic", "elastic", "[12] 0", False),
+    ("polyform", "polyform", "polyform (?:noncommercial|small business|shield|strict)", "1 0 0", True), ("openrail", "rail", "open ?rail(?: [ms]| pp)?", "", True),
+    ("ncsa", "ncsa", "ncsa", "", False), ("intel", "intel", "intel", "", False), ("w3c", "w3c", "w3c", "", False), ("vim", "vim", "vim", "", False),
+    ("upl", "upl", "upl", "1 0", False), ("blueoak", "blueoak", "blueoak", "1 0 0", True), ("mulan", "mulanpsl", "mulanpsl", "[12](?: 0)?", True),
+    ("llama", "llama", "llama ?[0-9](?: [0-9])?", "", False), ("public-domain", "public domain", "public domain", "", False),
+    *((f"cc-{part}", "cc by", "cc " + part.replace("-", " "), "[1234] [05]", False) for part in ("by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd")),
+]
 # Creative Commons parts, short and long form.
 CC_PARTS = [
     ("by", "attribution"), ("by-sa", "attribution sharealike"), ("by-nd", "attribution noderivatives"), ("by-nc", "attribution noncommercial"),
@@ -152,6 +179,18 @@ def build_rules() -> list[Rule]:
         for rank, score, form in FORMS:
             add(f"cc-{short}", "cc by", rank * 2, score, form.format(rf"cc {words}(?: (?:1|2|3|4) [05])?"))
             add(f"cc-{short}", "creative commons", rank * 2, score, form.format(rf"creative commons {full}(?: (?:1|2|3|4) [05])?(?: international| unported)?(?: licen[sc]e)?"))
+    for label, keyword, name, versions, alone in SHORT:
+        later = r"(?: only| or (?:any )?later(?: version)?)?"
+        version = rf" ?(?:v|version|ver)? ?(?:{versions}){later}"
+        any_form = rf"{name}(?:{version})?" if versions else name
+        add(label, keyword, 8, 0.95, rf"spdx licen[sc]e identifier {any_form}")
+        add(label, keyword, 6, 0.9, rf"(?:licen[sc]ed|released|distributed|published|available|provided|issued) under (?:the )?(?:terms of )?(?:the )?{any_form}")
+        # Later parts of an SPDX expression, in texts that hold a tag.
+        rules.append(Rule(label, b"spdx licen", 4, 0.9, re.compile(f" (?:or|and) {any_form}(?= )".encode())))
+        if versions:
+            add(label, keyword, 3, 0.7, name + version)
+        if alone:
+            add(label, keyword, 2, 0.7, name)
     for label, keyword, pattern in CLAUSES:
         add(label, keyword, 4, 0.9, pattern)
     return sorted(rules, key=lambda r: -r.rank)
@@ -161,7 +200,7 @@ RULES = build_rules()
 KEYWORDS = sorted({r.keyword for r in RULES})
 #: Every keyword's rules also need one of these words nearby in the text; most texts hold none and leave at once.
 GATES = (b"licen", b"copyright", b" cc", b"public domain", b"wtfpl", b"rights reserved", b"proprietary", b"warrant", b"permi", b"redistribut", b"creative commons",
-         b"bsd", b"attribution", b"cecill", b"mulan", b"misrepresented", b"advertising materials", b"endorse", b"what the f")
+         b"bsd", b"attribution", b"cecill", b"mulan", b"misrepresented", b"advertising materials", b"endorse", b"what the f", b" under ", *sorted({k.encode() for _, k, _, versions, alone in SHORT if versions or alone}))
 
 
 def words_of(text: str | None) -> list[bytes]:

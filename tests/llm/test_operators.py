@@ -354,6 +354,17 @@ def test_license_rules():
     assert license_scan.resolve([(0, 10, 2, 0.5, "a"), (2, 8, 2, 0.5, "b"), (2, 12, 1, 0.5, "c"), (0, 10, 2, 0.5, "d")]) == [(0, 10, 2, 0.5, "a"), (2, 12, 1, 0.5, "c")]
 
 
+def test_license_ids_and_short_forms():
+    labels = lambda text: license_scan.scan_text(text)["labels"]
+    for name, label in {"MIT": "mit", "Apache-2.0": "apache", "GPL-3.0-only": "gpl", "GPL-2.0+": "gpl", "LGPL-2.1-or-later": "lgpl", "AGPL-3.0-only": "agpl", "MPL-2.0": "mpl",
+                        "ISC": "isc", "Zlib": "zlib", "0BSD": "0bsd", "BSD-3-Clause": "bsd-3-clause", "MIT-0": "mit-0", "BSL-1.0": "boost", "EPL-2.0": "epl"}.items():
+        assert labels(f"// SPDX-License-Identifier: {name}") == label, name
+    assert labels("SPDX-License-Identifier: MIT OR Apache-2.0") == "apache,mit"
+    for text, label in {"GPLv3": "gpl", "Apache 2.0": "apache", "code is LGPL v2.1": "lgpl", "under AGPLv3+": "agpl", "MPLv2": "mpl", "released under MIT": "mit", "GNU GPL": "gpl"}.items():
+        assert labels(text) == label, text
+    assert labels("an apache rode with the MIT people, a zlib stream, python 3") == ""
+
+
 def test_license_words_against_plain_search(spark):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     rows = [(r["doc_id"], r["text"]) for r in documents(spark).collect()]
