@@ -45,11 +45,12 @@ LIKELY = 0.5
 def runs_for(recall: float, similarity: float, overlap: float, depth: int) -> int:
     """Runs after which a pair at the threshold has met with probability ``recall`` even if every bucket splits ``depth`` times.
 
-    The shared shingles that both members choose branch with a mean of
-    ``2 s / (1 + s) / overlap`` a level (Poisson), so the chance to survive a
+    A shared shingle is chosen by both with 1 / (overlap * size of the larger set).
+    Fewest are shared, for that size, when one set holds the other: those that both
+    choose branch with a mean of ``s / overlap`` a level (Poisson), so the chance to survive a
     level follows from the chance to survive the ones below.
     """
-    mean, meet = 2 * similarity / (1 + similarity) / overlap, 1.0
+    mean, meet = similarity / overlap, 1.0
     for _ in range(depth):
         meet = 1 - math.exp(-mean * meet)
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet)))

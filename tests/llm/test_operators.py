@@ -206,6 +206,11 @@ def test_jaccard_classes_against_all_pairs(spark):
     assert {i: got[i]["class_id"] for i, _ in rows} == {i: root(first[t]) for i, t in rows}
 
 
+def test_runs_reach_the_recall_for_contained_sets():
+    # Both members choose a shared shingle with a mean of 1 a level: three levels are survived with a chance of 0.374.
+    assert chosen_path.runs_for(0.999, 0.8, 0.8, 3) == 15
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["root"] for r in components(edges).collect()}
