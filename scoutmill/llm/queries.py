@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, over whole tables with production parameters."""
+"""Registered queries of the operators, over whole tables with production parameters."""
 
 from __future__ import annotations
 
@@ -108,3 +108,48 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     judged = judge_documents(table(spark, sf_dir, "documents"), ["doc_id"])
     return judged.drop("clean_text")
+
+
+@query
+def op11_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scoutmill.llm.budget_mix import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scoutmill.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scoutmill.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op12_collocations"] = r"""
+WITH texts AS (
+ SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+pieces AS (SELECT lang, regexp_extract_all(unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM texts),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces),
+grams AS (
+ SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, k, count(*) AS f
+ FROM places CROSS JOIN (SELECT unnest(range(1, 6)) AS k) WHERE i + k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS p, unnest(range(1, k)) AS c FROM grams WHERE k > 1),
+scored AS (
+ SELECT c.lang, c.phrase, c.k, c.c, c.a, l.f AS l, r.f AS r, t.n, (1000::HUGEINT * c.a * t.n) // (l.f::HUGEINT * r.f) AS score
+ FROM cuts c JOIN totals t ON t.lang = c.lang
+ JOIN grams l ON l.lang = c.lang AND l.phrase = array_to_string(c.p[1:c.c], ' ')
+ JOIN grams r ON r.lang = c.lang AND r.phrase = array_to_string(c.p[c.c + 1:], ' ')),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+shown AS (
+ SELECT * FROM lowest s WHERE NOT EXISTS (
+  SELECT 1 FROM grams x WHERE x.lang = s.lang AND x.k > s.k AND 100 * x.f >= 100 * s.a AND contains(' ' || x.phrase || ' ', ' ' || s.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM shown QUALIFY rank <= 2000
+"""
