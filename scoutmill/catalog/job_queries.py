@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from scoutmill.catalog.base import query
 from scoutmill.catalog.group_queries import batch_rows
-from scoutmill.catalog.table_queries import dense_docs, dense_queries, sparse_docs, sparse_queries
+from scoutmill.catalog.table_queries import cell_index, item_queries, sparse_index, sparse_queries
+from scoutmill.functions import tags as T
 from scoutmill.functions.html import html_basic_text
 from scoutmill.functions.text import render_prompt
 from scoutmill.operators import qa as Q
@@ -53,14 +54,38 @@ def _(t):
     return advantages(t.rollouts, "grpo", normalise=False).select("row_id", "advantage")
 
 
-@query("search_blocks")
-def _(t):
-    """Hybrid search of the benchmark batch, masked, deduplicated and rendered."""
-    queries = dense_queries(t).join(t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), "query_id").select(
-        "query_id", F.expr("query_id div 4").alias("call_id"), (F.col("query_id") % 4).alias("query_pos"), "query", "vector")
+def item_calls(t):
+    """Benchmark items as queries, four to a call, with the vector that goes by the item's id."""
+    text = t.benchmark.select(F.col("item_id").alias("query_id"), F.expr("item_id div 4").alias("call_id"), (F.col("item_id") % 4).alias("query_pos"), F.col("text").alias("query"))
+    return text.join(item_queries(t), "query_id")
+
+
+def searched(t):
     pages = t.documents.select("doc_id", F.col("source").alias("title"), F.concat(F.lit("https://"), "source", F.lit(".example/"), F.col("doc_id").cast("string")).alias("link"), "text")
     masks = t.benchmark.select(F.col("item_id").alias("query_id"), F.lit("src1.").alias("mask_url"))
-    return jobs.search(queries, dense_docs(t), sparse_queries(t), sparse_docs(t), pages, masks, 10)
+    return jobs.search(item_calls(t), cell_index(t, cells=8), sparse_queries(t), sparse_index(t), pages, masks, 10)
+
+
+@query("search_blocks")
+def _(t):
+    """Hybrid search of all benchmark items over stored indexes, masked, deduplicated and rendered."""
+    return searched(t)
+
+
+@query("search_call_queries", """SELECT item_id // 4 AS call_id, count(*) AS blocks, 0 AS masked FROM benchmark JOIN embeddings ON vec_id = item_id GROUP BY 1""", longs=("call_id", "blocks", "masked"))
+def _(t):
+    """Each call's answer holds a block per query, with or without results, and no masked link."""
+    text = F.col("text")
+    return jobs.search_calls(searched(t)).select("call_id", F.size(F.split(text, "\n\n=======\n\n")).cast("long").alias("blocks"), F.regexp_count(text, F.lit(r"\(https://src1\.")).cast("long").alias("masked"))
+
+
+@query("mask_block", """SELECT conv_id, turn, CASE WHEN role = 'user' THEN 1 ELSE 2 END AS n, 'A Google search for ''q'' found ' || CASE WHEN role = 'user' THEN '1' ELSE '2' END || ' results:' AS head FROM conversations""", longs=("n",))
+def _(t):
+    """Rendered blocks of two results, the second one's link masked in user turns."""
+    results = F.array(F.struct(F.lit("a").alias("title"), F.lit("https://x.example/1").alias("link"), F.lit("s").alias("snippet")),
+                      F.struct(F.col("role").alias("title"), F.lit("https://y.example/2").alias("link"), F.regexp_replace("text", r"[\[\]]", "").alias("snippet")))
+    masked = T.mask_block(F.lit("q"), T.render_results(F.lit("q"), results), F.when(F.col("role") == "user", "y.example"))
+    return t.turns.select("conv_id", "turn", F.size(T.parse_search_block(masked)).cast("long").alias("n"), F.split(masked, "\n")[0].alias("head"))
 
 
 @query("corpus_build")

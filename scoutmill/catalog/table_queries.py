@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from scoutmill.catalog.base import TOKEN_ORDER, TOKEN_ORDER_SQL, query
 from scoutmill.functions.arrays import inner_product
+from scoutmill.operators import indexes as I
 from scoutmill.operators import joins as J
 from scoutmill.operators import reshape as R
 from scoutmill.operators import retrieval as S
 from scoutmill.operators import sampling as B
 from scoutmill.operators.ordering import number_rows
+from scoutmill.session import kept_path
 
 
 @query("attach_revision", """WITH i AS (SELECT o_custkey AS question, arg_max('https://w.example/' || CAST(o_orderkey AS VARCHAR), o_orderkey) AS revision_url FROM orders WHERE o_custkey % 5 <> 0 GROUP BY 1)
@@ -278,9 +280,46 @@ def _(t):
     return S.sparse_topk(sparse_queries(t), sparse_docs(t), 10).withColumn("score", F.round("score", 6))
 
 
+def sparse_index(t, **options):
+    """The documents' postings written as an index and opened again."""
+    path = kept_path(t.spark)
+    I.write_sparse_index(sparse_docs(t), path, **options)
+    return I.open_sparse_index(t.spark, path)
+
+
+def cell_index(t, **options):
+    path = kept_path(t.spark)
+    I.write_cell_index(dense_docs(t), path, **options)
+    return I.open_cell_index(t.spark, path)
+
+
 @query("sparse_topk_salted", f"""WITH {SPARSE} SELECT query_id, doc_id, round(score, 6) AS score FROM sk""")
 def _(t):
-    return S.sparse_topk(sparse_queries(t), sparse_docs(t), 10).withColumn("score", F.round("score", 6))
+    """Ranges of 64 documents, and queries dealt over several groups of each range."""
+    return I.sparse_index_topk(sparse_queries(t), sparse_index(t, range_docs=64), 10, queries_per_part=7).withColumn("score", F.round("score", 6))
+
+
+@query("sparse_index_topk", f"""WITH {SPARSE} SELECT query_id, doc_id, round(score, 6) AS score FROM sk""")
+def _(t):
+    return I.sparse_index_topk(sparse_queries(t), sparse_index(t), 10).withColumn("score", F.round("score", 6))
+
+
+ITEM_DENSE = """iq AS (SELECT item_id AS query_id, embedding::DOUBLE[] AS v FROM benchmark JOIN embeddings ON vec_id = item_id),
+ ds AS (SELECT query_id, vec_id AS doc_id, round(list_inner_product(v, embedding::DOUBLE[]), 9) AS score FROM iq, embeddings), dk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rn FROM ds) WHERE rn <= 10)"""
+
+
+def item_queries(t):
+    """Benchmark items as dense queries: the vector that goes by the item's id."""
+    return t.benchmark.join(t.embeddings, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+@query("hybrid_index_search", f"""WITH {SPARSE}, {ITEM_DENSE}, f AS (SELECT coalesce(sk.query_id, dk.query_id) AS query_id, coalesce(sk.doc_id, dk.doc_id) AS doc_id, round(0.7::DOUBLE * coalesce(sk.score, 0) + 1.0 * coalesce(dk.score, 0), 9) AS score FROM sk FULL OUTER JOIN dk ON sk.query_id = dk.query_id AND sk.doc_id = dk.doc_id)
+SELECT query_id, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rn FROM f) WHERE rn <= 10""")
+def _(t):
+    """Both legs from stored indexes, over the same queries and document ids; every cell is probed, so the answer is exact."""
+    index = cell_index(t, cells=8)
+    both = J.fuse(I.sparse_index_topk(sparse_queries(t), sparse_index(t), 10), I.cell_index_topk(item_queries(t), index, 10, nprobe=8), 10)
+    return both.select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query("hybrid_search", f"""WITH {SPARSE}, {DENSE}, f AS (SELECT coalesce(sk.query_id, dk.query_id) AS query_id, coalesce(sk.doc_id, dk.doc_id) AS doc_id, round(0.7::DOUBLE * coalesce(sk.score, 0) + 1.0 * coalesce(dk.score, 0), 9) AS score FROM sk FULL OUTER JOIN dk ON sk.query_id = dk.query_id AND sk.doc_id = dk.doc_id)
@@ -307,8 +346,9 @@ def _(t):
 
 @query("ann_topk")
 def _(t):
-    placed, centres = S.build_cells(dense_docs(t), 16)
-    return S.ann_topk(dense_queries(t), placed, centres, 10, 4)
+    """Every vector whose id is divisible by 50 as a query, over a stored index at its default recall."""
+    queries = dense_docs(t).filter("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id")
+    return I.cell_index_topk(queries, cell_index(t, cells=16), 10)
 
 
 @query("ann_topk_all_cells", f"""WITH {DENSE} SELECT CAST(query_id AS BIGINT) AS query_id, doc_id, round(score, 6) AS score FROM dk""")

@@ -300,7 +300,7 @@ def _(t):
     return rows.select("conv_id", F.col("t").alias("turn"), F.col("line").cast("long").alias("line"), "error", F.col("turn").cast("long").alias("turn_no"))
 
 
-@query("visit_failure_reasons", """SELECT role, CASE role WHEN 'user' THEN 'connection: reset' WHEN 'assistant' THEN 'backend: not reachable' ELSE NULL END AS reason, CASE role WHEN 'user' THEN 'ok' WHEN 'assistant' THEN 'not_accessed' ELSE 'ok' END AS outcome, count(*) AS n FROM conversations GROUP BY role""")
+@query("visit_failure_reasons", """SELECT role, CASE role WHEN 'user' THEN 'Connection Error: ConnectionResetError' WHEN 'assistant' THEN '后端失败: URL 无法访问 (Cache miss/Summary失败)' ELSE NULL END AS reason, CASE role WHEN 'user' THEN '正常响应' WHEN 'assistant' THEN '网页无法访问' ELSE '正常响应' END AS outcome, count(*) AS n FROM conversations GROUP BY role""")
 def _(t):
     r = F.when(F.col("role") == "user", F.lit("Browse error: ConnectionResetError(104)")).when(F.col("role") == "assistant", F.lit("Evidence in page:\nThe page could not be accessed\n\nSummary: none")).otherwise(F.lit("Evidence in page:\nfacts\n\nSummary: good"))
     return t.turns.groupBy("role", T.visit_failure_reason(r).alias("reason"), T.summary_outcome(r).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))

@@ -63,15 +63,29 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return keep[np.lexsort((ids[keep], -scores[keep]))][:k]
 
 
-def _hits(query_ids, doc_ids, scores, k) -> pd.DataFrame:
-    """Best k documents per query row of a score matrix."""
-    scores = np.round(scores, SCORE_DIGITS)
-    picks = [_best(doc_ids, row, k) for row in scores]
-    return pd.DataFrame({
-        "query_id": np.repeat(query_ids, [len(p) for p in picks]),
-        "doc_id": np.concatenate([doc_ids[p] for p in picks]) if picks else doc_ids[:0],
-        "score": np.concatenate([row[p] for row, p in zip(scores, picks)]) if picks else np.empty(0),
-    })
+# Documents scored at a time: a block of scores is QUERY_BATCH x this.
+BLOCK_DOCS = 512
+
+
+def _hits(query_ids, doc_ids, queries: np.ndarray, docs: np.ndarray, k) -> pd.DataFrame:
+    """Best k documents per query, over blocks of documents; ties by the smaller id."""
+    order = np.argsort(doc_ids, kind="stable")
+    best_ids, best = np.empty((len(queries), 0), dtype=doc_ids.dtype), np.empty((len(queries), 0))
+    for low in range(0, len(order), BLOCK_DOCS):
+        at = order[low : low + BLOCK_DOCS]
+        scores = np.round(queries @ docs[at].T, SCORE_DIGITS)
+        ids = np.concatenate([best_ids, np.broadcast_to(doc_ids[at], scores.shape)], axis=1)
+        scores = np.concatenate([best, scores], axis=1)
+        if scores.shape[1] > k:
+            # Rows whose k-th score is tied are cut by score and id, all others by score alone.
+            edge = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+            tied = (scores >= edge).sum(1) > k
+            pick = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+            if tied.any():
+                pick[tied] = np.stack([_best(i, one, k) for i, one in zip(ids[tied], scores[tied], strict=True)])
+            ids, scores = np.take_along_axis(ids, pick, 1), np.take_along_axis(scores, pick, 1)
+        best_ids, best = ids, scores
+    return pd.DataFrame({"query_id": np.repeat(query_ids, best.shape[1]), "doc_id": best_ids.ravel(), "score": best.ravel()})
 
 
 def _merge(left: pd.DataFrame | None, right: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -102,7 +116,7 @@ def _dense_shipped(head: pd.DataFrame, docs: DataFrame, k: int) -> DataFrame:
         best = None
         for batch in batches:
             if len(batch):
-                hits = _hits(ids, batch["doc_id"].to_numpy(), q @ _matrix(batch["vector"]).T, k)
+                hits = _hits(ids, batch["doc_id"].to_numpy(), q, _matrix(batch["vector"]), k)
                 best = _merge(best, hits, k)
         if best is not None:
             yield best
@@ -151,12 +165,18 @@ def sparse_topk(query_weights: DataFrame, doc_weights: DataFrame, k: int) -> Dat
     return top_rows(scored.filter(F.col("score") > 0), ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)
 
 
-def hybrid_search(queries: DataFrame, docs: DataFrame, query_weights: DataFrame, doc_weights: DataFrame, k: int,
+def hybrid_search(queries: DataFrame, docs, query_weights: DataFrame, doc_weights, k: int,
                   sparse_weight: float = 0.7, dense_weight: float = 1.0) -> DataFrame:
-    """Both legs cut at k, fused by weight, cut at k again; queries without terms are dense only."""
+    """Both legs cut at k, fused by weight, cut at k again; queries without terms are dense only.
+
+    ``docs`` is (doc_id, vector) or a CellIndex, ``doc_weights`` postings or a SparseIndex.
+    """
+    from scoutmill.operators.indexes import CellIndex, SparseIndex, cell_index_topk, sparse_index_topk
     from scoutmill.operators.joins import fuse
 
-    return fuse(sparse_topk(query_weights, doc_weights, k), dense_topk(queries, docs, k), k, sparse_weight, dense_weight)
+    sparse = (sparse_index_topk if isinstance(doc_weights, SparseIndex) else sparse_topk)(query_weights, doc_weights, k)
+    dense = (cell_index_topk if isinstance(docs, CellIndex) else dense_topk)(queries, docs, k)
+    return fuse(sparse, dense, k, sparse_weight, dense_weight)
 
 
 def fulltext_search(docs: DataFrame, queries: DataFrame, n: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -189,19 +209,32 @@ def build_cells(docs: DataFrame, cells: int, seed: int = 42, sample: float = 1.0
 def ann_topk(queries: DataFrame, placed: DataFrame, centres: np.ndarray, k: int, nprobe: int, batch: int = QUERY_BATCH) -> DataFrame:
     """Top-k inside the ``nprobe`` cells whose centres are nearest to the query, ``batch`` queries a pass.
 
-    A document is compared only with the queries that probe its cell.
+    A document is compared only with the queries that probe its cell; a stored
+    index (operators/indexes.py) also leaves the other cells' files unread.
     """
     _check_k(k)
-    local = _all_batches(queries, batch, lambda head: _probed(head, placed, centres, k, nprobe))
+
+    def search(head: pd.DataFrame) -> DataFrame:
+        return score_cells(head, placed, probe_cells(_matrix(head["vector"]), centres, nprobe), k)
+
+    local = _all_batches(queries, batch, search)
     return top_rows(local, ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)
 
 
-def _probed(head: pd.DataFrame, placed: DataFrame, centres: np.ndarray, k: int, nprobe: int) -> DataFrame:
-    ids, q = head["query_id"].to_numpy(), _matrix(head["vector"])
-    # Row by row: a matrix of queries x cells x dimension would not fit.
-    probed = np.stack([np.argsort(((centres - one) ** 2).sum(axis=1), kind="stable")[:nprobe] for one in q])
-    asks = {c: np.flatnonzero((probed == c).any(axis=1)) for c in range(len(centres))}
-    shipped = placed.sparkSession.sparkContext.broadcast((ids, q, asks))
+def cell_order(queries: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Cells of each query from the nearest centre on."""
+    return np.argsort((centres**2).sum(axis=1) - 2 * (queries @ centres.T), axis=1, kind="stable")
+
+
+def probe_cells(queries: np.ndarray, centres: np.ndarray, nprobe: int) -> dict[int, np.ndarray]:
+    """Cell -> the queries that probe it: those that have it among their ``nprobe`` nearest."""
+    probed = cell_order(queries, centres)[:, :nprobe]
+    return {c: np.flatnonzero((probed == c).any(axis=1)) for c in range(len(centres))}
+
+
+def score_cells(head: pd.DataFrame, placed: DataFrame, asks: dict[int, np.ndarray], k: int) -> DataFrame:
+    """Best hits of each task among (doc_id, vector, cell) rows, each compared with the queries that ask for its cell."""
+    shipped = placed.sparkSession.sparkContext.broadcast((head["query_id"].to_numpy(), _matrix(head["vector"]), asks))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, q, asks = shipped.value
@@ -210,12 +243,11 @@ def _probed(head: pd.DataFrame, placed: DataFrame, centres: np.ndarray, k: int,
             for cell, part in batch.groupby("cell"):
                 who = asks[cell]
                 if len(who):
-                    hits = _hits(ids[who], part["doc_id"].to_numpy(), q[who] @ _matrix(part["vector"]).T, k)
-                    best = _merge(best, hits, k)
+                    best = _merge(best, _hits(ids[who], part["doc_id"].to_numpy(), q[who], _matrix(part["vector"]), k), k)
         if best is not None:
             yield best
 
-    return placed.mapInPandas(score, HIT)
+    return placed.select("doc_id", "vector", "cell").mapInPandas(score, HIT)
 
 
 def embed(df: DataFrame, id_col: str, text: str, fn, dim: int) -> DataFrame:

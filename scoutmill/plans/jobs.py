@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoutmill.functions.html import html_basic_text
-from scoutmill.functions.tags import parse_qa_json, render_results
+from scoutmill.functions.tags import parse_qa_json, render_call, render_results
 from scoutmill.functions.text import clean_text, snippet
 from scoutmill.functions.urls import url_hash
 from scoutmill.operators import advantages, metrics
@@ -38,21 +38,30 @@ def page_text_rows(urls: DataFrame, store: DataFrame, corpus: DataFrame, least:
     return url_exists(first, corpus)
 
 
-def search(queries: DataFrame, docs: DataFrame, query_weights: DataFrame, doc_weights: DataFrame, pages: DataFrame, masks: DataFrame, k: int) -> DataFrame:
-    """Hybrid top-k, masked, repeats dropped across the queries of a call, rendered per query.
+def search(queries: DataFrame, docs, query_weights: DataFrame, doc_weights, pages: DataFrame, masks: DataFrame, k: int) -> DataFrame:
+    """Hybrid top-k, masked, repeats dropped across the queries of a call, rendered per query: (call_id, query_pos, query_id, block).
 
-    ``queries`` is (query_id, call_id, query_pos, query, vector); ``pages`` is (doc_id, title, link, text).
+    ``queries`` is (query_id, call_id, query_pos, query, vector); ``pages`` is (doc_id, title, link, text); ``docs`` and
+    ``doc_weights`` are tables or stored indexes. A query whose results are all gone keeps a block of 0 results.
     """
     hits = hybrid_search(queries, docs, query_weights, doc_weights, k)
-    ranked = hits.join(queries.select("query_id", "call_id", "query_pos", "query"), "query_id").join(pages, "doc_id")
+    asked = queries.select("query_id", "call_id", "query_pos", "query")
+    ranked = hits.join(asked, "query_id").join(pages, "doc_id")
     visible = mask_results(ranked, masks)
     # Hits per query are at most k, so rank and lists per query are small.
     kept = dedup_across_queries(visible.withColumn("rank", -F.col("score")), "call_id", "query_pos", "rank", "link")
     row = F.struct((-F.col("score")).alias("rank"), F.col("doc_id"), "title", "link", snippet("text").alias("snippet"))
-    blocks = kept.groupBy("call_id", "query_pos", "query_id", "query").agg(F.sort_array(F.collect_list(row)).alias("results"))
+    results = kept.groupBy("query_id").agg(F.sort_array(F.collect_list(row)).alias("results"))
+    blocks = asked.join(results, "query_id", "left").withColumn("results", F.coalesce("results", F.array().cast(results.schema["results"].dataType)))
     return blocks.select("call_id", "query_pos", "query_id", render_results(F.col("query"), F.col("results")).alias("block"))
 
 
+def search_calls(blocks: DataFrame) -> DataFrame:
+    """(call_id, text): the blocks of each call's queries in order, as one answer. A call holds few queries."""
+    ordered = F.sort_array(F.collect_list(F.struct("query_pos", "block")))
+    return blocks.groupBy("call_id").agg(render_call(F.transform(ordered, lambda b: b["block"])).alias("text"))
+
+
 def qa_synthesis(urls: DataFrame, store: DataFrame, write_prompt: Callable, generator: Callable, pages: DataFrame) -> DataFrame:
     """Pages to labelled QA pairs: look up, text, prompt, generate, then ``qa_rows``."""
     found = lookup_pages(urls, store).filter(F.col("html").isNotNull())

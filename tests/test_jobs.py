@@ -53,3 +53,29 @@ def test_postings_stay_in_place(spark):
     assert "hashpartitioning(query_id" in text and text.count("hashpartitioning(query_id#") <= 2
     assert "hashpartitioning(query_id#" in text and ", doc_id#" not in text.split("Exchange hashpartitioning(query_id#", 1)[1].split(")")[0]
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_search_keeps_queries_without_results(spark):
+    queries = spark.createDataFrame([(1, 7, 0, "whale", [1.0, 0.0]), (2, 7, 1, "only masked", [0.0, 1.0]), (3, 8, 0, "none", [0.0, 0.0])], "query_id long, call_id long, query_pos int, query string, vector array<double>")
+    docs = spark.createDataFrame([(10, [1.0, 0.0]), (11, [0.0, 1.0])], "doc_id long, vector array<double>")
+    pages = spark.createDataFrame([(10, "Whales", "https://a/10", "the whale"), (11, "Masked", "https://m/11", "hidden")], "doc_id long, title string, link string, text string")
+    masks = spark.createDataFrame([(2, "https://m/"), (2, "https://a/")], "query_id long, mask_url string")
+    none = spark.createDataFrame([], "query_id long, term string, weight double")
+    blocks = jobs.search(queries, docs, none, none.withColumnRenamed("query_id", "doc_id"), pages, masks, 1)
+    calls = {r.call_id: r.text for r in jobs.search_calls(blocks).collect()}
+    first, second = calls[7].split("\n\n=======\n\n")
+    assert first == "A Google search for 'whale' found 1 results:\n\n## Web Results\n1. [Whales](https://a/10)\nthe whale"
+    assert second == "A Google search for 'only masked' found 0 results:\n\n## Web Results"
+    assert set(calls) == {7, 8}
+
+
+def test_masked_blocks(spark):
+    from scoutmill.functions import tags as T
+
+    block = "A Google search for 'q' found 2 results:\n\n## Web Results\n1. [One](https://a.example/x)\nfirst\n\n2. [Two](https://b.example/y)\nsecond"
+    rows = spark.createDataFrame([(i, block, m) for i, m in enumerate(["a.example", "b.example/y", "c.example", "", None, "example"])], "i int, block string, mask string")
+    got = [r[0] for r in rows.orderBy("i").select(T.mask_block(F.lit("q"), F.col("block"), F.col("mask"))).collect()]
+    head = "A Google search for 'q' found {} results:\n\n## Web Results"
+    assert got[0] == head.format(1) + "\n1. [Two](https://b.example/y)\nsecond" and got[1] == head.format(1) + "\n1. [One](https://a.example/x)\nfirst"
+    assert got[2] == got[3] == got[4] == block and got[5] == head.format(0)
+    assert spark.range(1).select(T.render_call(F.array().cast("array<string>"))).first()[0] == "No results found."
