@@ -3,16 +3,16 @@
 A piece of length in (C/(i+1), C/i] belongs to class i, and a bin of class i
 takes exactly i pieces, so bins are filled by counting alone, with no search
 and no word between workers. Documents may be cut, so they are cut where
-classes are exact: whole sequences first, then the rest into halves, quarters
-and so on of the capacity (the binary digits of its length). Every piece then
-has length C/i for a class i that is a power of two, and a full bin of i pieces
-is exactly full. When a worker's rows end, the open bin of a class closes as
-bins of a power of two of pieces, whose lengths need no padding either.
+classes are full: whole sequences first, then from the rest the longest
+floor(C/i) that fits, again and again. That is two or three pieces for most
+rests, and a full bin of class i leaves fewer than i ids of padding. When a
+worker's rows end, what is open is closed by length counts: each sequence takes
+the longest pieces that still fit.
 
 Rows are packed where they lie, without a shuffle, and each worker holds at
-most one open bin per class (under 2 x capacity pieces). A sequence's id joins
-the partition's number and a counter; a lost partition read again gives the
-same rows. Capacity must be a power of two.
+most one open bin per class (there are fewer than 2 * sqrt(C) lengths). A
+sequence's id joins the partition's number and a counter; a lost partition read
+again gives the same rows.
 
 Defined cases: a null text is empty, an empty text is its end id alone; a null
 ``doc_id`` is carried through; repeated rows are packed each; an empty table
@@ -39,7 +39,7 @@ STORE_WORDS = 1_000_000
 # library, and "<|" can open a special token; texts with those keep their capitals here.
 BEYOND_LATIN = re.compile("[^\u0000-ɏ]")
 # Small Latin letters, then marks: two pieces for the tokenizer, whatever stands around them.
-PLAIN_WORD = re.compile("([a-zß-öø-ɏ]+)([.,;:!?]*)\\Z")
+PLAIN_WORD = re.compile(r"([a-zß-öø-ɏ]+)([!-/:-@\[-`{-~]*)\Z")
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -62,20 +62,25 @@ class WordTokenizer:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.np, self.tokenizer = np, Tokenizer.from_file(path)
+        # Runs of a-z between blanks need neither the normaliser nor the splitting pattern.
+        self.ascii = Tokenizer.from_file(path)
+        self.ascii.normalizer, self.ascii.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         self.closes = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         for token, at in self.tokenizer.get_vocab().items():
             self.closes[at] = token.endswith("</w>")
         self.words: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [self.np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(self, texts: list[str], ascii_runs: bool = False) -> list[bytes]:
+        tokenizer = self.ascii if ascii_runs else self.tokenizer
+        return [self.np.asarray(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn_runs(self, runs: list[str]) -> None:
-        ids = self.np.frombuffer(self.encode([" ".join(runs)])[0], dtype="<u4")
+        joined = " ".join(runs)
+        ids = self.np.frombuffer(self.encode([joined], joined.isascii())[0], dtype="<u4")
         ends = self.np.flatnonzero(self.closes[ids]) + 1
         if len(ends) == len(runs):
             raw, start = ids.tobytes(), 0
@@ -98,8 +103,9 @@ class WordTokenizer:
                 other.append(word)
         new = list({run for _, run, _ in plain if run not in self.runs})
         marks = list({m for _, _, m in plain if m and m not in self.runs})
-        if new:
-            self.learn_runs(new)
+        for kind in ([r for r in new if r.isascii()], [r for r in new if not r.isascii()]):
+            if kind:
+                self.learn_runs(kind)
         if marks:
             self.runs.update(zip(marks, self.encode(marks), strict=True))
         for word, run, mark in plain:
@@ -110,48 +116,68 @@ class WordTokenizer:
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [split_words(t) for t in texts]
-        wanted = set().union(*split)
-        while missing := wanted.difference(self.words):  # again if learning emptied the store
+        found = [list(map(self.words.get, words)) for words in split]
+        new = [i for i, parts in enumerate(found) if None in parts]
+        missing = set()
+        for i in new:
+            missing.update(w for w, part in zip(split[i], found[i], strict=True) if part is None)
+        if missing:
             self.learn(list(missing))
-        of = self.words.__getitem__
-        return [b"".join(map(of, words)) for words in split]
+        for i in new:
+            found[i] = [part if part is not None else self.words[w] for w, part in zip(split[i], found[i], strict=True)]
+        return [b"".join(parts) for parts in found]
 
 
 def cut_lengths(n: int, capacity: int) -> list[int]:
-    """Piece lengths of a document of ``n`` ids: whole sequences, then the binary digits of the rest, longest first."""
-    rest = n % capacity
-    return [capacity] * (n // capacity) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
+    """Piece lengths of a document of ``n`` ids: whole sequences, then from the rest the longest floor(capacity / i) each time."""
+    lengths, rest = [capacity] * (n // capacity), n % capacity
+    while rest:
+        lengths.append(capacity // (capacity // (rest + 1) + 1))
+        rest -= lengths[-1]
+    return lengths
 
 
 class ClassBins:
-    """Bins of one worker: class i (pieces of capacity/i ids) closes a bin at i pieces."""
+    """Bins of one worker: class i (pieces of floor(capacity / i) ids) closes a bin at i pieces."""
 
     def __init__(self, capacity: int, first_sequence: int):
         self.capacity, self.next = capacity, first_sequence
         self.open: dict[int, list[tuple]] = {}
 
-    def close(self, length: int, pieces: list[tuple]) -> list[tuple]:
-        at, self.next = self.next, self.next + 1
-        return [(*piece, at, slot * length) for slot, piece in enumerate(pieces)]
+    def close(self, pieces: list[tuple]) -> list[tuple]:
+        """Rows of one sequence; a piece's third entry is its length."""
+        rows, offset = [], 0
+        for piece in pieces:
+            rows.append((*piece, self.next, offset))
+            offset += piece[2]
+        self.next += 1
+        return rows
 
-    def add(self, length: int, piece: tuple) -> list[tuple]:
+    def add(self, piece: tuple) -> list[tuple]:
         """Rows that are settled by this piece: none, or a full bin's."""
+        length = piece[2]
         bin_ = self.open.setdefault(length, [])
         bin_.append(piece)
-        if len(bin_) * length < self.capacity:
+        if len(bin_) < self.capacity // length:
             return []
         self.open[length] = []
-        return self.close(length, bin_)
+        return self.close(bin_)
 
     def finish(self) -> list[tuple]:
-        """Rows of the open bins, each split into bins of a power of two of pieces."""
-        rows = []
-        for length, pieces in sorted(self.open.items(), reverse=True):
-            start = 0
-            for count in cut_lengths(len(pieces), self.capacity):
-                rows += self.close(length, pieces[start : start + count])
-                start += count
-        self.open = {}
+        """Rows of the open bins: each sequence takes the longest pieces that still fit, until none is left."""
+        left = {length: pieces for length, pieces in sorted(self.open.items(), reverse=True) if pieces}
+        rows, self.open = [], {}
+        while left:
+            taken, room = [], self.capacity
+            for length in list(left):
+                count = min(len(left[length]), room // length)
+                if count:
+                    taken += left[length][-count:]
+                    del left[length][-count:]
+                    room -= count * length
+                if not left[length]:
+                    del left[length]
+            rows += self.close(taken)
         return rows
 
 
@@ -160,8 +186,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
 
     ``tokenizer_path`` is a file that every worker has (a public tokenizer's).
     """
-    if capacity < 1 or capacity & (capacity - 1):
-        raise ValueError("capacity must be a power of two")
+    if capacity < 1:
+        raise ValueError("capacity must be at least 1")
     kind = docs.schema[key].dataType
     end = end_id.to_bytes(4, "little")
 
@@ -177,7 +203,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
                     start, total = 0, len(ids) // 4
                     for length in cut_lengths(total, capacity):
                         crc = zlib.crc32(ids[4 * start : 4 * (start + length)])
-                        rows += bins.add(length, (name, start, length, crc, total))
+                        rows += bins.add((name, start, length, crc, total))
                         start += length
                 if rows:
                     yield as_batch(rows, batch.schema.field(0).type, key)
