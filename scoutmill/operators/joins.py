@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoutmill.functions.numbers import answer_in_text
@@ -12,19 +12,24 @@ from scoutmill.functions.urls import legacy_key, revision_to_current, store_key
 from scoutmill.operators.dedup import dedup_last
 from scoutmill.operators.groups import join_on, top_rows
 from scoutmill.operators.ordering import ordered
+from scoutmill.operators.wanted import only_wanted
 
 
 def lookup_pages(urls: DataFrame, store: DataFrame, url: str = "url", key: str = "key") -> DataFrame:
-    """Stored page of each URL by its full key, else by the legacy last-segment key."""
-    pages = store.withColumnRenamed(key, "_stored").withColumn("_k", store_key(F.col("_stored")))
-    wanted = urls.withColumn("_k", store_key(F.col(url)))
-    direct = wanted.join(pages, "_k", "left").withColumn("matched_by", F.when(F.col("_stored").isNotNull(), "url"))
-    fields = [c for c in pages.columns if c not in ("_k",)]
-    missing = direct.filter(F.col("matched_by").isNull()).drop("_k", "matched_by", *fields)
-    old = missing.withColumn("_k", store_key(legacy_key(F.col(url))))
-    second = old.join(pages, "_k", "left").withColumn("matched_by", F.when(F.col("_stored").isNotNull(), "legacy"))
-    found = direct.filter(F.col("matched_by").isNotNull())
-    return found.unionByName(second).drop("_k").withColumnRenamed("_stored", "stored_key")
+    """Stored page of each URL by its full key, else by the legacy last-segment key.
+
+    One scan of the store and one join: both keys of a URL are asked for, pages
+    that no key may ask for stay in the scan, and the better key wins.
+    """
+    forms = F.array(F.struct(F.lit(1).alias("rank"), store_key(F.col(url)).alias("_k")), F.struct(F.lit(2).alias("rank"), store_key(legacy_key(F.col(url))).alias("_k")))
+    asked = urls.withColumn("_f", F.explode(forms)).select(*urls.columns, F.col("_f.rank").alias("_rank"), F.col("_f._k").alias("_k"))
+    pages = only_wanted(store.withColumnRenamed(key, "stored_key"), asked, "_k", of=store_key(F.col("stored_key"))).withColumn("_k", store_key(F.col("stored_key")))
+    joined = asked.join(pages, "_k", "left")
+    hit = F.col("stored_key").isNotNull()
+    first = F.rank().over(Window.partitionBy(url).orderBy(F.when(hit, F.col("_rank")).otherwise(F.col("_rank") + 2)))
+    best = joined.withColumn("_first", first).filter("_first = 1")
+    matched = F.when(hit, F.when(F.col("_rank") == 1, "url").otherwise("legacy"))
+    return best.select(*urls.columns, *[c for c in pages.columns if c != "_k"], matched.alias("matched_by"))
 
 
 def attach_revision(qa: DataFrame, index: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -36,13 +41,13 @@ def attach_revision(qa: DataFrame, index: DataFrame, order: Sequence[str]) -> Da
 
 def url_exists(urls: DataFrame, corpus: DataFrame, url: str = "url") -> DataFrame:
     """Requested URLs with a flag: is it in the corpus?"""
-    known = corpus.select(url).distinct().withColumn("_hit", F.lit(True))
+    known = only_wanted(corpus.select(url), urls, url).distinct().withColumn("_hit", F.lit(True))
     return urls.join(known, url, "left").withColumn("exists", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
 def fulltext_by_url(urls: DataFrame, docs: DataFrame, url: str = "url", limit: int | None = None) -> DataFrame:
     """Documents of the requested URLs, hits only; the single form passes limit 1."""
-    hits = docs.join(urls.select(url).distinct(), url, "left_semi")
+    hits = only_wanted(docs, urls, url).join(urls.select(url).distinct(), url, "left_semi")
     return hits if limit is None else hits.limit(limit)
 
 
@@ -78,7 +83,7 @@ def exclude_patterns(df: DataFrame, col: str, patterns: Sequence[str]) -> DataFr
 
 def answer_leaks(qa: DataFrame, pages: DataFrame, url: str = "url", text: str = "markdown") -> DataFrame:
     """QA rows with ``result``: negative when the current page gives the answer away, else positive with a reason."""
-    joined = qa.join(pages.select(url, F.col(text).alias("_text")), url, "left")
+    joined = qa.join(only_wanted(pages.select(url, F.col(text).alias("_text")), qa, url), url, "left")
     leaked = answer_in_text(F.col("answer"), F.col("_text"), F.col("question"))
     reason = (
         F.when((F.coalesce("question", F.lit("")) == "") | (F.coalesce("answer", F.lit("")) == ""), "empty")
