@@ -427,9 +427,19 @@ def _(t):
     return M.majority_value(t.rollouts.withColumn("vote", F.col("k") % 10), ["uid"], "vote", "score", "row_id")
 
 
-@query("bootstrap")
+# Draws are md5 of (seed, size, round, draw), scaled to a position in the group.
+DRAWS = """x AS (SELECT g.grp, d.size, d.r, d.i, g.score, g.vote FROM (SELECT DISTINCT grp, n, size FROM g, sizes WHERE fits(size, n)) q JOIN d ON d.size = q.size JOIN g ON g.grp = q.grp AND g.pos = (d.u * q.n) >> 32),
+ bw AS (SELECT grp, size, r, max(score) AS best, min(score) AS worst FROM x GROUP BY ALL), v AS (SELECT grp, size, r, vote, count(*) AS c, min(i) AS first, arg_min(score, i) AS val FROM x GROUP BY ALL),
+ mj AS (SELECT grp, size, r, val FROM v QUALIFY row_number() OVER (PARTITION BY grp, size, r ORDER BY c DESC, first) = 1),
+ b AS (SELECT grp, size AS n, 'best' AS reducer, avg(best) AS mean, stddev_pop(best) AS std FROM bw GROUP BY ALL UNION ALL SELECT grp, size, 'worst', avg(worst), stddev_pop(worst) FROM bw GROUP BY ALL UNION ALL SELECT grp, size, 'maj', avg(val), stddev_pop(val) FROM mj GROUP BY ALL)"""
+UNITS = """d AS (SELECT size, r, i, CAST('0x' || substr(md5('42|' || size || '|' || r || '|' || i), 1, 8) AS BIGINT) AS u FROM sizes, (SELECT unnest(range(1000)) AS r), (SELECT unnest(range(64)) AS i) WHERE i < size)"""
+
+
+@query("bootstrap", f"""{W}, sizes AS (SELECT unnest([4, 8]) AS size), {UNITS}, g AS (SELECT uid AS grp, score, k % 10 AS vote, row_number() OVER (PARTITION BY uid ORDER BY row_id) - 1 AS pos, count(*) OVER (PARTITION BY uid) AS n FROM rollouts), {DRAWS.replace("fits(size, n)", "true")}
+SELECT grp AS uid, n, reducer, round(mean, 6) AS mean, round(std, 6) AS std FROM b""", ints=("n",))
 def _(t):
-    return M.bootstrap(t.rollouts.withColumn("vote", F.col("k") % 10), ["uid"], "score", [4, 8], vote="vote", order="row_id")
+    b = M.bootstrap(t.rollouts.withColumn("vote", F.col("k") % 10), ["uid"], "score", [4, 8], vote="vote", order="row_id")
+    return b.withColumns({c: F.round(c, 6) for c in ("mean", "std")})
 
 
 @query("best_worst_at_n", f"""{W}, r AS (SELECT uid, score, row_number() OVER (PARTITION BY uid ORDER BY score, row_id) AS i, count(*) OVER (PARTITION BY uid) AS n FROM rollouts)
@@ -438,10 +448,15 @@ def _(t):
     return M.exact_best_worst(t.rollouts, ["uid"], "score", 4, "row_id").select("uid", F.round("best_mean", 6).alias("best_mean"), F.round("worst_mean", 6).alias("worst_mean"))
 
 
-@query("validation_metrics")
+@query("validation_metrics", f"""{W}, g AS (SELECT (method, uid) AS grp, score, k % 10 AS vote, row_number() OVER (PARTITION BY method, uid ORDER BY row_id) - 1 AS pos, count(*) OVER (PARTITION BY method, uid) AS n FROM rollouts),
+ sizes AS (SELECT DISTINCT n AS size FROM g UNION SELECT unnest([2, 4, 8, 16, 32])), {UNITS}, {DRAWS.replace("fits(size, n)", "n > 1 AND (size = n OR size < n AND size IN (2, 4, 8, 16, 32))")},
+ p AS (SELECT method, uid, avg(score) AS m, stddev_pop(score) AS s, count(*) AS n FROM rollouts GROUP BY 1, 2), a AS (
+ SELECT method, 'mean@' || n AS metric, m AS v, n FROM p UNION ALL SELECT method, 'std@' || n, s, n FROM p WHERE n > 1 UNION ALL SELECT struct_extract(grp, 1), reducer || '@' || n || '/mean', mean, n FROM b UNION ALL SELECT struct_extract(grp, 1), reducer || '@' || n || '/std', std, n FROM b),
+ z AS (SELECT method, metric, avg(v) AS value, max(n) AS n FROM a GROUP BY 1, 2), y AS (SELECT *, max(n) OVER (PARTITION BY method) AS top FROM z)
+SELECT method, metric, round(value, 6) AS value, CASE WHEN n = top AND regexp_matches(metric, '^(mean|maj|best)@') THEN 'core' ELSE 'aux' END AS section FROM y""")
 def _(t):
     rows = t.rollouts.select("method", "uid", "score", (F.col("k") % 10).alias("vote"), "row_id")
-    return M.validation_metrics(rows, "method", "uid", "score", "vote", "row_id")
+    return M.validation_metrics(rows, "method", "uid", "score", "vote", "row_id").withColumn("value", F.round("value", 6))
 
 
 @query("score_by_source", """WITH r AS (SELECT event_type, (round(value * 100) + user_id) / 2.0::DOUBLE AS m FROM events) SELECT event_type, round(avg(m), 6) AS score FROM r GROUP BY event_type""")

@@ -217,12 +217,33 @@ def _(t):
         (F.max("s") - F.min("s") <= F.max("m")).alias("balanced"))
 
 
-@query("pack_batches")
+BATCHES = f"""r AS (SELECT (row_number() OVER (ORDER BY l_orderkey, {TOKEN_ORDER_SQL}) - 1) // 1024 AS batch_id, row_number() OVER (ORDER BY l_orderkey, {TOKEN_ORDER_SQL}) AS row_id, CAST(l_quantity AS BIGINT) AS length FROM lineitem)"""
+
+
+@query("pack_batches", f"""WITH {BATCHES} SELECT batch_id, count(*) AS n, CAST(sum(length) AS BIGINT) AS tokens, least(count(*), greatest(1, CAST(ceil(sum(length) / 4096.0::DOUBLE) AS BIGINT))) AS bins, true AS even, true AS heaviest_first FROM r GROUP BY batch_id""", longs=("bins",))
+def _(t):
+    p = B.pack_batches(batches(t), "batch_id", "row_id", "length", 4096)
+    per = p.groupBy("batch_id", "bin").agg(F.count(F.lit(1)).alias("c"), F.sum("length").alias("s"), F.max("length").alias("m"), F.sum(F.col("length") * F.col("length")).alias("w"))
+    works = F.transform(F.sort_array(F.collect_list(F.struct("bin", "w"))), lambda b: b["w"])  # few bins a batch
+    return per.groupBy("batch_id").agg(
+        F.sum("c").alias("n"), F.sum("s").alias("tokens"), F.count(F.lit(1)).alias("bins"), (F.max("s") - F.min("s") <= F.max("m")).alias("even"),
+        (works == F.reverse(F.array_sort(works))).alias("heaviest_first"))
+
+
+@query("pack_batches_chunked", f"""WITH {BATCHES} SELECT batch_id, count(*) AS n, CAST(sum(length) AS BIGINT) AS tokens, least(count(*), greatest(1, CAST(ceil(sum(length) / 1024.0::DOUBLE) AS BIGINT))) AS bins, true AS near_budget FROM r GROUP BY batch_id""", longs=("bins",))
 def _(t):
-    return B.pack_batches(batches(t), "batch_id", "row_id", "length", 4096).groupBy("batch_id", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("tokens"))
+    """Batches above the size of a chunk: as many micro-batches in all, each within a chunk's rounding of the budget."""
+    p = B.pack_batches(batches(t), "batch_id", "row_id", "length", 1024, chunk_rows=300)
+    per = p.groupBy("batch_id", "bin").agg(F.count(F.lit(1)).alias("c"), F.sum("length").alias("s"), F.max("length").alias("m"))
+    return per.groupBy("batch_id").agg(F.sum("c").alias("n"), F.sum("s").alias("tokens"), F.count(F.lit(1)).alias("bins"), (F.max("s") <= 1.25 * 1024).alias("near_budget"))
 
 
-@query("greedy_bins")
+@query("greedy_bins", f"""WITH RECURSIVE {BATCHES}, p AS (SELECT batch_id, length, row_number() OVER (PARTITION BY batch_id ORDER BY row_id) AS i FROM r),
+ s AS (SELECT DISTINCT batch_id, 0::BIGINT AS i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[] AS sums, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[] AS ns FROM p
+  UNION ALL SELECT s.batch_id, p.i, list_transform(s.sums, lambda x, j: x + CASE WHEN j = list_position(s.sums, list_min(s.sums)) THEN p.length ELSE 0 END),
+   list_transform(s.ns, lambda x, j: x + CASE WHEN j = list_position(s.sums, list_min(s.sums)) THEN 1 ELSE 0 END) FROM s JOIN p ON p.batch_id = s.batch_id AND p.i = s.i + 1),
+ f AS (SELECT batch_id, sums, ns FROM s QUALIFY row_number() OVER (PARTITION BY batch_id ORDER BY i DESC) = 1)
+SELECT batch_id, unnest(range(8)) AS bin, unnest(ns) AS n, unnest(sums) AS tokens FROM f""", ints=("bin",))
 def _(t):
     return B.greedy_bins(batches(t), "batch_id", "row_id", "length", 8).groupBy("batch_id", "bin").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("tokens"))
 

@@ -60,20 +60,16 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int
     return df.withColumn("__rn", F.row_number().over(window)).filter(F.col("__rn") <= n).drop("__rn")
 
 
-def map_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Callable[[tuple, pd.DataFrame], list[tuple]],
-               schema: str, largest: int) -> DataFrame:
+def map_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Callable[[tuple, pd.DataFrame], list[tuple]], schema: str) -> DataFrame:
     """Rows ``fn(key, rows)`` gives for each group, many groups per Arrow batch.
 
     For small groups in great number: ``applyInPandas`` pays milliseconds per
     group. Rows come sorted by (keys, order), so a group is a run of rows and
-    only the last run of a batch waits for the next. Groups above ``largest``
-    rows are an error, found by counting before anything reaches Python. The
-    number of tasks is fixed, since AQE would merge small but slow ones.
+    only the last run of a batch waits for the next. A caller whose groups may
+    be large splits them into blocks of its own first. The number of tasks is
+    fixed, since AQE would merge small but slow ones.
     """
-    sized = with_group_stats(df, keys, __n=F.count(F.lit(1)))
-    too_big = F.raise_error(F.lit(f"group above {largest} rows")).cast("boolean")
-    checked = sized.filter(F.when(F.col("__n") > largest, too_big).otherwise(True)).drop("__n")
-    placed = checked.repartition(task_count(df.sparkSession), *keys).sortWithinPartitions(*keys, *order)
+    placed = df.repartition(task_count(df.sparkSession), *keys).sortWithinPartitions(*keys, *order)
     names = [part.strip().split(" ")[0] for part in schema.split(",")]
     key_names = list(keys)
 

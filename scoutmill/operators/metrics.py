@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import hashlib
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -335,45 +336,84 @@ def _majority(votes: np.ndarray, vals: np.ndarray, picks: np.ndarray) -> np.ndar
     return vals[picks[rows, counts.argmax(axis=1)]]  # argmax takes the earliest of equal counts
 
 
-def resamples(n: int, size: int, rounds: int = 1000, seed: int = 42) -> np.ndarray:
-    """Positions of ``rounds`` resamples of ``size`` out of ``n``, with replacement."""
-    return np.random.RandomState(seed).choice(n, (rounds, size), replace=True)
+#: Values drawn at a time: 32 MB of positions.
+DRAWN_AT_ONCE = 4_000_000
+#: Rows of a group that one task resamples for all rounds; larger groups have their rounds dealt over more tasks.
+ROWS_PER_BLOCK = 20_000
 
 
-def bootstrap_stats(vals: np.ndarray, picks: np.ndarray, votes: np.ndarray | None = None) -> dict[str, tuple[float, float]]:
-    """Mean and population std of best, worst and majority over the resampled rows."""
+def resamples(n: int, size: int, rounds: Sequence[int] = range(1000), seed: int = 42) -> np.ndarray:
+    """Positions of ``size`` draws out of ``n`` with replacement, one line per round.
+
+    A draw is counted, not streamed: it comes from the md5 of (seed, size,
+    round, draw), so any task gives any round and SQL repeats it.
+    """
+    def unit(r: int, d: int) -> int:
+        return int(hashlib.md5(f"{seed}|{size}|{r}|{d}".encode()).hexdigest()[:8], 16)
+
+    draws = np.fromiter((unit(r, d) for r in rounds for d in range(size)), dtype=np.int64, count=len(rounds) * size)
+    return (draws * n >> 32).reshape(-1, size) if n < 1 << 31 else (draws.astype(object) * n >> 32).astype(np.int64).reshape(-1, size)
+
+
+#: Reducers of drawn values (one line per round), and of drawn positions where votes count.
+REDUCERS: dict[str, Callable[[np.ndarray], np.ndarray]] = {"best": lambda drawn: drawn.max(axis=1), "worst": lambda drawn: drawn.min(axis=1)}
+
+
+def reduced(vals: np.ndarray, picks: np.ndarray, votes: np.ndarray | None = None, reducers: Mapping[str, Callable] | None = None) -> dict[str, np.ndarray]:
+    """One number per round and reducer, and the majority's value where there are votes."""
     drawn = vals[picks]
-    reduced = {"best": drawn.max(axis=1), "worst": drawn.min(axis=1)}
+    out = {name: np.asarray(fn(drawn), dtype=float) for name, fn in (REDUCERS if reducers is None else reducers).items()}
     if votes is not None:
-        reduced["maj"] = _majority(votes, vals, picks)
-    return {name: (float(x.mean()), float(x.std())) for name, x in reduced.items()}
+        out["maj"] = _majority(votes, vals, picks)
+    return out
 
 
 def bootstrap(df: DataFrame, group: Sequence[str], value: str, sizes: Sequence[int] | None = None, vote: str | None = None,
-              order: str | None = None, rounds: int = 1000, seed: int = 42, largest: int = 100_000) -> DataFrame:
+              order: str | None = None, rounds: int = 1000, seed: int = 42, reducers: Mapping[str, Callable] | None = None,
+              rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """best/worst/maj@n per group: rows (group, n, reducer, mean, std).
 
-    A group is the set of responses to one prompt (a handful). The resample
-    needs all of them at once, so a group above ``largest`` rows is an error
-    here; best@n and worst@n of such groups come from ``exact_best_worst``.
+    ``reducers`` (name -> function of the drawn values, one line per round)
+    takes the place of best and worst. A group is the responses to one prompt,
+    a handful as a rule. A group above ``rows_per_block`` rows has its rounds
+    dealt over as many blocks as it fills; means and squares of the blocks are
+    merged, so no group is too large.
     """
     keys = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in group)
-    drawn: dict[tuple[int, int], np.ndarray] = {}  # the stream depends on the sizes alone, so groups of one size share it
+    wanted = [*group, value] + ([vote] if vote else []) + ([order] if order else [])
+    sized = with_group_stats(df.select(*dict.fromkeys(wanted)), group, _blocks=F.count(F.lit(1)))
+    blocks = F.least(F.ceil(F.col("_blocks") / rows_per_block).cast("int"), F.lit(rounds))
+    dealt = sized.withColumn("_blocks", blocks).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    shared: dict[tuple[int, int], np.ndarray] = {}  # draws depend on sizes alone, so groups of one size share them
 
     def run(key: tuple, rows: pd.DataFrame) -> list[tuple]:
         vals = rows[value].to_numpy(dtype=float)
         votes = rows[vote].to_numpy() if vote else None
+        own = range(int(key[-1]), rounds, int(rows["_blocks"].iloc[0]))
         out = []
         for n in sizes or (subset_sizes(len(vals)) if len(vals) > 1 else []):
-            if (len(vals), n) not in drawn:
-                drawn[len(vals), n] = resamples(len(vals), n, rounds, seed)
-            for name, (mean, std) in bootstrap_stats(vals, drawn[len(vals), n], votes).items():
-                out.append((*key, n, name, mean, std))
+            found: dict[str, list[np.ndarray]] = {}
+            step = max(1, DRAWN_AT_ONCE // n)
+            for low in range(0, len(own), step):
+                part = own[low : low + step]
+                if len(own) == rounds <= step:
+                    if (len(vals), n) not in shared:
+                        shared[len(vals), n] = resamples(len(vals), n, part, seed)
+                    picks = shared[len(vals), n]
+                else:
+                    picks = resamples(len(vals), n, part, seed)
+                for name, numbers in reduced(vals, picks, votes, reducers).items():
+                    found.setdefault(name, []).append(numbers)
+            for name, parts in found.items():
+                x = np.concatenate(parts)
+                out.append((*key[:-1], n, name, len(x), float(x.mean()), float(((x - x.mean()) ** 2).sum())))
         return out
 
-    wanted = [*group, value] + ([vote] if vote else []) + ([order] if order else [])
-    return map_groups(df.select(*dict.fromkeys(wanted)), group, [order] if order else [value], run,
-                      f"{keys}, n int, reducer string, mean double, std double", largest)
+    part = map_groups(dealt, [*group, "_block"], [order] if order else [value], run, f"{keys}, n int, reducer string, c long, m double, s double")
+    # Blocks of one group: counts, means and squared distances merge to those of all rounds.
+    whole = part.groupBy(*group, "n", "reducer").agg(F.sum("c").alias("c"), (F.sum(F.col("c") * F.col("m")) / F.sum("c")).alias("mean"), F.collect_list(F.struct("c", "m", "s")).alias("parts"))
+    squares = F.aggregate("parts", F.lit(0.0), lambda t, p: t + p["s"] + p["c"] * (p["m"] - F.col("mean")) * (p["m"] - F.col("mean")))
+    return whole.select(*group, "n", "reducer", "mean", F.sqrt(squares / F.col("c")).alias("std"))
 
 
 def exact_best_worst(df: DataFrame, group: Sequence[str], value: str, size: int, order: str) -> DataFrame:

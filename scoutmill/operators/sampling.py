@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from operator import itemgetter
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoutmill.functions.urls import history_url
-from scoutmill.operators.groups import map_groups, top_rows
+from scoutmill.operators.groups import join_on, map_groups, top_rows, with_group_stats
 from scoutmill.operators.ordering import number_rows, with_row_count
+from scoutmill.session import keep, task_count
 
 
 def draw(key: Sequence[str], seed: int) -> Column:
@@ -84,7 +85,8 @@ def choose_rows(df: DataFrame, sampler, row_id: str, n: int, seed: int = 42) ->
 
 # ---- batches ------------------------------------------------------------
 
-LARGEST_BATCH = 200_000  # rows of one batch; a batch feeds one training step
+#: Rows of a batch that one task balances; a larger batch is balanced by chunks, whose bins are then matched.
+CHUNK_ROWS = 50_000
 
 
 def differencing(lengths: Sequence[int], k: int, equal: bool) -> list[int]:
@@ -136,42 +138,113 @@ def greedy(lengths: Sequence[int], k: int, equal: bool) -> list[int]:
     return out
 
 
-def _per_batch(df: DataFrame, batch: str, row: str, length: str, assign) -> DataFrame:
-    """Run ``assign(lengths) -> bins`` inside each batch; batches run in parallel and only three columns travel."""
-    types = {c: df.schema[c].dataType.simpleString() for c in (batch, row)}
+def match_bins(totals: Sequence[Sequence[int]], k: int) -> list[list[int]]:
+    """Final bin of each bin of every chunk: chunks are merged from the most uneven on, the fullest bin onto the emptiest.
+
+    The spread of two merged chunks is at most the larger of theirs.
+    """
+    order = sorted(range(len(totals)), key=lambda c: (min(totals[c]) - max(totals[c]), c))
+    sums, out = [0] * k, [[0] * k for _ in totals]
+    for chunk in order:
+        fullest = sorted(range(k), key=lambda b: (-totals[chunk][b], b))
+        emptiest = sorted(range(k), key=lambda b: (sums[b], b))
+        for mine, final in zip(fullest, emptiest, strict=True):
+            out[chunk][mine] = final
+            sums[final] += totals[chunk][mine]
+    return out
 
-    def run(key: tuple, rows: pd.DataFrame) -> list[tuple]:
-        bins = assign(rows[length].astype(int).tolist())
-        return list(zip([key[0]] * len(rows), rows[row].tolist(), bins))
 
-    placed = map_groups(df.select(batch, row, length), [batch], [row], run,
-                        f"{batch} {types[batch]}, {row} {types[row]}, bin int", LARGEST_BATCH)
-    return df.join(placed, [batch, row])
+def _chunked(df: DataFrame, batch: str, row: str, length: str, chunk_rows: int) -> DataFrame:
+    """(batch, row, length, chunk): chunks of ``chunk_rows`` rows of a batch, in the order of the rows."""
+    numbered = number_rows(df.select(batch, row, length), [row], "_i", keys=[batch])
+    return keep(numbered.select(batch, row, F.col(length).cast("long").alias("_length"), F.floor((F.col("_i") - 1) / chunk_rows).cast("int").alias("_chunk")))
 
 
-def balance_batches(df: DataFrame, batch: str, row: str, length: str, k: int, equal: bool = True) -> DataFrame:
-    """k bins per batch of near-equal token totals (and equal counts)."""
-    return _per_batch(df, batch, row, length, lambda lengths: differencing(lengths, k, equal))
+def _balanced(chunked: DataFrame, batch: str, row: str, bins: DataFrame, equal: bool) -> DataFrame:
+    """(batch, row, bin), ``bins`` giving the number of bins as (batch, _k).
+
+    Every chunk is balanced on its own; then one task per batch matches the
+    chunks' bins by their totals, ``_k`` numbers for each chunk.
+    """
+    types = {c: chunked.schema[c].dataType.simpleString() for c in (batch, row)}
+
+    def solve(key: tuple, rows: pd.DataFrame) -> list[tuple]:
+        placed = differencing(rows["_length"].tolist(), int(rows["_k"].iloc[0]), equal)
+        return list(zip([key[0]] * len(rows), [key[1]] * len(rows), rows[row].tolist(), rows["_length"].tolist(), placed))
+
+    def match(key: tuple, rows: pd.DataFrame) -> list[tuple]:
+        k, chunks = int(rows["_k"].iloc[0]), sorted(set(rows["_chunk"]))
+        at = {c: i for i, c in enumerate(chunks)}
+        totals = [[0] * k for _ in chunks]
+        for c, b, t in zip(rows["_chunk"], rows["_part"], rows["_total"], strict=True):
+            totals[at[c]][b] = int(t)
+        final = match_bins(totals, k) if len(chunks) > 1 else [list(range(k))]
+        return [(key[0], c, b, final[at[c]][b]) for c in chunks for b in range(k)]
+
+    ready = join_on(chunked, bins, [batch], "inner")
+    solved = keep(map_groups(ready, [batch, "_chunk"], [row], solve, f"{batch} {types[batch]}, _chunk int, {row} {types[row]}, _length long, _part int"))
+    totals = solved.groupBy(batch, "_chunk", "_part").agg(F.sum("_length").alias("_total"))
+    matched = map_groups(join_on(totals, bins, [batch], "inner"), [batch], ["_chunk", "_part"], match, f"{batch} {types[batch]}, _chunk int, _part int, bin int")
+    return join_on(solved, matched, [batch, "_chunk", "_part"], "inner").select(batch, row, "_length", "bin")
+
+
+def balance_batches(df: DataFrame, batch: str, row: str, length: str, k: int, equal: bool = True, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """k bins per batch of near-equal token totals (and equal counts), a batch of any size."""
+    chunked = _chunked(df, batch, row, length, max(k, chunk_rows // k * k))
+    uneven = F.raise_error(F.concat(F.count(F.lit(1)).cast("string"), F.lit(f" rows do not fill {k} equal bins"))).cast("int")
+    bins = chunked.groupBy(batch).agg(F.when(F.lit(equal) & (F.count(F.lit(1)) % k != 0), uneven).otherwise(F.lit(k)).alias("_k"))
+    return join_on(df, _balanced(chunked, batch, row, bins, equal).drop("_length"), [batch, row], "inner")
 
 
 def greedy_bins(df: DataFrame, batch: str, row: str, length: str, k: int, equal: bool = False) -> DataFrame:
-    return _per_batch(df, batch, row, length, lambda lengths: greedy(lengths, k, equal))
-
-
-def pack_batches(df: DataFrame, batch: str, row: str, length: str, budget: int) -> DataFrame:
-    """Micro-batches of each batch: min(n, ceil(total / budget)) bins, heaviest (sum of squares) first."""
-
-    def assign(lengths: list[int]) -> list[int]:
-        if max(lengths) > budget:
-            raise ValueError(f"a row of {max(lengths)} tokens is above the budget of {budget}")
-        k = min(len(lengths), max(1, -(-sum(lengths) // budget)))
-        bins = differencing(lengths, k, equal=False)
-        work = [0] * k
-        first = [len(lengths)] * k
-        for i, b in enumerate(bins):
-            work[b] += lengths[i] ** 2
-            first[b] = min(first[b], i)
-        rank = {b: r for r, b in enumerate(sorted(range(k), key=lambda b: (-work[b], -first[b])))}
-        return [rank[b] for b in bins]
-
-    return _per_batch(df, batch, row, length, assign)
+    """Each row in order to the emptiest bin. Every choice needs the one before, so a batch runs through one task, which holds k totals and no rows."""
+    types = {c: df.schema[c].dataType.simpleString() for c in (batch, row)}
+    rows = df.select(batch, row, F.col(length).cast("long").alias("_length"))
+    sized = with_group_stats(rows, [batch], _n=F.count(F.lit(1)), _sum=F.sum("_length"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, heap, bias = (), [], 0
+        for frame in batches:
+            out = []
+            for key, n, size, total in zip(frame[batch], frame["_length"], frame["_n"], frame["_sum"], strict=True):
+                key = None if pd.isna(key) else key
+                if (key,) != held:
+                    if equal and size % k:
+                        raise ValueError(f"{size} rows do not fill {k} equal bins")
+                    held, heap, bias = (key,), [(0, b) for b in range(k)], int(total) + 1 if equal else 0
+                filled, b = heapq.heappop(heap)
+                out.append(b)
+                heapq.heappush(heap, (filled + int(n) + bias, b))
+            yield pd.DataFrame({batch: frame[batch], row: frame[row], "bin": out})
+
+    placed = sized.repartition(task_count(df.sparkSession), batch).sortWithinPartitions(batch, row)
+    return join_on(df, placed.mapInPandas(run, f"{batch} {types[batch]}, {row} {types[row]}, bin int"), [batch, row], "inner")
+
+
+def pack_batches(df: DataFrame, batch: str, row: str, length: str, budget: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Micro-batches of each batch: min(n, ceil(total / budget)) bins, heaviest (sum of squares) first.
+
+    A batch above ``chunk_rows`` rows gives each chunk bins in proportion to its
+    tokens, and the micro-batches of its chunks are counted together.
+    """
+    chunked = _chunked(df, batch, row, length, chunk_rows)
+    too_long = F.raise_error(F.concat(F.lit("a row of "), F.max("_length").cast("string"), F.lit(f" tokens is above the budget of {budget}"))).cast("long")
+    per = chunked.groupBy(batch, "_chunk").agg(F.count(F.lit(1)).alias("_n"), F.when(F.max("_length") > budget, too_long).otherwise(F.sum("_length")).alias("_total"))
+    # Bins up to each chunk's end, rounded up: differences add up to the batch's number of bins.
+    before = Window.partitionBy(batch).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, 0)
+    upto = lambda total: F.ceil(total / budget)
+    share = per.withColumn("_sum", F.sum("_total").over(before)).withColumn("_k", F.greatest(upto(F.col("_sum")) - upto(F.col("_sum") - F.col("_total")), F.lit(1)))
+    bins = share.select(batch, "_chunk", F.least("_k", "_n").cast("int").alias("_k"))
+    types = {c: chunked.schema[c].dataType.simpleString() for c in (batch, row)}
+
+    def solve(key: tuple, rows: pd.DataFrame) -> list[tuple]:
+        placed = differencing(rows["_length"].tolist(), int(rows["_k"].iloc[0]), equal=False)
+        return list(zip([key[0]] * len(rows), [key[1]] * len(rows), rows[row].tolist(), rows["_length"].tolist(), placed))
+
+    ready = join_on(chunked, bins, [batch, "_chunk"], "inner")
+    solved = keep(map_groups(ready, [batch, "_chunk"], [row], solve, f"{batch} {types[batch]}, _chunk int, {row} {types[row]}, _length long, _part int"))
+    work = solved.groupBy(batch, "_chunk", "_part").agg(F.sum(F.col("_length") * F.col("_length")).alias("_work"), F.min(row).alias("_first"))
+    heaviest = number_rows(work, [F.col("_work").desc(), F.col("_first").desc()], "_rank", keys=[batch])
+    ranked = heaviest.select(batch, "_chunk", "_part", (F.col("_rank") - 1).cast("int").alias("bin"))
+    placed = join_on(solved, ranked, [batch, "_chunk", "_part"], "inner").select(batch, row, "bin")
+    return join_on(df, placed, [batch, row], "inner")

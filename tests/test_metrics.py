@@ -1,5 +1,6 @@
 """Advantages, metrics and search against direct computation on small data."""
 
+import hashlib
 import math
 import random
 
@@ -154,23 +155,38 @@ def test_majority(spark):
     assert {r.u: r.value for r in M.majority_value(df, ["u"], "p", "v", "o").collect()} == {1: 0.9, 2: 0.8}
 
 
-def test_bootstrap(spark):
-    vals = [1.0, 2.0, 3.0, 4.0, 5.0]
-    df = spark.createDataFrame([(7, v, i, i % 2) for i, v in enumerate(vals)], "u int, v double, o int, p int")
-    rows = {r.reducer: (r["mean"], r["std"]) for r in M.bootstrap(df, ["u"], "v", [3], vote="p", order="o").collect()}
-    np.random.seed(42)
-    best, maj = [], []
-    for _ in range(1000):
-        idx = np.random.choice(5, size=3, replace=True)
-        best.append(max(vals[i] for i in idx))
-        votes = [i % 2 for i in idx]
-        top = max(votes.count(v) for v in votes)
-        maj.append(next(vals[i] for i, v in zip(idx, votes) if votes.count(v) == top))
-    assert rows["best"] == pytest.approx((np.mean(best), np.std(best)))
-    assert rows["maj"] == pytest.approx((np.mean(maj), np.std(maj)))
-    exact = M.exact_best_worst(df, ["u"], "v", 3, "o").first()
-    assert exact.best_mean == pytest.approx(rows["best"][0], abs=0.1)
-    assert 3.5 < exact.best_mean < 5
+def by_hand(vals, votes, n, rounds=1000, seed=42):
+    """best, worst and majority of each round, from the draws as the docstring of ``resamples`` states them."""
+    best, worst, maj = [], [], []
+    for r in range(rounds):
+        at = [int(hashlib.md5(f"{seed}|{n}|{r}|{d}".encode()).hexdigest()[:8], 16) * len(vals) >> 32 for d in range(n)]
+        drawn, cast = [vals[i] for i in at], [votes[i] for i in at]
+        top = max(cast.count(v) for v in cast)
+        best.append(max(drawn))
+        worst.append(min(drawn))
+        maj.append(next(x for x, v in zip(drawn, cast) if cast.count(v) == top))
+    return {"best": best, "worst": worst, "maj": maj}
+
+
+@pytest.mark.parametrize("block", [20_000, 2])
+def test_bootstrap(spark, block):
+    vals, votes = [1.0, 2.0, 3.0, 4.0, 5.0], [0, 1, 0, 1, 0]
+    df = spark.createDataFrame([(7, v, i, votes[i]) for i, v in enumerate(vals)] + [(None, 2.0, 9, 1)], "u int, v double, o int, p int")
+    rows = {r.reducer: (r["mean"], r["std"]) for r in M.bootstrap(df, ["u"], "v", [3], vote="p", order="o", rows_per_block=block).collect() if r.u == 7}
+    want = by_hand(vals, votes, 3)
+    assert rows.keys() == want.keys()
+    for name, numbers in want.items():
+        assert rows[name] == pytest.approx((np.mean(numbers), np.std(numbers)))
+    exact = M.exact_best_worst(df, ["u"], "v", 3, "o").filter("u = 7").first()
+    assert exact.best_mean == pytest.approx(rows["best"][0], abs=0.1) and 3.5 < exact.best_mean < 5
+
+
+def test_bootstrap_with_own_reducers(spark):
+    df = spark.createDataFrame([(1, float(i), i) for i in range(6)], "u int, v double, o int")
+    got = {r.reducer: r["mean"] for r in M.bootstrap(df, ["u"], "v", [4], order="o", reducers={"median": lambda x: np.median(x, axis=1)}).collect()}
+    picks = M.resamples(6, 4)
+    assert got == {"median": pytest.approx(np.median(np.arange(6.0)[picks], axis=1).mean())}
+    assert picks.min() == 0 and picks.max() == 5 and abs(picks.mean() - 2.5) < 0.1
 
 
 def test_validation_sections(spark):

@@ -1,5 +1,7 @@
 """Slices and windows agree, also with a hot key over many tasks."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,7 +41,7 @@ def test_running_sum_carries_past_nulls(spark, many_tasks):
 
 def test_keys_above_the_exact_doubles(spark):
     df = spark.range(40).select((F.col("id") + (1 << 60)).alias("k"), F.col("id").alias("row"), (F.col("id") + 1).alias("n"))
-    got = map_groups(df, ["k"], ["row"], lambda key, rows: [(key[0], len(rows))], "k long, n long", 10).collect()
+    got = map_groups(df, ["k"], ["row"], lambda key, rows: [(key[0], len(rows))], "k long, n long").collect()
     assert sorted(map(tuple, got)) == [((1 << 60) + i, 1) for i in range(40)]
     assert B.greedy_bins(df, "k", "row", "n", 2).count() == 40
 
@@ -75,13 +77,11 @@ def test_group_stats_null_key(spark):
 def test_map_groups_over_batches(spark, hot):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
     try:
-        got = map_groups(hot, ["k"], ["o"], lambda key, rows: [(key[0], len(rows), int(rows["v"].sum()))], "k long, n long, s long", 5000)
+        got = map_groups(hot, ["k"], ["o"], lambda key, rows: [(key[0], len(rows), int(rows["v"].sum()))], "k long, n long, s long")
         want = hot.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"))
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select("k", "n", "s").collect()))
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    with pytest.raises(Exception, match="group above"):
-        map_groups(hot, ["k"], ["o"], lambda key, rows: [], "k long", 10).collect()
 
 
 def test_pad_and_unpad(spark):
@@ -149,7 +149,40 @@ def test_packing(spark):
         assert {p.bin for p in rows} == set(range(k))
         work = [sum(p.n ** 2 for p in rows if p.bin == i) for i in range(k)]
         assert work == sorted(work, reverse=True)
-    assert B.greedy([5, 4, 3, 3], 2, False) == [0, 1, 1, 0]
+    listed = spark.createDataFrame([(0, i, n) for i, n in enumerate([5, 4, 3, 3])], "b int, r int, n int")
+    assert [r.bin for r in B.greedy_bins(listed, "b", "r", "n", 2).orderBy("r").collect()] == [0, 1, 1, 0]
+
+
+def test_batches_beyond_a_chunk(spark, many_tasks):
+    rng = random.Random(2)
+    rows = [(b, i, rng.choice([1, 2, 3, 50, 400])) for b, n in ((0, 960), (1, 40), (None, 80)) for i in range(n)]
+    df = spark.createDataFrame(rows, "b int, r int, n int")
+    for equal in (True, False):
+        got = B.balance_batches(df, "b", "r", "n", 8, equal, chunk_rows=100).collect()
+        assert sorted((str(r.b), r.r, r.n) for r in got) == sorted((str(b), r, n) for b, r, n in rows)
+        for batch in (0, 1, None):
+            own = [r for r in got if r.b == batch]
+            sums = [sum(r.n for r in own if r.bin == i) for i in range(8)]
+            assert max(sums) - min(sums) <= 400
+            assert not equal or {sum(r.bin == i for r in own) for i in range(8)} == {len(own) // 8}
+    with pytest.raises(Exception, match="do not fill 7 equal bins"):
+        B.balance_batches(df, "b", "r", "n", 7).collect()
+    packed = B.pack_batches(df, "b", "r", "n", 2000, chunk_rows=100).collect()
+    for batch in (0, 1, None):
+        own = [r for r in packed if r.b == batch]
+        bins = {r.bin for r in own}
+        assert bins == set(range(max(1, -(-sum(r.n for r in own) // 2000)))) and max(sum(r.n for r in own if r.bin == i) for i in bins) <= 2 * 2000
+    with pytest.raises(Exception, match="above the budget"):
+        B.pack_batches(df, "b", "r", "n", 399).collect()
+
+
+def test_matched_chunks_stay_as_even_as_the_worst():
+    rng = random.Random(3)
+    totals = [[rng.randint(0, 100) for _ in range(6)] for _ in range(50)]
+    final = B.match_bins(totals, 6)
+    assert all(sorted(f) == list(range(6)) for f in final)
+    sums = [sum(t[f.index(b)] for t, f in zip(totals, final)) for b in range(6)]
+    assert max(sums) - min(sums) <= max(max(t) - min(t) for t in totals)
 
 
 def test_samples(spark):
