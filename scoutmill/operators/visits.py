@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoutmill.functions.tags import CALL, browse_error, classify_response, tag_events, tool_calls
+from scoutmill.functions.text import let
 from scoutmill.functions.urls import host
 
 
@@ -71,16 +72,35 @@ def visit_outcomes(df: DataFrame, reason: Column, correct: Column, success: str)
     return table.withColumn("share", F.col("n") / total).withColumn("is_success", F.col("reason") == success)
 
 
+MARK_BLOCK = 256
+
+
 def browse_error_rows(df: DataFrame, output: str = "output", context: int = 50) -> DataFrame:
-    """Lines that mention a visit, with the first error keyword of the next lines and the turn they are in."""
+    """Lines that mention a visit, with the first error keyword of the next lines and the turn they are in.
+
+    Turn marks are counted once per block of lines and summed over the blocks,
+    so a hit adds up the rest of its own block only.
+    """
     lines = F.split(output, "\n")
     marks = F.transform(lines, lambda x: F.when(F.ltrim(x).startswith("assistant") | F.contains(x, F.lit("<answer>")), 1).otherwise(0))
-    picked = F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.contains(F.element_at(lines, i), F.lit("visit")))
-    rows = F.transform(picked, lambda i: F.struct(
-        i.alias("line"),
-        browse_error(F.array_join(F.slice(lines, i, F.lit(context)), "\n")).alias("error"),
-        F.aggregate(F.slice(marks, F.lit(1), i - 1), F.lit(0), lambda a, b: a + b).alias("turn"),
-    ))
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+
+    def located(s: Column) -> Column:
+        return let(F.struct(s["lines"].alias("lines"), s["marks"].alias("marks"), F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(s["lines"]) - 1) / MARK_BLOCK).cast("int")), lambda b: total(F.slice(s["marks"], b * MARK_BLOCK + 1, F.lit(MARK_BLOCK)))).alias("blocks")), before)
+
+    def before(s: Column) -> Column:
+        sums = F.transform(s["blocks"], lambda x, b: total(F.slice(s["blocks"], F.lit(1), b)))
+        return let(F.struct(s["lines"].alias("lines"), s["marks"].alias("marks"), sums.alias("before")), hits)
+
+    def hits(s: Column) -> Column:
+        picked = F.filter(F.sequence(F.lit(1), F.size(s["lines"])), lambda i: F.contains(F.element_at(s["lines"], i), F.lit("visit")))
+        block = lambda i: F.floor((i - 1) / MARK_BLOCK).cast("int")
+        return F.transform(picked, lambda i: F.struct(
+            i.alias("line"), browse_error(F.array_join(F.slice(s["lines"], i, F.lit(context)), "\n")).alias("error"),
+            (F.get(s["before"], block(i)) + total(F.slice(s["marks"], block(i) * MARK_BLOCK + 1, i - 1 - block(i) * MARK_BLOCK))).alias("turn")))
+
+    rows = let(F.struct(lines.alias("lines"), marks.alias("marks")), located)
     out = df.select(*[c for c in df.columns if c != output], F.explode(rows).alias("r")).select("*", "r.*").drop("r")
     return out.filter(F.col("error").isNotNull())
 

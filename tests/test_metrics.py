@@ -282,3 +282,14 @@ def test_adjacent_and_following(spark):
     assert {(r.pos, r.response) for r in J.pair_calls_with_responses(df, "k", "pos").collect()} == {(0, "r"), (1, "r"), (3, None)}
     near = J.pair_adjacent(df, "k", "pos", F.col("kind") == "call", F.col("kind") == "response", "body")
     assert {(r.pos, r.response) for r in near.collect()} == {(0, None), (1, "r"), (3, None)}
+
+
+def test_browse_error_turns_over_many_lines(spark):
+    from scoutmill.operators import visits as V
+
+    rng = random.Random(4)
+    lines = [rng.choice(["assistant", "text", "visit x", "a timeout", "<answer>b", "more"]) for _ in range(1500)]
+    got = {r.line: (r.turn, r.error) for r in V.browse_error_rows(spark.createDataFrame([(1, "\n".join(lines)), (2, None), (3, "")], "i int, output string"), context=3).collect()}
+    marks = [x.startswith("assistant") or "<answer>" in x for x in lines]
+    want = {i + 1: (sum(marks[:i]), "Timeout") for i, x in enumerate(lines) if "visit" in x and any("timeout" in y for y in lines[i : i + 3])}
+    assert got == want and len(want) > 50

@@ -107,3 +107,103 @@ def test_growing_set(spark, tmp_path):
     rows = spark.createDataFrame([("a b c",), ("a b c d e",)], "prompt string")
     S.grow_training_set(stream(spark, tmp_path, rows, "g"), "prompt", 4, str(tmp_path / "t"), str(tmp_path / "ck")).awaitTermination()
     assert [r.prompt for r in spark.read.parquet(str(tmp_path / "t")).collect()] == ["a b c"]
+
+
+UPSERTS = "url string, title string, text string"
+
+
+def upsert(spark, table, batch_id, rows):
+    S.append_upserts(spark.createDataFrame([(u, "", t) for u, t in rows], UPSERTS), batch_id, table)
+
+
+def test_compaction_keeps_the_table_and_bounds_its_folders(spark, tmp_path):
+    table, want = str(tmp_path / "log"), {}
+    rows = lambda: {r.url: r.text for r in S.current_table(spark, table, UPSERTS).collect()}
+    for i in range(14):
+        fresh = {f"u{(i * 3 + k) % 11}": f"v{i}" for k in range(3)}
+        upsert(spark, table, i, fresh.items())
+        want |= fresh
+        if i % 5 == 4:
+            S.compact(spark, table, UPSERTS, fanout=3)
+            assert rows() == want
+    S.compact(spark, table, UPSERTS, fanout=3)
+    live = S.live_folders(spark, table)
+    assert rows() == want and [r[1] for r in live] == sorted((r[1] for r in live), reverse=True) and len(live) <= 2 * 3
+    assert [r[2] for r in live[1:]] == [r[3] + 1 for r in live[:-1]] and live[-1][3] == 13
+    # A batch that is stored again after it was merged changes nothing; old folders go on request.
+    upsert(spark, table, 0, [("u0", "replayed")])
+    assert rows() == want
+    assert len(S.vacuum(spark, table)) >= 9 and rows() == want and S.vacuum(spark, table) == []
+
+
+def test_a_compaction_that_dies_changes_nothing(spark, tmp_path, monkeypatch):
+    table = str(tmp_path / "log")
+    for i in range(3):
+        upsert(spark, table, i, [("a", f"v{i}"), (f"b{i}", "x")])
+    before = S.live_folders(spark, table)
+    rows = lambda: sorted(map(tuple, S.current_table(spark, table, UPSERTS).collect()))
+    want = rows()
+
+    class Broken:
+        """Stands where the manifest would be written."""
+
+        def index(self, _):
+            raise RuntimeError("killed")
+
+    monkeypatch.setattr(S, "live_folders", lambda spark, table, f=S.live_folders: type("L", (list,), {"index": Broken().index})(f(spark, table)))
+    try:
+        S.compact(spark, table, UPSERTS, fanout=3)
+        raise AssertionError("was not killed")
+    except RuntimeError as error:
+        assert str(error) == "killed"
+    monkeypatch.undo()
+    assert any(n.startswith("merged-") for n in S._names(spark, table)) and S.live_folders(spark, table) == before and rows() == want
+    assert S.compact(spark, table, UPSERTS, fanout=3) == 1 and rows() == want
+    assert len(S.vacuum(spark, table)) == 4  # three batches and the unnamed folder
+
+
+def test_late_requests_are_counted(spark, tmp_path):
+    log = lambda times: spark.createDataFrame([(at(t), True, 1.0) for t in times], "ts timestamp, ok boolean, s double").coalesce(1)
+    path = tmp_path / "log"
+    listener = S.LateRows()
+    spark.streams.addListener(listener)
+    try:
+        log([0, 1]).write.parquet(str(path))
+        stats = S.windowed_stats(spark.readStream.schema("ts timestamp, ok boolean, s double").parquet(str(path)), F.col("ok"), {"all": F.col("s")}, watermark="1 minute")
+        q = stats.writeStream.format("memory").queryName("late").outputMode("append").start()
+        q.processAllAvailable()
+        log([3600]).write.mode("append").parquet(str(path))
+        q.processAllAvailable()
+        log([30, 60, 3601]).write.mode("append").parquet(str(path))  # two windows long closed
+        q.processAllAvailable()
+        log([7200]).write.mode("append").parquet(str(path))
+        drain(q)
+        import time
+
+        for _ in range(50):
+            if listener.dropped.get("late"):
+                break
+            time.sleep(0.1)
+        assert listener.dropped["late"] == 2
+    finally:
+        spark.streams.removeListener(listener)
+
+
+def test_progress_stats_equal_batch_within_the_sketch(spark, tmp_path):
+    rows = spark.range(4000).select((F.lit(T0).cast("timestamp") + F.make_dt_interval(secs=F.col("id") / 20)).alias("ts"), (F.pmod(F.col("id") * 7919, F.lit(1000)) / 10).alias("seconds"),
+                                    F.when(F.col("id") % 4 == 0, "stalled").otherwise("done").alias("state"), (F.col("id") % 3).alias("tool_calls"))
+    path = tmp_path / "s"
+    rows.repartition(6).write.parquet(str(path))
+    q = S.progress_stats(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(str(path))).writeStream.format("memory").queryName("stats").outputMode("complete").start()
+    drain(q)
+    exact = {r.w.start: r for r in rows.groupBy(F.window("ts", "1 minute").alias("w")).agg(
+        F.count("*").alias("n"), F.avg((F.col("state") == "done").cast("int")).alias("share"), F.percentile("seconds", 0.5).alias("p50"), F.percentile("seconds", 0.95).alias("p95")).collect()}
+    got, twin = spark.table("stats").collect(), {r.window_start: r for r in S.progress_stats(rows).collect()}
+    assert len(got) == len(exact) == len(twin) == 4
+    for r in got:
+        e = exact[r.window_start]
+        assert (r.samples, r.success_share, r.samples_per_second) == (e.n, e.share, e.n / 60) == (twin[r.window_start].samples, twin[r.window_start].success_share, twin[r.window_start].samples_per_second)
+        for name, value in (("p50", e.p50), ("p95", e.p95)):
+            assert abs(r[name] - value) <= 3 and abs(twin[r.window_start][name] - value) <= 3  # three hundredths of the range
+    whole = S.merge_progress(spark.table("stats")).first()
+    assert whole.samples == 4000 and whole.success_share == 0.75 and abs(whole.p50 - 50) <= 3 and abs(whole.p95 - 95) <= 3
