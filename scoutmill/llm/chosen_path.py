@@ -5,9 +5,11 @@ texts that chose the same shingle share a bucket. A bucket above ``small`` is
 split again on further shingles its members choose under that path, down to
 ``depth`` levels; small buckets are compared by brute force. A pair at the
 threshold meets in one run with a known chance, and ``runs`` repeats the whole
-until the target recall is reached. What still fills a bucket after the last
-split are texts that really are alike; it is compared by pairs of blocks, so
-nothing is capped.
+until the target recall is reached. A bucket that another split would not make
+smaller, because most of its members are alike, is not split: eight bits of
+their minhashes, counted with its size, show it. Such a bucket, like what is
+still large after the last split, is compared by pairs of blocks, so nothing is
+capped.
 
 Exact copies are one text throughout. Buckets first compare one byte in each of
 64 slots of a minhash; texts that found a likely partner are then compared on
@@ -40,6 +42,9 @@ from scoutmill.session import keep
 SLOTS = 64
 #: Share of equal slots from which a pair is compared exactly; six deviations below a Jaccard of 0.8.
 LIKELY = 0.5
+#: Bits of a sketch that are counted by bucket, and their mean squared lean (0 for unlike members, 1 for equal ones) from which no split helps.
+SIGNS = 8
+FLAT = 0.55
 
 
 def runs_for(recall: float, similarity: float, overlap: float, depth: int) -> int:
@@ -61,9 +66,7 @@ def choose(shingles: np.ndarray, paths: np.ndarray, overlap: float) -> tuple[np.
     limit = np.uint64(min(1.0, 1 / (overlap * len(shingles))) * (2**64 - 2**12))
     with np.errstate(over="ignore"):
         picks = shingles[None, :] ^ paths[:, None]
-        picks *= np.uint64(0xD6E8FEB86659FD93)  # both sides are hashes already: one fold between two products is enough
-        picks ^= picks >> np.uint64(32)
-        picks *= np.uint64(0xA0761D6478BD642F)
+        picks *= np.uint64(0xD6E8FEB86659FD93)  # both sides are hashes already, so one product spreads them into the high bits
         rows, columns = np.nonzero(picks <= limit)
         return rows, mix(picks[rows, columns] + shingles[columns])
 
@@ -86,7 +89,7 @@ def text_id(docs: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame, width: int, overlap: float, depth: int, runs: int) -> DataFrame:
-    """(id, sketch, nodes) of every distinct text that has words; a node is (level, parent, path)."""
+    """(id, sketch, signs, nodes) of every distinct text that has words; a node is (level, parent, path), and no path comes twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = mix(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -103,33 +106,44 @@ def signatures(docs: DataFrame, width: int, overlap: float, depth: int, runs: in
                     if not len(paths):
                         break
                     rows, children = choose(shingles, paths, overlap)
+                    children, first = np.unique(children, return_index=True)
+                    rows = rows[first]
                     levels.append(np.full(len(rows), level, np.int32))
                     parents.append(paths[rows].view(np.int64))
                     found.append(children.view(np.int64))
-                    paths = np.unique(children)
+                    paths = children
                 ids.append(name)
                 sketches.append(sketch(shingles))
                 sizes.append(sum(map(len, found[before:])))
             flat = pa.StructArray.from_arrays([pa.array(np.concatenate(c)) for c in (levels, parents, found)], names=["level", "parent", "path"])
             nodes = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(sketches, pa.binary()), nodes], names=["id", "sketch", "nodes"])
+            signs = pa.array([sum((one[k] & 1) << k for k in range(SIGNS)) for one in sketches], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(sketches, pa.binary()), signs, nodes], names=["id", "sketch", "signs", "nodes"])
 
-    rows = text_id(docs).select("id", "text").mapInArrow(run, "id binary, sketch binary, nodes array<struct<level:int,parent:long,path:long>>")
+    rows = text_id(docs).select("id", "text").mapInArrow(run, "id binary, sketch binary, signs int, nodes array<struct<level:int,parent:long,path:long>>")
     return keep(rows.dropDuplicates(["id"]))
 
 
+def bucket_sizes(rows: DataFrame) -> DataFrame:
+    """(bucket, size, flat) of the buckets of two or more rows (bucket, id, signs)."""
+    bit = lambda k: F.sum(F.shiftright("signs", k).bitwiseAND(F.lit(1))).alias(f"ones{k}")
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"), *[bit(k) for k in range(SIGNS)]).where("size > 1")
+    lean = sum(F.pow(2 * F.col(f"ones{k}") / F.col("size") - 1, 2) for k in range(SIGNS)) / SIGNS
+    return sizes.select("bucket", "size", (lean >= FLAT).alias("flat"))
+
+
 def leaf_buckets(signed: DataFrame, small: int, depth: int) -> DataFrame:
-    """(bucket, id, size) of all buckets of two or more that are compared: small ones, and those of the last level."""
+    """(bucket, id, size) of all buckets of two or more that are compared: small and flat ones, and those of the last level."""
     leaves, open_ = [], None
     for level in range(1, depth + 1):
-        rows = signed.select("id", F.explode(F.filter("nodes", lambda n: n["level"] == level)).alias("n")).select("id", "n.parent", F.col("n.path").alias("bucket"))
+        nodes = F.explode(F.filter("nodes", lambda n: n["level"] == level)).alias("n")
+        rows = signed.select("id", "signs", nodes).select("id", "signs", "n.parent", F.col("n.path").alias("bucket"))
         if open_ is not None:
-            rows = rows.join(open_.withColumnRenamed("bucket", "parent"), "parent")
-        rows = rows.select("bucket", "id").distinct() if level == 1 else keep(rows.select("bucket", "id").distinct())
-        sizes = keep(rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
-        done = sizes if level == depth else sizes.where(F.col("size") <= small)
-        leaves.append(rows.join(done, "bucket"))
-        open_ = sizes.where(F.col("size") > small).select("bucket")
+            rows = keep(rows.join(open_.withColumnRenamed("bucket", "parent"), "parent").select("bucket", "id", "signs"))
+        sizes = keep(bucket_sizes(rows))
+        whole = (F.col("size") <= small) | F.col("flat") | F.lit(level == depth)
+        leaves.append(rows.select("bucket", "id").join(sizes.where(whole).select("bucket", "size"), "bucket"))
+        open_ = sizes.where(~whole).select("bucket")
     out = leaves[0]
     for more in leaves[1:]:
         out = out.unionByName(more)
@@ -240,10 +254,8 @@ def exact_links(rows: DataFrame, similarity: float, width: int) -> DataFrame:
     return placed.mapInArrow(run, "id binary, n_links long, towards binary")
 
 
-def jaccard_classes(
-    docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float = 0.999, overlap: float = 0.8, depth: int = 3, small: int = 48, block: int = 128,
-) -> DataFrame:
-    """One row per input row: doc_id, class_id (least id of its class), n_links (other texts at or above ``similarity``), n_copies."""
+def text_links(docs: DataFrame, similarity: float, width: int, recall: float, overlap: float, depth: int, small: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(id, n_links) of the texts with a link, and (id, root) of their classes; ``id`` is a text's hash."""
     signed = signatures(docs, width, overlap, depth, runs_for(recall, similarity, overlap, depth))
     leaves = keep(leaf_buckets(signed, small, depth))
     lists = leaves.groupBy("id").agg(F.array_sort(F.collect_list("bucket")).alias("buckets"))
@@ -253,6 +265,22 @@ def jaccard_classes(
     links = keep(exact_links(likely.join(texts, "id"), similarity, width))
     counts = links.groupBy("id").agg(F.sum("n_links").alias("n_links"))
     roots = components(links.select(F.col("id").alias("a"), F.col("towards").alias("b"))).withColumnRenamed("node", "id")
+    return counts, roots
+
+
+def text_classes(
+    docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float = 0.999, overlap: float = 0.8, depth: int = 3, small: int = 48, block: int = 128,
+) -> DataFrame:
+    """(doc_id, id, root) of every row: its text's hash, and the hash that stands for the text's class."""
+    _, roots = text_links(docs, similarity, width, recall, overlap, depth, small, block)
+    return text_id(docs).select("doc_id", "id").join(roots, "id", "left").select("doc_id", "id", F.coalesce("root", "id").alias("root"))
+
+
+def jaccard_classes(
+    docs: DataFrame, similarity: float = 0.8, width: int = 5, recall: float = 0.999, overlap: float = 0.8, depth: int = 3, small: int = 48, block: int = 128,
+) -> DataFrame:
+    """One row per input row: doc_id, class_id (least id of its class), n_links (other texts at or above ``similarity``), n_copies."""
+    counts, roots = text_links(docs, similarity, width, recall, overlap, depth, small, block)
     named = keep(text_id(docs).select("doc_id", "id"))
     texts_of = named.groupBy("id").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"))
     placed = texts_of.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
