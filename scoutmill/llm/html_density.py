@@ -7,9 +7,13 @@ that node up to the body is the page's threshold: any other subtree off that
 path that reaches the threshold and is not mostly links is kept too, so an
 article that a page splits into siblings is whole. An article or main element
 around the best node is taken with all it holds, and text that stands directly
-in a node of the path is a block of the article. Nodes that
-mark themselves as furniture (tags, roles, class or id words) are taken out
-before densities are counted.
+in a node of the path is a block of the article. Elements that are furniture
+by their kind are taken out before densities are counted, and so are those
+that a word of their class, id or role marks, unless they hold most of the
+page's plain text and no article stands beside them: a wrapper may be named
+after the sidebar it also holds. Reader comments and adverts go whatever their
+share. A page that would be left without any text is read again without the
+other words.
 
 Work is per page in Arrow batches, without a shuffle. Defined cases: a null or
 empty page, or one without text, gives an empty string; broken and cut markup is
@@ -20,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -30,7 +35,7 @@ from pyspark.sql import DataFrame
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template head title svg math iframe object canvas audio video map datalist".split())
 # Elements that are furniture wherever they stand.
-FURNITURE = frozenset("nav footer aside form button select textarea input label fieldset dialog menu".split())
+FURNITURE = frozenset("nav footer aside button select textarea input label fieldset dialog menu".split())
 # Elements that end the line of text before and after them.
 BLOCK = frozenset(
     "address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html"
@@ -41,6 +46,13 @@ FURNITURE_WORDS = frozenset(
     " notice notices notification alert popup modal overlay newsletter subscribe subscription signup paywall share sharing social related recommended"
     " sidebar side rail widget comment comments commentlist disqus discussion reply replies respond breadcrumb breadcrumbs menu nav navbar navigation"
     " footer masthead toolbar pagination pager tags search skip login complementary contentinfo".split())
+# Those of them that never name a wrapper of the article (reader comments, adverts, consent, sign-up), and words that turn the word behind them round.
+NEVER_WRAPPERS = frozenset(
+    "comment comments commentlist disqus reply replies respond ad ads adv advert adverts advertisement advertising adsense sponsor sponsored"
+    " cookie cookies consent gdpr newsletter subscribe subscription signup paywall popup modal".split())
+NEGATIONS = frozenset("has no with without not non".split())
+#: Share of the page's plain text from which an element is no furniture, whatever its name.
+MOST_OF_PAGE = 0.6
 # Start tags that close an open element of the named kinds.
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -55,35 +67,45 @@ CUT_TAG = re.compile(r"<[/!?a-zA-Z][^<>]*\Z")
 class Node:
     """An element with its children in page order; strings are text."""
 
-    __slots__ = ("tag", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "parent")
+    __slots__ = ("tag", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "parent", "name", "in_article")
 
-    def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent, self.children = tag, parent, []
+    def __init__(self, tag: str, parent: Node | None, name: str = ""):
+        self.tag, self.parent, self.children, self.name = tag, parent, [], name
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.in_article = tag in ("article", "main") or parent is not None and parent.in_article
 
 
-def is_furniture(tag: str, attrs: list[tuple[str, str | None]], inside_article: bool) -> bool:
-    if tag in FURNITURE or tag == "header" and not inside_article:
-        return True
+def furniture_name(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> str:
+    """What an element's names say: "gone", "furniture" or nothing. A section of an article may be its discussion."""
     if tag in ("body", "html", "article", "main"):
-        return False
+        return ""
+    found = "furniture" if tag == "form" else ""
     for name, value in attrs:
-        if name in ("class", "id", "role") and value and any(part.lower() in FURNITURE_WORDS for part in NAME_PARTS.findall(value)):
-            return True
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-    return False
+            return "gone"
+        if name not in ("class", "id", "role") or not value:
+            continue
+        for token in value.split():
+            parts = [part.lower() for part in NAME_PARTS.findall(token)]
+            words = {part for before, part in zip(["", *parts], parts, strict=False) if part in FURNITURE_WORDS and before not in NEGATIONS}
+            if tag == "section" and in_article:
+                words -= {"discussion"}
+            if words & NEVER_WRAPPERS:
+                return "gone"
+            found = "furniture" if words else found
+    return found
 
 
 class TreeBuilder(HTMLParser):
-    """Builds the tree of what can be text; silent and furniture elements are passed over with all they hold."""
+    """Builds the tree of what can be text; silent elements and those of a furniture kind are passed over with all they hold."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", None)
         self.at = self.root
         self.passed: list[str] = []  # open elements inside one that is passed over
+        self.open: Counter[str] = Counter()  # open elements of the tree by kind
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self.passed:
@@ -99,13 +121,19 @@ class TreeBuilder(HTMLParser):
                 self.at.children.append("\n" if tag == "br" else Node("hr", self.at))
             return
         self.close_implied(tag)
-        inside = any(n.tag in ("article", "main") for n in self.path())
-        if tag in SILENT or is_furniture(tag, attrs, inside):
+        if tag in SILENT or tag in FURNITURE or tag == "header" and not self.at.in_article:
             self.passed.append(tag)
             return
-        node = Node(tag, self.at)
+        node = Node(tag, self.at, furniture_name(tag, attrs, self.at.in_article))
         self.at.children.append(node)
         self.at = node
+        self.open[tag] += 1
+
+    def rise(self, to: Node) -> None:
+        """Close what is open below ``to``."""
+        while self.at is not to:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.parent
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -122,14 +150,14 @@ class TreeBuilder(HTMLParser):
         if tag in BLOCK:
             for node in self.path():
                 if node.tag == "p" or tag in ENDED_BY_BLOCK and node.tag in ENDED_BY_BLOCK:
-                    self.at = node.parent
+                    self.rise(node.parent)
                     break
                 if node.tag in BLOCK:
                     break
         if tag in CLOSED_BY:
             for node in self.path():
                 if node.tag in CLOSED_BY[tag]:
-                    self.at = node.parent
+                    self.rise(node.parent)
                     if tag != "tr" or node.tag == "tr":
                         break
                 elif node.tag in SCOPE[tag]:
@@ -144,10 +172,8 @@ class TreeBuilder(HTMLParser):
                 self.passed = []
                 self.handle_endtag(tag)
             return
-        for node in self.path():
-            if node.tag == tag and node.parent is not None:
-                self.at = node.parent
-                return
+        if self.open[tag] > 0:
+            self.rise(next(node for node in self.path() if node.tag == tag and node.parent is not None).parent)
 
     def handle_data(self, data: str) -> None:
         if not self.passed:
@@ -172,6 +198,29 @@ def bottom_up(root: Node) -> list[Node]:
     return order[::-1]
 
 
+def without_furniture(root: Node, by_name: bool = True) -> Node:
+    """Takes out what is gone by name, and (``by_name``) named furniture, but for one that holds most of the plain text of a page without an article elsewhere."""
+    plain: dict[int, int] = {}
+    article: dict[int, bool] = {}
+    for node in bottom_up(root):
+        inner = [c for c in node.children if isinstance(c, Node)]
+        hidden = node.name == "gone" or node.tag == "a"
+        plain[id(node)] = 0 if hidden else sum(plain[id(c)] for c in inner) + sum(len("".join(c.split())) for c in node.children if isinstance(c, str))
+        article[id(node)] = plain[id(node)] > 0 and (node.tag in ("article", "main") or any(article[id(c)] for c in inner))
+    enough = MOST_OF_PAGE * plain[id(root)]
+
+    def stays(node: Node) -> bool:
+        holds_page = plain[id(node)] >= enough > 0 and article[id(node)] >= article[id(root)]
+        return not node.name or node.name == "furniture" and (not by_name or holds_page)
+
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        node.children = [c for c in node.children if isinstance(c, str) or stays(c)]
+        stack += [c for c in node.children if isinstance(c, Node)]
+    return root
+
+
 def measure(root: Node) -> list[Node]:
     """Fill in counts, densities and density sums; returns the nodes, children first."""
     nodes = bottom_up(root)
@@ -263,7 +312,8 @@ def main_text(html: str | None) -> str:
     """Blocks of the main text in page order, one per line."""
     if not html:
         return ""
-    return "\n".join(blocks_of(article_nodes(parse(html))))
+    found = blocks_of(article_nodes(without_furniture(parse(html))))
+    return "\n".join(found or blocks_of(article_nodes(without_furniture(parse(html), by_name=False))))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -2,14 +2,16 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from scoutmill.llm import chosen_path, compression_quality, edit_decontaminate, html_density, license_scan, line_dedup, packing, pii_sanitise, quality_rules, toxicity
+from scoutmill.llm import chosen_path, compression_quality, edit_decontaminate, html_density, license_scan, line_dedup, packing, pii_sanitise, pipeline, quality_rules, toxicity
 from scoutmill.llm.components import components
 from scoutmill.llm.labelled import fold_of
 from scoutmill.llm.queries import QUERIES
@@ -363,6 +365,62 @@ def test_loose_text_and_short_siblings_of_the_article_stay():
     assert html_density.main_text(f"<body><div>Loose text <i>goes</i> before{body}and after</div></body>") == f"Loose text goes before\n{main}\nand after"
 
 
+def test_names_of_wrappers_do_not_cost_the_article():
+    text = "First paragraph with some words in it, long enough.\nSecond paragraph with some more words in it.\nA third one ends the article here."
+    body = "".join(f"<p>{line}</p>" for line in text.split("\n"))
+    rest = '<div class="sidebar">Most read <a href="/a">this</a></div><div class="cookie-notice">We use cookies on this site.</div><ul class="post-tags"><li><a href="/t">tag</a></li></ul>'
+    for start in ('<div class="wrapper has-sidebar">', '<div id="content" class="no-sidebar">', '<div class="post side-by-side">', '<div class="tags-explained">', '<div class="notice-period">', "<form>"):
+        end = "</form>" if start == "<form>" else "</div>"
+        assert html_density.main_text(f"<body>{start}{body}{end}{rest}</body>") == text, start
+        assert html_density.main_text(f"<body>{start}<div>{body}</div>{rest}{end}</body>") == text, start
+    section = '<section class="discussion"><p>What the results mean is said in this part of the article.</p></section>'
+    assert html_density.main_text(f"<body><article>{body}{section}</article></body>").endswith("of the article.")
+    readers = '<div class="comments">' + "<p>A reader writes a long answer to the article above.</p>" * 20 + "</div>"
+    assert html_density.main_text(f"<body><div>{body}</div>{readers}</body>") == text == html_density.main_text(f"<body><div class=post>{body}{readers}</div></body>")
+    half = '<div class="side {}"><p>{} half of a text that two sides share between them.</p></div>'
+    assert html_density.main_text(f"<body>{half.format('left', 'One')}{half.format('right', 'Other')}</body>").count("half of a text") == 2
+
+
+def test_deep_nesting_takes_time_in_proportion():
+    took = []
+    for depth in (4000, 16_000):
+        page = "<div><span>" * depth + "<p>deep text</p></x>" * 10 + "</i>" * depth
+        start = time.process_time()
+        html_density.parse(page)
+        took.append(time.process_time() - start)
+    assert took[1] < 12 * took[0] + 0.2
+
+
+def density_by_hand(node, body_ratio):
+    """(chars, tags, link chars, link tags, density) by recursion over the definition."""
+    chars = tags = link_chars = link_tags = 0
+    for child in node.children:
+        if isinstance(child, str):
+            chars += len("".join(child.split()))
+        else:
+            c, t, lc, lt, _ = density_by_hand(child, body_ratio)
+            chars, tags, link_chars, link_tags = chars + c, tags + t + 1, link_chars + lc, link_tags + lt + (child.tag == "a")
+    if node.tag == "a":
+        link_chars = chars
+    if not chars:
+        return 0, tags, link_chars, link_tags, 0.0
+    base = math.log(chars * link_chars / max(chars - link_chars, 1) + body_ratio * chars + math.e)
+    weight = chars / max(link_chars, 1) * max(tags, 1) / max(link_tags, 1)
+    adjust = math.log(weight) / math.log(max(base, 1 + 1e-9)) if base > 1 else math.log(weight + 1)
+    return chars, tags, link_chars, link_tags, chars / max(tags, 1) * max(adjust, 0.0)
+
+
+def test_densities_against_recursion():
+    for page in (PAGE, "<div><p>One <a href=x>link</a> and text</p><ul><li><a>a</a><li><a>b</a></ul>tail</div>", "<p>only", "<div><a>all link</a></div>"):
+        root = html_density.without_furniture(html_density.parse(page))
+        nodes = html_density.measure(root)
+        ratio = root.link_chars / max(root.chars, 1)
+        for node in nodes:
+            assert (node.chars, node.tags, node.link_chars, node.link_tags) == density_by_hand(node, ratio)[:4]
+            assert node.density == pytest.approx(density_by_hand(node, ratio)[4])
+            assert node.total == pytest.approx(sum(density_by_hand(c, ratio)[4] for c in node.children if not isinstance(c, str)))
+
+
 def test_license_rules():
     assert len(license_scan.RULES) > 300
     scan = license_scan.scan_text
@@ -421,6 +479,33 @@ def test_query_columns(spark):
     assert row["base_sha256"] == hashlib.sha256(b"").hexdigest()
 
 
+A_TEXT = "The committee met on a cold morning in the old hall to talk about the river and the bridges that cross it near the mill."
+B_TEXT = "Seven sailors carried lamps along the harbour wall while the evening boats came in one after another with their nets full."
+
+
+def test_near_duplicate_stage_removes_rows_not_ids(spark):
+    rows = [(1, A_TEXT), (None, A_TEXT), (None, B_TEXT), (5, "short text"), (5, "short text"), (7, A_TEXT + " end"), (7, "another text under the same id"), (8, None), (9, ""), (3, None)]
+    got = pipeline.near_duplicate_stage(spark, odd_docs(spark, rows), SMALL).collect()
+    assert sorted(((r["doc_id"] or 0), r["text"] or "") for r in got) == sorted([(1, A_TEXT), (0, B_TEXT), (5, "short text"), (7, "another text under the same id"), (3, "")])
+    assert got[0].asDict().keys() == set(odd_docs(spark).columns)
+
+
+def test_decontamination_stage_removes_rows_not_ids(spark):
+    items = spark.createDataFrame([(0, A_TEXT)], "item_id long, text string")
+    rows = [(None, f"before it {A_TEXT} after it"), (None, B_TEXT), (4, A_TEXT), (4, B_TEXT), (4, B_TEXT), (6, None)]
+    got = edit_decontaminate.without_leaks(odd_docs(spark, rows), items).collect()
+    assert sorted(((r["doc_id"] or 0), r["text"] or "") for r in got) == sorted([(0, B_TEXT), (4, B_TEXT), (4, B_TEXT), (6, "")])
+
+
+def test_stages_on_odd_and_empty_tables(spark):
+    for rows in (ODD, []):
+        docs = odd_docs(spark, rows)
+        for name, stage in pipeline.STAGES:
+            out = stage(spark, docs, SMALL)
+            assert name == "packing" or set(out.columns) == set(docs.columns), name
+            assert len(out.collect()) >= 1 if rows else out.collect() == [], name
+
+
 def test_pipeline_keeps_columns_and_packs_everything(spark):
     import corpus_pipeline
 
