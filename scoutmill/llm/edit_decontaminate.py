@@ -290,6 +290,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = 0.2, walks: int
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, share: float = 0.2, walks: int = 4) -> DataFrame:
-    """The documents that hold no item."""
-    leaks = find_leaks(docs, items, share, walks).select("doc_id").distinct().alias("l")
-    return docs.alias("d").join(leaks, F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")), "left_anti")
+    """The documents that hold no item; a document is its id and its text, so others of its id stay."""
+    text = F.md5(F.coalesce("text", F.lit("")))
+    keyed = docs.select(F.struct("doc_id", text.alias("text_hash")).alias("doc_id"), "text")
+    leaks = find_leaks(keyed, items, share, walks).select("doc_id.doc_id", "doc_id.text_hash").distinct().alias("l")
+    same = F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("d._text_hash") == F.col("l.text_hash"))
+    return docs.withColumn("_text_hash", text).alias("d").join(leaks, same, "left_anti").drop("_text_hash")

@@ -1,4 +1,14 @@
-"""Stages of the corpus pipeline: each takes (spark, docs, sf_dir) and returns the documents it keeps, or packed pieces at the end."""
+"""Stages of the corpus pipeline: each takes (spark, docs, sf_dir) and returns the documents it keeps, or packed pieces at the end.
+
+Defined cases, for every stage: a null text counts as empty (line dedup leaves
+it null); a null ``doc_id`` is an id like any other and is kept or dropped by
+its own text; a document is its id and its text, so an id that stands with two
+texts is two documents; rows that repeat both are copies, of which the near
+duplicate stage keeps one; of rows equal in both but in no other column, which
+one stays is not fixed; ties go to the least id, then to the least hash of the
+text; an empty table gives an empty result; further columns are carried through
+to the last stage, which returns pieces.
+"""
 
 from __future__ import annotations
 
@@ -28,13 +38,23 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of copies and near copies: the one with the least id.
+    """One document of each class of copies and near copies: the one with the least id, and of its repeats one row.
 
     Documents that line dedup left without any text are copies of each other.
+    Only ids and hashes of texts say who goes; documents that stand once and
+    stay are not shuffled for it.
     """
-    classes = chosen_path.jaccard_classes(docs)
-    gone = classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct().alias("g")
-    return docs.alias("d").join(gone, F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left_anti")
+    rows = keep(chosen_path.text_classes(docs))
+    named = rows.groupBy("root", "doc_id", "id").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")).alias("first")
+    leaders = named.groupBy("root").agg(first).select("root", F.col("first.doc_id").alias("leader"), F.col("first.id").alias("leader_text"))
+    leads = F.col("doc_id").eqNullSafe(F.col("leader")) & (F.col("id") == F.col("leader_text"))
+    marked = keep(named.join(leaders, "root").select("doc_id", "id", leads.alias("leads"), "n").where(~F.col("leads") | (F.col("n") > 1)))
+    texts = docs.withColumn("_text", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    same = lambda m: F.col("d.doc_id").eqNullSafe(F.col(f"{m}.doc_id")) & (F.col("d._text") == F.col(f"{m}.id"))
+    single = texts.alias("d").join(marked.alias("m"), same("m"), "left_anti")
+    repeated = texts.alias("d").join(marked.where("leads").alias("r"), same("r"), "left_semi").dropDuplicates(["doc_id", "_text"])
+    return single.unionByName(repeated).drop("_text")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
