@@ -170,9 +170,25 @@ def _(t):
     return long_rows(V.reinforce_pp(token_rows(t), 1.0), "advantages", "returns")
 
 
-@query("gae")
+# Factors are binary fractions: with decimal ones, sums of few terms lie on the edge between two rounded numbers.
+GAE = """o AS (SELECT *, count(*) OVER (PARTITION BY row_id) AS n FROM tok), x AS (
+  SELECT row_id, pos, m, val, CASE WHEN m = 1 THEN reward - val ELSE 0 END AS last, CASE WHEN m = 1 THEN val ELSE 0 END AS ahead FROM o WHERE pos = n
+  UNION ALL SELECT o.row_id, o.pos, o.m, o.val, CASE WHEN o.m = 1 THEN o.reward + 0.984375::DOUBLE * x.ahead - o.val + 0.984375::DOUBLE * 0.9375::DOUBLE * x.last ELSE x.last END, CASE WHEN o.m = 1 THEN o.val ELSE x.ahead END
+  FROM x JOIN o ON o.row_id = x.row_id AND o.pos = x.pos - 1)"""
+
+
+@query("gae", f"""WITH RECURSIVE {TOKENS}, {GAE}, w AS (SELECT avg(last) AS mean, var_samp(last) AS var FROM x WHERE m = 1)
+SELECT row_id, pos, round((last - mean) / sqrt(var + 1e-8), 6) AS advantages, round(last + val, 6) AS returns FROM x, w""")
+def _(t):
+    return long_rows(V.gae(token_rows(t), 0.984375, 0.9375), "advantages", "returns")
+
+
+@query("gae_tokens", f"""WITH RECURSIVE {TOKENS}, {GAE} SELECT row_id, pos, round(last, 6) AS token_advantage FROM x""")
 def _(t):
-    return V.gae(token_rows(t), 0.99, 0.95).select("row_id", "advantages", "returns")
+    """The same recurrence over one row per token, carried across slices."""
+    tokens = token_rows(t).select("row_id", F.posexplode(F.arrays_zip("rewards", "values", "mask")).alias("pos", "x")).select(
+        "row_id", (F.col("pos") + 1).cast("long").alias("pos"), F.col("x.rewards").alias("reward"), F.col("x.values").alias("value"), F.col("x.mask").alias("mask"))
+    return V.gae_tokens(tokens, "row_id", "pos", 0.984375, 0.9375).select("row_id", "pos", F.round("token_advantage", 6).alias("token_advantage"))
 
 
 @query("remax", f"""WITH {TOKENS}, g AS (SELECT *, sum(reward * m) OVER (PARTITION BY row_id ORDER BY pos DESC) AS ret FROM tok) SELECT row_id, pos, round(ret - baseline * m, 6) AS advantages, round(ret, 6) AS returns FROM g""")

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from scoutmill.functions.text import let
 
@@ -101,42 +98,44 @@ def overlong_penalty(length: Column, longest: int, buffer: int, factor: float) -
     return F.least(-exceed / F.lit(float(buffer)) * F.lit(factor), F.lit(0.0))
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def suffix_sums(values: pd.Series, mask: pd.Series, gamma: pd.Series, reset: pd.Series) -> pd.Series:
-    """Discounted sum from each position to the end; ``reset`` starts anew before a position outside the mask.
+# ---- recurrences ----------------------------------------------------------
+# x[t] = b[t] + a[t] * x[t + 1] is a chain of maps, and maps compose: a pass with
+# shifts of 1, 2, 4, ... leaves at each place the map from the array's end.
 
-    A linear pass per row; a Column fold would copy its growing result at every token.
-    """
+def affine_prefix(a: Column, b: Column) -> Column:
+    """{a, b} at each place: the maps up to and with this one as a single map (the first is applied first)."""
+    shifts = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda d: d < F.size(a))
 
-    def one(v, m, g, r):
-        if v is None:
-            return None
-        v = np.asarray(v, dtype=float)
-        if g == 1.0 and not r:
-            return np.cumsum(v[::-1])[::-1]
-        out, run = np.empty(len(v)), 0.0
-        for t in range(len(v) - 1, -1, -1):
-            run = out[t] = v[t] + g * run
-            if r and m[t] != 1:
-                run = 0.0
-        return out
+    def step(maps: Column, d: Column) -> Column:
+        earlier = lambda name, i, none: F.coalesce(F.when(i >= d, F.get(maps[name], i - d)), F.lit(none))
+        return F.struct(
+            F.transform(maps["a"], lambda x, i: x * earlier("a", i, 1.0)).alias("a"),
+            F.transform(maps["b"], lambda y, i: y + F.get(maps["a"], i) * earlier("b", i, 0.0)).alias("b"))
 
-    return pd.Series([one(*row) for row in zip(values, mask, gamma, reset)])
+    doubles = F.struct(F.transform(a, lambda x: x.cast("double")).alias("a"), F.transform(b, lambda x: x.cast("double")).alias("b"))
+    return F.aggregate(shifts, doubles, step)
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def gae_advantages(rewards: pd.Series, values: pd.Series, mask: pd.Series, gamma: pd.Series, lam: pd.Series) -> pd.Series:
+def affine_suffix(a: Column, b: Column) -> Column:
+    """x[t] = b[t] + a[t] * x[t + 1] for every t, 0 standing behind the last; null for a null array."""
+    return F.when(a.isNotNull() & b.isNotNull(), F.reverse(affine_prefix(F.reverse(a), F.reverse(b))["b"]))
+
+
+def suffix_sums(values: Column, mask: Column, gamma: Column, reset: Column) -> Column:
+    """Discounted sum from each position to the end; ``reset`` starts anew before a position outside the mask."""
+    factors = F.transform(values, lambda _, t: F.when(reset & (F.coalesce(F.get(mask, t + 1), F.lit(1)) != 1), F.lit(0.0)).otherwise(gamma))
+    return affine_suffix(factors, values)
+
+
+def gae_advantages(rewards: Column, values: Column, mask: Column, gamma: Column, lam: Column) -> Column:
     """Reverse recurrence over one response; positions outside the mask change nothing."""
+    on = lambda t: F.coalesce(F.get(mask, t), F.lit(0)) == 1
+    nearest = affine_suffix(F.transform(values, lambda v, t: F.when(on(t), 0.0).otherwise(1.0)), F.transform(values, lambda v, t: F.when(on(t), v).otherwise(0.0)))
+
+    def with_next(s: Column) -> Column:
+        delta = lambda r, t: r + gamma * F.coalesce(F.get(s["nearest"], t + 1), F.lit(0.0)) - F.get(s["values"], t)
+        return affine_suffix(
+            F.transform(s["rewards"], lambda r, t: F.when(on(t), gamma * lam).otherwise(1.0)),
+            F.transform(s["rewards"], lambda r, t: F.when(on(t), delta(r, t)).otherwise(0.0)))
 
-    def one(r, v, m, g, decay):
-        if r is None:
-            return None
-        out, ahead, last = np.empty(len(r)), 0.0, 0.0
-        for t in range(len(r) - 1, -1, -1):
-            if m[t] == 1:
-                last = r[t] + g * ahead - v[t] + g * decay * last
-                ahead = v[t]
-            out[t] = last
-        return out
-
-    return pd.Series([one(*row) for row in zip(rewards, values, mask, gamma, lam)])
+    return let(F.struct(rewards.alias("rewards"), values.alias("values"), nearest.alias("nearest")), with_next)

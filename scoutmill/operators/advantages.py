@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from scoutmill.functions import arrays as A
 from scoutmill.operators.groups import join_on, top_rows, with_group_stats, with_totals, with_totals_of
-from scoutmill.operators.ordering import number_rows, ordered, with_row_count
+from scoutmill.operators.ordering import Slices, number_rows, ordered, with_row_count
+from scoutmill.session import keep
 
 EPS = 1e-6
 
@@ -116,14 +117,14 @@ def rfpp_baseline(df: DataFrame, uid: str = "uid", rewards: str = "rewards", mas
     s = df.withColumn("_score", A.array_sum(F.col(rewards)))
     s = with_group_stats(s, [uid], _n=F.count(F.lit(1)), _m=F.avg("_score"))
     s = s.withColumn("_c", F.col("_score") - F.when(F.col("_n") == 1, F.lit(0.0)).otherwise(F.col("_m")))
-    s = s.withColumn("_v", F.transform(mask, lambda m: F.col("_c") * m))
+    s = keep(s.withColumn("_v", F.transform(mask, lambda m: F.col("_c") * m)))
     out = masked_whiten(s, "_v", mask, "_w")
     return out.withColumn("advantages", A.masked(F.col("_w"), F.col(mask))).drop("_score", "_n", "_m", "_c", "_v", "_w")
 
 
 def reinforce_pp(df: DataFrame, gamma: float = 1.0, rewards: str = "rewards", mask: str = "mask") -> DataFrame:
     """Discounted return to the end, restarted after masked tokens, whitened over the batch."""
-    s = df.withColumn("returns", A.suffix_sums(F.col(rewards), F.col(mask), F.lit(gamma), F.lit(True)))
+    s = keep(df.withColumn("returns", A.suffix_sums(F.col(rewards), F.col(mask), F.lit(gamma), F.lit(True))))
     out = masked_whiten(s, "returns", mask, "_w")
     return out.withColumn("advantages", A.masked(F.col("_w"), F.col(mask))).drop("_w")
 
@@ -144,10 +145,26 @@ def remax_tokens(df: DataFrame, row: str, pos: str, reward: Column, baseline: Co
 def gae(df: DataFrame, gamma: float = 1.0, lam: float = 1.0, rewards: str = "rewards", values: str = "values", mask: str = "mask") -> DataFrame:
     """Generalised advantage estimates whitened over the batch, and their returns."""
     s = df.withColumn("_a", A.gae_advantages(F.col(rewards), F.col(values), F.col(mask), F.lit(gamma), F.lit(lam)))
-    s = s.withColumn("returns", F.zip_with("_a", values, lambda a, v: a + v))
+    s = keep(s.withColumn("returns", F.zip_with("_a", values, lambda a, v: a + v)))
     return masked_whiten(s, "_a", mask, "advantages").drop("_a")
 
 
+def returns_tokens(df: DataFrame, row: str, pos: str, reward: str = "reward", mask: str = "mask", gamma: float = 1.0) -> DataFrame:
+    """``reinforce_pp``'s returns over long tables, one row per token and trajectories of any length: adds ``token_return``."""
+    s = Slices.of(df, [F.col(pos).desc()], [row]).previous(F.col(mask), "_after")
+    factor = F.when(F.coalesce("_after", F.lit(1)) != 1, 0.0).otherwise(gamma)
+    return s.affine(factor, _value(reward), "token_return").result().drop("_after")
+
+
+def gae_tokens(df: DataFrame, row: str, pos: str, gamma: float = 1.0, lam: float = 1.0, reward: str = "reward", value: str = "value", mask: str = "mask") -> DataFrame:
+    """Advantage estimates before whitening over long tables, one row per token and trajectories of any length: adds ``token_advantage``."""
+    on = F.coalesce(F.col(mask), F.lit(0)) == 1
+    ahead = Slices.of(df, [pos], [row]).following(F.when(on, _value(value)), "_ahead").result()
+    delta = _value(reward) + gamma * F.coalesce("_ahead", F.lit(0.0)) - _value(value)
+    back = Slices.of(ahead, [F.col(pos).desc()], [row])
+    return back.affine(F.when(on, gamma * lam).otherwise(1.0), F.when(on, delta).otherwise(0.0), "token_advantage").result().drop("_ahead")
+
+
 def rloo_multi(df: DataFrame, sources: Mapping[str, float], n_samples: int, uid: str = "uid", mask: str = "mask") -> DataFrame:
     """Leave-one-out per reward source, weighted and summed, then returned to the end and whitened.
 
@@ -162,20 +179,17 @@ def rloo_multi(df: DataFrame, sources: Mapping[str, float], n_samples: int, uid:
         return F.transform(mask, lambda m, t: F.when(t == F.col("_last"), _value(name) * ratio - base).otherwise(F.lit(0.0)) * weight)
 
     s = df.withColumn("_last", A.mask_count(F.col(mask)) - 1)
-    parts = []
-    for i, (name, weight) in enumerate(sources.items()):
-        is_array = df.schema[name].dataType.typeName() == "array"
-        mean = A.array_sum(A.masked(F.col(name), F.col(mask))) / A.mask_count(F.col(mask)) if is_array else _value(name)
-        s = with_group_stats(s.withColumn(f"_mean{i}", mean), [uid], **{f"_base{i}": F.sum(f"_mean{i}") / F.lit(n_samples - 1)})
+    arrays = [df.schema[name].dataType.typeName() == "array" for name in sources]
+    means = [A.array_sum(A.masked(F.col(name), F.col(mask))) / A.mask_count(F.col(mask)) if is_array else _value(name) for name, is_array in zip(sources, arrays, strict=True)]
+    s = s.withColumn("_means", F.array(*means))
+    # One aggregation for all sources.
+    s = with_group_stats(s, [uid], **{f"_base{i}": F.sum(F.col("_means")[i]) / F.lit(n_samples - 1) for i in range(len(arrays))})
+    total = None
+    for i, ((name, weight), is_array) in enumerate(zip(sources.items(), arrays, strict=True)):
         part = (token_part if is_array else last_part)(name, F.col(f"_base{i}"), weight)
-        s = s.withColumn(f"_part{i}", part)
-        parts.append(f"_part{i}")
-    total = F.col(parts[0])
-    for p in parts[1:]:
-        total = F.zip_with(total, F.col(p), lambda a, b: a + b)
-    s = s.withColumn("returns", A.suffix_sums(A.masked(total, F.col(mask)), F.col(mask), F.lit(1.0), F.lit(False)))
-    drops = ["_last"] + [f"_{kind}{i}" for i in range(len(parts)) for kind in ("mean", "base", "part")]
-    return masked_whiten(s, "returns", mask, "advantages").drop(*drops)
+        total = part if total is None else F.zip_with(total, part, lambda a, b: a + b)
+    s = keep(s.withColumn("returns", A.suffix_sums(A.masked(total, F.col(mask)), F.col(mask), F.lit(1.0), F.lit(False))))
+    return masked_whiten(s, "returns", mask, "advantages").drop("_last", "_means", *[f"_base{i}" for i in range(len(arrays))])
 
 
 ESTIMATORS: dict[str, Callable[..., DataFrame]] = {

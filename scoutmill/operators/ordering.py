@@ -21,6 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scoutmill.functions.arrays import affine_prefix
 from scoutmill.operators.groups import join_on
 from scoutmill.session import keep
 
@@ -112,6 +113,25 @@ class Slices:
         carried = F.last("_edge", ignorenulls=True).over(back(self._across(backwards=True)))
         return self._combine(name, edge, carried, lambda c: F.coalesce(local, c))
 
+    def affine(self, factor: Column, term: Column, name: str) -> Slices:
+        """x = term + factor * (x of the row before), 0 before the first row of the key.
+
+        Each slice is composed to one map, and only these maps cross slice
+        edges, so a key may be as long as it likes.
+        """
+        rows = self.frame.select("_slice", *self.keys, F.struct("_pos", factor.cast("double").alias("a"), term.cast("double").alias("b")).alias("m"))
+        lists = rows.groupBy("_slice", *self.keys).agg(F.sort_array(F.collect_list("m")).alias("m"))
+        scanned = lists.select("_slice", *self.keys, F.col("m._pos").alias("pos"), affine_prefix(F.col("m.a"), F.col("m.b")).alias("x"))
+        kept = keep(scanned)
+        edges = kept.groupBy(*self.keys).agg(F.sort_array(F.collect_list(F.struct("_slice", F.element_at("x.a", -1).alias("a"), F.element_at("x.b", -1).alias("b")))).alias("e"))
+        upto = edges.select(*self.keys, F.col("e._slice").alias("slices"), affine_prefix(F.col("e.a"), F.col("e.b"))["b"].alias("ends"))
+        carry = upto.select(*self.keys, F.explode(F.transform("slices", lambda s, i: F.struct(s.alias("_slice"), F.coalesce(F.when(i > 0, F.get("ends", i - 1)), F.lit(0.0)).alias("before")))).alias("c"))
+        placed = join_on(kept, carry.select(*self.keys, "c._slice", "c.before"), ["_slice", *self.keys])
+        each = F.transform("pos", lambda p, i: F.struct(p.alias("_pos"), (F.get("x.b", i) + F.get("x.a", i) * F.col("before")).alias("_new")))
+        values = placed.select("_slice", F.explode(each).alias("v")).select("_slice", "v._pos", "v._new")
+        joined = self.frame.drop(*([name] if name in self.frame.columns else [])).join(values, ["_slice", "_pos"])
+        return self._with(joined.withColumnRenamed("_new", name), name)
+
     def result(self) -> DataFrame:
         return self.frame.select(*self.columns)
 

@@ -96,6 +96,48 @@ def read_text_with_fallback(spark: SparkSession, path: str, encodings: Sequence[
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "path string, text string, encoding string")
 
 
+def read_lines_with_fallback(spark: SparkSession, path: str, encodings: Sequence[str] = ("utf-8", "gb18030", "latin-1")) -> DataFrame:
+    """Lines of files as (path, line, encoding): each file in the first encoding that fits all its lines, else UTF-8 with replacement characters.
+
+    A large file is read in byte ranges that end at line ends, by as many tasks
+    as it has ranges, and a ``.gz`` file as a stream; no file is held whole. The
+    ranges count the lines that each encoding fails on, and the sums choose.
+    Encodings must write a line end as the byte 10 and no other sign with that
+    byte (not UTF-16). Empty lines stay; a carriage return before a line end goes.
+    """
+    tried = list(encodings)
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("bytes"))
+
+    def fits(data: bytes, name: str) -> bool:
+        try:
+            data.decode(name)
+        except UnicodeDecodeError:
+            return False
+        return True
+
+    def failures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            odd = batch[~batch["bytes"].map(bytes.isascii)]
+            found = pd.DataFrame({f"f{i}": (~odd["bytes"].map(lambda b, n=n: fits(b, n)).astype(bool)).astype("int64") for i, n in enumerate(tried)})
+            found["path"] = odd["path"]
+            yield found.groupby("path", as_index=False).sum()[["path", *(f"f{i}" for i in range(len(tried)))]]
+
+    counts = lines.mapInPandas(failures, ", ".join(["path string", *(f"f{i} long" for i in range(len(tried)))])).groupBy("path").agg(*[F.sum(f"f{i}").alias(f"f{i}") for i in range(len(tried))])
+    first = F
+    for i, name in enumerate(tried):
+        first = first.when(F.col(f"f{i}") == 0, name)
+    chosen = counts.select("path", first.otherwise("utf-8:replace").alias("encoding"))
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            text = [b.decode(n.split(":")[0], errors="replace" if ":" in n else "strict").removesuffix("\r") for b, n in zip(batch["bytes"], batch["encoding"], strict=True)]
+            yield pd.DataFrame({"path": batch["path"], "line": text, "encoding": batch["encoding"]})
+
+    # A file of ASCII alone fits whatever comes first.
+    named = lines.join(chosen, "path", "left").withColumn("encoding", F.coalesce("encoding", F.lit(tried[0])))
+    return named.mapInPandas(decode, "path string, line string, encoding string")
+
+
 def read_qa_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """QA pairs of one-document-per-file outputs; unreadable files and pairs without both fields go."""
     files = _permissive(spark, f"{QA_FILE}, {CORRUPT} string", path, multiLine="true").withColumn("source_file", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1))

@@ -191,3 +191,44 @@ def test_samples(spark):
     assert sorted(r.id for r in once.collect()) == sorted(r.id for r in again.collect())
     assert {r.s: r.n for r in B.cap_per_source(df, 7, "s", ["id"]).groupBy("s").agg(F.count(F.lit(1)).alias("n")).collect()} == {"0": 7, "1": 7, "2": 7}
     assert [r.id for r in B.even_sample(df, 4, ["id"]).orderBy("id").collect()] == [0, 250, 500, 999]
+
+
+def test_affine_recurrences_across_slices(spark, many_tasks):
+    """One trajectory as long as the table, and short ones, against a plain loop."""
+    rng = random.Random(8)
+    rows = [(k, t, rng.choice([0.0, 0.5, 0.9, 1.0]), rng.randint(-3, 3)) for k, n in (("long", 5000), ("b", 1), (None, 40)) for t in range(n)]
+    df = spark.createDataFrame(rows, "k string, t int, a double, b int").repartition(7)
+    got = {(r.k, r.t): r.x for r in O.Slices.of(df, ["t"], ["k"]).affine(F.col("a"), F.col("b"), "x").result().collect()}
+    last = {}
+    for k, t, a, b in rows:
+        last[k] = b + a * last.get(k, 0.0)
+        assert got[k, t] == pytest.approx(last[k], abs=1e-9)
+    assert len(got) == len(rows)
+
+
+def test_token_tables_equal_arrays(spark, many_tasks):
+    from scoutmill.operators import advantages as V
+
+    rng = random.Random(9)
+    rows = [(i, [rng.random() for _ in range(n)], [rng.random() for _ in range(n)], [rng.choice([0, 1, 1]) for _ in range(n)]) for i, n in enumerate((1, 2, 3, 17, 300))]
+    arrays = spark.createDataFrame(rows, "i int, rewards array<double>, values array<double>, mask array<int>")
+    long = spark.createDataFrame([(i, t, *x) for i, *lists in rows for t, x in enumerate(zip(*lists))], "i int, t int, reward double, value double, mask int")
+    for i, reward, value, mask in rows:
+        last = ahead = ret = 0.0
+        estimates, returns, after = [], [], 1
+        for t in reversed(range(len(reward))):
+            if mask[t] == 1:
+                last, ahead = reward[t] + 0.9 * ahead - value[t] + 0.9 * 0.8 * last, value[t]
+            estimates.append(last)
+            ret = reward[t] + 0.9 * (ret if after == 1 else 0.0)
+            returns.append(ret)
+            after = mask[t]
+        own = arrays.filter(F.col("i") == i)
+        gae = own.select(V.A.gae_advantages(F.col("rewards"), F.col("values"), F.col("mask"), F.lit(0.9), F.lit(0.8))).first()[0]
+        sums = own.select(V.A.suffix_sums(F.col("rewards"), F.col("mask"), F.lit(0.9), F.lit(True))).first()[0]
+        assert gae == pytest.approx(estimates[::-1]) and sums == pytest.approx(returns[::-1])
+        mine = long.filter(F.col("i") == i)
+        assert [r.token_advantage for r in V.gae_tokens(mine, "i", "t", 0.9, 0.8).orderBy("t").collect()] == pytest.approx(gae)
+        assert [r.token_return for r in V.returns_tokens(mine, "i", "t", gamma=0.9).orderBy("t").collect()] == pytest.approx(sums)
+    none = spark.range(1).select(F.lit(None).cast("array<double>").alias("v"), F.array().cast("array<double>").alias("e"))
+    assert tuple(none.select(V.A.affine_suffix(F.col("v"), F.col("v")), V.A.affine_suffix(F.col("e"), F.col("e"))).first()) == (None, [])

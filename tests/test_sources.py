@@ -53,6 +53,27 @@ def test_decoding(spark, tmp_path):
     assert rows["bad.txt"] == ("\ufffd\ufffdok", "utf-8:replace")
 
 
+def test_lines_of_large_files_in_ranges(spark, tmp_path):
+    write = lambda name, data: (tmp_path / name).write_bytes(data)
+    write("u.txt", "".join(f"héllo {i}\n" for i in range(20_000)).encode())
+    write("g.txt", "中文\r\n\n文本".encode("gb18030"))
+    write("z.txt.gz", gzip.compress("zip é\nplain".encode()))
+    write("bad.txt", b"ok\n\xff\xffok\n")
+    write("a.txt", b"ascii\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        lines = readers.read_lines_with_fallback(spark, str(tmp_path), ["utf-8", "gb18030"])
+        assert spark.read.text(str(tmp_path / "u.txt")).rdd.getNumPartitions() >= 5
+        found = {}
+        for r in lines.collect():
+            found.setdefault((r.path.rsplit("/", 1)[1], r.encoding), []).append(r.line)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(found.pop(("u.txt", "utf-8"))) == sorted(f"héllo {i}" for i in range(20_000))
+    assert {k: sorted(v) for k, v in found.items()} == {
+        ("g.txt", "gb18030"): ["", "中文", "文本"], ("z.txt.gz", "utf-8"): ["plain", "zip é"], ("bad.txt", "utf-8:replace"): ["ok", "\ufffd\ufffdok"], ("a.txt", "utf-8"): ["ascii"]}
+
+
 def test_qa_files(spark, tmp_path):
     (tmp_path / "one.json").write_text(json.dumps({"url": "u", "qa_pairs": [{"question": "q", "answer": "a"}, {"question": "x"}]}, indent=1))
     (tmp_path / "bad.json").write_text("{nope")
