@@ -128,12 +128,16 @@ def _(t):
     return V.curriculum(r)
 
 
-@query("pf_resample")
+RESAMPLE = """c AS (SELECT *, sum(w) OVER (ORDER BY row_id) AS upto, row_number() OVER (ORDER BY row_id) AS draw FROM w), d AS (SELECT draw, CAST('0x' || substr(md5('42:' || draw), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE * (SELECT max(upto) FROM c) AS point FROM c)
+SELECT d.draw, c.row_id, c.uid, c.score FROM d ASOF JOIN c ON d.point <= c.upto"""
+
+
+@query("pf_resample", f"""{W}, w AS (SELECT row_id, uid, score, greatest(pow(abs(score), 2) + 1e-8, 1e-8) AS w FROM rollouts), {RESAMPLE}""")
 def _(t):
     return V.pf_resample(t.rollouts.select("row_id", "uid", "score")).select("draw", "row_id", "uid", "score")
 
 
-@query("pf_resample_max_random")
+@query("pf_resample_max_random", f"""{W}, w AS (SELECT row_id, uid, score, CASE WHEN score = (SELECT max(score) FROM rollouts) THEN 0.4::DOUBLE ELSE 0.1::DOUBLE END + 1e-8 AS w FROM rollouts), {RESAMPLE}""")
 def _(t):
     return V.pf_resample(t.rollouts.select("row_id", "uid", "score"), how="max_random").select("draw", "row_id", "uid", "score")
 
@@ -464,15 +468,16 @@ def _(t):
     return M.exact_best_worst(t.rollouts, ["uid"], "score", 4, "row_id").select("uid", F.round("best_mean", 6).alias("best_mean"), F.round("worst_mean", 6).alias("worst_mean"))
 
 
-@query("validation_metrics", f"""{W}, g AS (SELECT (method, uid) AS grp, score, k % 10 AS vote, row_number() OVER (PARTITION BY method, uid ORDER BY row_id) - 1 AS pos, count(*) OVER (PARTITION BY method, uid) AS n FROM rollouts),
+@query("validation_metrics", f"""{W}, g AS (SELECT (method, uid) AS grp, k::DOUBLE AS score, k % 10 AS vote, row_number() OVER (PARTITION BY method, uid ORDER BY row_id) - 1 AS pos, count(*) OVER (PARTITION BY method, uid) AS n FROM rollouts),
  sizes AS (SELECT DISTINCT n AS size FROM g UNION SELECT unnest([2, 4, 8, 16, 32])), {UNITS}, {DRAWS.replace("fits(size, n)", "n > 1 AND (size = n OR size < n AND size IN (2, 4, 8, 16, 32))")},
- p AS (SELECT method, uid, avg(score) AS m, stddev_pop(score) AS s, count(*) AS n FROM rollouts GROUP BY 1, 2), a AS (
+ p AS (SELECT method, uid, avg(k) AS m, stddev_pop(k) AS s, count(*) AS n FROM rollouts GROUP BY 1, 2), a AS (
  SELECT method, 'mean@' || n AS metric, m AS v, n FROM p UNION ALL SELECT method, 'std@' || n, s, n FROM p WHERE n > 1 UNION ALL SELECT struct_extract(grp, 1), reducer || '@' || n || '/mean', mean, n FROM b UNION ALL SELECT struct_extract(grp, 1), reducer || '@' || n || '/std', std, n FROM b),
  z AS (SELECT method, metric, avg(v) AS value, max(n) AS n FROM a GROUP BY 1, 2), y AS (SELECT *, max(n) OVER (PARTITION BY method) AS top FROM z)
-SELECT method, metric, round(value, 6) AS value, CASE WHEN n = top AND regexp_matches(metric, '^(mean|maj|best)@') THEN 'core' ELSE 'aux' END AS section FROM y""")
+SELECT method, metric, round(value, 9) AS value, CASE WHEN n = top AND regexp_matches(metric, '^(mean|maj|best)@') THEN 'core' ELSE 'aux' END AS section FROM y""")
 def _(t):
-    rows = t.rollouts.select("method", "uid", "score", (F.col("k") % 10).alias("vote"), "row_id")
-    return M.validation_metrics(rows, "method", "uid", "score", "vote", "row_id").withColumn("value", F.round("value", 6))
+    # Small whole scores: nine digits then hold every mean of 1000 rounds exactly, so none lies between two rounded numbers.
+    rows = t.rollouts.select("method", "uid", F.col("k").cast("double").alias("score"), (F.col("k") % 10).alias("vote"), "row_id")
+    return M.validation_metrics(rows, "method", "uid", "score", "vote", "row_id").withColumn("value", F.round("value", 9))
 
 
 @query("score_by_source", """WITH r AS (SELECT event_type, (round(value * 100) + user_id) / 2.0::DOUBLE AS m FROM events) SELECT event_type, round(avg(m), 6) AS score FROM r GROUP BY event_type""")

@@ -383,6 +383,7 @@ def _(t):
     return S.hashing_embedder(t.documents, "doc_id", "text")
 
 
-@query("embed")
+@query("embed", """SELECT doc_id, CAST(length(coalesce(text, '')) AS DOUBLE) AS chars, CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), ' ', '')) AS DOUBLE) AS blanks FROM documents""")
 def _(t):
-    return S.embed(t.documents, "doc_id", "text", lambda texts: [[len(x), x.count(" ")] for x in texts], 2)
+    vectors = S.embed(t.documents, "doc_id", "text", lambda texts: [[len(x), x.count(" ")] for x in texts], 2)
+    return vectors.select("doc_id", F.col("vector")[0].cast("double").alias("chars"), F.col("vector")[1].cast("double").alias("blanks"))

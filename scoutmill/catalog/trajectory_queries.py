@@ -272,7 +272,8 @@ def _(t):
                        F.element_at("prompt", -1)["content"].alias("completion"))
 
 
-@query("multi_choice_prompt")
+@query("multi_choice_prompt", """WITH o AS (SELECT conv_id, turn, text, i, ['right', 'w1', 'w2', 'w3'][i + 1] AS v, row_number() OVER (PARTITION BY conv_id, turn ORDER BY md5('42:' || i || ':' || text)) AS r FROM conversations, (SELECT unnest(range(4)) AS i))
+SELECT conv_id, turn, max(CASE WHEN i = 0 THEN 'ABCD'[r] END) AS gold_letter, text || chr(10) || chr(10) || string_agg('ABCD'[r] || ') ' || v, chr(10) ORDER BY r) AS query FROM o GROUP BY conv_id, turn, text""")
 def _(t):
     rows = t.turns.select("conv_id", "turn", F.col("text").alias("question"), F.lit("right").alias("gold"), F.lit("w1").alias("a"), F.lit("w2").alias("b"), F.lit("w3").alias("c"))
     return P.multi_choice_prompt(rows, "question", "gold", ["a", "b", "c"]).select("conv_id", "turn", "gold_letter", "query")

@@ -271,7 +271,8 @@ def pf_resample(df: DataFrame, how: str = "pow", power: float = 2.0, seed: int =
     weight = F.greatest(pf_weights(_value(score), how, power, F.col("_peak"), F.col("_floor")) + 1e-8, F.lit(1e-8))
     s = s.withColumn("_w", weight).drop("_peak", "_floor")
     run = ordered(s, list(order)).row_number("draw").running_sum(F.col("_w"), "_at").result()
-    point = F.pmod(F.xxhash64(F.lit(seed), "draw"), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    # 52 bits of an md5, which any engine repeats.
+    point = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("draw").cast("string"))), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
     draws = with_totals(run, _all=F.max("_at")).select(
         "draw", (point * F.col("_all")).alias("_at"), F.lit(None).cast(run.select(F.struct(*df.columns)).schema[0].dataType).alias("_row"))
     ends = run.select(F.lit(None).cast("long").alias("draw"), "_at", F.struct(*df.columns).alias("_row"))

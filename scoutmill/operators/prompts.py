@@ -119,7 +119,7 @@ LETTERS = "ABCD"
 
 def multi_choice_prompt(df: DataFrame, question: str, gold: str, others: Sequence[str], seed: int = 42) -> DataFrame:
     """Options in a seeded order per row, the letter of the right one, and the question with its options."""
-    options = F.array(*[F.struct(F.xxhash64(F.lit(seed), F.lit(i), F.col(question)).alias("k"), F.lit(i).alias("i"), F.col(c).alias("v"))
+    options = F.array(*[F.struct(F.md5(F.concat(F.lit(f"{seed}:{i}:"), F.coalesce(F.col(question), F.lit("")))).alias("k"), F.lit(i).alias("i"), F.col(c).alias("v"))
                         for i, c in enumerate([gold, *others])])
     shuffled = df.withColumn("_o", F.sort_array(options))
     at = F.array_position(F.transform("_o", lambda o: o["i"]), F.lit(0))

@@ -154,10 +154,14 @@ def match_bins(totals: Sequence[Sequence[int]], k: int) -> list[list[int]]:
     return out
 
 
-def _chunked(df: DataFrame, batch: str, row: str, length: str, chunk_rows: int) -> DataFrame:
-    """(batch, row, length, chunk): chunks of ``chunk_rows`` rows of a batch, in the order of the rows."""
-    numbered = number_rows(df.select(batch, row, length), [row], "_i", keys=[batch])
-    return keep(numbered.select(batch, row, F.col(length).cast("long").alias("_length"), F.floor((F.col("_i") - 1) / chunk_rows).cast("int").alias("_chunk")))
+def _chunked(df: DataFrame, batch: str, row: str, length: str, chunk_rows: int, multiple: int = 1) -> DataFrame:
+    """(batch, row, length, chunk): a batch in order of its rows, cut into as few chunks of at most ``chunk_rows`` as hold it.
+
+    Chunks are of one size, a multiple of ``multiple``, so that none is a small rest.
+    """
+    numbered = with_group_stats(number_rows(df.select(batch, row, length), [row], "_i", keys=[batch]), [batch], _n=F.max("_i"))
+    size = F.ceil(F.col("_n") / F.ceil(F.col("_n") / max(multiple, chunk_rows // multiple * multiple)) / multiple) * multiple
+    return keep(numbered.select(batch, row, F.col(length).cast("long").alias("_length"), F.floor((F.col("_i") - 1) / size).cast("int").alias("_chunk")))
 
 
 def _balanced(chunked: DataFrame, batch: str, row: str, bins: DataFrame, equal: bool) -> DataFrame:
@@ -190,7 +194,7 @@ def _balanced(chunked: DataFrame, batch: str, row: str, bins: DataFrame, equal:
 
 def balance_batches(df: DataFrame, batch: str, row: str, length: str, k: int, equal: bool = True, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """k bins per batch of near-equal token totals (and equal counts), a batch of any size."""
-    chunked = _chunked(df, batch, row, length, max(k, chunk_rows // k * k))
+    chunked = _chunked(df, batch, row, length, chunk_rows, k)
     uneven = F.raise_error(F.concat(F.count(F.lit(1)).cast("string"), F.lit(f" rows do not fill {k} equal bins"))).cast("int")
     bins = chunked.groupBy(batch).agg(F.when(F.lit(equal) & (F.count(F.lit(1)) % k != 0), uneven).otherwise(F.lit(k)).alias("_k"))
     return join_on(df, _balanced(chunked, batch, row, bins, equal).drop("_length"), [batch, row], "inner")
