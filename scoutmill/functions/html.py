@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html as html_std
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -144,10 +145,14 @@ REVISION = T.StructType(
 
 
 class _History(HTMLParser):
-    """Direct list items of the revision lists of a history page."""
+    """Direct list items of the revision lists of a history page: contribution lists first, then the page history, then special lists.
 
-    def __init__(self):
+    ``loose`` takes list items that are marked themselves, for pages without any such list.
+    """
+
+    def __init__(self, loose: bool = False):
         super().__init__(convert_charrefs=True)
+        self.loose, self.lists = loose, 0
         self.stack: list[tuple[str, dict]] = []
         self.items: list[dict] = []
         self.item: dict | None = None
@@ -161,10 +166,11 @@ class _History(HTMLParser):
         classes = attrs.get("class", "").split()
         parent = self.stack[-1] if self.stack else ("", {})
         self.stack.append((tag, attrs))
-        if tag == "li" and self.item is None and parent[0] == "ul":
-            up = parent[1].get("class", "").split()
-            if "mw-contributions-list" in up or "special" in up or parent[1].get("id") == "pagehistory":
-                self.item, self.item_depth = {"tags": []}, len(self.stack)
+        self.lists += tag == "ul" and self._rank(attrs) is not None
+        if tag == "li" and self.item is None:
+            rank = (0 if re.search("mw-tag|mw-contribution", attrs.get("class", "")) else None) if self.loose else self._rank(parent[1]) if parent[0] == "ul" else None
+            if rank is not None:
+                self.item, self.item_depth = {"tags": [], "rank": rank}, len(self.stack)
                 return
         if self.item is None:
             return
@@ -178,6 +184,11 @@ class _History(HTMLParser):
                     self.item[field] = ""
                 self.capture.append((len(self.stack), [], field))
 
+    @staticmethod
+    def _rank(attrs) -> int | None:
+        classes = attrs.get("class", "").split()
+        return 0 if "mw-contributions-list" in classes else 1 if attrs.get("id") == "pagehistory" else 2 if "special" in classes else None
+
     @staticmethod
     def _fields(tag, attrs, classes):
         if tag == "a":
@@ -229,7 +240,7 @@ class _History(HTMLParser):
         if self.stack:
             self.handle_endtag(self.stack[0][0])
         out = []
-        for it in self.items:
+        for it in sorted(self.items, key=lambda it: it["rank"]):
             dated = "date_href" in it
             href = it.get("date_href") if dated else it.get("oldid_href")
             if href is None:
@@ -255,6 +266,11 @@ def revision_items(page: pd.Series) -> pd.Series:
             return []
         parser = _History()
         parser.feed(text)
-        return parser.rows()
+        rows = parser.rows()
+        if not parser.lists:
+            parser = _History(loose=True)
+            parser.feed(text)
+            rows = parser.rows()
+        return rows
 
     return page.map(parse)

@@ -140,6 +140,14 @@ def test_basic_text(spark):
     assert got == re.sub(r"[ \t\r\f\v]+", " ", html.unescape(" a &lt;b&gt; &eacute;\n\n c\nd")).strip()
 
 
+def test_revision_lists_in_their_order_and_loose_items(spark):
+    item = lambda n, more="": f'<li{more}><a class="mw-changeslist-date" href="/w/index.php?title=T&oldid={n}">day {n}</a></li>'
+    page = f'<ul class="special">{item(1)}</ul><ul id="pagehistory">{item(2)}</ul><ul class="mw-contributions-list">{item(3)}</ul><ul>{item(4)}</ul>'
+    loose = f'<div>{item(5, " class=mw-tag-x")}<ol>{item(6, " class=mw-contribution")}</ol>{item(7)}</div>'
+    rows = values(spark, [page, loose, f'<ul id="pagehistory"></ul>{loose}', ""], H.revision_items)
+    assert [[r["timestamp_text"] for r in own] for own in rows] == [["day 3", "day 2", "day 1"], ["day 5", "day 6"], [], []]
+
+
 def test_revision_list(spark):
     page = """<ul id="pagehistory"><li><a class="mw-changeslist-date" href="/w/index.php?title=T&amp;oldid=9">04:17, 27 July 2005</a>
       <a class="mw-userlink"><bdi>Ann</bdi></a> <span class="history-size">(10 bytes)</span><span class="mw-plusminus-pos">+5</span>
