@@ -23,6 +23,22 @@ REMOVED = [
     "\\text{}^2", "\\text{}^3", "\\text{\n}", "\\text{}", "\\mathrm{th}", "^\\circ", "^{\\circ}", "\\;",
     ",\\!", "{,}", '"', "\\dots",
 ]
+# Patterns of a final answer, in the order they are applied.
+ANSWER_PATTERNS = [
+    (r"(.*?)\$(.*?)\$(.*)", r"\$$2\$"),
+    (r"\\text\{(.*?)\}", "$1"),
+    (r"\\textbf\{(.*?)\}", "$1"),
+    (r"\\overline\{(.*?)\}", "$1"),
+    (r"\\boxed\{(.*)\}", "$1"),
+    (r"frac([^{])(.)", r"frac{$1}{$2}"),
+    (r"sqrt([^{])", r"sqrt{$1}"),
+]
+# Replacements of LaTeX spellings before and after units are cut.
+LATEX_SPELLINGS = [
+    ("\n", ""), ("\\!", ""), ("\\\\", "\\"), ("tfrac", "frac"), ("dfrac", "frac"), ("\\left", ""),
+    ("\\right", ""), ("^{\\circ}", ""), ("^\\circ", ""), ("\\$", ""),
+]
+LATEX_NUMBERS = [("\\%", ""), (" .", " 0."), ("{.", "{0.")]
 
 
 def _clip(col: Column, n: int = CLIP) -> Column:
@@ -123,12 +139,9 @@ def normalize_latex(col: Column) -> Column:
 def latex_form(col: Column) -> Column:
     """The one spelling, or null for a text that can't be read: two units, or a root or fraction with nothing after it."""
     units = F.regexp_count(col, F.lit(r"\\text\{ "))
-    s = _replace_all(col, [
-        ("\n", ""), ("\\!", ""), ("\\\\", "\\"), ("tfrac", "frac"), ("dfrac", "frac"), ("\\left", ""),
-        ("\\right", ""), ("^{\\circ}", ""), ("^\\circ", ""), ("\\$", ""),
-    ])
+    s = _replace_all(col, LATEX_SPELLINGS)
     s = F.when(units == 1, F.substring_index(s, "\\text{ ", 1)).otherwise(s)
-    s = _replace_all(s, [("\\%", ""), (" .", " 0."), ("{.", "{0.")])
+    s = _replace_all(s, LATEX_NUMBERS)
     s = F.when(s.startswith("."), F.concat(F.lit("0"), s)).otherwise(s)
     s = F.regexp_replace(s, r"^[^=]{0,2}=([^=]*)$", "$1")
     s = F.regexp_replace(s, r"(?s)\\sqrt([^{])", r"\\sqrt{$1}")
@@ -159,15 +172,7 @@ def score_boxed_equal(output: Column, truth: Column) -> Column:
 def normalize_final_answer(col: Column) -> Column:
     """Right-hand side with words, units and TeX decoration removed."""
     s = _replace_all(F.substring_index(col, "=", -1), [*SUBSTITUTIONS, *[(word, "") for word in REMOVED]])
-    for pattern, kept in [
-        (r"(.*?)\$(.*?)\$(.*)", r"\$$2\$"),
-        (r"\\text\{(.*?)\}", "$1"),
-        (r"\\textbf\{(.*?)\}", "$1"),
-        (r"\\overline\{(.*?)\}", "$1"),
-        (r"\\boxed\{(.*)\}", "$1"),
-        (r"frac([^{])(.)", r"frac{$1}{$2}"),
-        (r"sqrt([^{])", r"sqrt{$1}"),
-    ]:
+    for pattern, kept in ANSWER_PATTERNS:
         s = F.regexp_replace(s, pattern, kept)
     s = F.replace(s, F.lit("$"), F.lit(""))
     return strip(F.when(s.rlike(r"^[0-9,]*[0-9][0-9,]*$"), F.replace(s, F.lit(","), F.lit(""))).otherwise(s))
