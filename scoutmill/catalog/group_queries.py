@@ -12,6 +12,7 @@ from scoutmill.operators import dedup as D
 from scoutmill.operators import metrics as M
 from scoutmill.operators import visits as P
 from scoutmill.operators.ordering import number_rows
+from scoutmill.session import spread
 from scoutmill.streaming.streams import finished_samples, windowed_stats
 
 W = f"WITH {ROLLOUTS}"
@@ -145,7 +146,7 @@ def _(t):
 def token_rows(t):
     """Embeddings as responses: one row per vector, its 64 numbers as token values."""
     e, r = F.col("embedding"), F.reverse("embedding")
-    return t.embeddings.select(
+    return spread(t.embeddings).select(
         F.col("vec_id").alias("row_id"), F.expr("vec_id div 4").alias("uid"), F.col("label").cast("double").alias("baseline"),
         F.transform(e, lambda x: F.round(x.cast("double") * 1000)).alias("rewards"), F.transform(r, lambda x: F.round(x.cast("double") * 100)).alias("values"),
         F.transform(e, lambda x: -F.abs(x.cast("double"))).alias("old_logp"), F.transform(r, lambda x: -F.abs(x.cast("double"))).alias("rollout_logp"),
