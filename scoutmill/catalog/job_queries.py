@@ -109,7 +109,8 @@ def _(t):
     texts = length_band(t.pages.select("url", html_basic_text(F.col("html")).alias("markdown")), "markdown")
     prompts = texts.select("url", render_prompt("{url}\n{text}", url=F.col("url"), text=F.col("markdown")).alias("prompt"))
     rows = jobs.qa_rows(prompts, reply, store.select(F.col("key").alias("url"), F.col("html").alias("markdown")))
-    return rows.select("url", "question", "answer", "result")
+    # A question is labelled once; each page of its URL has it.
+    return texts.select("url").join(rows.select("url", "question", "answer", "result"), "url")
 
 
 @query("rollout_step", """SELECT event_id AS row_id, round(value * 100) - avg(round(value * 100)) OVER (PARTITION BY user_id) AS advantage FROM events""")

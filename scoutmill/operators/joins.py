@@ -82,18 +82,26 @@ def exclude_patterns(df: DataFrame, col: str, patterns: Sequence[str]) -> DataFr
 
 
 def answer_leaks(qa: DataFrame, pages: DataFrame, url: str = "url", text: str = "markdown") -> DataFrame:
-    """QA rows with ``result``: negative when the current page gives the answer away, else positive with a reason."""
-    joined = qa.join(only_wanted(pages.select(url, F.col(text).alias("_text")), qa, url), url, "left")
-    leaked = answer_in_text(F.col("answer"), F.col("_text"), F.col("question"))
+    """QA rows with ``result``: negative when the current page gives the answer away, else positive with a reason.
+
+    Each row comes back once, however many pages its URL has: it is negative
+    when any of them gives the answer away. Each different item meets each
+    different text of its URL once, so copies of pages or items cost nothing.
+    """
+    keys = [url, "question", "answer"]
+    texts = only_wanted(pages.select(url, F.col(text).alias("_text")), qa, url).filter(F.col("_text").isNotNull()).distinct()
+    leak = answer_in_text(F.col("answer"), F.col("_text"), F.col("question"))
+    checked = qa.select(*keys).distinct().join(texts, url).groupBy(*keys).agg(F.bool_or(leak).alias("_leaked"))
+    joined = join_on(qa, checked, keys)
     reason = (
         F.when((F.coalesce("question", F.lit("")) == "") | (F.coalesce("answer", F.lit("")) == ""), "empty")
         .when(F.col(url).isNull(), "no_revision_url")
-        .when(F.col("_text").isNull(), "no_page")
-        .when(leaked, "answer_found")
+        .when(F.col("_leaked").isNull(), "no_page")
+        .when(F.col("_leaked"), "answer_found")
         .otherwise("answer_not_found")
     )
     labelled = joined.withColumn("reason", reason).filter(F.col("reason") != "empty")
-    return labelled.withColumn("result", F.when(F.col("reason") == "answer_found", "negative").otherwise("positive")).drop("_text")
+    return labelled.withColumn("result", F.when(F.col("reason") == "answer_found", "negative").otherwise("positive")).drop("_leaked")
 
 
 def current_page_leaks(qa: DataFrame, index: DataFrame, pages: DataFrame, order: Sequence[str]) -> DataFrame:

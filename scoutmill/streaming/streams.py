@@ -266,9 +266,9 @@ def leak_filter(items: DataFrame, pages: DataFrame, out: str, checkpoint: str, m
     """Label a stream of QA items against stored pages and write size-capped parts per label."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").partitionBy("result").option("maxRecordsPerFile", max_rows).json(f"{out.rstrip('/')}/batch={batch_id}")
+        answer_leaks(batch, pages).write.mode("overwrite").partitionBy("result").option("maxRecordsPerFile", max_rows).json(f"{out.rstrip('/')}/batch={batch_id}")
 
-    return answer_leaks(items, pages).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return items.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def visit_stats_stream(rollouts: DataFrame) -> DataFrame:

@@ -66,3 +66,11 @@ def test_pages_nobody_asks_for_are_not_shuffled(spark, tmp_path, call):
     else:
         assert (rows["u3"]["reason"], rows["nowhere"]["reason"]) == ("answer_found", "no_page")
     assert "bit_get" in plan(out)
+
+
+def test_a_url_with_several_pages_gives_each_item_one_label(spark):
+    qa = spark.createDataFrame([(1, "u", "what is it", "blue whale"), (2, "u", "what is it", "red fox"), (3, "u", "what is it", "blue whale"), (4, None, "q", "blue whale")],
+                               "id int, url string, question string, answer string")
+    pages = spark.createDataFrame([("u", "A blue whale swam."), ("u", "Nothing here."), ("u", "Nothing here."), ("u", None)], "url string, markdown string")
+    got = sorted((r["id"], r["result"], r["reason"]) for r in J.answer_leaks(qa, pages).collect())
+    assert got == [(1, "negative", "answer_found"), (2, "positive", "answer_not_found"), (3, "negative", "answer_found"), (4, "positive", "no_revision_url")]
