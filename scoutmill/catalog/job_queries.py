@@ -29,19 +29,19 @@ def history_pages(t):
 @query("extract_revisions", """SELECT url AS source_history_url, p AS position, 'https://en.wikipedia.org/w/index.php?title=P' || CAST(page_id AS VARCHAR) || '&oldid=' || CAST(page_id AS VARCHAR) || CASE p WHEN 0 THEN '' ELSE '7' END AS revision_url,
  CASE p WHEN 0 THEN '04:17, 27 July 2005' ELSE '05:00, 28 July 2005' END AS timestamp_text, 'Ann' AS editor FROM pages, (SELECT unnest([0, 1]) AS p)""", longs=("position",))
 def _(t):
-    rows = R.extract_revisions(history_pages(t))
+    rows = R.extract_revisions(history_pages(t), key="page_id")
     return rows.select("source_history_url", F.col("position").cast("long").alias("position"), "revision_url", "timestamp_text", "editor")
 
 
 @query("middle_revisions", """SELECT url AS source_history_url, CAST(page_id AS VARCHAR) || '7' AS oldid FROM pages""")
 def _(t):
-    return R.middle_revisions(R.extract_revisions(history_pages(t))).select("source_history_url", "oldid")
+    return R.middle_revisions(R.extract_revisions(history_pages(t), key="page_id"), "page_id").select("source_history_url", "oldid")
 
 
 @query("revision_summary", """SELECT count(DISTINCT url) AS pages, count(DISTINCT url) AS pages_with_revisions, 2 * count(DISTINCT url) AS revisions, 2.0::DOUBLE AS mean_revisions FROM pages""")
 def _(t):
     pages = history_pages(t)
-    return R.revision_summary(R.extract_revisions(pages), pages)
+    return R.revision_summary(R.extract_revisions(pages, key="page_id"), pages, key="page_id")
 
 
 @query("extend_rows", """SELECT doc_id, lang FROM documents UNION ALL SELECT doc_id, 'copy' FROM documents""")
