@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scoutmill.functions.text import let
 
@@ -139,3 +142,36 @@ def gae_advantages(rewards: Column, values: Column, mask: Column, gamma: Column,
             F.transform(s["rewards"], lambda r, t: F.when(on(t), delta(r, t)).otherwise(0.0)))
 
     return let(F.struct(rewards.alias("rewards"), values.alias("values"), nearest.alias("nearest")), with_next)
+
+
+def _by_sixteen(values: np.ndarray) -> np.ndarray:
+    return np.pad(values, (0, -len(values) % 16)).reshape(-1, 16)
+
+
+def _tree_levels(values) -> list[np.ndarray]:
+    """Values, their sums by sixteen, and the sums of those; each sum is taken from the left."""
+    levels = [np.asarray(values, dtype=np.float64)]
+    for _ in range(2):
+        levels.append(_by_sixteen(levels[-1]).cumsum(axis=1)[:, -1])
+    return levels
+
+
+@F.pandas_udf(T.DoubleType())
+def tree_sum(values: pd.Series) -> pd.Series:
+    """Sum of up to 4096 values by sixteens."""
+    return values.map(lambda v: float(_by_sixteen(_tree_levels(v)[-1]).cumsum(axis=1)[0, -1]))
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def tree_prefix(values: pd.Series, start: pd.Series, end: pd.Series) -> pd.Series:
+    """Running sums of up to 4096 values from ``start``: whole nodes of sixteen first; ``end`` is where the last of 4096 arrives."""
+
+    def one(v, first, last):
+        begins, ends = np.array([first]), np.array([last])
+        for level in reversed(_tree_levels(v)):
+            run = np.concatenate([begins[:, None], _by_sixteen(level)], axis=1).cumsum(axis=1)
+            run[:, -1] = ends
+            begins, ends = run[:, :-1].ravel()[: len(level)], run[:, 1:].ravel()[: len(level)]
+        return ends
+
+    return pd.Series([one(*args) for args in zip(values, start, end)])

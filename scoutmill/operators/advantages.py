@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from scoutmill.functions import arrays as A
 from scoutmill.operators.groups import join_on, top_rows, with_group_stats, with_totals, with_totals_of
-from scoutmill.operators.ordering import Slices, number_rows, ordered, with_row_count
+from scoutmill.operators.ordering import Slices, number_rows, ordered, tree_running_sum, with_row_count
 from scoutmill.session import keep
 
 EPS = 1e-6
@@ -270,12 +270,13 @@ def pf_resample(df: DataFrame, how: str = "pow", power: float = 2.0, seed: int =
     s = with_totals(df, _peak=F.max(_value(score)), _floor=F.min(_value(score)))
     weight = F.greatest(pf_weights(_value(score), how, power, F.col("_peak"), F.col("_floor")) + 1e-8, F.lit(1e-8))
     s = s.withColumn("_w", weight).drop("_peak", "_floor")
-    run = ordered(s, list(order)).row_number("draw").running_sum(F.col("_w"), "_at").result()
+    run = keep(tree_running_sum(number_rows(s, list(order), "draw"), F.col("_w"), "_at", "draw"))
     # 52 bits of an md5, which any engine repeats.
     point = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("draw").cast("string"))), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
     draws = with_totals(run, _all=F.max("_at")).select(
-        "draw", (point * F.col("_all")).alias("_at"), F.lit(None).cast(run.select(F.struct(*df.columns)).schema[0].dataType).alias("_row"))
-    ends = run.select(F.lit(None).cast("long").alias("draw"), "_at", F.struct(*df.columns).alias("_row"))
+        "draw", (point * F.col("_all")).alias("_at"), F.lit(None).cast("long").alias("_end"), F.lit(None).cast(run.select(F.struct(*df.columns)).schema[0].dataType).alias("_row"))
+    ends = run.select(F.lit(None).cast("long").alias("draw"), "_at", F.col("draw").alias("_end"), F.struct(*df.columns).alias("_row"))
     both = draws.unionByName(ends)
-    taken = ordered(both, ["_at", F.col("draw").asc_nulls_last()]).following(F.col("_row"), "_hit").result()
+    # A weight too small to move the sum leaves two ends at one point: the first of them is met.
+    taken = ordered(both, ["_at", F.col("draw").asc_nulls_last(), "_end"]).following(F.col("_row"), "_hit").result()
     return taken.filter(F.col("draw").isNotNull()).select("draw", "_hit.*")

@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoutmill.functions.arrays import affine_prefix
+from scoutmill.functions.arrays import affine_prefix, tree_prefix, tree_sum
 from scoutmill.operators.groups import join_on
 from scoutmill.session import keep
 
@@ -188,3 +188,29 @@ def number_rows(
 def with_row_count(df: DataFrame, name: str = "row_count") -> DataFrame:
     """Add the table's row count as a constant."""
     return df.withColumn(name, df.agg(F.count(F.lit(1))).scalar())
+
+
+#: Rows that one task sums at a time: three levels of sixteen.
+TREE_BLOCK = 4096
+
+
+def tree_running_sum(df: DataFrame, value: Column, name: str, number: str = "row_number") -> DataFrame:
+    """Running sum of a double over rows numbered 1..n, the same to the last bit wherever the rows lie.
+
+    A chain of additions rounds by where slices begin. Here sixteen neighbours
+    make a node, sixteen nodes one above it; a prefix adds its whole nodes from
+    the largest down, as DuckDB's window sums do. Blocks of 4096 rows are
+    summed in place, and three levels of blocks hold 4096 ** 3 rows.
+    """
+    levels, rows = [], df.select((F.col(number) - 1).alias("_i"), value.cast("double").alias("_v"))
+    for _ in range(3):
+        placed = rows.select(F.floor(F.col("_i") / TREE_BLOCK).alias("_b"), "_i", "_v")
+        lists = placed.groupBy("_b").agg(F.sort_array(F.collect_list(F.struct("_i", "_v"))).alias("_l"))
+        levels.append(keep(lists.select("_b", F.col("_l._v").alias("_v"))))
+        rows = levels[-1].select(F.col("_b").alias("_i"), tree_sum("_v").alias("_v"))
+    top = rows.select(F.col("_i").alias("_b"), F.lit(0.0).alias("_from"), F.col("_v").alias("_to"))
+    for blocks in reversed(levels):
+        ends = blocks.join(top, "_b").select("_b", tree_prefix("_v", "_from", "_to").alias("_e"), "_from")
+        spans = F.transform("_e", lambda to, i: F.struct((F.col("_b") * TREE_BLOCK + i).alias("_b"), F.when(i > 0, F.get("_e", i - 1)).otherwise(F.col("_from")).alias("_from"), to.alias("_to")))
+        top = ends.select(F.explode(spans).alias("_s")).select("_s.*")
+    return df.join(top.select((F.col("_b") + 1).alias(number), F.col("_to").alias(name)), number)

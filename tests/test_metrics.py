@@ -293,3 +293,20 @@ def test_browse_error_turns_over_many_lines(spark):
     marks = [x.startswith("assistant") or "<answer>" in x for x in lines]
     want = {i + 1: (sum(marks[:i]), "Timeout") for i, x in enumerate(lines) if "visit" in x and any("timeout" in y for y in lines[i : i + 3])}
     assert got == want and len(want) > 50
+
+
+def test_resampling_sums_in_tree_order_and_meets_the_first_of_equal_ends(spark, many_tasks):
+    import duckdb
+
+    from scoutmill.operators.ordering import tree_running_sum
+
+    n = 70_001
+    rows = spark.range(n, numPartitions=7).select((F.col("id") * 3).alias("row_id"), (F.col("id") + 1).alias("row_number"), (0.1 + 0.3 * (F.col("id") % 7 == 0).cast("int") + 1e-8).alias("w"))
+    got = [r[0] for r in tree_running_sum(rows, F.col("w"), "s").orderBy("row_number").select("s").collect()]
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE w AS SELECT i * 3 AS row_id, 0.1::DOUBLE + 0.3::DOUBLE * CAST(i % 7 = 0 AS INT) + 1e-8::DOUBLE AS w FROM range({n}) t(i)")
+    assert got == [r[0] for r in con.execute("SELECT sum(w) OVER (ORDER BY row_id) FROM w ORDER BY row_id").fetchall()]
+
+    # Every second weight is lost in the sum, so its row is never met.
+    big = spark.range(400, numPartitions=4).select(F.col("id").alias("row_id"), F.when(F.col("id") % 2 == 0, 1e6).otherwise(0.0).alias("score"))
+    assert {r["row_id"] % 2 for r in V.pf_resample(big).collect()} == {0}
