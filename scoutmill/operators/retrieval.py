@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from scoutmill.functions.text import WORD, matches
 from scoutmill.operators.groups import top_rows
-from scoutmill.session import task_count
+from scoutmill.session import keep, task_count
 
 # Queries of one pass over the documents; 4096 vectors of dimension 1024 are 32 MB.
 QUERY_BATCH = 4096
@@ -127,9 +127,8 @@ def _dense_shipped(head: pd.DataFrame, docs: DataFrame, k: int) -> DataFrame:
 def term_weights(df: DataFrame, id_col: str, text: Column, out_id: str = "doc_id", idf: bool = True) -> DataFrame:
     """Postings (id, term, weight): tf-idf, each text L2-normalised. Offline stand-in for a learned sparse model.
 
-    The texts are placed by id once. Counting, scaling and later scoring by id
-    then stay in place; only the table of document frequencies (one row per
-    term) moves, and AQE ships it when it is small.
+    The texts are placed by id and split once; their counts are kept, as both
+    the document frequencies and the weights are made from them.
     """
     texts = df.select(F.col(id_col).alias(out_id), text.alias("_text"))
     texts = texts.repartition(task_count(df.sparkSession), out_id)
@@ -137,6 +136,7 @@ def term_weights(df: DataFrame, id_col: str, text: Column, out_id: str = "doc_id
     tf = terms.groupBy(out_id, "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
     if idf:
         n = df.agg(F.count(F.lit(1))).scalar()
+        tf = keep(tf)
         freq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
         tf = tf.join(freq, "term").withColumn("tf", F.col("tf") * F.log((n + 1) / (F.col("_df") + 1)))
     # The terms of one text come from one row, so they fit one again.

@@ -119,3 +119,16 @@ def test_hits_over_blocks_keep_ties_by_id(monkeypatch):
     got = R._hits(np.array([5, 6]), ids, np.array([[1.0], [-1.0]]), docs, 4)
     pick = lambda q: sorted(got[got["query_id"] == q]["doc_id"])
     assert pick(5) == [1, 2, 6, 7] and pick(6) == [1, 2, 3, 8]
+
+
+def test_scoring_moves_no_weights_per_range(spark, tmp_path):
+    """Small ranges and many queries: what is shuffled grows with postings and pairs, not with their product with terms."""
+    docs = spark.range(4000, numPartitions=4).select(F.col("id").alias("doc_id"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.concat(F.lit("t"), F.pmod(F.col("id") * 7 + i, F.lit(40)).cast("string")))).alias("term"), (F.pmod("id", F.lit(13)) + 1.0).alias("weight"))
+    queries = spark.range(60).select(F.col("id").alias("query_id"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(29)), lambda i: F.concat(F.lit("t"), F.pmod(F.col("id") + i, F.lit(40)).cast("string")))).alias("term"), F.lit(1.0).alias("weight"))
+    I.write_sparse_index(docs, str(tmp_path / "i"), range_docs=16, buckets=4)
+    index = I.open_sparse_index(spark, str(tmp_path / "i"))
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = written()
+    got = sorted(map(tuple, I.sparse_index_topk(queries, index, 5, queries_per_part=7).collect()))
+    assert written() - before < 2_000_000
+    assert got == sorted(map(tuple, R.sparse_topk(queries, docs, 5).collect()))
