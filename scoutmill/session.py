@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 # Runtime SQL settings every operator relies on. AQE merges small shuffle
 # partitions and splits hot ones in joins; the forced form also does so where
 # the split costs one more shuffle, which is cheaper than one task holding a
-# third of the table.
+# third of the table. Batches for Python are cut by bytes too: ten thousand
+# pages are as large as the pages are.
 RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -18,6 +19,7 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4194304",
 }
 
 

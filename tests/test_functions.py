@@ -281,3 +281,9 @@ def test_response_part_and_words_after_prompt(spark):
     assert [r[0] for r in df.select(A.response_part(F.col("m"), F.col("r"))).collect()] == [[0, 1], []]
     turns = spark.createDataFrame([(["a"], [("x y",), ("one two",), (" three ",)]), (["a", "b"], [("x",)])], "p array<string>, m array<struct<content:string>>")
     assert [r[0] for r in turns.select(words_after_prompt(F.col("m"), F.col("p"))).collect()] == [3, 0]
+
+
+def test_batches_for_python_are_cut_by_bytes(spark):
+    pages = spark.range(400, numPartitions=1).select(F.repeat(F.lit("<p>x</p>"), 12_500).alias("html"))
+    sizes = [r[0] for r in pages.mapInPandas(lambda batches: ((b[["html"]].head(1).assign(n=len(b)))[["n"]] for b in batches), "n long").collect()]
+    assert sum(sizes) == 400 and max(sizes) <= 50
