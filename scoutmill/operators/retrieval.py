@@ -25,6 +25,9 @@ QUERY_BATCH = 4096
 # rank copies of a document differently from run to run.
 SCORE_DIGITS = 9
 
+# Characters of text whose words one task counts.
+TASK_CHARS = 4_000_000
+
 
 def _check_k(k: int) -> None:
     if k < 1:
@@ -183,11 +186,16 @@ def fulltext_search(docs: DataFrame, queries: DataFrame, n: int, doc_id: str = "
     """Documents holding every word of a query, ranked by how often the words occur; best ``n`` per query.
 
     ``queries`` is (query_id, query). The query words are joined to per-document
-    counts; the word table of a batch is small and AQE ships it.
+    counts; the word table of a batch is small and AQE ships it. Texts are
+    placed by id first: a task then counts its own few documents, not all words
+    of a large split, and nothing but the best hits moves afterwards.
     """
     wanted = queries.select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("term"))
     need = wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("_need"))
-    counts = docs.select(F.col(doc_id).alias("doc_id"), F.explode(words(F.col(text))).alias("term"))
+    chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
+    tasks = max(task_count(docs.sparkSession), -(-chars // TASK_CHARS))
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).repartition(tasks, "doc_id")
+    counts = texts.select("doc_id", F.explode(words(F.col("_text"))).alias("term"))
     tf = counts.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     hits = tf.join(wanted, "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("_n"), F.sum("tf").alias("rank"))
     full = hits.join(need, "query_id").filter(F.col("_n") == F.col("_need")).drop("_n", "_need")

@@ -132,3 +132,12 @@ def test_scoring_moves_no_weights_per_range(spark, tmp_path):
     got = sorted(map(tuple, I.sparse_index_topk(queries, index, 5, queries_per_part=7).collect()))
     assert written() - before < 2_000_000
     assert got == sorted(map(tuple, R.sparse_topk(queries, docs, 5).collect()))
+
+
+def test_fulltext_search_takes_more_tasks_for_more_text(spark, monkeypatch):
+    monkeypatch.setattr(R, "TASK_CHARS", 100, raising=False)
+    docs = spark.range(200, numPartitions=2).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "red fox red fox").otherwise("red hen hen hen").alias("text"))
+    queries = spark.createDataFrame([(1, "fox red"), (2, "hen")], "query_id long, query string")
+    found = R.fulltext_search(docs, queries, 2)
+    assert sorted(map(tuple, found.select("query_id", "doc_id", "rank").collect())) == [(1, 0, 4), (1, 2, 4), (2, 1, 3), (2, 3, 3)]
+    assert "hashpartitioning(doc_id#" in found._jdf.queryExecution().toString() and ", 30), REPARTITION_BY_NUM" in found._jdf.queryExecution().toString()
