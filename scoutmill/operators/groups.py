@@ -69,8 +69,21 @@ def map_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Cal
     be large splits them into blocks of its own first. The number of tasks is
     fixed, since AQE would merge small but slow ones.
     """
+    names, key_names = [part.strip().split(" ")[0] for part in schema.split(",")], list(keys)
+
+    def each(rows: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
+        out = []
+        heads = rows[key_names].iloc[starts].itertuples(index=False, name=None)
+        for key, a, b in zip(heads, starts, ends):
+            out.extend(fn(key, rows.iloc[a:b]))
+        return pd.DataFrame(out, columns=names)
+
+    return map_runs(df, keys, order, each, schema)
+
+
+def map_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Callable[[pd.DataFrame, np.ndarray, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """As ``map_groups``, but ``fn(rows, starts, ends)`` gets all groups of a batch at once: the i-th is rows[starts[i]:ends[i]]."""
     placed = df.repartition(task_count(df.sparkSession), *keys).sortWithinPartitions(*keys, *order)
-    names = [part.strip().split(" ")[0] for part in schema.split(",")]
     key_names = list(keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -80,17 +93,11 @@ def map_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], fn: Cal
             if not len(rows):
                 continue
             starts = _run_starts(rows, key_names)
-            yield _apply(rows, starts, starts[1:])
+            if len(starts) > 1:
+                yield fn(rows, starts[:-1], starts[1:])
             tail = rows.iloc[starts[-1]:]
         if tail is not None:
-            yield _apply(tail.reset_index(drop=True), np.array([0]), np.array([len(tail)]))
-
-    def _apply(rows: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
-        out = []
-        heads = rows[key_names].iloc[starts[:len(ends)]].itertuples(index=False, name=None)
-        for key, a, b in zip(heads, starts, ends):
-            out.extend(fn(key, rows.iloc[a:b]))
-        return pd.DataFrame(out, columns=names)
+            yield fn(tail.reset_index(drop=True), np.array([0]), np.array([len(tail)]))
 
     return placed.mapInPandas(run, schema)
 

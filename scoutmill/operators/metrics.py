@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from scoutmill.functions import arrays as A
 from scoutmill.functions.text import token_count
-from scoutmill.operators.groups import join_on, map_groups, top_rows, with_group_stats, with_totals
+from scoutmill.operators.groups import join_on, map_runs, top_rows, with_group_stats, with_totals
 from scoutmill.operators.ordering import number_rows, ordered
+from scoutmill.session import keep
 
 
 def _filled(col: str) -> Column:
@@ -326,32 +327,49 @@ def subset_sizes(n: int) -> list[int]:
     return [*sizes, n]
 
 
-def _majority(votes: np.ndarray, vals: np.ndarray, picks: np.ndarray) -> np.ndarray:
-    """Majority value of each sampled row of positions; ties go to the prediction drawn first."""
-    codes, names = pd.factorize(votes)
-    coded = codes[picks]
-    rows = np.arange(len(picks))
-    slots = (rows[:, None] * len(names) + coded).ravel()
-    counts = np.bincount(slots, minlength=len(picks) * len(names))[slots].reshape(coded.shape)
-    return vals[picks[rows, counts.argmax(axis=1)]]  # argmax takes the earliest of equal counts
+def _majority(codes: np.ndarray, vals: np.ndarray, picks: np.ndarray) -> np.ndarray:
+    """Majority value of each (group, round); ties go to the prediction drawn first.
+
+    ``codes`` and ``vals`` are one line per group, codes counted from 0 within it; ``picks`` one line per draw.
+    """
+    size, many = len(picks), int(codes.max()) + 1
+    slots = np.arange(picks.shape[1] * len(vals)).reshape(1, -1, len(vals)) * many + codes.T[picks]
+    counts = np.bincount(slots.ravel(), minlength=picks.shape[1] * len(vals) * many)[slots]
+    # The earliest of the greatest counts, found as one maximum.
+    counts *= size
+    counts += np.arange(size - 1, -1, -1)[:, None, None]
+    draw = size - 1 - counts.max(axis=0).T % size
+    return np.take_along_axis(vals, picks[draw, np.arange(picks.shape[1])], axis=1)
 
 
 #: Values drawn at a time: 32 MB of positions.
 DRAWN_AT_ONCE = 4_000_000
+#: Values drawn at a time for small groups of one size together: they stay in the processor's cache.
+DRAWN_TOGETHER = 250_000
 #: Rows of a group that one task resamples for all rounds; larger groups have their rounds dealt over more tasks.
 ROWS_PER_BLOCK = 20_000
 
 
-def resamples(n: int, size: int, rounds: Sequence[int] = range(1000), seed: int = 42) -> np.ndarray:
+#: Draws of a size that a task keeps, half a MB; they are the same for groups of any number of rows.
+FEW_UNITS = 1 << 16
+
+
+def resamples(n: int, size: int, rounds: Sequence[int] = range(1000), seed: int = 42, kept: dict | None = None) -> np.ndarray:
     """Positions of ``size`` draws out of ``n`` with replacement, one line per round.
 
     A draw is counted, not streamed: it comes from the md5 of (seed, size,
-    round, draw), so any task gives any round and SQL repeats it.
+    round, draw), so any task gives any round and SQL repeats it. ``kept``
+    holds the draws of small sizes from call to call.
     """
     def unit(r: int, d: int) -> int:
         return int(hashlib.md5(f"{seed}|{size}|{r}|{d}".encode()).hexdigest()[:8], 16)
 
-    draws = np.fromiter((unit(r, d) for r in rounds for d in range(size)), dtype=np.int64, count=len(rounds) * size)
+    name = (size, tuple(rounds), seed)
+    draws = kept.get(name) if kept is not None else None
+    if draws is None:
+        draws = np.fromiter((unit(r, d) for r in rounds for d in range(size)), dtype=np.int64, count=len(rounds) * size)
+        if kept is not None and len(draws) <= FEW_UNITS:
+            kept[name] = draws
     return (draws * n >> 32).reshape(-1, size) if n < 1 << 31 else (draws.astype(object) * n >> 32).astype(np.int64).reshape(-1, size)
 
 
@@ -359,23 +377,37 @@ def resamples(n: int, size: int, rounds: Sequence[int] = range(1000), seed: int
 REDUCERS: dict[str, Callable[[np.ndarray], np.ndarray]] = {"best": lambda drawn: drawn.max(axis=1), "worst": lambda drawn: drawn.min(axis=1)}
 
 
-def reduced(vals: np.ndarray, picks: np.ndarray, votes: np.ndarray | None = None, reducers: Mapping[str, Callable] | None = None) -> dict[str, np.ndarray]:
-    """One number per round and reducer, and the majority's value where there are votes."""
-    drawn = vals[picks]
-    out = {name: np.asarray(fn(drawn), dtype=float) for name, fn in (REDUCERS if reducers is None else reducers).items()}
-    if votes is not None:
-        out["maj"] = _majority(votes, vals, picks)
+def reduced(vals: np.ndarray, picks: np.ndarray, codes: np.ndarray | None = None, reducers: Mapping[str, Callable] | None = None) -> dict[str, np.ndarray]:
+    """A number per (group, round) and reducer, and the majority's value where there are votes.
+
+    ``vals`` and ``codes`` are one line per group, ``picks`` one line per draw.
+    """
+    drawn = vals.T[picks]
+    lines = drawn.reshape(len(picks), -1).T
+    wide = lambda numbers: np.ascontiguousarray(np.asarray(numbers, dtype=float).reshape(drawn.shape[1:]).T)
+    out = {name: wide(fn(lines)) for name, fn in (REDUCERS if reducers is None else reducers).items()}
+    if codes is not None:
+        out["maj"] = _majority(codes, vals, picks)
     return out
 
 
+def _codes(votes: pd.Series, at: np.ndarray) -> np.ndarray:
+    """Number of each vote within its group, from 0, for groups that are lines of positions; no vote counts as one."""
+    names, _ = pd.factorize(votes, use_na_sentinel=False)
+    keys = names[at] + np.arange(len(at))[:, None] * (int(names.max()) + 1)
+    codes = np.unique(keys, return_inverse=True)[1].reshape(at.shape)
+    return codes - codes.min(axis=1, keepdims=True)
+
+
 def bootstrap(df: DataFrame, group: Sequence[str], value: str, sizes: Sequence[int] | None = None, vote: str | None = None,
               order: str | None = None, rounds: int = 1000, seed: int = 42, reducers: Mapping[str, Callable] | None = None,
               rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """best/worst/maj@n per group: rows (group, n, reducer, mean, std).
 
-    ``reducers`` (name -> function of the drawn values, one line per round)
-    takes the place of best and worst. A group is the responses to one prompt,
-    a handful as a rule. A group above ``rows_per_block`` rows has its rounds
+    ``reducers`` (name -> function of the drawn values, one number per line; a
+    line is a round of a group) takes the place of best and worst. A group is the
+    responses to one prompt, a handful as a rule, and groups of one size are
+    drawn together. A group above ``rows_per_block`` rows has its rounds
     dealt over as many blocks as it fills; means and squares of the blocks are
     merged, so no group is too large.
     """
@@ -384,32 +416,38 @@ def bootstrap(df: DataFrame, group: Sequence[str], value: str, sizes: Sequence[i
     sized = with_group_stats(df.select(*dict.fromkeys(wanted)), group, _blocks=F.count(F.lit(1)))
     blocks = F.least(F.ceil(F.col("_blocks") / rows_per_block).cast("int"), F.lit(rounds))
     dealt = sized.withColumn("_blocks", blocks).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    shared: dict[tuple[int, int], np.ndarray] = {}  # draws depend on sizes alone, so groups of one size share them
+    names = [*group, "n", "reducer", "c", "m", "s"]
+    kept: dict[tuple, np.ndarray] = {}
 
-    def run(key: tuple, rows: pd.DataFrame) -> list[tuple]:
-        vals = rows[value].to_numpy(dtype=float)
-        votes = rows[vote].to_numpy() if vote else None
-        own = range(int(key[-1]), rounds, int(rows["_blocks"].iloc[0]))
+    def run(rows: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
+        vals, blocks, block = rows[value].to_numpy(dtype=float), rows["_blocks"].to_numpy()[starts], rows["_block"].to_numpy()[starts]
+        alike = pd.DataFrame({"n": ends - starts, "blocks": blocks, "block": block}).groupby(["n", "blocks", "block"]).indices
         out = []
-        for n in sizes or (subset_sizes(len(vals)) if len(vals) > 1 else []):
-            found: dict[str, list[np.ndarray]] = {}
-            step = max(1, DRAWN_AT_ONCE // n)
-            for low in range(0, len(own), step):
-                part = own[low : low + step]
-                if len(own) == rounds <= step:
-                    if (len(vals), n) not in shared:
-                        shared[len(vals), n] = resamples(len(vals), n, part, seed)
-                    picks = shared[len(vals), n]
-                else:
-                    picks = resamples(len(vals), n, part, seed)
-                for name, numbers in reduced(vals, picks, votes, reducers).items():
-                    found.setdefault(name, []).append(numbers)
-            for name, parts in found.items():
-                x = np.concatenate(parts)
-                out.append((*key[:-1], n, name, len(x), float(x.mean()), float(((x - x.mean()) ** 2).sum())))
-        return out
-
-    part = map_groups(dealt, [*group, "_block"], [order] if order else [value], run, f"{keys}, n int, reducer string, c long, m double, s double")
+        for (many, parts, own), which in alike.items():
+            for n in sizes or (subset_sizes(many) if many > 1 else []):
+                own_rounds = range(own, rounds, parts)
+                step = min(len(own_rounds), max(1, DRAWN_AT_ONCE // n))
+                together = max(1, DRAWN_TOGETHER // (n * step))
+                for first in range(0, len(which), together):
+                    chosen = which[first : first + together]
+                    at = starts[chosen][:, None] + np.arange(many)
+                    codes = _codes(rows[vote], at) if vote else None
+                    found: dict[str, list[np.ndarray]] = {}
+                    for low in range(0, len(own_rounds), step):
+                        picks = np.ascontiguousarray(resamples(many, n, own_rounds[low : low + step], seed, kept).T)
+                        for name, numbers in reduced(vals[at], picks, codes, reducers).items():
+                            found.setdefault(name, []).append(numbers)
+                    for name, pieces in found.items():
+                        x = np.concatenate(pieces, axis=1)
+                        mean = x.mean(axis=1)
+                        out.append((chosen, n, name, x.shape[1], mean, ((x - mean[:, None]) ** 2).sum(axis=1)))
+        if not out:
+            return pd.DataFrame(columns=names)
+        which, n, name, c, m, s = zip(*out, strict=True)
+        many, heads = [len(w) for w in which], rows[list(group)].iloc[starts[np.concatenate(which)]].reset_index(drop=True)
+        return heads.assign(n=np.repeat(n, many), reducer=np.repeat(np.array(name, dtype=object), many), c=np.repeat(c, many), m=np.concatenate(m), s=np.concatenate(s))[names]
+
+    part = map_runs(dealt, [*group, "_block"], [order] if order else [value], run, f"{keys}, n int, reducer string, c long, m double, s double")
     # Blocks of one group: counts, means and squared distances merge to those of all rounds.
     whole = part.groupBy(*group, "n", "reducer").agg(F.sum("c").alias("c"), (F.sum(F.col("c") * F.col("m")) / F.sum("c")).alias("mean"), F.collect_list(F.struct("c", "m", "s")).alias("parts"))
     squares = F.aggregate("parts", F.lit(0.0), lambda t, p: t + p["s"] + p["c"] * (p["m"] - F.col("mean")) * (p["m"] - F.col("mean")))
@@ -439,7 +477,8 @@ def validation_metrics(df: DataFrame, source: str, uid: str, value: str, vote: s
         F.struct(F.concat(at("", F.col("n")), F.lit("/mean")).alias("suffix"), F.col("mean").alias("v")),
         F.struct(F.concat(at("", F.col("n")), F.lit("/std")).alias("suffix"), F.col("std").alias("v")),
     )).alias("x"), "reducer", "n").select(source, F.concat("reducer", "x.suffix").alias("metric"), F.col("x.v").alias("v"), "n")
-    merged = plain.unionByName(drawn).groupBy(source, "metric").agg(F.avg("v").alias("value"), F.max("n").alias("n"))
+    # Kept, as it is read twice: a row per source and metric.
+    merged = keep(plain.unionByName(drawn).groupBy(source, "metric").agg(F.avg("v").alias("value"), F.max("n").alias("n")))
     sized = with_group_stats(merged, [source], _largest=F.max("n"))
     core = (F.col("n") == F.col("_largest")) & F.col("metric").rlike(r"^(mean|maj|best)@")
     return sized.withColumn("section", F.when(core, "core").otherwise("aux")).drop("_largest", "n")

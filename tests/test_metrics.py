@@ -310,3 +310,22 @@ def test_resampling_sums_in_tree_order_and_meets_the_first_of_equal_ends(spark,
     # Every second weight is lost in the sum, so its row is never met.
     big = spark.range(400, numPartitions=4).select(F.col("id").alias("row_id"), F.when(F.col("id") % 2 == 0, 1e6).otherwise(0.0).alias("score"))
     assert {r["row_id"] % 2 for r in V.pf_resample(big).collect()} == {0}
+
+
+def test_bootstrap_draws_groups_of_one_size_together(spark, monkeypatch):
+    """Neighbours in a batch, with names and no votes among theirs, each as if alone; draws are hashed once a size."""
+    rng = random.Random(3)
+    rows = [(u, float(rng.randint(0, 5)), i, rng.choice(["x", "y", None])) for u in range(40) for i in range(2 + u % 3)]
+    df = spark.createDataFrame(rows, "u int, v double, o int, p string")
+    got = {(r.u, r.n, r.reducer): (r["mean"], r["std"]) for r in M.bootstrap(df, ["u"], "v", vote="p", order="o").collect()}
+    assert len(got) == sum(len(M.subset_sizes(2 + u % 3)) for u in range(40)) * 3
+    for u in range(0, 40, 7):
+        own = [r for r in rows if r[0] == u]
+        for n in M.subset_sizes(len(own)):
+            for name, numbers in by_hand([r[1] for r in own], [r[3] for r in own], n).items():
+                assert got[u, n, name] == pytest.approx((np.mean(numbers), np.std(numbers)))
+    hashed = []
+    plain = hashlib.md5
+    kept = {}
+    monkeypatch.setattr(M.hashlib, "md5", lambda text: hashed.append(text) or plain(text))
+    assert [len(M.resamples(n, 2, kept=kept)) for n in (5, 6, 7)] == [1000] * 3 and len(hashed) == 2000
