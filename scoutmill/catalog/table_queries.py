@@ -12,7 +12,7 @@ from scoutmill.operators import reshape as R
 from scoutmill.operators import retrieval as S
 from scoutmill.operators import sampling as B
 from scoutmill.operators.ordering import number_rows
-from scoutmill.session import kept_path
+from scoutmill.session import keep, kept_path
 
 
 @query("attach_revision", """WITH i AS (SELECT o_custkey AS question, arg_max('https://w.example/' || CAST(o_orderkey AS VARCHAR), o_orderkey) AS revision_url FROM orders WHERE o_custkey % 5 <> 0 GROUP BY 1)
@@ -292,19 +292,20 @@ def sparse_queries(t):
     return S.term_weights(t.benchmark, "item_id", F.col("text"), "query_id", idf=False)
 
 
-def sparse_docs(t):
-    return S.term_weights(t.documents, "doc_id", F.col("text"))
+def sparse_docs(t, only=None):
+    return S.term_weights(t.documents, "doc_id", F.col("text"), only=only)
 
 
 @query("sparse_topk", f"""WITH {SPARSE} SELECT query_id, doc_id, round(score, 6) AS score FROM sk""")
 def _(t):
-    return S.sparse_topk(sparse_queries(t), sparse_docs(t), 10).withColumn("score", F.round("score", 6))
+    asked = keep(sparse_queries(t))
+    return S.sparse_topk(asked, sparse_docs(t, asked), 10).withColumn("score", F.round("score", 6))
 
 
 def sparse_index(t, **options):
     """The documents' postings written as an index and opened again."""
     path = kept_path(t.spark)
-    I.write_sparse_index(sparse_docs(t), path, **options)
+    I.write_sparse_index(sparse_docs(t), path, ids=t.documents, **options)
     return I.open_sparse_index(t.spark, path)
 
 
@@ -346,7 +347,8 @@ def _(t):
 @query("hybrid_search", f"""WITH {SPARSE}, {DENSE}, f AS (SELECT coalesce(sk.query_id, dk.query_id) AS query_id, coalesce(sk.doc_id, dk.doc_id) AS doc_id, round(0.7::DOUBLE * coalesce(sk.score, 0) + 1.0 * coalesce(dk.score, 0), 9) AS score FROM sk FULL OUTER JOIN dk ON sk.query_id = dk.query_id AND sk.doc_id = dk.doc_id)
 SELECT query_id, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rn FROM f) WHERE rn <= 10""")
 def _(t):
-    hits = S.hybrid_search(dense_queries(t), dense_docs(t), sparse_queries(t), sparse_docs(t), 10)
+    asked = keep(sparse_queries(t))
+    hits = S.hybrid_search(dense_queries(t), dense_docs(t), asked, sparse_docs(t, asked), 10)
     return hits.select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 

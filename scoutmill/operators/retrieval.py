@@ -27,6 +27,8 @@ SCORE_DIGITS = 9
 
 # Characters of text whose words one task counts.
 TASK_CHARS = 4_000_000
+# Most terms whose frequencies are shipped to every task: about 50 MB.
+SHIPPED_TERMS = 500_000
 
 
 def _check_k(k: int) -> None:
@@ -127,26 +129,49 @@ def _dense_shipped(head: pd.DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "vector").mapInPandas(score, HIT)
 
 
-def term_weights(df: DataFrame, id_col: str, text: Column, out_id: str = "doc_id", idf: bool = True) -> DataFrame:
+def term_weights(df: DataFrame, id_col: str, text: Column, out_id: str = "doc_id", idf: bool = True, only: DataFrame | None = None) -> DataFrame:
     """Postings (id, term, weight): tf-idf, each text L2-normalised. Offline stand-in for a learned sparse model.
 
     The texts are placed by id and split once; their counts are kept, as both
-    the document frequencies and the weights are made from them.
+    the document frequencies and the weights are made from them. Frequencies go
+    to the counts (``_weighed``) and only numbers go on to the norms, so no
+    posting moves for a common term. ``only`` (term) leaves out the postings of
+    other terms; norms and frequencies are those of the whole texts all the same.
     """
+    n, chars = df.agg(F.count(F.lit(1)), F.sum(F.length(text))).first()
     texts = df.select(F.col(id_col).alias(out_id), text.alias("_text"))
-    texts = texts.repartition(task_count(df.sparkSession), out_id)
+    texts = texts.repartition(max(task_count(df.sparkSession), -(-(chars or 0) // TASK_CHARS)), out_id)
     terms = texts.select(out_id, F.explode(words(F.col("_text"))).alias("term"))
     tf = terms.groupBy(out_id, "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
-    if idf:
-        n = df.agg(F.count(F.lit(1))).scalar()
+    norm = F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("_norm")
+    if not idf:
+        # The terms of one text come from one row, so they fit one again.
+        vectors = tf.groupBy(out_id).agg(F.collect_list(F.struct("term", "tf")).alias("_v"), norm)
+        flat = vectors.select(out_id, "_norm", F.explode("_v").alias("_t")).select(out_id, "_norm", "_t.*")
+        flat = flat if only is None else flat.join(only.select("term").distinct(), "term", "left_semi")
+    else:
         tf = keep(tf)
-        freq = tf.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
-        tf = tf.join(freq, "term").withColumn("tf", F.col("tf") * F.log((n + 1) / (F.col("_df") + 1)))
-    # The terms of one text come from one row, so they fit one again.
-    vectors = tf.groupBy(out_id).agg(F.collect_list(F.struct("term", "tf")).alias("_v"), F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("_norm"))
-    flat = vectors.select(out_id, "_norm", F.explode("_v").alias("_t"))
-    weight = F.when(F.col("_norm") > 0, F.col("_t.tf") / F.col("_norm")).otherwise(F.lit(0.0))
-    return flat.select(out_id, F.col("_t.term").alias("term"), weight.alias("weight"))
+        freq = keep(tf.groupBy("term").agg(F.count(F.lit(1)).alias("_df")))
+        weighed = _weighed(tf, freq, n)
+        # Kept tables tell Spark their size: small ones are shipped to the counts.
+        norms = keep(weighed.groupBy(out_id).agg(norm))
+        if only is not None:
+            weighed = _times_idf(tf.join(keep(freq.join(only.select("term").distinct(), "term", "left_semi")), "term"), n)
+        flat = weighed.join(norms, out_id)
+    weight = F.when(F.col("_norm") > 0, F.col("tf") / F.col("_norm")).otherwise(F.lit(0.0))
+    return flat.select(out_id, "term", weight.alias("weight"))
+
+
+def _times_idf(counts: DataFrame, n: int) -> DataFrame:
+    return counts.withColumn("tf", F.col("tf") * F.log((F.lit(n) + 1) / (F.col("_df") + 1))).drop("_df")
+
+
+def _weighed(tf: DataFrame, freq: DataFrame, n: int) -> DataFrame:
+    """Counts times idf. Terms of at least 1/SHIPPED_TERMS of all postings, at most that many, are shipped; the counts of the others are joined."""
+    cut = (freq.agg(F.sum("_df")).first()[0] or 0) / SHIPPED_TERMS
+    seen = tf.join(F.broadcast(freq.filter(F.col("_df") >= cut)), "term", "left")
+    rare = seen.filter(F.col("_df").isNull()).drop("_df").join(freq.filter(F.col("_df") < cut).hint("shuffle_hash"), "term")
+    return _times_idf(seen.filter(F.col("_df").isNotNull()).unionByName(rare), n)
 
 
 def words(text: Column) -> Column:
@@ -157,13 +182,14 @@ def words(text: Column) -> Column:
 def sparse_topk(query_weights: DataFrame, doc_weights: DataFrame, k: int) -> DataFrame:
     """Inner-product top-k over postings (query_id, term, weight) and (doc_id, term, weight).
 
-    One join on the term: at run time Spark ships the query side if it is small,
-    and splits the postings of a frequent term over tasks if it is not.
+    Postings of terms that no query has are left out, the others are placed by
+    document and met there by the queries, which Spark ships if they are small:
+    a document's score is then added up in place, and only the best hits move.
     """
     _check_k(k)
-    q = query_weights.select("query_id", "term", F.col("weight").alias("qw"))
-    d = doc_weights.select("doc_id", "term", F.col("weight").alias("dw"))
-    pairs = d.join(q, "term")
+    q = keep(query_weights.select("query_id", "term", F.col("weight").alias("qw")))
+    d = doc_weights.select("doc_id", "term", F.col("weight").alias("dw")).join(q.select("term").distinct(), "term", "left_semi")
+    pairs = d.repartition(task_count(d.sparkSession), "doc_id").join(q, "term")
     scored = pairs.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qw") * F.col("dw")), SCORE_DIGITS).alias("score"))
     return top_rows(scored.filter(F.col("score") > 0), ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)
 

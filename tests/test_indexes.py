@@ -141,3 +141,23 @@ def test_fulltext_search_takes_more_tasks_for_more_text(spark, monkeypatch):
     found = R.fulltext_search(docs, queries, 2)
     assert sorted(map(tuple, found.select("query_id", "doc_id", "rank").collect())) == [(1, 0, 4), (1, 2, 4), (2, 1, 3), (2, 3, 3)]
     assert "hashpartitioning(doc_id#" in found._jdf.queryExecution().toString() and ", 30), REPARTITION_BY_NUM" in found._jdf.queryExecution().toString()
+
+
+def test_weights_of_some_terms_are_those_of_whole_texts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(1, 30) if i % j == 0) + f" own{i} own{i}") for i in range(200)] + [(200, None)], "doc_id long, text string")
+    key = lambda x: sorted((r.doc_id, r.term, round(r.weight, 12)) for r in x.collect())
+    whole = key(R.term_weights(docs, "doc_id", F.col("text")))
+    some = spark.createDataFrame([("w2",), ("own7",), ("none",), ("w2",)], "term string")
+    wanted = [r for r in whole if r[1] in ("w2", "own7")]
+    assert len(wanted) == 101 and key(R.term_weights(docs, "doc_id", F.col("text"), only=some)) == wanted
+    monkeypatch.setattr(R, "SHIPPED_TERMS", 20)  # most terms are too rare to be shipped
+    assert key(R.term_weights(docs, "doc_id", F.col("text"))) == whole
+    assert key(R.term_weights(docs, "doc_id", F.col("text"), only=some)) == wanted
+    path = kept_path(spark)
+    I.write_sparse_index(R.term_weights(docs, "doc_id", F.col("text")), path, range_docs=16, buckets=4, ids=docs)
+    queries = R.term_weights(docs.filter("doc_id % 50 = 0"), "doc_id", F.col("text"), "query_id", idf=False)
+    exact = R.sparse_topk(queries, R.term_weights(docs, "doc_id", F.col("text"), only=queries), 5)
+    # A document's score is added up where its postings are.
+    plan = exact._jdf.queryExecution().executedPlan().toString()
+    assert not any("hashpartitioning(query_id#" in line and "doc_id#" in line.split("hashpartitioning(")[1].split(")")[0] for line in plan.splitlines())
+    assert sorted(map(tuple, exact.collect())) == sorted(map(tuple, I.sparse_index_topk(queries, I.open_sparse_index(spark, path), 5).collect()))
