@@ -81,16 +81,19 @@ def exclude_patterns(df: DataFrame, col: str, patterns: Sequence[str]) -> DataFr
     return df.filter(~F.coalesce(F.col(col).rlike("|".join(f"(?:{p})" for p in patterns)), F.lit(False)))
 
 
-def answer_leaks(qa: DataFrame, pages: DataFrame, url: str = "url", text: str = "markdown") -> DataFrame:
+def answer_leaks(qa: DataFrame, pages: DataFrame, url: str = "url", text: str = "markdown", verbatim: bool = False) -> DataFrame:
     """QA rows with ``result``: negative when the current page gives the answer away, else positive with a reason.
 
     Each row comes back once, however many pages its URL has: it is negative
     when any of them gives the answer away. Each different item meets each
     different text of its URL once, so copies of pages or items cost nothing.
+    ``verbatim``: an answer that a page holds letter by letter is given away
+    however short it is; ``answer_in_text`` alone passes over the shortest.
     """
     keys = [url, "question", "answer"]
     texts = only_wanted(pages.select(url, F.col(text).alias("_text")), qa, url).filter(F.col("_text").isNotNull()).distinct()
     leak = answer_in_text(F.col("answer"), F.col("_text"), F.col("question"))
+    leak = F.contains(F.col("_text"), F.col("answer")) | leak if verbatim else leak
     checked = qa.select(*keys).distinct().join(texts, url).groupBy(*keys).agg(F.bool_or(leak).alias("_leaked"))
     joined = join_on(qa, checked, keys)
     reason = (

@@ -74,3 +74,26 @@ def test_a_url_with_several_pages_gives_each_item_one_label(spark):
     pages = spark.createDataFrame([("u", "A blue whale swam."), ("u", "Nothing here."), ("u", "Nothing here."), ("u", None)], "url string, markdown string")
     got = sorted((r["id"], r["result"], r["reason"]) for r in J.answer_leaks(qa, pages).collect())
     assert got == [(1, "negative", "answer_found"), (2, "positive", "answer_not_found"), (3, "negative", "answer_found"), (4, "positive", "no_revision_url")]
+
+
+def test_the_shortest_titles_and_pages_without_a_url_are_labelled_as_by_sql(spark, tmp_path):
+    """Odd pages: titles of up to three characters, of marks or blanks, none at all; no URL; no text."""
+    from compare import compare, duck
+
+    from scoutmill.catalog import QUERIES, SQL
+
+    titles = ["to.", " ", "*", "a-b", "4", "12", "", "Long title", "\u00e9", "&amp;"]
+    rows = [(n, None if n % 3 == 0 else f"u{n % 14}", f"<html><title>{t}</title><p>text {n}</p>") for n, t in enumerate(titles * 4)]
+    rows += [(100, "u1", None), (101, None, None), (102, "u2", "<p>no title</p>"), (103, "u2", ""), (None, "u3", "<title>x</title>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages"))
+    (tmp_path / "pages.parquet").write_bytes(next((tmp_path / "pages").glob("*.parquet")).read_bytes())
+    con = duck("/root/testdata/sf0.001")
+    con.execute(f"CREATE OR REPLACE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet'")
+    assert compare(con, spark, QUERIES["answer_leaks"], SQL["answer_leaks"], str(tmp_path)) is None
+
+
+def test_an_answer_of_few_letters_leaks_only_where_asked_for(spark):
+    qa = spark.createDataFrame([(1, "u", "what", "to."), (2, "u", "what", "zz")], "id int, url string, question string, answer string")
+    pages = spark.createDataFrame([("u", "Up to. Here.")], "url string, markdown string")
+    label = lambda **how: sorted((r["id"], r["result"]) for r in J.answer_leaks(qa, pages, **how).collect())
+    assert label() == [(1, "positive"), (2, "positive")] and label(verbatim=True) == [(1, "negative"), (2, "positive")]
