@@ -305,7 +305,7 @@ def _(t):
 def sparse_index(t, **options):
     """The documents' postings written as an index and opened again."""
     path = kept_path(t.spark)
-    I.write_sparse_index(sparse_docs(t), path, ids=t.documents, **options)
+    I.write_text_index(t.documents, path, "doc_id", F.col("text"), **options)
     return I.open_sparse_index(t.spark, path)
 
 

@@ -167,13 +167,24 @@ def _times_idf(counts: DataFrame, n: int) -> DataFrame:
 
 
 def _weighed(tf: DataFrame, freq: DataFrame, n: int) -> DataFrame:
-    """Counts times idf. Terms of at least 1/SHIPPED_TERMS of all postings, at most that many, are shipped; the counts of the others are joined."""
-    cut = (freq.agg(F.sum("_df")).first()[0] or 0) / SHIPPED_TERMS
+    """Counts times idf. The most frequent terms are shipped, the counts of the others are joined."""
+    cut = shipped_from(freq)
     seen = tf.join(F.broadcast(freq.filter(F.col("_df") >= cut)), "term", "left")
     rare = seen.filter(F.col("_df").isNull()).drop("_df").join(freq.filter(F.col("_df") < cut).hint("shuffle_hash"), "term")
     return _times_idf(seen.filter(F.col("_df").isNotNull()).unionByName(rare), n)
 
 
+def shipped_from(freq: DataFrame) -> int:
+    """Least frequency that at most SHIPPED_TERMS of (term, _df) reach; the driver sees one row per frequency from there on."""
+    held, cut = 0, None
+    for row in freq.groupBy("_df").count().orderBy(F.col("_df").desc()).toLocalIterator():
+        held += row["count"]
+        if held > SHIPPED_TERMS:
+            return row["_df"] + 1
+        cut = row["_df"]
+    return cut or 1
+
+
 def words(text: Column) -> Column:
     """Lower-case words of a text, symbols left out."""
     return matches(F.lower(F.coalesce(text, F.lit(""))), rf"[{WORD}]+")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,6 +64,21 @@ def kept_path(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/kept/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of each query made inside are removed at its end, not when the driver next collects garbage.
+
+    For writes: a table that is written needs them no more.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Write ``df`` as a parquet table in the shared folder and read it back.
 
@@ -71,7 +88,8 @@ def keep(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = kept_path(spark)
-    df.write.parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

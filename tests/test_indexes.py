@@ -161,3 +161,61 @@ def test_weights_of_some_terms_are_those_of_whole_texts(spark, monkeypatch):
     plan = exact._jdf.queryExecution().executedPlan().toString()
     assert not any("hashpartitioning(query_id#" in line and "doc_id#" in line.split("hashpartitioning(")[1].split(")")[0] for line in plan.splitlines())
     assert sorted(map(tuple, exact.collect())) == sorted(map(tuple, I.sparse_index_topk(queries, I.open_sparse_index(spark, path), 5).collect()))
+
+
+def test_an_index_of_texts_is_that_of_their_weights(spark, monkeypatch):
+    """Texts without words or id, two texts of one id, words in every text, in two and in one."""
+    rows = [(i, " ".join(f"w{j}" for j in range(1, 30) if i % j == 0) + f" own{i} Own{i} pair{i // 2}") for i in range(0, 400, 2)]
+    docs = spark.createDataFrame([*rows, (401, None), (403, " - "), (405, "w1 w1 left"), (405, "w2 right"), (None, "w1 w2 nobody")], "doc_id long, text string")
+    flat = lambda path: sorted((r.range, r.doc_id, r.term, round(r.weight, 12)) for r in I.open_sparse_index(spark, path).blocks.select("range", "term", F.explode(F.arrays_zip(F.col("ids").alias("doc_id"), F.col("weights").alias("weight"))).alias("p")).select("range", "term", "p.*").collect())
+    path = kept_path(spark)
+    I.write_sparse_index(R.term_weights(docs, "doc_id", F.col("text")), path, range_docs=16, buckets=4, ids=docs)
+    want = flat(path)
+    assert {r[1] for r in want} == {i for i, _ in rows} | {405} and max(r[0] for r in want) == 12
+    for shipped in (R.SHIPPED_TERMS, 20, 0):  # at 0 no term is shipped
+        monkeypatch.setattr(R, "SHIPPED_TERMS", shipped)
+        path = kept_path(spark)
+        I.write_text_index(docs, path, "doc_id", F.col("text"), range_docs=16, buckets=4)
+        assert flat(path) == want
+    path = kept_path(spark)
+    I.write_text_index(docs.filter("false"), path, "doc_id", F.col("text"))
+    assert flat(path) == []
+
+
+def shuffled(spark):
+    return spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+
+def test_an_index_of_texts_moves_texts_not_postings(spark):
+    """A text of short words is a third of its postings' size or less, and nothing else may move with it."""
+    from scoutmill.catalog.table_queries import sparse_index
+
+    word = lambda i: F.pmod(F.xxhash64("id", i), F.lit(3000)).cast("string")
+    docs = spark.range(4000, numPartitions=8).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(200)), word), " ").alias("text"))
+    tables = type("T", (), {"spark": spark, "documents": spark.read.schema(docs.schema).parquet(_written(docs, kept_path(spark)))})()
+    before = shuffled(spark)
+    index = sparse_index(tables, range_docs=64)
+    assert shuffled(spark) - before < 3_500_000
+    assert index.blocks.agg(F.sum(F.size("ids"))).first()[0] == tables.documents.select(F.size(F.array_distinct(F.split("text", " "))).alias("n")).agg(F.sum("n")).first()[0]
+
+
+def _written(df, path):
+    df.write.parquet(path)
+    return path
+
+
+def test_shuffle_files_of_a_kept_table_are_removed(spark):
+    import gc
+    import time
+
+    from scoutmill.session import keep
+
+    files = lambda: sum("shuffle_" in f for f in str(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()).split(","))
+    gc.collect()
+    before = files()
+    assert len(keep(spark.range(1000).repartition(5, "id")).collect()) == 1000
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.2)
+    assert files() <= before and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
