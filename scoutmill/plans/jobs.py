@@ -18,6 +18,7 @@ from scoutmill.operators.joins import answer_leaks, lookup_pages, mask_results,
 from scoutmill.operators.qa import generate, short_answers
 from scoutmill.operators.reshape import explode_pairs
 from scoutmill.operators.retrieval import embed, hybrid_search
+from scoutmill.operators.wanted import only_wanted
 from scoutmill.session import keep
 
 
@@ -44,13 +45,15 @@ def search(queries: DataFrame, docs, query_weights: DataFrame, doc_weights, page
     ``queries`` is (query_id, call_id, query_pos, query, vector); ``pages`` is (doc_id, title, link, text); ``docs`` and
     ``doc_weights`` are tables or stored indexes. A query whose results are all gone keeps a block of 0 results.
     """
-    hits = hybrid_search(queries, docs, query_weights, doc_weights, k)
+    hits = keep(hybrid_search(queries, docs, query_weights, doc_weights, k))
     asked = queries.select("query_id", "call_id", "query_pos", "query")
-    ranked = hits.join(asked, "query_id").join(pages, "doc_id")
+    # Pages without a hit stay in their scan, and of the others' texts only the snippets leave it.
+    found = only_wanted(pages, hits, "doc_id", of=F.col("doc_id").cast("long")).select("doc_id", "title", "link", snippet("text").alias("snippet"))
+    ranked = hits.join(asked, "query_id").join(found, "doc_id")
     visible = mask_results(ranked, masks)
     # Hits per query are at most k, so rank and lists per query are small.
     kept = dedup_across_queries(visible.withColumn("rank", -F.col("score")), "call_id", "query_pos", "rank", "link")
-    row = F.struct((-F.col("score")).alias("rank"), F.col("doc_id"), "title", "link", snippet("text").alias("snippet"))
+    row = F.struct((-F.col("score")).alias("rank"), F.col("doc_id"), "title", "link", "snippet")
     results = kept.groupBy("query_id").agg(F.sort_array(F.collect_list(row)).alias("results"))
     blocks = asked.join(results, "query_id", "left").withColumn("results", F.coalesce("results", F.array().cast(results.schema["results"].dataType)))
     return blocks.select("call_id", "query_pos", "query_id", render_results(F.col("query"), F.col("results")).alias("block"))

@@ -69,6 +69,19 @@ def test_search_keeps_queries_without_results(spark):
     assert set(calls) == {7, 8}
 
 
+def test_search_moves_no_page_without_a_hit(spark, tmp_path):
+    """Ids of pages may be of another width than those of hits."""
+    spark.range(2000).select(F.col("id").cast("int").alias("doc_id"), F.lit("T").alias("title"), F.concat(F.lit("https://a/"), F.col("id").cast("string")).alias("link"), F.repeat(F.lit("a long text "), 50).alias("text")).write.parquet(str(tmp_path / "pages"))
+    queries = spark.createDataFrame([(1, 7, 0, "q", [1.0, 0.0])], "query_id long, call_id long, query_pos int, query string, vector array<double>")
+    docs = spark.createDataFrame([(1003, [1.0, 0.0]), (5, [-1.0, 0.0])], "doc_id long, vector array<double>")
+    none = spark.createDataFrame([], "query_id long, term string, weight double")
+    masks = spark.createDataFrame([], "query_id long, mask_url string")
+    blocks = jobs.search(queries, docs, none, none.withColumnRenamed("query_id", "doc_id"), spark.read.parquet(str(tmp_path / "pages")), masks, 1)
+    assert "https://a/1003" in blocks.first()["block"]
+    scans = [line for line in plan(blocks).splitlines() if "text#" in line and "Exchange" in line]
+    assert "bit_get" in plan(blocks) and not scans
+
+
 def test_masked_blocks(spark):
     from scoutmill.functions import tags as T
 
